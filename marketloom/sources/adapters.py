@@ -250,15 +250,13 @@ class Market:
 
     @cached_property
     def earnings(self) -> DataFrame:
-        """Reports per customer: the estimate is the previous order's total."""
-        w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-        return self.table("orders").select(
-            F.col("o_custkey").alias("ticker"),
-            F.col("o_orderkey").alias("report_id"),
-            F.to_date("o_orderdate").alias("date"),
-            F.lag("o_totalprice").over(w).alias("eps_estimate"),
-            F.col("o_totalprice").alias("eps_actual"),
+        """One report per customer and day (a customer's history is bounded by its dates); the
+        estimate is the previous report."""
+        daily = self.table("orders").groupBy(F.col("o_custkey").alias("ticker"), F.to_date("o_orderdate").alias("date")).agg(
+            (F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).cast("double") / 100).alias("eps_actual")
         )
+        w = Window.partitionBy("ticker").orderBy("date")
+        return daily.withColumn("eps_estimate", F.lag("eps_actual").over(w))
 
     @cached_property
     def intraday(self) -> DataFrame:
