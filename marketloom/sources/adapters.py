@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 class Market:
     """The tables of one data folder and the views derived from them."""
 
-    def __init__(self, spark: SparkSession, folder: str, level: str = "nation"):
+    def __init__(self, spark: SparkSession, folder: str, level: str = "nation", keep_bars: bool = True):
         self.spark = spark
         self.folder = folder
         self.level = level
+        self.keep_bars = keep_bars
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -56,7 +57,10 @@ class Market:
 
     @cached_property
     def bars(self) -> DataFrame:
-        """Daily OHLCV. Trades collapse map-side to one buffer per (ticker, day) before any
+        """Daily OHLCV, kept for the plans of a session that share it: most reports read bars
+        several times, and bars are the small daily digest of the trades.
+
+        Trades collapse map-side to one buffer per (ticker, day) before any
         shuffle, so a ticker holding a third of all trades costs no more than another; all
         buffers are fixed width, which keeps the aggregate hash-based. The price is damped
         around the ticker's mean trade price so compounded returns stay finite."""
@@ -75,7 +79,7 @@ class Market:
         def price(name: str) -> Column:
             return F.round(100 * F.pow(F.col(name) / 100.0 / F.col("base"), F.lit(0.02)), 4)
 
-        return daily.withColumn("base", base).select(
+        out = daily.withColumn("base", base).select(
             "ticker",
             "sector",
             "date",
@@ -85,6 +89,7 @@ class Market:
             price("c").alias("close"),
             "volume",
         )
+        return out.persist() if self.keep_bars else out
 
     @cached_property
     def benchmark(self) -> DataFrame:
