@@ -56,19 +56,24 @@ def mean_of(*xs: Column) -> Column:
     return total / F.nullif(count, F.lit(0))
 
 
-def erf(x: Column) -> Column:
-    """Rational approximation of erf (Abramowitz & Stegun 7.1.26), error below 1.5e-7."""
-    # fixed values: coefficients of formula 7.1.26
-    p, a1, a2, a3, a4, a5 = 0.3275911, 0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429
-    z = F.abs(x)
-    t = 1.0 / (1.0 + p * z)
-    poly = ((((a5 * t + a4) * t + a3) * t + a2) * t + a1) * t
-    value = 1.0 - poly * F.exp(-z * z)
-    return F.when(x < 0, -value).otherwise(value)
+# fixed values: double-precision rational form of the normal tail (Hart 1968, as in West 2005)
+TAIL_TOP = (
+    3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376,
+)
+TAIL_BOTTOM = (
+    8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752,
+)
+TAIL_LIMIT, TAIL_SCALE = 7.07106781186547, 2.506628274631
 
 
 def norm_cdf(x: Column) -> Column:
-    return 0.5 * (1.0 + erf(x / F.sqrt(F.lit(2.0))))
+    """Standard normal distribution function to about 1e-15."""
+    z = F.abs(x)
+    horner = lambda cs: reduce(lambda acc, c: acc * z + c, cs[1:], F.lit(cs[0]))
+    far = reduce(lambda acc, k: z + k / acc, (4.0, 3.0, 2.0, 1.0), z + 0.65)
+    e = F.exp(-z * z / 2.0)
+    tail = F.when(z > 37, F.lit(0.0)).when(z < TAIL_LIMIT, e * horner(TAIL_TOP) / horner(TAIL_BOTTOM)).otherwise(e / far / TAIL_SCALE)
+    return F.when(x > 0, 1.0 - tail).otherwise(tail)
 
 
 def norm_pdf(x: Column) -> Column:

@@ -30,6 +30,15 @@ def with_prefix_sum(df: DataFrame, keys: Sequence[str], chunk: str, order: Seque
     )
 
 
+def with_prefix_min(df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str], value: Column, out: str) -> DataFrame:
+    """Running minimum in (chunk, order) order, built like `with_prefix_sum`."""
+    inside = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    base = df.withColumn("_v", value)
+    totals = base.groupBy(*keys, chunk).agg(F.min("_v").alias("_t")).withColumn("_before", F.min("_t").over(earlier)).drop("_t")
+    return base.join(totals, [*keys, chunk]).withColumn(out, F.least(F.col("_before"), F.min("_v").over(inside))).drop("_v", "_before")
+
+
 def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], per_cell: int = 16) -> DataFrame:
     """Rows of both sides whose [lo, hi) intervals overlap, per key.
 

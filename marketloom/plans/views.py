@@ -33,17 +33,23 @@ def prod(x):
     return f"exp(sum(ln({x})))"
 
 
-def erf(x):
-    z, t = f"abs({x})", f"(1e0 / (1e0 + 0.3275911e0 * abs({x})))"
-    poly = (
-        f"((((1.061405429e0 * {t} + -1.453152027e0) * {t} + 1.421413741e0) * {t} + -0.284496736e0) * {t} + 0.254829592e0) * {t}"
-    )
-    v = f"(1e0 - ({poly}) * exp(-{z} * {z}))"
-    return f"(CASE WHEN {x} < 0 THEN -{v} ELSE {v} END)"
-
-
 def cdf(x):
-    return f"(0.5e0 * (1e0 + {erf(f'(({x}) / sqrt(2e0))')}))"
+    from marketloom.functions.expr import TAIL_BOTTOM, TAIL_LIMIT, TAIL_SCALE, TAIL_TOP
+
+    z = f"abs({x})"
+
+    def horner(cs):
+        out = f"{cs[0]!r}::DOUBLE"
+        for c in cs[1:]:
+            out = f"({out} * {z} + {c!r}::DOUBLE)"
+        return out
+
+    far = f"({z} + 0.65e0)"
+    for k in (4, 3, 2, 1):
+        far = f"({z} + {k}e0 / {far})"
+    e = f"exp(-{z} * {z} / 2e0)"
+    tail = f"(CASE WHEN {z} > 37 THEN 0e0 WHEN {z} < {TAIL_LIMIT!r}::DOUBLE THEN {e} * {horner(TAIL_TOP)} / {horner(TAIL_BOTTOM)} ELSE {e} / {far} / {TAIL_SCALE!r}::DOUBLE END)"
+    return f"(CASE WHEN ({x}) > 0 THEN 1e0 - {tail} ELSE {tail} END)"
 
 
 view(

@@ -192,7 +192,7 @@ class Market:
             F.col("p_partkey").alias("contract_id"),
             F.col("p_brand").alias("underlying"),
             (30 + 5 * F.col("p_size")).cast("int").alias("expiration_days"),
-            F.round(spot * (0.8 + F.col("p_partkey") % 41 / 100.0), 2).alias("strike"),
+            F.round(spot * (0.8 + F.col("p_partkey") % 41 / 100.0), 4).alias("strike"),
             spot.alias("spot"),
             F.lit(0.03).alias("rate"),
             (0.1 + F.col("p_size") / 100.0 + F.col("p_partkey") % 7 / 100.0).alias("implied_volatility"),
