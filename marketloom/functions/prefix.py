@@ -6,65 +6,53 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 
-def with_prefix_sum(df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str], value: Column, out: str) -> DataFrame:
-    """`out` = sum of `value` up to and including the row, in (chunk, order) order.
+def inside_chunk(keys: Sequence[str], chunk: str, order: Sequence[str]) -> WindowSpec:
+    return Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
 
-    Each (key, chunk) is summed on its own and shifted by the totals of the earlier chunks, so
-    a hot key is spread over its chunks. Only one row per chunk is ordered per key.
-    """
-    inside = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    base = df.withColumn("_v", value)
-    totals = (
-        base.groupBy(*keys, chunk)
-        .agg(F.sum("_v").alias("_t"))
-        .withColumn("_before", F.coalesce(F.sum("_t").over(earlier), F.lit(0.0)))
-        .drop("_t")
-    )
-    return (
-        base.join(totals, [*keys, chunk])
-        .withColumn(out, F.col("_before") + F.sum("_v").over(inside))
-        .drop("_v", "_before")
-    )
 
+def earlier_chunks(keys: Sequence[str], chunk: str) -> WindowSpec:
+    return Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
 
-def with_prefix_min(df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str], value: Column, out: str) -> DataFrame:
-    """Running minimum in (chunk, order) order, built like `with_prefix_sum`."""
-    inside = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    base = df.withColumn("_v", value)
-    totals = base.groupBy(*keys, chunk).agg(F.min("_v").alias("_t")).withColumn("_before", F.min("_t").over(earlier)).drop("_t")
-    return base.join(totals, [*keys, chunk]).withColumn(out, F.least(F.col("_before"), F.min("_v").over(inside))).drop("_v", "_before")
 
+def with_prefix_sums(df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str], sums: dict[str, Column]) -> DataFrame:
+    """Each `out: value` of `sums` summed up to and including the row, in (chunk, order) order.
 
-def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], per_cell: int = 16) -> DataFrame:
+    Every (key, chunk) is summed on its own and shifted by the totals of the earlier chunks, so
+    a hot key is spread over its chunks; only one row per chunk is ordered per key. All sums
+    share one pass and one join.
+    """
+    run, before = inside_chunk(keys, chunk, order), earlier_chunks(keys, chunk)
+    base = df.select("*", *[v.cast("double").alias(f"_v_{o}") for o, v in sums.items()])
+    totals = base.groupBy(*keys, chunk).agg(*[F.sum(f"_v_{o}").alias(f"_t_{o}") for o in sums])
+    offsets = totals.select(*keys, chunk, *[F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0.0)).alias(f"_o_{o}") for o in sums])
+    local = base.select(*df.columns, *[F.sum(f"_v_{o}").over(run).alias(f"_l_{o}") for o in sums])
+    return local.join(offsets, [*keys, chunk]).select(*df.columns, *[(F.col(f"_o_{o}") + F.col(f"_l_{o}")).alias(o) for o in sums])
+
+
+def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], cell: str = "cell") -> DataFrame:
     """Rows of both sides whose [lo, hi) intervals overlap, per key.
 
-    Both sides carry `lo` and `hi`. The axis of each key is cut into cells of `per_cell` mean
-    interval lengths; an interval is listed in every cell it touches, and a pair is kept only
-    in the cell where its overlap starts. The number of listings grows with rows, whatever
-    the distribution of lengths, and a hot key is spread over its cells.
+    Both sides carry `lo`, `hi` and the key's `cell` width (a few mean interval lengths). An
+    interval is listed in every cell it touches, and a pair is kept only in the cell where its
+    overlap starts. The number of listings grows with rows, whatever the distribution of
+    lengths, and a hot key is spread over its cells.
     """
-    size = (
-        left.select(*keys, (F.col("hi") - F.col("lo")).alias("_w"))
-        .unionByName(right.select(*keys, (F.col("hi") - F.col("lo")).alias("_w")))
-        .groupBy(*keys)
-        .agg((F.avg("_w") * per_cell).alias("_cell"))
-    )
 
     def listed(df: DataFrame) -> DataFrame:
-        cells = F.sequence(F.floor(F.col("lo") / F.col("_cell")), F.floor(F.col("hi") / F.col("_cell")))
-        return df.join(size, list(keys)).withColumn("_at", F.explode(cells))
+        cells = F.sequence(F.floor(F.col("lo") / F.col(cell)), F.floor(F.col("hi") / F.col(cell)))
+        return df.withColumn("_at", F.explode(cells))
 
-    l, r = listed(left), listed(right).drop("_cell")
-    r = r.select(*keys, "_at", *[F.col(c).alias(f"r_{c}") for c in right.columns if c not in keys])
+    l = listed(left)
+    r = listed(right)
+    r = r.select(*keys, "_at", *[F.col(c).alias(f"r_{c}") for c in right.columns if c not in (*keys, cell)])
     start = F.greatest(F.col("lo"), F.col("r_lo"))
     end = F.least(F.col("hi"), F.col("r_hi"))
     return (
         l.join(r, [*keys, "_at"])
-        .filter((end > start) & (F.floor(start / F.col("_cell")) == F.col("_at")))
+        .filter((end > start) & (F.floor(start / F.col(cell)) == F.col("_at")))
         .withColumn("overlap", end - start)
-        .drop("_at", "_cell")
+        .drop("_at", cell)
     )

@@ -57,33 +57,46 @@ def with_position(df: DataFrame, keys: Sequence[str] = KEY, order: str = ORDER)
     )
 
 
-def with_ema(df: DataFrame, source: str, out: str, span: int, keys: Sequence[str] = KEY, order: str = ORDER) -> DataFrame:
-    """Exponential mean seeded with the first value, for series of any length.
+def with_emas(df: DataFrame, specs: Sequence[tuple[str, str, float]], keys: Sequence[str] = KEY, order: str = ORDER) -> DataFrame:
+    """Exponential means (source, out, span) seeded with the first value, for series of any length.
 
-    The recursion unrolls to a weighted running sum. To keep the weights finite the series
-    is cut into blocks of length m with decay**m below double precision: inside a block the
-    running sum is direct, and from earlier rows only the end of the previous block can
-    still be seen in the result.
+    The recursion unrolls to a weighted running sum. To keep its weights finite the series is
+    cut into blocks: inside a block the running sum is direct, and the ends of the previous
+    blocks are carried over as far back as double precision can see. All requested means share
+    one block layout, so they cost one ordered pass and one pass over block ends together.
     """
-    alpha = 2.0 / (span + 1.0)
-    decay = 1.0 - alpha
-    m = max(8, math.ceil(40.0 / -math.log(decay)))
-    block, pos = F.col("_block"), F.col("_pos")
+    decays = {out: 1.0 - 2.0 / (span + 1.0) for _, out, span in specs}
+    m = max(8, min(1024, int(600.0 / -math.log(min(decays.values())))))
     inside = Window.partitionBy(*keys, "_block").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    previous = Window.partitionBy(*keys).orderBy("_block").rangeBetween(-1, -1)
-    weight = F.when(F.col("i") == 0, F.lit(1.0)).otherwise(F.lit(alpha))
+    ends = Window.partitionBy(*keys).orderBy("_block")
+    pos, i = F.col("_pos"), F.col("i")
     cols = df.columns
     if "i" not in cols:
         df = df.withColumn("i", F.row_number().over(over(keys, order)) - 1)
-    return (
-        df.withColumn("_block", F.floor(F.col("i") / m))
-        .withColumn("_pos", F.col("i") % m)
-        .withColumn("_term", weight * F.col(source) * F.pow(F.lit(decay), -pos))
-        .withColumn("_local", F.sum("_term").over(inside) * F.pow(F.lit(decay), pos))
-        .withColumn("_carry", F.max(F.when(pos == m - 1, F.col("_local"))).over(previous))
-        .withColumn(out, F.col("_local") + F.coalesce(F.col("_carry"), F.lit(0.0)) * F.pow(F.lit(decay), pos + 1))
-        .drop("_block", "_pos", "_term", "_local", "_carry", *([] if "i" in cols else ["i"]))
-    )
+    df = df.withColumn("_block", F.floor(i / m)).withColumn("_pos", i % m)
+    local = []
+    for source, out, _ in specs:
+        d = decays[out]
+        weight = F.when(i == 0, F.lit(1.0)).otherwise(F.lit(1.0 - d))
+        term = weight * F.col(source) * F.pow(F.lit(d), -pos)
+        local.append((F.sum(term).over(inside) * F.pow(F.lit(d), pos)).alias(f"_l_{out}"))
+    df = df.select("*", *local)
+    result = []
+    for _, out, _ in specs:
+        d = decays[out]
+        end = F.when(pos == m - 1, F.col(f"_l_{out}"))
+        value = F.col(f"_l_{out}")
+        for k in range(1, math.ceil(40.0 / (-m * math.log(d))) + 1):
+            carried = F.max(end).over(ends.rangeBetween(-k, -k))
+            value = value + F.coalesce(carried, F.lit(0.0)) * F.pow(F.lit(d), pos + 1 + m * (k - 1))
+        result.append(value.alias(out))
+    kept = [c for c in df.columns if not c.startswith("_l_")]
+    out = df.select(*kept, *result).drop("_block", "_pos")
+    return out if "i" in cols else out.drop("i")
+
+
+def with_ema(df: DataFrame, source: str, out: str, span: float, keys: Sequence[str] = KEY, order: str = ORDER) -> DataFrame:
+    return with_emas(df, [(source, out, span)], keys, order)
 
 
 def with_rsi(df: DataFrame, source: str, out: str, n: int = 14, keys: Sequence[str] = KEY, order: str = ORDER) -> DataFrame:

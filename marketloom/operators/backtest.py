@@ -152,59 +152,82 @@ def return_arrays(bars: DataFrame, lookback: int | None = 252) -> DataFrame:
     )
 
 
-def bootstrap_paths(
-    series: DataFrame, horizon: int, simulations: int, seed: int = 42, method: str = "standard", block: int = 5, condition: str | None = None, mode: str = "hash"
-) -> DataFrame:
-    """One row per (ticker, simulation) with terminal growth and worst drawdown. A path is folded
-    inside its row from the ticker's array of returns, so no (day) rows are ever shuffled."""
-    base = series
-    if method == "regime_conditioned" and condition in ("Weak", "Supportive"):
-        mid = F.sort_array("returns")
-        n = F.size("returns")
-        med = (F.element_at(mid, F.floor((n + 1) / 2).cast("int")) + F.element_at(mid, F.floor(n / 2 + 1).cast("int"))) / 2
-        base = base.withColumn("_m", med)
-        pick = F.filter("returns", lambda r: r <= F.col("_m")) if condition == "Weak" else F.filter("returns", lambda r: r >= F.col("_m"))
-        base = base.withColumn("_f", pick).withColumn("returns", F.when(F.size("_f") >= 20, F.col("_f")).otherwise(F.col("returns"))).drop("_m", "_f")
-    rows = base.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1)))).withColumn("n", F.size("returns"))
-
-    def draw(day: Column) -> Column:
-        if method == "block":
-            starts = F.greatest(F.col("n") - block + 1, F.lit(1))
-            start = resample_index(seed, F.col("ticker"), F.col("sim"), F.floor(day / block), starts, mode)
-            at = F.pmod(start + F.pmod(day, F.lit(block)), F.col("n"))
+def sorted_quantile(values: Column, p: float) -> Column:
+    """Linearly interpolated quantile of an ascending array."""
+    at = (F.size(values) - 1) * p
+    lo, hi = F.get(values, F.floor(at).cast("int")), F.get(values, F.ceil(at).cast("int"))
+    w = at - F.floor(at)
+    return lo * (1 - w) + hi * w
+
+
+def regime_filter(series: DataFrame, condition: str | None, least: int = 20) -> DataFrame:
+    """Keep the returns at or below (Weak) or above (Supportive) the median, if enough remain."""
+    if condition not in ("Weak", "Supportive"):
+        return series
+    mid = sorted_quantile(F.sort_array("returns"), 0.5)
+    kept = F.filter("returns", (lambda r: r <= F.col("_m")) if condition == "Weak" else (lambda r: r >= F.col("_m")))
+    rows = series.withColumn("_m", mid).withColumn("_f", kept)
+    return rows.withColumn("returns", F.when(F.size("_f") >= least, F.col("_f")).otherwise(F.col("returns"))).drop("_m", "_f")
+
+
+def path_array(n: Column, horizon: int, simulations: int, seed: int, block: int | None, mode: str) -> Column:
+    """Array of (g, dd) per simulation: terminal growth and worst drawdown of a path drawn from
+    the row's own `returns`. Everything happens inside the row."""
+
+    def draw(sim: Column, day: Column) -> Column:
+        if block:
+            starts = F.greatest(n - block + 1, F.lit(1))
+            first = resample_index(seed, F.col("ticker"), sim, F.floor(day / block), starts, mode)
+            at = F.pmod(first + F.pmod(day, F.lit(block)), n)
         else:
-            at = resample_index(seed, F.col("ticker"), F.col("sim"), day, F.col("n"), mode)
+            at = resample_index(seed, F.col("ticker"), sim, day, n, mode)
         return F.get(F.col("returns"), at.cast("int"))
 
-    start = F.struct(F.lit(1.0).alias("g"), F.lit(0.0).alias("top"), F.lit(0.0).alias("dd"))
+    zero = F.struct(F.lit(1.0).alias("g"), F.lit(0.0).alias("top"), F.lit(0.0).alias("dd"))
 
-    def step(acc: Column, day: Column) -> Column:
-        g = acc["g"] * (1 + draw(day))
+    def step(sim: Column, acc: Column, day: Column) -> Column:
+        g = acc["g"] * (1 + draw(sim, day))
         top = F.greatest(acc["top"], g)
         return F.struct(g.alias("g"), top.alias("top"), F.least(acc["dd"], g / top - 1).alias("dd"))
 
-    path = F.aggregate(F.sequence(F.lit(0), F.lit(horizon - 1)), start, step)
-    keep = [c for c in series.columns if c != "returns"]
-    return rows.withColumn("_p", path).select(*keep, "sim", "n", (F.col("_p.g") - 1).alias("terminal_return"), (F.col("_p.dd") * 100).alias("max_drawdown"))
-
-
-def bootstrap_scenarios(bars: DataFrame, horizon: int = 30, simulations: int = 5000, lookback: int = 252, minimum: int = 90, **options) -> DataFrame:
-    """Terminal percentiles, tail shares and drawdown percentiles of resampled paths. Percentile
-    state is one value per simulation of a ticker."""
-    paths = bootstrap_paths(return_arrays(bars, lookback).filter(F.size("returns") >= minimum), horizon, simulations, **options)
-    t = F.col("terminal_return")
-    end = F.col("price") * (1 + t)
-    share = lambda cond: F.avg(cond.cast("double")) * 100
-    out = paths.withColumn("ending", end).groupBy("ticker").agg(
-        F.max("n").alias("sample"),
-        F.max("price").alias("current_price"),
-        *[F.percentile("ending", F.lit(p / 100)).alias(f"p{p}") for p in (5, 10, 25, 50, 75, 90, 95)],
-        *[F.percentile("max_drawdown", F.lit(p / 100)).alias(f"dd{p}") for p in (50, 80, 90, 95)],
-        share(t > 0).alias("ending_higher_pct"),
-        share(t <= -0.05).alias("down_5_pct"),
-        share(t <= -0.10).alias("down_10_pct"),
-        share(t >= 0.05).alias("up_5_pct"),
-        share(t >= 0.10).alias("up_10_pct"),
+    days = F.sequence(F.lit(0), F.lit(horizon - 1))
+    return F.transform(F.sequence(F.lit(0), F.lit(simulations - 1)), lambda sim: F.aggregate(days, zero, lambda acc, day: step(sim, acc, day)))
+
+
+def bootstrap_scenarios(
+    bars: DataFrame, horizon: int = 30, simulations: int = 5000, lookback: int = 252, minimum: int = 90, seed: int = 42,
+    method: str = "standard", block: int = 5, condition: str | None = None, mode: str = "hash",
+) -> DataFrame:
+    """Terminal percentiles, tail shares and drawdown percentiles of resampled paths.
+
+    A ticker's paths are drawn, folded and summarised inside its own row from the array of its
+    last returns; after the returns are gathered nothing is exploded or shuffled.
+    """
+    series = return_arrays(bars, lookback).filter(F.size("returns") >= minimum)
+    if method == "regime_conditioned":
+        series = regime_filter(series, condition)
+    n = F.size("returns")
+    rows = series.withColumn("paths", path_array(n, horizon, simulations, seed, block if method == "block" else None, mode))
+    rows = rows.select(
+        "ticker",
+        n.alias("sample"),
+        F.col("price").alias("current_price"),
+        F.sort_array(F.transform("paths", lambda p: F.col("price") * p["g"])).alias("_end"),
+        F.sort_array(F.transform("paths", lambda p: p["dd"] * 100)).alias("_dd"),
+        F.transform("paths", lambda p: p["g"] - 1).alias("_t"),
+    )
+    share = lambda test: F.size(F.filter("_t", test)) / F.size("_t") * 100
+    out = rows.select(
+        "ticker",
+        "sample",
+        "current_price",
+        *[sorted_quantile(F.col("_end"), p / 100).alias(f"p{p}") for p in (5, 10, 25, 50, 75, 90, 95)],
+        *[sorted_quantile(F.col("_dd"), p / 100).alias(f"dd{p}") for p in (50, 80, 90, 95)],
+        share(lambda t: t > 0).alias("ending_higher_pct"),
+        share(lambda t: t <= -0.05).alias("down_5_pct"),
+        share(lambda t: t <= -0.10).alias("down_10_pct"),
+        share(lambda t: t >= 0.05).alias("up_5_pct"),
+        share(lambda t: t >= 0.10).alias("up_10_pct"),
     )
     up, down = F.col("ending_higher_pct"), F.col("down_10_pct")
     return (
@@ -238,17 +261,14 @@ def forecast_calibration(bars: DataFrame, horizon: int = 30, simulations: int =
     n = F.size("returns")
     origins = series.filter(n - horizon > minimum).withColumn("origin", F.explode(F.sequence(F.lit(minimum), n - horizon - 1, F.lit(step))))
     origins = origins.withColumn("now", F.get("closes", F.col("origin"))).withColumn("then", F.get("closes", F.col("origin") + horizon)).drop("closes", "price")
-    rows = origins.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1))))
-
-    def draw(day: Column) -> Column:
-        return F.get(F.col("returns"), resample_index(seed, F.col("ticker"), F.col("sim"), day, F.col("origin"), mode).cast("int"))
-
-    growth = F.aggregate(F.sequence(F.lit(0), F.lit(horizon - 1)), F.lit(1.0), lambda g, day: g * (1 + draw(day)))
-    ends = rows.select("ticker", "origin", "now", "then", (F.col("now") * growth).alias("ending"))
-    q = lambda p: F.percentile("ending", F.lit(p))
-    f = ends.groupBy("ticker", "origin", "now", "then").agg(
-        q(0.05).alias("q05"), q(0.10).alias("q10"), q(0.25).alias("q25"), q(0.50).alias("q50"), q(0.75).alias("q75"), q(0.90).alias("q90"), q(0.95).alias("q95"),
-        F.avg((F.col("ending") > F.col("now")).cast("double")).alias("prob_up"),
+    paths = path_array(F.col("origin"), horizon, simulations, seed, None, mode)
+    ends = origins.withColumn("_e", F.sort_array(F.transform(paths, lambda p: F.col("now") * p["g"]))).drop("returns")
+    f = ends.select(
+        "ticker",
+        "now",
+        "then",
+        *[sorted_quantile(F.col("_e"), int(q) / 100).alias(f"q{q}") for q in ("05", "10", "25", "50", "75", "90", "95")],
+        (F.size(F.filter("_e", lambda e: e > F.col("now"))) / F.size("_e")).alias("prob_up"),
     )
     up = F.col("then") >= F.col("now")
     y = up.cast("double")

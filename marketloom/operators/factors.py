@@ -25,11 +25,15 @@ FACTOR_INPUTS: dict[str, tuple[tuple[str, bool], ...]] = {
 }
 
 
-def pct_rank_avg(df: DataFrame, keys: Sequence[str], value: str, out: str, higher_is_better: bool = True) -> DataFrame:
-    """Percentile rank 0..100 within the keys, ties averaged, nulls unranked."""
+def pct_rank_avg(df: DataFrame, keys: Sequence[str], value: str, out: str, inverse: str | None = None) -> DataFrame:
+    """Percentile rank 0..100 within the keys, ties averaged, nulls unranked; `inverse` names a
+    second column for inputs where lower is better (100 minus the rank)."""
     ranked = with_avg_rank(df, keys, value, "_rank", "_count")
     pct = F.col("_rank") / F.col("_count") * 100
-    return ranked.withColumn(out, pct if higher_is_better else 100 - pct).drop("_rank", "_count")
+    ranked = ranked.withColumn(out, pct)
+    if inverse is not None:
+        ranked = ranked.withColumn(inverse, 100 - F.col(out))
+    return ranked.drop("_rank", "_count")
 
 
 def price_inputs(bars: DataFrame, mrs: DataFrame, risk: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from marketloom.functions.rolling import (
     rolling_std,
     trailing,
     with_ema,
+    with_emas,
     with_position,
     with_rsi,
 )
@@ -75,10 +76,7 @@ def sma(bars: DataFrame, lengths: Sequence[int] = (20, 50, 200)) -> DataFrame:
 
 
 def ema(bars: DataFrame, spans: Sequence[int] = (20, 50, 200)) -> DataFrame:
-    out = with_position(bars)
-    for span in spans:
-        out = with_ema(out, "close", f"ema{span}", span)
-    return out.drop("i", "n_rows", "rn")
+    return with_emas(bars, [("close", f"ema{span}", span) for span in spans])
 
 
 def rsi(bars: DataFrame, n: int = 14) -> DataFrame:
@@ -95,11 +93,13 @@ def atr(bars: DataFrame, n: int = 14) -> DataFrame:
 
 
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    out = bars if "i" in bars.columns else with_position(bars)
-    out = with_ema(with_ema(out, "close", "_fast", fast), "close", "_slow", slow)
-    out = with_ema(out.withColumn("macd", F.col("_fast") - F.col("_slow")), "macd", "macd_signal", signal)
-    out = out.withColumn("macd_hist", F.col("macd") - F.col("macd_signal")).drop("_fast", "_slow")
-    return out if "i" in bars.columns else out.drop("i", "n_rows", "rn")
+    return macd_lines(with_emas(bars, [("close", "_fast", fast), ("close", "_slow", slow)]), signal)
+
+
+def macd_lines(table: DataFrame, signal: int = 9) -> DataFrame:
+    """MACD, signal and histogram from the two means `_fast` and `_slow`."""
+    out = with_ema(table.withColumn("macd", F.col("_fast") - F.col("_slow")), "macd", "macd_signal", signal)
+    return out.withColumn("macd_hist", F.col("macd") - F.col("macd_signal")).drop("_fast", "_slow")
 
 
 def roc(bars: DataFrame, n: int = 20) -> DataFrame:
@@ -194,10 +194,8 @@ def indicator_table(bars: DataFrame, benchmark: DataFrame) -> DataFrame:
     out = with_position(
         bars.join(benchmark.select("date", F.col("close").alias("bench_close")), "date")
     )
-    out = sma(out)
-    for span in (20, 50, 200):
-        out = with_ema(out, "close", f"ema{span}", span)
-    out = macd(out)
+    spans = [("close", f"ema{n}", n) for n in (20, 50, 200)] + [("close", "_fast", 12), ("close", "_slow", 26)]
+    out = sma(macd_lines(with_emas(out, spans)))
     line = F.col("rs_line")
     out = (
         high_low_52w(relative_volume(atr(out)))

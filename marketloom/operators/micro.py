@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.expr import safe_div
-from marketloom.functions.prefix import overlap_join, with_prefix_min, with_prefix_sum
+from marketloom.functions.prefix import earlier_chunks, inside_chunk, overlap_join, with_prefix_sums
 
 
 def book_metrics(levels: DataFrame) -> DataFrame:
@@ -56,8 +56,7 @@ def participation_schedule(intervals: DataFrame, keys: Sequence[str], chunk: str
     row of a parent). The running cap is summed per chunk, so a long parent is not one task.
     """
     cap = F.col("expected_volume") * rate
-    rows = with_prefix_sum(intervals, keys, chunk, order, cap, "filled")
-    rows = with_prefix_sum(rows, keys, chunk, order, F.lit(1.0), "slice")
+    rows = with_prefix_sums(intervals, keys, chunk, order, {"filled": cap, "slice": F.lit(1.0)})
     before = F.col("filled") - cap
     rows = rows.withColumn("shares", F.least(cap, F.greatest(F.col("total_shares") - before, F.lit(0.0)))).withColumn("participation_rate", F.lit(rate))
     used = rows.filter((F.round(before, 9) < F.col("total_shares")) | (F.col("slice") == 1))
@@ -84,30 +83,46 @@ def net_edge(gross: Column, commission: Column, slippage: Column, spread: Column
     return gross - commission - slippage - spread
 
 
+def lot_positions(trades: DataFrame, keys: Sequence[str], chunk: str, order: str) -> DataFrame:
+    """Each trade with the shares bought and the sold shares matched, before and after it.
+
+    Sells beyond the shares held are dropped: with X the running balance of buys minus sells,
+    the shares dropped so far are -min(0, running minimum of X). All running values are built
+    inside (key, chunk) and shifted by one summary row per chunk, so a ticker with most of the
+    trades is spread over its days and the trades are joined once.
+    """
+    run, before = inside_chunk(keys, chunk, (order,)), earlier_chunks(keys, chunk)
+    buy = F.col("action").isin("buy", "entry")
+    q, none = F.col("shares"), F.lit(0.0)
+    t = trades.filter(F.col("action").isin("buy", "entry", "sell", "exit"))
+    t = t.withColumn("_b", F.sum(F.when(buy, q).otherwise(none)).over(run)).withColumn("_s", F.sum(F.when(buy, none).otherwise(q)).over(run))
+    t = t.withColumn("_low", F.min(F.col("_b") - F.col("_s")).over(run))
+    chunks = t.groupBy(*keys, chunk).agg(
+        F.max("_b").alias("_cb"), F.max("_s").alias("_cs"), F.min("_low").alias("_cl"), F.count(F.lit(1)).alias("_n"), F.sum("shares").alias("_q")
+    )
+    whole = Window.partitionBy(*keys)
+    offsets = chunks.withColumn("_ob", F.coalesce(F.sum("_cb").over(before), none)).withColumn("_os", F.coalesce(F.sum("_cs").over(before), none))
+    offsets = offsets.withColumn("_ol", F.coalesce(F.min(F.col("_cl") + F.col("_ob") - F.col("_os")).over(before), none))
+    offsets = offsets.withColumn("cell", 16 * F.sum("_q").over(whole) / F.sum("_n").over(whole)).select(*keys, chunk, "_ob", "_os", "_ol", "cell")
+    t = t.join(offsets, [*keys, chunk])
+    lowest = F.least(F.col("_ol"), F.col("_low") + F.col("_ob") - F.col("_os"), none)
+    t = t.withColumn("bought", F.col("_ob") + F.col("_b")).withColumn("matched", F.col("_os") + F.col("_s") + lowest)
+    prior = F.lag("matched").over(Window.partitionBy(*keys, chunk).orderBy(order))
+    return t.withColumn("matched_before", F.coalesce(prior, F.col("_os") + F.least(F.col("_ol"), none))).drop("_b", "_s", "_low", "_ob", "_os", "_ol")
+
+
 def fifo_lots(trades: DataFrame, keys: Sequence[str] = ("ticker",), chunk: str = "date", order: str = "trade_id") -> tuple[DataFrame, DataFrame]:
     """Closed lots (one row per matched part) and open shares per ticker.
 
     On the axis of shares bought so far a buy is the interval [bought before, bought after) and
-    a sell is [matched before, matched after); lots are the overlaps of the two. Sells beyond
-    the shares held are dropped: with X the running balance of buys minus sells, the shares
-    dropped so far are -min(0, running minimum of X). All running values are built per chunk and
-    shifted, and the overlaps per cell of the axis, so a ticker with most of the trades is
-    spread over many tasks.
+    a sell is [matched before, matched after); lots are the overlaps of the two.
     """
+    t = lot_positions(trades, keys, chunk, order)
     buy = F.col("action").isin("buy", "entry")
-    q = F.col("shares")
-    t = trades.filter(F.col("action").isin("buy", "entry", "sell", "exit"))
-    t = with_prefix_sum(t, keys, chunk, (order,), F.when(buy, q).otherwise(0.0), "bought")
-    t = with_prefix_sum(t, keys, chunk, (order,), F.when(buy, 0.0).otherwise(q), "sold")
-    balance = F.col("bought") - F.col("sold")
-    t = with_prefix_min(t, keys, chunk, (order,), balance, "low")
-    dropped = F.greatest(-F.col("low"), F.lit(0.0))
-    t = t.withColumn("matched", F.col("sold") - dropped)
-    buys = t.filter(buy).select(*keys, F.col("price").alias("entry_price"), (F.col("bought") - q).alias("lo"), F.col("bought").alias("hi"))
-    sells = t.filter(~buy).select(*keys, chunk, order, F.col("price").alias("exit_price"), "matched")
-    step = _with_matched_before(sells, keys, chunk, order)
-    sides = step.withColumnRenamed("before", "lo").withColumn("hi", F.col("matched")).filter(F.col("hi") > F.col("lo"))
-    closed = overlap_join(buys.filter(F.col("hi") > F.col("lo")), sides.select(*keys, "exit_price", "lo", "hi"), keys)
+    buys = t.filter(buy).select(*keys, "cell", F.col("price").alias("entry_price"), (F.col("bought") - F.col("shares")).alias("lo"), F.col("bought").alias("hi"))
+    sells = t.filter(~buy).select(*keys, "cell", F.col("price").alias("exit_price"), F.col("matched_before").alias("lo"), F.col("matched").alias("hi"))
+    held = F.col("hi") > F.col("lo")
+    closed = overlap_join(buys.filter(held), sells.filter(held), keys)
     pnl = (F.col("r_exit_price") - F.col("entry_price")) * F.col("overlap")
     closed = closed.select(
         *keys,
@@ -117,16 +132,8 @@ def fifo_lots(trades: DataFrame, keys: Sequence[str] = ("ticker",), chunk: str =
         pnl.alias("pnl"),
         (safe_div(F.col("r_exit_price"), F.col("entry_price")) - 1).alias("return_pct"),
     )
-    last = t.groupBy(*keys).agg(F.max("bought").alias("_b"), F.max("matched").alias("_m"), F.count(F.lit(1)).alias("trade_count"))
-    return closed, last.select(*keys, "trade_count", (F.col("_b") - F.col("_m")).alias("open_shares"))
-
-
-def _with_matched_before(rows: DataFrame, keys: Sequence[str], chunk: str, order: str) -> DataFrame:
-    """`before`: matched total of the earlier rows (0 at the start); the total never falls."""
-    inside = Window.partitionBy(*keys, chunk).orderBy(order)
-    earlier = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    tops = rows.groupBy(*keys, chunk).agg(F.max("matched").alias("_t")).withColumn("_prior", F.max("_t").over(earlier)).drop("_t")
-    return rows.join(tops, [*keys, chunk]).withColumn("before", F.coalesce(F.lag("matched").over(inside), F.col("_prior"), F.lit(0.0))).drop("_prior")
+    last = t.groupBy(*keys).agg(F.count(F.lit(1)).alias("trade_count"), (F.max("bought") - F.max("matched")).alias("open_shares"))
+    return closed, last
 
 
 def lot_summary(closed: DataFrame, open_rows: DataFrame, keys: Sequence[str] = ("ticker",)) -> DataFrame:

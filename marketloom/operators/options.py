@@ -112,13 +112,22 @@ def vol_surface(chain: DataFrame, keys: tuple[str, ...] = ("expiration_days",))
     """Per expiry: extremes, mean and skew (lowest strike minus highest); and the points, as rows
     in strike order within the expiry rather than one list per expiry."""
     clean = chain.filter(F.col("strike").isNotNull() & F.col("implied_volatility").isNotNull())
-    place = F.struct("strike", "contract_id")
-    out = clean.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("contracts"),
-        F.min("implied_volatility").alias("min_iv"),
-        F.max("implied_volatility").alias("max_iv"),
-        F.avg("implied_volatility").alias("mean_iv"),
-        (F.min_by("implied_volatility", place) - F.max_by("implied_volatility", place)).alias("skew"),
+    iv = "implied_volatility"
+    # one strike first: every aggregate buffer stays fixed width, so both steps hash
+    strikes = clean.groupBy(*keys, "strike").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(iv).alias("total"),
+        F.min(iv).alias("lo"),
+        F.max(iv).alias("hi"),
+        F.min_by(iv, "contract_id").alias("first_iv"),
+        F.max_by(iv, "contract_id").alias("last_iv"),
+    )
+    out = strikes.groupBy(*keys).agg(
+        F.sum("n").alias("contracts"),
+        F.min("lo").alias("min_iv"),
+        F.max("hi").alias("max_iv"),
+        (F.sum("total") / F.sum("n")).alias("mean_iv"),
+        (F.min_by("first_iv", "strike") - F.max_by("last_iv", "strike")).alias("skew"),
     )
     points = clean.select(*keys, "strike", "contract_id", "option_type", "implied_volatility")
     return out.withColumn("skew", F.when(F.col("contracts") > 1, F.col("skew")).otherwise(F.lit(0.0))), points

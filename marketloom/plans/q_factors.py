@@ -20,7 +20,7 @@ def pct_sql(x, by, up=True):
 
 query("pct_rank_avg", "ticker date:d pct_up:6 pct_down:6",
       f"SELECT ticker, date, {pct_sql('x', 'date')} AS pct_up, {pct_sql('x', 'date', False)} AS pct_down FROM (SELECT ticker, date, round(close / lag(close, 126) OVER (PARTITION BY ticker ORDER BY date) - 1, 2) AS x FROM bars)", "bars")(
-    lambda m: factors.pct_rank_avg(factors.pct_rank_avg(m.bars.withColumn("x", F.round(pct_change("close", 126), 2)), ("date",), "x", "pct_up"), ("date",), "x", "pct_down", False))
+    lambda m: factors.pct_rank_avg(m.bars.withColumn("x", F.round(pct_change("close", 126), 2)), ("date",), "x", "pct_up", "pct_down"))
 
 
 def features(m):

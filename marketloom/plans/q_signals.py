@@ -7,7 +7,7 @@ from marketloom.operators import backtest, events, regress, risk, signals
 from marketloom.operators import indicators as ind
 from marketloom.operators import portfolio as pf
 from marketloom.plans import q_factors  # noqa: F401  (views)
-from marketloom.plans.q_risk import perf_sql
+from marketloom.plans.q_risk import ols3, perf_sql
 from marketloom.plans.registry import query, view
 from marketloom.plans.views import cdf
 
@@ -96,7 +96,11 @@ def learning_frame(m):
     return signals.model_frame(t, ("ret_5", "ret_20", "ret_63"), "future_return", ("date",))
 
 
-query("linear_model", "term coefficient:6 train_size:i test_size:i test_mae:6")(lambda m: signals.linear_model(learning_frame(m), ("ret_5", "ret_20", "ret_63"), "future_return"))
+view("lrn", """SELECT 1 AS g, date, y, x1, x2, x3, datediff('day', DATE '1970-01-01', date) <= quantile_cont(datediff('day', DATE '1970-01-01', date)::DOUBLE, 0.7) OVER () AS train FROM (SELECT date, close / lag(close, 5) OVER w - 1 AS x1, close / lag(close, 20) OVER w - 1 AS x2, close / lag(close, 63) OVER w - 1 AS x3, lead(close, 21) OVER w / close - 1 AS y FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY date)) WHERE x3 IS NOT NULL AND y IS NOT NULL""", "bars")
+view("lfit", f"SELECT max(coefficient) FILTER (term = 'alpha') AS b0, max(coefficient) FILTER (term = 'bench_r') AS b1, max(coefficient) FILTER (term = 'sector_r') AS b2, max(coefficient) FILTER (term = 'prev_r') AS b3 FROM ({ols3('(SELECT * FROM lrn WHERE train)', 'g')})", "lrn")
+query("linear_model", "term coefficient:6 train_size:i test_size:i test_mae:7",
+      """SELECT unnest(['intercept', 'ret_5', 'ret_20', 'ret_63']) AS term, unnest([b0, b1, b2, b3]) AS coefficient, train_size, test_size, test_mae FROM (SELECT any_value(b0) AS b0, any_value(b1) AS b1, any_value(b2) AS b2, any_value(b3) AS b3, count(*) FILTER (train) AS train_size, count(*) FILTER (NOT train) AS test_size, avg(abs(b0 + b1 * x1 + b2 * x2 + b3 * x3 - y)) FILTER (NOT train) AS test_mae FROM lrn, lfit)""", "lrn lfit")(
+    lambda m: signals.linear_model(learning_frame(m), ("ret_5", "ret_20", "ret_63"), "future_return"))
 query("logistic_model", "term coefficient:4 train_size:i test_size:i test_accuracy:4")(lambda m: signals.logistic_model(learning_frame(m), ("ret_5", "ret_20", "ret_63"), "outperformed"))
 
 # --- backtests ---------------------------------------------------------------------------
@@ -136,15 +140,29 @@ query("momentum_research", "lookback:i cagr:4 sharpe_ratio:4 sortino_ratio:4 max
 
 SIMS = 200
 view("arr", "SELECT ticker, array_agg(r ORDER BY date) AS rs, count(*) AS n FROM (SELECT ticker, date, r FROM bx WHERE rn <= 252 AND r IS NOT NULL) GROUP BY 1", "bx")
-view("paths", f"""SELECT ticker, sim, exp(sum(ln(1 + x))) - 1 AS t, min(g / pk - 1) * 100 AS dd, any_value(n) AS n FROM (SELECT *, max(g) OVER (PARTITION BY ticker, sim ORDER BY day) AS pk FROM (SELECT *, exp(sum(ln(1 + x)) OVER (PARTITION BY ticker, sim ORDER BY day)) AS g FROM (
- SELECT ticker, sim, day, n, rs[CAST((sim * 7919 + day * 104729 + 42) % n AS BIGINT) + 1] AS x FROM arr, range(0, {SIMS}) AS s(sim), range(0, 30) AS d(day)))) GROUP BY 1, 2""", "arr")
+
+
+def paths_sql(src, index):
+    return f"""SELECT ticker, sim, exp(sum(ln(1 + x))) - 1 AS t, min(g / pk - 1) * 100 AS dd, any_value(n) AS n FROM (SELECT *, max(g) OVER (PARTITION BY ticker, sim ORDER BY day) AS pk FROM (SELECT *, exp(sum(ln(1 + x)) OVER (PARTITION BY ticker, sim ORDER BY day)) AS g FROM (
+ SELECT ticker, sim, day, n, rs[CAST({index} AS BIGINT) + 1] AS x FROM {src}, range(0, {SIMS}) AS s(sim), range(0, 30) AS d(day)))) GROUP BY 1, 2"""
+
+
+def ends_sql(src):
+    return f"""SELECT ticker, max(n) AS sample, quantile_cont(price * (1 + t), 0.05) AS p5, quantile_cont(price * (1 + t), 0.5) AS p50, quantile_cont(price * (1 + t), 0.95) AS p95, avg(CASE WHEN t > 0 THEN 1e2 ELSE 0 END) AS ending_higher_pct FROM {src} JOIN lastpx USING (ticker) GROUP BY 1"""
+
+
+view("paths", paths_sql("arr", "(sim * 7919 + day * 104729 + 42) % n"), "arr")
+view("paths_block", paths_sql("arr", "((sim * 7919 + (day // 5) * 104729 + 42) % (n - 4) + day % 5) % n"), "arr")
+view("arrw", "SELECT ticker, CASE WHEN len(w) >= 20 THEN w ELSE rs END AS rs, len(CASE WHEN len(w) >= 20 THEN w ELSE rs END) AS n FROM (SELECT ticker, rs, list_filter(rs, lambda r: r <= md) AS w FROM (SELECT *, list_median(rs) AS md FROM arr))", "arr")
+view("paths_weak", paths_sql("arrw", "(sim * 7919 + day * 104729 + 42) % n"), "arrw")
 query("bootstrap_scenarios", "ticker sample:i current_price:4 p5:6 p10:6 p25:6 p50:6 p75:6 p90:6 p95:6 dd50:6 dd80:6 dd90:6 dd95:6 ending_higher_pct:4 down_5_pct:4 down_10_pct:4 up_5_pct:4 up_10_pct:4 outlook risk_level confidence",
       f"""SELECT *, CASE WHEN ending_higher_pct >= 58 THEN 'Moderately Positive' WHEN ending_higher_pct <= 45 THEN 'Cautious' ELSE 'Mixed' END AS outlook, CASE WHEN down_10_pct >= 25 THEN 'High' WHEN down_10_pct >= 10 THEN 'Moderate' ELSE 'Lower' END AS risk_level, CASE WHEN sample >= 180 THEN 'Medium' ELSE 'Low' END AS confidence FROM (
  SELECT ticker, max(n) AS sample, max(price) AS current_price, {', '.join(f'quantile_cont(price * (1 + t), {p / 100}) AS p{p}' for p in (5, 10, 25, 50, 75, 90, 95))}, {', '.join(f'quantile_cont(dd, {p / 100}) AS dd{p}' for p in (50, 80, 90, 95))},
  avg(CASE WHEN t > 0 THEN 1e2 ELSE 0 END) AS ending_higher_pct, avg(CASE WHEN t <= -0.05 THEN 1e2 ELSE 0 END) AS down_5_pct, avg(CASE WHEN t <= -0.1 THEN 1e2 ELSE 0 END) AS down_10_pct, avg(CASE WHEN t >= 0.05 THEN 1e2 ELSE 0 END) AS up_5_pct, avg(CASE WHEN t >= 0.1 THEN 1e2 ELSE 0 END) AS up_10_pct FROM paths JOIN lastpx USING (ticker) GROUP BY 1)""", "paths lastpx")(
     lambda m: backtest.bootstrap_scenarios(m.bars, 30, SIMS, mode="arithmetic"))
-query("bootstrap_block", "ticker sample:i p5:6 p50:6 p95:6 ending_higher_pct:4")(lambda m: backtest.bootstrap_scenarios(m.bars, 30, SIMS, method="block"))
-query("bootstrap_regime", "ticker sample:i p5:6 p50:6 p95:6 ending_higher_pct:4")(lambda m: backtest.bootstrap_scenarios(m.bars, 30, SIMS, method="regime_conditioned", condition="Weak"))
+BRIEF = "ticker sample:i p5:6 p50:6 p95:6 ending_higher_pct:4"
+query("bootstrap_block", BRIEF, ends_sql("paths_block"), "paths_block lastpx")(lambda m: backtest.bootstrap_scenarios(m.bars, 30, SIMS, method="block", mode="arithmetic"))
+query("bootstrap_regime", BRIEF, ends_sql("paths_weak"), "paths_weak lastpx")(lambda m: backtest.bootstrap_scenarios(m.bars, 30, SIMS, method="regime_conditioned", condition="Weak", mode="arithmetic"))
 
 query("model_disagreement", "ticker ratio:7 model_disagreement",
       """SELECT *, CASE WHEN n < 120 OR ratio IS NULL OR ratio > 1.8 OR ratio < 0.55 THEN 'High' WHEN ratio > 1.35 OR ratio < 0.75 THEN 'Medium' ELSE 'Low' END AS model_disagreement FROM (SELECT ticker, max(n_rows) AS n, stddev_samp(CASE WHEN rn <= 30 THEN r END) / nullif(stddev_samp(CASE WHEN rn <= 252 THEN r END), 0) AS ratio FROM rx GROUP BY 1)""", "rx")(
