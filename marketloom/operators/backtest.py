@@ -93,6 +93,7 @@ def momentum_backtest(matrix: DataFrame, horizons: Sequence[int] = (126,), top_n
     rank = F.row_number().over(Window.partitionBy("lookback", "date").orderBy(F.desc("momentum"), "ticker"))
     size = F.count(F.lit(1)).over(Window.partitionBy("lookback", "date"))
     picks = scored.withColumn("rank", rank).filter(F.col("rank") <= top_n).withColumn("weight", 1.0 / size).drop("pos", "rank")
+    picks = picks.persist()  # a few rows per month, read by the returns and the turnover
     # rebalance dates per horizon, each with the next one (at most one per month)
     turns = picks.select("lookback", "date").distinct().withColumn("until", F.lead("date").over(Window.partitionBy("lookback").orderBy("date")))
     returns = matrix.withColumn("r", pct_change("close")).select("ticker", "date", "r")
