@@ -17,8 +17,11 @@ RANGES = 32
 
 def ordered_values(df: DataFrame, keys: Sequence[str], value: str, ranges: int = RANGES) -> DataFrame:
     """Distinct values per group with `_c` (copies), `_hi` (rank of the last copy), `_n` (rows
-    of the group) and `_range` (value range, ascending)."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    of the group) and `_range` (value range, ascending).
+
+    The counted values are kept: cutting, ranking and totals each read them, and the plan that
+    produced `df` must not run once per reader."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")).persist()
     cuts = F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 2000)
     edges = counts.groupBy(*keys).agg(cuts.alias("_cuts"))
     placed = counts.join(edges, list(keys)).withColumn(

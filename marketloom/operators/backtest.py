@@ -77,6 +77,7 @@ def momentum_backtest(matrix: DataFrame, horizons: Sequence[int] = (126,), top_n
     Only month-end rows are ranked, the selections (top_n per horizon and month) are joined to
     the returns of the days they cover, and turnover compares neighbouring selections.
     """
+    matrix = matrix.persist()  # calendar, ranking and returns read it
     # the calendar: one row per trading date, so its ordered partition is bounded
     cal = matrix.select("date").distinct()
     whole = Window.partitionBy(F.lit(0)).orderBy("date")

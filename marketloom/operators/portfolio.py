@@ -330,9 +330,9 @@ def rolling_correlation_trend(rolling: DataFrame) -> DataFrame:
 
 def metrics(positions: DataFrame, bars: DataFrame, rf: float = 0.045) -> DataFrame:
     """One wide row per portfolio that the scores, warnings and reports read."""
-    matrix = price_matrix(bars)
-    wts = weights(positions, bars)
-    series = portfolio_returns(matrix, wts)
+    matrix = price_matrix(bars).persist()  # read by every part below
+    wts = weights(positions, bars).persist()
+    series = portfolio_returns(matrix, wts).persist()
     corr = correlation_summary(holding_pairs(covariance_pairs(matrix), wts))
     contrib = risk_contributions(matrix, wts).groupBy("portfolio_id").agg(
         F.max(F.struct("contribution_pct", "ticker")).alias("_risk"),

@@ -79,6 +79,7 @@ def medians(rows: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
 
 def signal_summary(rows: DataFrame, keys: Sequence[str] = ("signal_type",), x: str = "return_1m") -> DataFrame:
     """Outcome statistics per signal type: one aggregate plus the exact median."""
+    rows = rows.select(*keys, x, "sp500_relative_return", "max_drawdown").persist()
     v = F.col(x)
     out = rows.groupBy(*keys).agg(
         F.count(x).alias("sample_size"),

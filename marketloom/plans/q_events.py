@@ -14,7 +14,8 @@ T = "(PARTITION BY ticker ORDER BY date)"
 
 
 def table(m):
-    return ind.indicator_table(m.bars, m.benchmark)
+    """One indicator table for all the reports of a session that read it."""
+    return ind.indicator_table(m.bars, m.benchmark).persist()
 
 
 query("golden_cross", "ticker date:d close:4 sma50:8 sma200:8",

@@ -318,10 +318,12 @@ view("whale", """SELECT *, CASE WHEN va >= 65 AND pr <= 35 THEN 'Distribution Ri
 def recent_filings(m):
     """Insider filings of the last 30 days, by nation name."""
     from marketloom.sources import files
-    rows = files.form4_transactions(q_sources.form4_docs(m))
     last = m.table("orders").agg(F.date_sub(F.max(F.to_date("o_orderdate")), 30).alias("_from"))  # one row
     names = m.places.select(F.concat(F.lit("N"), F.col("n_nationkey")).alias("code"), "n_name")
-    return rows.crossJoin(F.broadcast(last)).filter(F.col("filing_date") >= F.col("_from")).join(names, F.col("ticker") == F.col("code")).drop("ticker", "_from", "code").withColumnRenamed("n_name", "ticker")
+    # only the recent documents are parsed
+    docs = q_sources.form4_docs(m).crossJoin(F.broadcast(last)).filter(F.col("filing_date") >= F.col("_from")).drop("_from")
+    rows = files.form4_transactions(docs)
+    return rows.join(names, F.col("ticker") == F.col("code")).drop("ticker", "code").withColumnRenamed("n_name", "ticker")
 
 
 def whale(m):

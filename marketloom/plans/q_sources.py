@@ -54,7 +54,7 @@ CODES = "CASE o_orderpriority WHEN '1-URGENT' THEN 'P' WHEN '2-HIGH' THEN 'S' WH
 
 def form4_docs(m):
     o = m.table("orders").join(m.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
-    price = F.when(F.col("o_orderstatus") != "P", F.concat(F.lit("<value>"), F.round(F.col("o_totalprice") / 1000, 2).cast("string"), F.lit("</value>"))).otherwise(F.lit(""))
+    price = F.when(F.col("o_orderstatus") != "P", F.concat(F.lit("<value>"), F.round(F.col("o_totalprice") / 1000, 5).cast("string"), F.lit("</value>"))).otherwise(F.lit(""))
 
     def txn(shares, own):
         return F.concat(
@@ -74,11 +74,11 @@ def form4_docs(m):
 view("f4", f"""SELECT 'A-' || o_orderkey AS accession_number, 'N' || c_nationkey AS ticker, CAST(o_orderdate AS DATE) AS filing_date, CASE WHEN bad THEN 'failed' ELSE 'parsed' END AS parser_status, CASE WHEN NOT bad THEN c_name END AS reporting_owner,
  CASE WHEN NOT bad THEN nullif(concat_ws(', ', CASE WHEN c_acctbal > 5000 THEN 'Director' END, CASE WHEN c_acctbal < 0 THEN 'CFO' END), '') END AS reporting_owner_type,
  CASE WHEN NOT bad THEN CASE code WHEN 'P' THEN 'Open-market purchase' WHEN 'S' THEN 'Open-market sale' WHEN 'M' THEN 'Option exercise' WHEN 'A' THEN 'Grant or award' ELSE 'Unknown or unsupported transaction code' END END AS transaction_type,
- CASE WHEN NOT bad THEN CAST(o_custkey % 500 + t AS DOUBLE) END AS shares, CASE WHEN NOT bad AND o_orderstatus <> 'P' THEN round(o_totalprice / 1000, 2) END AS price, CASE WHEN NOT bad THEN CAST(o_orderdate AS DATE) END AS event_date,
+ CASE WHEN NOT bad THEN CAST(o_custkey % 500 + t AS DOUBLE) END AS shares, CASE WHEN NOT bad AND o_orderstatus <> 'P' THEN round(o_totalprice / 1000, 5) END AS price, CASE WHEN NOT bad THEN CAST(o_orderdate AS DATE) END AS event_date,
  CASE WHEN bad THEN 'Form 4 parser could not read XML.' ELSE concat_ws('|', CASE WHEN code = 'x' THEN 'Unsupported Form 4 transaction code: X.' END, CASE WHEN t = 2 THEN 'Transaction was reported as indirect ownership.' END) END AS warnings,
  CASE WHEN NOT bad AND code = 'x' THEN 'Automatic trading plan may apply if disclosed in the source filing.' END AS purpose, t AS n, '4' AS form_type
  FROM (SELECT *, {CODES} AS code, o_totalprice > 480000 AS bad FROM orders JOIN customer ON o_custkey = c_custkey), (VALUES (1), (2)) AS v(t) WHERE t = 1 OR (o_orderstatus = 'O' AND NOT bad)""")
-query("src_filings_xml", "accession_number ticker filing_date:d parser_status reporting_owner reporting_owner_type transaction_type shares:2 price:2 transaction_value:2 event_date:d warnings purpose",
+query("src_filings_xml", "accession_number ticker filing_date:d parser_status reporting_owner reporting_owner_type transaction_type shares:2 price:5 transaction_value:5 event_date:d warnings purpose",
       "SELECT *, shares * price AS transaction_value FROM f4", "f4")(
     lambda m: files.form4_transactions(form4_docs(m)).withColumn("warnings", F.array_join("warnings", "|")))
 query("form4_class", "transaction_type warnings filings:i value:2",
@@ -191,7 +191,7 @@ def filings_twice(m):
     return rows.withColumn("seq", F.lit(1)).unionByName(rows.filter(F.col("price").isNotNull()).withColumn("seq", F.lit(2)))
 
 
-query("dedupe_filings", "accession_number transaction_type shares:2 price:2 seq:i", "SELECT DISTINCT accession_number, transaction_type, shares, price, 1 AS seq FROM f4 WHERE parser_status = 'parsed'", "f4")(
+query("dedupe_filings", "accession_number transaction_type shares:2 price:5 seq:i", "SELECT DISTINCT accession_number, transaction_type, shares, price, 1 AS seq FROM f4 WHERE parser_status = 'parsed'", "f4")(
     lambda m: files.dedupe_filings(filings_twice(m), "seq"))
 
 query("pct_or_fraction", "c_custkey:i pct:6", "SELECT c_custkey, CASE WHEN abs(x) <= 1 THEN x * 100 ELSE x END AS pct FROM (SELECT c_custkey, c_acctbal / 1000 AS x FROM customer)")(
