@@ -85,12 +85,12 @@ def chain_breakeven(valued: DataFrame, premium: str = "market_price") -> DataFra
     call = F.lower("option_type") != "put"
     be = F.when(call, F.col("strike") + F.col(premium)).otherwise(F.col("strike") - F.col(premium))
     move = F.when(call, safe_div(F.col("break_even"), F.col("spot")) - 1).otherwise(1 - safe_div(F.col("break_even"), F.col("spot")))
-    p, v = F.col(premium), F.col("fair_value")
+    p, v = F.round(premium, 9), F.round("fair_value", 9)
     return (
         valued.withColumn("break_even", be)
         .withColumn("required_move_pct", move * 100)
-        .withColumn("max_loss_per_share", p)
-        .withColumn("edge", v - p)
+        .withColumn("max_loss_per_share", F.col(premium))
+        .withColumn("edge", F.col("fair_value") - F.col(premium))
         .withColumn("relative_value", F.when(p > v, "expensive").when(p < v, "cheap").otherwise("fair"))
     )
 

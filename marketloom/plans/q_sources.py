@@ -113,7 +113,7 @@ def submission_docs(m):
     pick = lambda fn: F.transform("l", fn)
     recent = F.struct(
         pick(lambda x: x["form"]).alias("form"), pick(lambda x: F.concat(F.lit("0001-24-"), x["k"])).alias("accessionNumber"), pick(lambda x: x["d"].cast("string")).alias("filingDate"),
-        pick(lambda x: F.date_add(x["d"], -1).cast("string")).alias("reportDate"), pick(lambda x: F.when(x["k"] % 10 != 3, F.lit("doc.xml")).otherwise(F.lit(""))).alias("primaryDocument"))
+        pick(lambda x: F.date_add(x["d"], -1).cast("string")).alias("reportDate"), pick(lambda x: F.when(F.month(x["d"]) != 1, F.lit("doc.xml")).otherwise(F.lit(""))).alias("primaryDocument"))
     doc = F.to_json(F.struct(F.struct(recent.alias("recent")).alias("filings")))
     return rows.select(F.concat(F.lit("C"), F.col("o_custkey")).alias("ticker"), F.lpad(F.col("o_custkey").cast("string"), 10, "0").alias("cik"), "yr", doc.alias("doc"))
 
@@ -121,7 +121,7 @@ def submission_docs(m):
 query("src_filing_meta", "ticker cik form accession_number filing_date report_date source_url",
       f"""SELECT *, 'https://www.sec.gov/Archives/edgar/data/' || ltrim(cik, '0') || '/' || replace(accession_number, '-', '') || '/doc.xml' AS source_url FROM (
  SELECT 'C' || o_custkey AS ticker, lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS cik, form, '0001-24-' || k AS accession_number, CAST(d AS VARCHAR) AS filing_date, CAST(d - 1 AS VARCHAR) AS report_date, row_number() OVER (PARTITION BY o_custkey, yr ORDER BY d DESC, form DESC, k DESC) AS rn FROM (
- SELECT o_custkey, year(o_orderdate) AS yr, CAST(o_orderdate AS DATE) AS d, {FORM_OF} AS form, max(o_orderkey) AS k FROM orders GROUP BY 1, 2, 3, 4) WHERE form IN ('4', 'SC 13D', '13F-HR') AND k % 10 <> 3) WHERE rn <= 2""")(
+ SELECT o_custkey, year(o_orderdate) AS yr, CAST(o_orderdate AS DATE) AS d, {FORM_OF} AS form, max(o_orderkey) AS k FROM orders GROUP BY 1, 2, 3, 4) WHERE form IN ('4', 'SC 13D', '13F-HR') AND month(d) <> 1) WHERE rn <= 2""")(
     lambda m: files.filing_metadata(submission_docs(m), FORMS, 2))
 
 
@@ -135,8 +135,8 @@ def cik_docs(m):
 query("src_cik_map", "ticker cik title", "SELECT 'C' || c_custkey AS ticker, lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS cik, c_name AS title FROM customer")(lambda m: files.cik_map(cik_docs(m)))
 
 # --- cleaning ----------------------------------------------------------------------------
-query("clean_price_series", "ticker date:d price:4", "SELECT ticker, date, close AS price FROM bars WHERE volume % 7 <> 0", "bars")(
-    lambda m: cleaning.clean_price_series(m.bars.withColumn("adj_close", F.when(F.col("volume") % 7 == 0, "n/a").otherwise(F.col("close").cast("string")))))
+query("clean_price_series", "ticker date:d price:4", "SELECT ticker, date, close AS price FROM bars WHERE volume >= 20", "bars")(
+    lambda m: cleaning.clean_price_series(m.bars.withColumn("adj_close", F.when(F.col("volume") < 20, "n/a").otherwise(F.col("close").cast("string")))))
 
 NUM = "CASE WHEN p_size % 5 = 0 THEN p_name WHEN p_size % 7 = 0 THEN 'NaN' ELSE CAST(p_retailprice AS {}) END"
 query("safe_numeric", "p_partkey:i value:4 filled:4 score:4",

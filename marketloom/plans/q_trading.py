@@ -77,11 +77,11 @@ query("chain_value", "contract_id:i fair_value:6 delta:6 gamma:8 vega:6 theta:6
 
 
 def priced(m):
-    """Market price: the model value moved by up to 2 %, to the cent fraction."""
-    return options.chain_value(m.option_chain).withColumn("market_price", F.round(F.col("fair_value") * (1 + (F.col("contract_id") % 5 - 2) / 100.0), 4))
+    """Market price: the model value moved by up to 2.5 %, to the cent fraction."""
+    return options.chain_value(m.option_chain).withColumn("market_price", F.round(F.col("fair_value") * (1 + (F.col("contract_id") % 5 - 2.5) / 100.0), 4))
 
 
-view("mkt", "SELECT *, round(fair_value * (1 + (contract_id % 5 - 2) / 100e0), 4) AS market_price FROM bsv", "bsv")
+view("mkt", "SELECT *, round(fair_value * (1 + (contract_id % 5 - 2.5e0) / 100e0), 4) AS market_price FROM bsv", "bsv")
 
 
 def iv_sql():
@@ -94,8 +94,8 @@ def iv_sql():
 
 query("chain_iv", "contract_id:i solved_iv:5", f"SELECT m.contract_id, s.solved_iv FROM mkt m LEFT JOIN ({iv_sql()}) s USING (contract_id)", "mkt")(lambda m: options.chain_iv(priced(m)))
 query("chain_breakeven", "contract_id:i break_even:4 required_move_pct:5 max_loss_per_share:4 edge:5 relative_value",
-      """SELECT *, (CASE WHEN is_call THEN break_even / spot - 1 ELSE 1 - break_even / spot END) * 100 AS required_move_pct, market_price AS max_loss_per_share, fair_value - market_price AS edge, CASE WHEN market_price > fair_value THEN 'expensive' WHEN market_price < fair_value THEN 'cheap' ELSE 'fair' END AS relative_value FROM (SELECT *, CASE WHEN is_call THEN strike + market_price ELSE strike - market_price END AS break_even FROM mkt WHERE contract_id % 5 <> 2 OR abs(fair_value - market_price) > 1e-7)""", "mkt")(
-    lambda m: options.chain_breakeven(priced(m)).filter((F.col("contract_id") % 5 != 2) | (F.abs(F.col("fair_value") - F.col("market_price")) > 1e-7)))
+      """SELECT *, (CASE WHEN is_call THEN break_even / spot - 1 ELSE 1 - break_even / spot END) * 100 AS required_move_pct, market_price AS max_loss_per_share, fair_value - market_price AS edge, CASE WHEN round(market_price, 9) > round(fair_value, 9) THEN 'expensive' WHEN round(market_price, 9) < round(fair_value, 9) THEN 'cheap' ELSE 'fair' END AS relative_value FROM (SELECT *, CASE WHEN is_call THEN strike + market_price ELSE strike - market_price END AS break_even FROM mkt)""", "mkt")(
+    lambda m: options.chain_breakeven(priced(m)))
 query("iv_rank", "underlying current_iv:6 iv_rank:6 iv_percentile:6",
       """SELECT underlying, c AS current_iv, coalesce((c - lo) / nullif(hi - lo, 0), 0) * 100 AS iv_rank, s * 100 AS iv_percentile FROM (SELECT underlying, any_value(c) AS c, min(iv) AS lo, max(iv) AS hi, avg(CASE WHEN iv <= c THEN 1e0 ELSE 0e0 END) AS s FROM (SELECT *, arg_max(iv, contract_id) OVER (PARTITION BY underlying) AS c FROM chain) GROUP BY 1)""", "chain")(lambda m: options.iv_rank(m.option_chain, "underlying", "contract_id"))
 query("vol_surface", "underlying expiration_days:i contracts:i min_iv:6 max_iv:6 mean_iv:7 skew:6",
@@ -249,13 +249,13 @@ query("insert_ignore", "ticker date:d close:4 volume:2", "SELECT ticker, date, c
 
 def stock_rows(m):
     c = m.table("customer")
-    old = c.filter("c_custkey % 3 <> 0").select(F.col("c_name").alias("ticker"), F.col("c_mktsegment").alias("sector"), F.when(F.col("c_acctbal") > 0, F.col("c_name")).alias("company_name"), F.lit("old").alias("updated_at"))
-    new = c.filter("c_custkey % 2 = 0").select(F.col("c_name").alias("ticker"), F.when(F.col("c_acctbal") > 5000, "RICH").alias("sector"), F.col("c_name").alias("company_name"), F.lit("new").alias("updated_at"))
+    old = c.filter("c_acctbal < 8000").select(F.col("c_name").alias("ticker"), F.col("c_mktsegment").alias("sector"), F.when(F.col("c_acctbal") > 0, F.col("c_name")).alias("company_name"), F.lit("old").alias("updated_at"))
+    new = c.filter("c_acctbal > 1000").select(F.col("c_name").alias("ticker"), F.when(F.col("c_acctbal") > 5000, "RICH").alias("sector"), F.col("c_name").alias("company_name"), F.lit("new").alias("updated_at"))
     return old, new
 
 
 query("upsert_coalesce", "ticker sector company_name updated_at",
-      """SELECT c_name AS ticker, CASE WHEN c_custkey % 2 = 0 AND c_acctbal > 5000 THEN 'RICH' WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS sector, CASE WHEN c_custkey % 2 = 0 OR c_acctbal > 0 THEN c_name END AS company_name, CASE WHEN c_custkey % 2 = 0 THEN 'new' ELSE 'old' END AS updated_at FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 2 = 0""")(
+      """SELECT c_name AS ticker, CASE WHEN c_acctbal > 5000 THEN 'RICH' WHEN c_acctbal < 8000 THEN c_mktsegment END AS sector, CASE WHEN c_acctbal > 0 THEN c_name END AS company_name, CASE WHEN c_acctbal > 1000 THEN 'new' ELSE 'old' END AS updated_at FROM customer""")(
     lambda m: tables.upsert_coalesce(*stock_rows(m), ("ticker",), ("updated_at",)))
 
 
