@@ -51,8 +51,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def words_of(text: Column) -> Column:
     """Words of a text; none for null and for white space alone."""
-    parts = F.split(F.trim(text_or_empty(text), F.lit(SPACE_CHARS)), SPACE)
-    return F.filter(parts, lambda w: w != "")
+    trimmed = F.trim(text_or_empty(text), F.lit(SPACE_CHARS))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE))
 
 
 def text_or_empty(text: Column) -> Column:

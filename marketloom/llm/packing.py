@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import arrow_rows, kept
+from marketloom.llm.common import arrow_rows, kept, text_or_empty
 from marketloom.llm.pieces import encoder
 
 CAPACITY = 2048
@@ -49,14 +49,15 @@ def pieces(
         encode = encoder(path, False).encode
         for group in groups:
             made = []
-            for (doc, _), body in zip(group, encode([t or "" for _, t in group]), strict=True):
+            for (doc, _), body in zip(group, encode([t for _, t in group]), strict=True):
                 data = body + end
                 for i, at in enumerate(range(0, len(data), step)):
                     part = data[at : at + step]
                     made.append((doc, i, at // 4, len(part) // 4, zlib.crc32(part), *([part] if with_ids else [])))
             yield made
 
-    return arrow_rows(docs, [id_col, text_col], rows, PIECES + (", ids binary" if with_ids else ""))
+    plain = docs.select(F.col(id_col), text_or_empty(F.col(text_col)).cast("binary").alias(text_col))
+    return arrow_rows(plain, [id_col, text_col], rows, PIECES + (", ids binary" if with_ids else ""))
 
 
 def fullest(counts: dict[int, int], space: int) -> list[int]:

@@ -1,10 +1,11 @@
 """Whole-text encoding with a library tokenizer through a cache of short chunks.
 
-A text is cut before white space that follows a word; no pre-token spans such a cut, so the ids of
-the chunks, joined, are the ids of the text. Chunks seen before come from a bounded cache of the
-Python worker. The others of a group of texts are encoded in one call; the ids that open a chunk, or
-a separator token between chunks, show where each begins. Texts for which the cut could matter (white space beyond ASCII, or runs of it) are
-encoded whole. Lower-case vocabularies drop white space, so there any ASCII white space is a cut.
+A text is cut at single spaces (byte-level vocabularies, where a space opens the next pre-token) or at
+any ASCII white space (lower-case vocabularies, which drop it); no pre-token spans such a cut, so the
+ids of the chunks, joined, are the ids of the text. Chunks seen before come from a bounded cache of the Python
+worker. New ones are encoded many at a time: words of letters, with any closing punctuation taken off, are whole
+pre-tokens and need no pattern; the others go through the full tokenizer. Byte-level texts in which a space lies
+beside other white space are encoded whole.
 """
 
 from __future__ import annotations
@@ -13,21 +14,25 @@ import re
 from functools import lru_cache
 
 import numpy as np
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
+#: Chunks per generation of the cache; two generations are held.
 CACHE_LIMIT = 500_000
-#: White space of which tokenizers differ on whether and where it joins a run.
+#: Closing punctuation; no apostrophe, which may open a pre-token of letters.
+TAIL = b".,;:!?)]}#*$%&|"
+#: White space beyond ASCII's common six, in UTF-8; tokenizers differ on whether it joins a run.
+_ODD_LEADS = (b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Neighbours of a space that make it part of a run.
-_RUNS = ("  ", *(p for c in "\t\n\x0b\f\r" for p in (c + " ", " " + c)))
-#: How byte-level vocabularies write a space.
-SPACE_BYTE = "\u0120"
+_RUNS = (b"  ", *(p for c in (b"\t", b"\n", b"\x0b", b"\f", b"\r") for p in (c + b" ", b" " + c)))
+#: How byte-level vocabularies write a space, and how lower-case ones end a word.
+SPACE_BYTE, WORD_END = "\u0120", "</w>"
 #: A control character that is one token of its own between two spaces.
 _MARK = "\x02"
 
 
 class ChunkEncoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes.
+    """Ids of whole texts (UTF-8) as little-endian unsigned 32-bit bytes.
 
     spaced: white space is part of the tokens (byte-level); otherwise it only separates words and
     letters are lower-cased by the tokenizer."""
@@ -35,69 +40,124 @@ class ChunkEncoder:
     def __init__(self, path: str, spaced: bool, limit: int = CACHE_LIMIT):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.spaced = spaced
-        self.limit = limit
+        self.spaced, self.limit = spaced, limit
         self.cache: dict[bytes, bytes] = {}
-        # ids at which a chunk begins (byte-level: a space opens it) or that separate two chunks
-        self.edge = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.old: dict[bytes, bytes] = {}
+        self.bare: dict[bytes, bytes] = {}  # pieces without a space before them
+        # words of letters alone: the same model behind a cut at line ends
+        self.plain = Tokenizer(self.tokenizer.model)
+        bytes_only = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False, trim_offsets=False)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit("\n"), bytes_only])
+        size = self.tokenizer.get_vocab_size()
+        self.opens, self.ends, self.mark = np.zeros(size, bool), np.zeros(size, bool), np.zeros(size, bool)
         for token, i in self.tokenizer.get_vocab().items():
-            self.edge[i] = token[:1] == SPACE_BYTE if spaced else False
-        if not spaced:
-            self.edge[np.frombuffer(self._whole(_MARK), "<u4")] = True
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _chunks(self, text: str) -> list[bytes]:
-        data = text.encode()
-        if not self.spaced:
-            return data.lower().split()
-        parts = data.split(b" ")
-        return parts[:1] + [b" " + p for p in parts[1:]]
+            self.opens[i], self.ends[i] = token[:1] == SPACE_BYTE, token.endswith(WORD_END)
+        self.mark[np.frombuffer(self._whole(_MARK.encode()), "<u4")] = True
+
+    def _whole(self, data: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(data.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _bare(self, data: bytes) -> bytes:
+        if data not in self.bare:
+            if len(self.bare) >= self.limit:
+                self.bare.clear()
+            self.bare[data] = self._whole(data)
+        return self.bare[data]
+
+    def _letters(self, core: bytes) -> bool:
+        """Whether a chunk is one pre-token of letters that the normaliser only lower-cases."""
+        if core.isalpha():
+            return True
+        text = core.decode()
+        return text.isalpha() and (self.spaced or (max(text) < "\u0250" and "\u0130" not in text))
 
     def _learn(self, fresh: list[bytes]) -> None:
-        plain = []
+        cache, words, others = self.cache, [], []
         for chunk in fresh:
-            if chunk[:1] != b" " if self.spaced else _MARK.encode() in chunk:
-                self.cache[chunk] = self._whole(chunk.decode())
-            else:
-                plain.append(chunk)
-        for at in range(0, len(plain), 5000):
-            part = plain[at : at + 5000]
-            joined = b"".join(part) if self.spaced else f" {_MARK} ".encode().join(part)
-            ids = np.array(self.tokenizer.encode_batch_fast([joined.decode()], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(self.edge[ids])
-            starts, ends = (cuts, [*cuts[1:], len(ids)]) if self.spaced else ([0, *(cuts + 1)], [*cuts, len(ids)])
-            data = ids.tobytes()
-            if len(starts) == len(part):
-                self.cache.update(zip(part, [data[4 * a : 4 * b] for a, b in zip(starts, ends, strict=True)], strict=True))
+            core = chunk.rstrip(TAIL)
+            if core and self._letters(core):
+                words.append((chunk, core))
             else:
-                self.cache.update((chunk, self._whole(chunk.decode())) for chunk in part)
+                others.append(chunk)
+        cores = list({core for _, core in words}.difference(cache))
+        for at in range(0, len(cores), 1000):
+            self._learn_words(cores[at : at + 1000])
+        for chunk, core in words:
+            if chunk != core:
+                cache[chunk] = cache[core] + self._bare(chunk[len(core) :])
+        for at in range(0, len(others), 1000):
+            self._learn_others(others[at : at + 1000])
+
+    def _store(self, chunks: list[bytes], ids: np.ndarray, starts: list[int], ends: list[int]) -> None:
+        if len(starts) != len(chunks):
+            raise AssertionError("the library cut other chunks than were sent")
+        data = ids.tobytes()
+        self.cache.update(zip(chunks, [data[4 * a : 4 * b] for a, b in zip(starts, ends, strict=True)], strict=True))
+
+    def _learn_words(self, part: list[bytes]) -> None:
+        if self.spaced:
+            sent = (b" " + b"\n ".join(part)).decode()
+        else:
+            sent = b"\n".join(part).decode().lower()
+        ids = np.array(self.plain.encode_batch_fast([sent], add_special_tokens=False)[0].ids, "<u4")
+        if self.spaced:
+            starts = np.flatnonzero(self.opens[ids]).tolist()
+            self._store(part, ids, starts, [*starts[1:], len(ids)])
+        else:
+            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            self._store(part, ids, [0, *ends[:-1]], ends)
+
+    def _learn_others(self, part: list[bytes]) -> None:
+        clear = [c for c in part if _MARK.encode() not in c and c]
+        self.cache.update((c, self._whole(b" " + c if self.spaced else c)) for c in part if _MARK.encode() in c or not c)
+        if not clear:
+            return
+        sent = b" " + b" ".join(clear) if self.spaced else f" {_MARK} ".encode().join(clear)
+        ids = np.array(self.tokenizer.encode_batch_fast([sent.decode()], add_special_tokens=False)[0].ids, "<u4")
+        if self.spaced:
+            starts = np.flatnonzero(self.opens[ids]).tolist()
+            ends = [*starts[1:], len(ids)]
+        else:
+            cuts = np.flatnonzero(self.mark[ids])
+            starts, ends = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
+        if len(starts) == len(clear):
+            self._store(clear, ids, starts, ends)
+        else:
+            self.cache.update((c, self._whole(b" " + c if self.spaced else c)) for c in clear)
 
     @staticmethod
-    def _cuttable(text: str) -> bool:
-        if any(run in text for run in _RUNS):
+    def _cuttable(data: bytes) -> bool:
+        if any(run in data for run in _RUNS):
             return False
-        if text.isascii():
-            return not any(c in text for c in "\x1c\x1d\x1e\x1f")
-        return not _ODD.search(text)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split, whole = [], {}
-        for i, text in enumerate(texts):
-            if self.spaced and not self._cuttable(text):
-                whole[i] = self._whole(text)
-                split.append([])
+        return not any(lead in data for lead in _ODD_LEADS) or not _ODD.search(data.decode())
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        split: list[list[bytes]] = []
+        heads: list[bytes] = []
+        for data in texts:
+            if not self.spaced:
+                split.append(data.lower().split())
+                heads.append(b"")
+            elif self._cuttable(data):
+                parts = data.split(b" ")
+                heads.append(self._bare(parts[0]))
+                split.append(parts[1:])
             else:
-                split.append(self._chunks(text))
+                heads.append(self._whole(data))
+                split.append([])
         seen = set().union(*split)
         fresh = seen.difference(self.cache)
         if len(self.cache) + len(fresh) > self.limit:
-            self.cache.clear()
+            self.old, self.cache = self.cache, {}
             fresh = seen
+        if self.old:
+            old = self.old
+            again = fresh.intersection(old)
+            self.cache.update((c, old[c]) for c in again)
+            fresh = fresh.difference(again)
         self._learn(list(fresh))
         get = self.cache.__getitem__
-        return [whole[i] if i in whole else b"".join(map(get, chunks)) for i, chunks in enumerate(split)]
+        return [head + b"".join(map(get, chunks)) for head, chunks in zip(heads, split, strict=True)]
 
 
 @lru_cache(maxsize=4)

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from marketloom.llm import html_tree, toxicity
 from marketloom.llm.bpe import round_trip_digests
+from marketloom.llm.chat import perspectives
 from marketloom.llm.exact_dedup import exact_dedup
 from marketloom.llm.packing import best_fit_packing
+from marketloom.llm.pii import pii_report
+from marketloom.llm.quality import quality
 from marketloom.llm.simhash import near_duplicates
 from marketloom.llm.token_files import token_files
 
@@ -15,6 +20,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_chat_perspectives(spark: SparkSession, folder: str) -> DataFrame:
+    spans = F.array_join(F.transform("mask", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return perspectives(table(spark, folder, "conversations")).withColumn("mask", spans)
+
+
 def op2_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
@@ -23,14 +33,33 @@ def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return round_trip_digests(table(spark, folder, "documents"))
 
 
+def op4_quality_llr(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(table(spark, folder, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_pii_disclosure(spark: SparkSession, folder: str) -> DataFrame:
+    return pii_report(table(spark, folder, "documents"))
+
+
+def op7_toxic_segments(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.toxicity_scores(docs, toxicity.fit(docs, table(spark, folder, "labels")))
+
+
 def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return best_fit_packing(table(spark, folder, "documents"))
 
 
+def op9_html_tree_model(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return html_tree.main_texts(pages, html_tree.fit(pages))
+
+
 def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files(table(spark, folder, "documents"))
 
@@ -38,15 +67,44 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_chat_perspectives,
         op2_simhash_near_dedup,
         op3_byte_bpe,
+        op4_quality_llr,
         op5_exact_dedup,
+        op6_pii_disclosure,
+        op7_toxic_segments,
         op8_best_fit_packing,
+        op9_html_tree_model,
         op10_token_files,
     )
 }
 
 SQL = {
+    "op1_chat_perspectives": r"""
+        WITH said AS (
+            SELECT DISTINCT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+                   coalesce(CAST(floor(turn / 64.0) AS BIGINT), -1) AS part
+            FROM conversations
+        ),
+        speakers AS (SELECT DISTINCT conv_id AS of, role AS speaker FROM said WHERE role <> 'system'),
+        pieces AS (
+            SELECT conv_id, speaker, part, turn, role, text, role = speaker AS own,
+                   '<|' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || role END
+                       || '|>' || chr(10) AS head,
+                   text || '<|end|>' || chr(10) AS body
+            FROM said JOIN speakers ON conv_id IS NOT DISTINCT FROM of
+        ),
+        placed AS (
+            SELECT *, sum(length(head) + length(body)) OVER (
+                PARTITION BY conv_id, speaker, part ORDER BY turn NULLS FIRST, role, text) AS stop
+            FROM pieces
+        )
+        SELECT conv_id, speaker, part, count(*) AS n_turns,
+               string_agg(head || body, '' ORDER BY turn NULLS FIRST, role, text) AS rendered,
+               coalesce(string_agg(CAST(stop - length(body) AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY stop) FILTER (WHERE own), '') AS mask,
+               CAST(coalesce(sum(length(body)) FILTER (WHERE own), 0) AS BIGINT) AS masked_chars
+        FROM placed GROUP BY conv_id, speaker, part""",
     "op5_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import arrow_rows, kept
+from marketloom.llm.common import arrow_rows, free_name, kept, written
 from marketloom.llm.components import connected_components
 
 BITS = 64
@@ -232,20 +232,39 @@ def links(prints: DataFrame, radius: int = RADIUS, shared: int = SHARED, tile: i
     return dealt.sortWithinPartitions("key", "pair").mapInArrow(find, "a bigint, b bigint")
 
 
+def _components(classes: DataFrame, radius: int, shared: int) -> DataFrame:
+    """`classes` (distinct `fp`) with `component`, the smallest fingerprint reachable."""
+    nodes = connected_components(links(classes.select("fp"), radius, shared), "a", "b")
+    # fingerprints without a link are components of their own
+    return classes.join(nodes, F.col("fp") == F.col("node"), "left").select(
+        *classes.columns, F.coalesce("component", "fp").alias("component")
+    )
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shared: int = SHARED
 ) -> DataFrame:
     """`doc_id`, `fingerprint`, `component_id` of every row."""
     prints = kept(fingerprints(docs, id_col, text_col))
     classes = kept(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    joined = links(classes.select("fp"), radius, shared)
-    nodes = connected_components(joined, "a", "b")
-    # fingerprints without a link are components of their own
-    placed = classes.join(nodes, F.col("fp") == F.col("node"), "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("component")
-    )
+    placed = _components(classes, radius, shared)
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     by_print = placed.join(least, "component").select("fp", "component_id")
     return prints.join(by_print, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def representatives(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shared: int = SHARED
+) -> DataFrame:
+    """One row of `docs` for each group of near-duplicates, unchanged: the one of smallest id, null ids last.
+
+    Rows are told apart by a number that is stored with them, so repeated ids do no harm."""
+    row = free_name(docs, "_row")
+    stored = written(docs.withColumn(row, F.monotonically_increasing_id()), "near-dedup")
+    prints = kept(fingerprints(stored, row, text_col).withColumnRenamed("doc_id", row))
+    ids = stored.select(row, F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row")).alias("_at"))
+    classes = kept(prints.join(ids, row).groupBy("fp").agg(F.min("_at").alias("_at")))
+    first = _components(classes, radius, shared).groupBy("component").agg(F.min("_at").alias("_at"))
+    return stored.join(first.select(F.col("_at.row").alias(row)), row, "left_semi").select(*docs.columns)

@@ -51,7 +51,7 @@ def write_token_files(
 
     def rows(groups):
         coder = encoder(path, True)
-        kind = np.dtype(id_type(len(coder.edge)))
+        kind = np.dtype(id_type(coder.tokenizer.get_vocab_size()))
         part = TaskContext.get().partitionId()
         os.makedirs(place, exist_ok=True)
         own = os.path.join(place, f".{part:05d}-{uuid.uuid4().hex}")
@@ -77,7 +77,7 @@ def write_token_files(
         yield [(part, len(ids), int(offsets[-1]), *names)]
 
     ordered = (
-        docs.select(F.col(id_col), text_or_empty(F.col(text_col)).alias(text_col))
+        docs.select(F.col(id_col), text_or_empty(F.col(text_col)).cast("binary").alias(text_col))
         .repartitionByRange(parts, F.col(id_col).asc_nulls_first())
         .sortWithinPartitions(F.col(id_col).asc_nulls_first(), text_col)
     )
@@ -120,7 +120,7 @@ def token_files(docs: DataFrame, folder: str | None = None, **options) -> DataFr
     """Writes the files and returns, read back from them, `doc_id`, `start`, `n_tokens`, `ids_crc32`."""
     spark = docs.sparkSession
     manifest = write_token_files(docs, folder or shared_folder(spark, "token-files"), **options)
-    size = len(encoder(options.get("vocabulary") or public_tokenizers.path("byte_bpe_50k.json"), True).edge)
+    size = encoder(options.get("vocabulary") or public_tokenizers.path("byte_bpe_50k.json"), True).tokenizer.get_vocab_size()
     found = read_token_files(spark, manifest, np.dtype(id_type(size)).itemsize)
     # the bases have one row per file; files hold a share of a task each, so the table is small
     return found.join(part_bases(manifest), "part").select(

@@ -35,7 +35,7 @@ def test_chunk_encoder_equals_library(name, spaced, odd_texts):
     texts = [t or "" for t in odd_texts]
     coder, whole = ChunkEncoder(public_tokenizers.path(name), spaced, limit=200), library(name)
     for at in range(0, len(texts), 16):
-        for text, data in zip(texts[at : at + 16], coder.encode(texts[at : at + 16]), strict=True):
+        for text, data in zip(texts[at : at + 16], coder.encode([t.encode() for t in texts[at : at + 16]]), strict=True):
             assert np.frombuffer(data, "<u4").tolist() == whole(text), repr(text[:60])
 
 
