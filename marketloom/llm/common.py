@@ -67,6 +67,10 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    return [free_name(df, name) for name in names]
+
+
 def arrow_rows(
     df: DataFrame,
     columns: Sequence[str],

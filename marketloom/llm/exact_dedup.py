@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import SPACE, free_name, kept, text_or_empty
+from marketloom.llm.common import SPACE, free_names, kept, text_or_empty
 
 RESULTS = ("keep_id", "group_size", "kept", "text_sha256")
 #: Share of the rows above which a digest surely becomes a candidate; 1/SUPPORT bounds the broadcast.
@@ -44,28 +44,28 @@ def heavy_groups(digests: DataFrame, id_col: str, support: float = SUPPORT) -> D
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
     """Every row of `docs` with `keep_id`, `group_size`, `kept` and `text_sha256`."""
     docs = docs.drop(*[c for c in docs.columns if c in RESULTS])
-    key = free_name(docs, "_key")
-    digests = kept(docs.select(F.col(id_col), digest(F.col(text_col)).alias("_digest")))
-    heavy = heavy_groups(digests, id_col, support).withColumnRenamed("_digest", key)
+    key, heavy_id, heavy_size, rank = free_names(docs, "_key", "_heavy_id", "_heavy_size", "_rank")
+    digests = kept(docs.select(F.col(id_col).alias("_id"), digest(F.col(text_col)).alias("_digest")))
+    heavy = heavy_groups(digests, "_id", support).toDF(key, heavy_id, heavy_size)
     rows = docs.withColumn(key, digest(F.col(text_col))).join(F.broadcast(heavy), key, "left")
-    is_copy = F.col("_heavy_size").isNotNull() & (F.coalesce(F.col(id_col) != F.col("_heavy_id"), F.col("_heavy_id").isNotNull()))
+    is_copy = F.col(heavy_size).isNotNull() & F.coalesce(F.col(id_col) != F.col(heavy_id), F.col(heavy_id).isNotNull())
     mine = [F.col(c) for c in docs.columns]
     decided = rows.filter(is_copy).select(
         *mine,
-        F.col("_heavy_id").alias("keep_id"),
-        F.col("_heavy_size").alias("group_size"),
+        F.col(heavy_id).alias("keep_id"),
+        F.col(heavy_size).alias("group_size"),
         F.lit(False).alias("kept"),
         F.col(key).alias("text_sha256"),
     )
     group = Window.partitionBy(key)
     rest = (
         rows.filter(~is_copy)
-        .withColumn("_rank", F.row_number().over(group.orderBy(F.col(id_col).asc_nulls_last())))
+        .withColumn(rank, F.row_number().over(group.orderBy(F.col(id_col).asc_nulls_last())))
         .select(
             *mine,
-            F.coalesce("_heavy_id", F.min(id_col).over(group)).alias("keep_id"),
-            F.coalesce("_heavy_size", F.count(F.lit(1)).over(group)).alias("group_size"),
-            (F.col("_rank") == 1).alias("kept"),
+            F.coalesce(heavy_id, F.min(id_col).over(group)).alias("keep_id"),
+            F.coalesce(heavy_size, F.count(F.lit(1)).over(group)).alias("group_size"),
+            (F.col(rank) == 1).alias("kept"),
             F.col(key).alias("text_sha256"),
         )
     )

@@ -144,30 +144,30 @@ def surroundings(text: Column, spans: Column) -> Column:
 
 
 def found_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """`docs` with `_row`, `_base` (spans) and `_near` (surroundings)."""
-    text = text_or_empty(F.col(text_col))
-    based = docs.withColumn("_base", base_spans(text))
-    near = F.when(F.size("_base") > 0, let(F.col("_base"), lambda s: surroundings(text, s))).otherwise(F.array())
-    return based.withColumn("_near", near.cast(NEAR)).withColumn("_row", F.monotonically_increasing_id())
+    """`row` (a number), `doc` (the columns of `docs`), `base` (spans) and `near` (surroundings)."""
+    text = text_or_empty(F.col(f"doc.{text_col}"))
+    based = docs.select(F.struct(*docs.columns).alias("doc")).withColumn("base", base_spans(text))
+    near = F.when(F.size("base") > 0, let(F.col("base"), lambda s: surroundings(text, s))).otherwise(F.array())
+    return based.withColumn("near", near.cast(NEAR)).withColumn("row", F.monotonically_increasing_id())
 
 
-def term_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def term_documents(texts: DataFrame) -> DataFrame:
     """`term`, `n`: the number of documents of the whole corpus that hold it."""
-    terms = F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty(F.col(text_col))), F.lit(TERM_PATTERN), F.lit(0)))
-    return docs.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    terms = F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty(F.col("text"))), F.lit(TERM_PATTERN), F.lit(0)))
+    return texts.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
-def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
-    """`entity`, `term`, `disclosure` (PMI / IC) of pairs that reach the threshold."""
-    near = found.filter(F.size("_near") > 0).select("_row", F.inline("_near"))
-    total = docs.agg(F.count(F.lit(1)).alias("_n"))
-    entities = near.select("_row", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("_c"))
-    pairs = near.select("_row", "place", "entity", F.explode(F.array_distinct(F.transform("terms", lambda t: t["term"]))).alias("term"))
+def disclosing_terms(found: DataFrame, texts: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
+    """texts: `text` of every document. `entity`, `term`, `disclosure` (PMI / IC) of pairs that reach the threshold."""
+    near = found.filter(F.size("near") > 0).select("row", F.inline("near"))
+    total = texts.agg(F.count(F.lit(1)).alias("_n"))
+    entities = near.select("row", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("_c"))
+    pairs = near.select("row", "place", "entity", F.explode(F.array_distinct(F.transform("terms", lambda t: t["term"]))).alias("term"))
     # first the surroundings of a pair, each with its documents; then their number and sum
-    places = pairs.groupBy("entity", "term", "place").agg(F.countDistinct("_row").alias("_d"))
+    places = pairs.groupBy("entity", "term", "place").agg(F.countDistinct("row").alias("_d"))
     seen = places.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("_places"), F.sum("_d").alias("_tc"))
     seen = seen.filter(F.col("_places") >= support)
-    joined = seen.join(entities, "entity").join(term_documents(docs, text_col).withColumnRenamed("n", "_t"), "term").join(F.broadcast(total))
+    joined = seen.join(entities, "entity").join(term_documents(texts).withColumnRenamed("n", "_t"), "term").join(F.broadcast(total))
     both = F.least("_tc", "_c", "_t")
     pmi = F.log(both * F.col("_n") / (F.col("_t") * F.col("_c")))
     ic = F.log(F.col("_n") / F.col("_c"))
@@ -176,20 +176,21 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str = "text",
 
 def with_spans(found: DataFrame, terms: DataFrame) -> DataFrame:
     """`found` with `_terms`: spans (start, end, removed) of disclosing terms, sorted and distinct."""
-    near = found.filter(F.size("_near") > 0).select("_row", F.inline("_near")).select("_row", "entity", F.inline("terms"))
-    hits = near.join(terms, ["entity", "term"]).select("_row", "start", "end", (F.col("disclosure") >= REMOVE).alias("removed"))
-    by_row = hits.groupBy("_row", "start", "end").agg(F.max("removed").alias("removed"))
-    by_row = by_row.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "removed"))).alias("_terms"))
+    near = found.filter(F.size("near") > 0).select("row", F.inline("near")).select("row", "entity", F.inline("terms"))
+    hits = near.join(terms, ["entity", "term"]).select("row", "start", "end", (F.col("disclosure") >= REMOVE).alias("removed"))
+    by_row = hits.groupBy("row", "start", "end").agg(F.max("removed").alias("removed"))
+    by_row = by_row.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "removed"))).alias("terms"))
     none = F.array().cast("array<struct<start:int,end:int,removed:boolean>>")
-    return found.join(by_row, "_row", "left").withColumn("_terms", F.coalesce("_terms", none))
+    # rows without an entity have no such term: they, with their texts, stay out of the shuffle
+    joined = found.filter(F.size("near") > 0).join(by_row, "row", "left").withColumn("terms", F.coalesce("terms", none))
+    return joined.unionByName(found.filter(F.size("near") == 0).withColumn("terms", none))
 
 
 def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """`doc_id`, `base`, `terms` of every row: spans without texts."""
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found = written(found_spans(plain).drop("text"), "pii")
-    marked = with_spans(found, disclosing_terms(found, plain, **options))
-    return marked.select("doc_id", F.col("_base").alias("base"), F.col("_terms").alias("terms"))
+    found = written(found_spans(plain).withColumn("doc", F.struct("doc.doc_id")), "pii")
+    return with_spans(found, disclosing_terms(found, plain, **options)).select("doc.doc_id", "base", "terms")
 
 
 def sanitised_text(text: Column, base: Column, terms: Column) -> Column:
@@ -215,14 +216,14 @@ def sanitise(docs: DataFrame, text_col: str = "text", length_col: str | None = N
 
     length_col: a column, if there is one of that name, that holds the number of characters of the text."""
     found = written(found_spans(docs, text_col), "pii")
-    marked = with_spans(found, disclosing_terms(found, found, text_col, **options))
-    clean = sanitised_text(F.col(text_col), F.col("_base"), F.col("_terms"))
-    marked = marked.withColumn(text_col, F.when(F.col(text_col).isNotNull(), clean))
-    if length_col in docs.columns:
-        changed = F.size("_base") + F.size("_terms") > 0
-        length = F.char_length(F.col(text_col)).cast(docs.schema[length_col].dataType)
-        marked = marked.withColumn(length_col, F.when(changed, length).otherwise(F.col(length_col)))
-    return marked.select(*docs.columns)
+    text = F.col(f"doc.{text_col}")
+    marked = with_spans(found, disclosing_terms(found, found.select(text.alias("text")), **options))
+    clean = F.when(text.isNotNull(), sanitised_text(text, F.col("base"), F.col("terms")))
+    columns = {c: F.col(f"doc.`{c}`") for c in docs.columns} | {text_col: clean}
+    if length_col in columns:
+        changed = F.size("base") + F.size("terms") > 0
+        columns[length_col] = F.when(changed, F.char_length(clean).cast(docs.schema[length_col].dataType)).otherwise(columns[length_col])
+    return marked.select(*[value.alias(name) for name, value in columns.items()])
 
 
 def span_list(spans: Column) -> Column:

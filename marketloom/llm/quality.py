@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import SPACE_CHARS, let, text_or_empty, words_of
+from marketloom.llm.common import SPACE_CHARS, free_names, let, text_or_empty, words_of
 
 BUCKETS = 1 << 14
 #: Labelled documents that the target is estimated from, at most: the ones whose ids hash lowest.
@@ -135,10 +135,11 @@ def quality(
     marked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(good), F.col("_id") == F.col("_good"), "left")
     ratios = log_ratios(bucket_counts(marked, "_text", F.col("_good").isNotNull(), buckets), buckets)
     text = text_or_empty(F.col(text_col))
+    llrs, found = free_names(docs, "_ratios", "_figures")
     figures = let(
         words_of(F.col(text_col)),
         lambda w: let(
-            F.col("_ratios"),
+            F.col(llrs),
             lambda r: F.struct(
                 F.size(w).cast("long").alias("n_words"),
                 repeated_words(w).cast("long").alias("n_repeat_words"),
@@ -147,17 +148,17 @@ def quality(
         ),
     )
     # one row of a fixed number of ratios meets every document
-    scored = docs.join(F.broadcast(ratios.select(F.col("ratios").alias("_ratios")))).select(*docs.columns, figures.alias("_figures"))
+    scored = docs.join(F.broadcast(ratios.select(F.col("ratios").alias(llrs)))).select(*docs.columns, figures.alias(found))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return (
         scored.select(
             *docs.columns,
-            F.col("_figures.n_words"),
+            F.col(f"{found}.n_words"),
             without(text, SPACE_CHARS).cast("long").alias("word_chars"),
             (F.char_length(text) - without(text, SYMBOLS)).cast("long").alias("n_symbols"),
             duplicate_lines(text).cast("long").alias("n_dup_lines"),
-            F.col("_figures.n_repeat_words"),
-            F.col("_figures.llr"),
+            F.col(f"{found}.n_repeat_words"),
+            F.col(f"{found}.llr"),
         )
         .withColumn("base_failed", failed)
         .withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("llr") >= threshold, F.lit(False)))
