@@ -74,14 +74,15 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
 def arrow_rows(
     df: DataFrame,
     columns: Sequence[str],
-    rows: Callable[[Iterator[tuple]], Iterable[tuple]],
+    rows: Callable[[Iterator], Iterable[list[tuple]]],
     schema: str,
     group: int = 256,
+    raw: bool = False,
 ) -> DataFrame:
     """`rows` over the tuples of `columns`, batch by batch inside a task.
 
-    It gets an iterator of lists of at most `group` tuples and yields lists of output tuples, so a
-    task never holds more than one Arrow batch and one group."""
+    It gets an iterator of lists of at most `group` tuples (raw: of Arrow batches of so many rows) and yields
+    lists of output tuples, so a task never holds more than one Arrow batch and one group."""
     out = df.sparkSession.createDataFrame([], schema).schema
     target = pa.schema([pa.field(f.name, _arrow_type(f.dataType.simpleString())) for f in out])
 
@@ -90,7 +91,7 @@ def arrow_rows(
             for batch in batches:
                 for at in range(0, batch.num_rows, group):
                     part = batch.slice(at, group)
-                    yield list(zip(*(part.column(i).to_pylist() for i in range(part.num_columns)), strict=True))
+                    yield part if raw else list(zip(*(part.column(i).to_pylist() for i in range(part.num_columns)), strict=True))
 
         for made in rows(groups()):
             for at in range(0, len(made), 4096):

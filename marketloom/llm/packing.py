@@ -42,22 +42,21 @@ def pieces(
 ) -> DataFrame:
     """One row per piece; `with_ids` adds the piece's ids as little-endian unsigned 32-bit bytes."""
     path = vocabulary or public_tokenizers.path("word_bpe_49k.json")
-    end = np.array([end_id], "<u4").tobytes()
-    step = 4 * capacity
 
-    def rows(groups):
+    def rows(batches):
         encode = encoder(path, False).encode
-        for group in groups:
+        for batch in batches:
+            ids, bounds = encode(batch.column(1))
             made = []
-            for (doc, _), body in zip(group, encode([t for _, t in group]), strict=True):
-                data = body + end
-                for i, at in enumerate(range(0, len(data), step)):
-                    part = data[at : at + step]
-                    made.append((doc, i, at // 4, len(part) // 4, zlib.crc32(part), *([part] if with_ids else [])))
+            for doc, a, b in zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                data = np.append(ids[a:b], np.uint32(end_id)).astype("<u4", copy=False)
+                for i, at in enumerate(range(0, len(data), capacity)):
+                    part = data[at : at + capacity].tobytes()
+                    made.append((doc, i, at, len(part) // 4, zlib.crc32(part), *([part] if with_ids else [])))
             yield made
 
-    plain = docs.select(F.col(id_col), text_or_empty(F.col(text_col)).cast("binary").alias(text_col))
-    return arrow_rows(plain, [id_col, text_col], rows, PIECES + (", ids binary" if with_ids else ""))
+    plain = docs.select(F.col(id_col), text_or_empty(F.col(text_col)).alias(text_col))
+    return arrow_rows(plain, [id_col, text_col], rows, PIECES + (", ids binary" if with_ids else ""), 1000, raw=True)
 
 
 def fullest(counts: dict[int, int], space: int) -> list[int]:

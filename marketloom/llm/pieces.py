@@ -2,10 +2,11 @@
 
 A text is cut at single spaces (byte-level vocabularies, where a space opens the next pre-token) or at
 any ASCII white space (lower-case vocabularies, which drop it); no pre-token spans such a cut, so the
-ids of the chunks, joined, are the ids of the text. Chunks seen before come from a bounded cache of the Python
-worker. New ones are encoded many at a time: words of letters, with any closing punctuation taken off, are whole
-pre-tokens and need no pattern; the others go through the full tokenizer. Byte-level texts in which a space lies
-beside other white space are encoded whole.
+ids of the chunks, joined, are the ids of the text. Arrow cuts the texts of a batch and numbers their distinct
+chunks; only these are looked up, in a bounded cache of the Python worker, and numpy lays their ids out. New chunks are
+encoded many at a time: words of letters, with any closing punctuation taken off, are whole pre-tokens and need no
+pattern; the others go through the full tokenizer. Byte-level texts in which a space lies beside other white
+space are encoded whole.
 """
 
 from __future__ import annotations
@@ -14,17 +15,18 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer, pre_tokenizers
 
 #: Chunks per generation of the cache; two generations are held.
-CACHE_LIMIT = 500_000
+CACHE_LIMIT = 400_000
 #: Closing punctuation; no apostrophe, which may open a pre-token of letters.
-TAIL = b".,;:!?)]}#*$%&|"
-#: White space beyond ASCII's common six, in UTF-8; tokenizers differ on whether it joins a run.
-_ODD_LEADS = (b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+TAIL = ".,;:!?)]}#*$%&|"
+#: White space beyond ASCII's common six; tokenizers differ on whether it joins a run.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Neighbours of a space that make it part of a run.
-_RUNS = (b"  ", *(p for c in (b"\t", b"\n", b"\x0b", b"\f", b"\r") for p in (c + b" ", b" " + c)))
+_RUNS = ("  ", *(p for c in "\t\n\x0b\f\r" for p in (c + " ", " " + c)))
 #: How byte-level vocabularies write a space, and how lower-case ones end a word.
 SPACE_BYTE, WORD_END = "\u0120", "</w>"
 #: A control character that is one token of its own between two spaces.
@@ -32,7 +34,7 @@ _MARK = "\x02"
 
 
 class ChunkEncoder:
-    """Ids of whole texts (UTF-8) as little-endian unsigned 32-bit bytes.
+    """Ids of whole texts.
 
     spaced: white space is part of the tokens (byte-level); otherwise it only separates words and
     letters are lower-cased by the tokenizer."""
@@ -41,9 +43,10 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaced, self.limit = spaced, limit
-        self.cache: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-        self.bare: dict[bytes, bytes] = {}  # pieces without a space before them
+        # ids as little-endian unsigned 32-bit bytes
+        self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}  # pieces without a space before them
         # words of letters alone: the same model behind a cut at line ends
         self.plain = Tokenizer(self.tokenizer.model)
         bytes_only = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False, trim_offsets=False)
@@ -52,30 +55,30 @@ class ChunkEncoder:
         self.opens, self.ends, self.mark = np.zeros(size, bool), np.zeros(size, bool), np.zeros(size, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.opens[i], self.ends[i] = token[:1] == SPACE_BYTE, token.endswith(WORD_END)
-        self.mark[np.frombuffer(self._whole(_MARK.encode()), "<u4")] = True
+        self.mark[np.frombuffer(self._whole(_MARK), "<u4")] = True
 
-    def _whole(self, data: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(data.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _bare(self, data: bytes) -> bytes:
-        if data not in self.bare:
+    def _bare(self, text: str) -> bytes:
+        if text not in self.bare:
             if len(self.bare) >= self.limit:
                 self.bare.clear()
-            self.bare[data] = self._whole(data)
-        return self.bare[data]
+            self.bare[text] = self._whole(text)
+        return self.bare[text]
 
-    def _letters(self, core: bytes) -> bool:
+    def _chunk(self, chunk: str) -> bytes:
+        return self._whole(" " + chunk if self.spaced else chunk)
+
+    def _letters(self, core: str) -> bool:
         """Whether a chunk is one pre-token of letters that the normaliser only lower-cases."""
-        if core.isalpha():
-            return True
-        text = core.decode()
-        return text.isalpha() and (self.spaced or (max(text) < "\u0250" and "\u0130" not in text))
+        return core.isalpha() and (core.isascii() or self.spaced or (max(core) < "\u0250" and "\u0130" not in core))
 
-    def _learn(self, fresh: list[bytes]) -> None:
+    def _learn(self, fresh: list[str]) -> None:
         cache, words, others = self.cache, [], []
         for chunk in fresh:
             core = chunk.rstrip(TAIL)
-            if core and self._letters(core):
+            if self._letters(core):
                 words.append((chunk, core))
             else:
                 others.append(chunk)
@@ -88,17 +91,14 @@ class ChunkEncoder:
         for at in range(0, len(others), 1000):
             self._learn_others(others[at : at + 1000])
 
-    def _store(self, chunks: list[bytes], ids: np.ndarray, starts: list[int], ends: list[int]) -> None:
+    def _store(self, chunks: list[str], ids: np.ndarray, starts: list[int], ends: list[int]) -> None:
         if len(starts) != len(chunks):
             raise AssertionError("the library cut other chunks than were sent")
         data = ids.tobytes()
         self.cache.update(zip(chunks, [data[4 * a : 4 * b] for a, b in zip(starts, ends, strict=True)], strict=True))
 
-    def _learn_words(self, part: list[bytes]) -> None:
-        if self.spaced:
-            sent = (b" " + b"\n ".join(part)).decode()
-        else:
-            sent = b"\n".join(part).decode().lower()
+    def _learn_words(self, part: list[str]) -> None:
+        sent = " " + "\n ".join(part) if self.spaced else "\n".join(part).lower()
         ids = np.array(self.plain.encode_batch_fast([sent], add_special_tokens=False)[0].ids, "<u4")
         if self.spaced:
             starts = np.flatnonzero(self.opens[ids]).tolist()
@@ -107,13 +107,13 @@ class ChunkEncoder:
             ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             self._store(part, ids, [0, *ends[:-1]], ends)
 
-    def _learn_others(self, part: list[bytes]) -> None:
-        clear = [c for c in part if _MARK.encode() not in c and c]
-        self.cache.update((c, self._whole(b" " + c if self.spaced else c)) for c in part if _MARK.encode() in c or not c)
+    def _learn_others(self, part: list[str]) -> None:
+        clear = [c for c in part if c and _MARK not in c]
+        self.cache.update((c, self._chunk(c)) for c in part if not c or _MARK in c)
         if not clear:
             return
-        sent = b" " + b" ".join(clear) if self.spaced else f" {_MARK} ".encode().join(clear)
-        ids = np.array(self.tokenizer.encode_batch_fast([sent.decode()], add_special_tokens=False)[0].ids, "<u4")
+        sent = " " + " ".join(clear) if self.spaced else f" {_MARK} ".join(clear)
+        ids = np.array(self.tokenizer.encode_batch_fast([sent], add_special_tokens=False)[0].ids, "<u4")
         if self.spaced:
             starts = np.flatnonzero(self.opens[ids]).tolist()
             ends = [*starts[1:], len(ids)]
@@ -123,41 +123,64 @@ class ChunkEncoder:
         if len(starts) == len(clear):
             self._store(clear, ids, starts, ends)
         else:
-            self.cache.update((c, self._whole(b" " + c if self.spaced else c)) for c in clear)
+            self.cache.update((c, self._chunk(c)) for c in clear)
 
     @staticmethod
-    def _cuttable(data: bytes) -> bool:
-        if any(run in data for run in _RUNS):
+    def _cuttable(text: str) -> bool:
+        if any(run in text for run in _RUNS):
             return False
-        return not any(lead in data for lead in _ODD_LEADS) or not _ODD.search(data.decode())
+        if text.isascii():
+            return not any(c in text for c in "\x1c\x1d\x1e\x1f")
+        return not _ODD.search(text)
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        split: list[list[bytes]] = []
-        heads: list[bytes] = []
-        for data in texts:
-            if not self.spaced:
-                split.append(data.lower().split())
-                heads.append(b"")
-            elif self._cuttable(data):
-                parts = data.split(b" ")
-                heads.append(self._bare(parts[0]))
-                split.append(parts[1:])
-            else:
-                heads.append(self._whole(data))
-                split.append([])
-        seen = set().union(*split)
-        fresh = seen.difference(self.cache)
+    def _looked_up(self, chunks: list[str]) -> list[bytes]:
+        """The ids of distinct chunks."""
+        fresh = set(chunks).difference(self.cache)
         if len(self.cache) + len(fresh) > self.limit:
             self.old, self.cache = self.cache, {}
-            fresh = seen
+            fresh = set(chunks)
         if self.old:
-            old = self.old
-            again = fresh.intersection(old)
-            self.cache.update((c, old[c]) for c in again)
+            again = fresh.intersection(self.old)
+            self.cache.update((c, self.old[c]) for c in again)
             fresh = fresh.difference(again)
         self._learn(list(fresh))
-        get = self.cache.__getitem__
-        return [head + b"".join(map(get, chunks)) for head, chunks in zip(heads, split, strict=True)]
+        return list(map(self.cache.__getitem__, chunks))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (strings without nulls), one after another, and their texts+1 bounds."""
+        if not len(texts):
+            return np.zeros(0, "<u4"), np.zeros(1, "int64")
+        heads: list[bytes] = []
+        if self.spaced:
+            plain = texts.to_pylist()
+            whole = [i for i, t in enumerate(plain) if not self._cuttable(t)]
+            if whole:
+                cut = plain[:]
+                for i in whole:
+                    cut[i] = ""
+                texts = pa.array(cut, pa.string())
+            lists = pc.split_pattern(texts, " ")
+        else:
+            lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        bounds = lists.offsets.to_numpy().astype("int64")
+        bounds, chunks = bounds - bounds[0], lists.flatten()
+        numbered = chunks.dictionary_encode()
+        index, distinct = numbered.indices.to_numpy().astype("int64"), numbered.dictionary.to_pylist()
+        if self.spaced:
+            # what stands before the first space of a text has no space of its own
+            first = bounds[:-1]
+            heads = [self._bare(distinct[k]) for k in index[first].tolist()]
+            for i in whole:
+                heads[i] = self._whole(plain[i])
+            index[first] = len(distinct) + np.arange(len(heads))
+        found = self._looked_up(distinct) + heads
+        sizes = np.fromiter(map(len, found), "int64", len(found)) // 4
+        flat, starts = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+        each = sizes[index]
+        ends = np.cumsum(each)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = flat[np.repeat(starts[index] - (ends - each), each) + np.arange(total)]
+        return ids, np.concatenate([[0], ends])[bounds]
 
 
 @lru_cache(maxsize=4)

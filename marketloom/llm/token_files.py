@@ -49,7 +49,7 @@ def write_token_files(
     place = mounted(folder)
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def rows(groups):
+    def rows(batches):
         coder = encoder(path, True)
         kind = np.dtype(id_type(coder.tokenizer.get_vocab_size()))
         part = TaskContext.get().partitionId()
@@ -57,16 +57,16 @@ def write_token_files(
         own = os.path.join(place, f".{part:05d}-{uuid.uuid4().hex}")
         ids, sizes = [], []
         with open(f"{own}.bin", "wb") as out:
-            for group in groups:
-                for (doc, _), body in zip(group, coder.encode([t for _, t in group]), strict=True):
-                    tokens = np.append(np.frombuffer(body, "<u4"), end_id).astype(kind)
-                    out.write(tokens.tobytes())
-                    ids.append(doc)
-                    sizes.append(len(tokens))
+            for batch in batches:
+                flat, bounds = coder.encode(batch.column(1))
+                tokens = np.insert(flat.astype(kind), bounds[1:], kind.type(end_id))
+                out.write(tokens.tobytes())
+                ids += batch.column(0).to_pylist()
+                sizes.append(np.diff(bounds) + 1)
         if not ids:
             os.remove(f"{own}.bin")
             return
-        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype("<u8")
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype("<u8")
         with open(f"{own}.idx", "wb") as out:
             out.write(np.array([len(ids)], "<u8").tobytes() + offsets.tobytes())
             out.write(np.array([0 if i is None else i for i in ids], "<i8").tobytes())
@@ -77,11 +77,11 @@ def write_token_files(
         yield [(part, len(ids), int(offsets[-1]), *names)]
 
     ordered = (
-        docs.select(F.col(id_col), text_or_empty(F.col(text_col)).cast("binary").alias(text_col))
+        docs.select(F.col(id_col), text_or_empty(F.col(text_col)).alias(text_col))
         .repartitionByRange(parts, F.col(id_col).asc_nulls_first())
         .sortWithinPartitions(F.col(id_col).asc_nulls_first(), text_col)
     )
-    return kept(arrow_rows(ordered, [id_col, text_col], rows, MANIFEST))
+    return kept(arrow_rows(ordered, [id_col, text_col], rows, MANIFEST, 1000, raw=True))
 
 
 def part_bases(manifest: DataFrame) -> DataFrame:
