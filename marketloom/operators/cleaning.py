@@ -64,15 +64,15 @@ def split_symbols(raw: Column) -> Column:
     return F.filter(F.transform(pieces, lambda p: F.trim(p)), lambda p: p != "")
 
 
-def clean_symbols(lists: DataFrame, key: str = "list_id", raw: str = "raw", limit: int = WATCHLIST_LIMIT) -> tuple[DataFrame, DataFrame]:
-    """Accepted symbols (first occurrences, at most `limit` per list) and rejected raw values.
-    Reading stops at the symbol that fills the list, so later rejects are not reported. Each
-    list is one row and is handled inside it."""
+def clean_symbols(lists: DataFrame, key: str = "list_id", raw: str = "raw", limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Accepted symbols (first occurrences) and rejected raw values. With a `limit` (a watch list
+    takes WATCHLIST_LIMIT) reading stops at the symbol that fills the list, so later rejects are not
+    reported. Each list is one row and is handled inside it."""
     items = F.transform(split_symbols(F.col(raw)), lambda p, i: F.struct(i.alias("pos"), p.alias("raw"), normalize_symbol(p).alias("ticker")))
     parsed = lists.select(key, items.alias("_i")).withColumn("_ok", F.filter("_i", lambda s: s["ticker"].rlike(SYMBOL)))
     firsts = F.filter("_ok", lambda s: F.array_position(F.transform("_ok", lambda o: o["ticker"]), s["ticker"]) == F.array_position(F.transform("_ok", lambda o: o["pos"]), s["pos"]))
-    parsed = parsed.withColumn("_firsts", firsts).withColumn("_kept", F.slice("_firsts", 1, limit))
-    last = F.when(F.size("_firsts") >= limit, F.try_element_at("_kept", F.lit(limit))["pos"])
+    parsed = parsed.withColumn("_firsts", firsts).withColumn("_kept", F.col("_firsts") if limit is None else F.slice("_firsts", 1, limit))
+    last = F.lit(None).cast("int") if limit is None else F.when(F.size("_firsts") >= limit, F.try_element_at("_kept", F.lit(limit))["pos"])
     accepted = parsed.select(key, F.posexplode("_kept").alias("position", "_s")).select(key, "position", F.col("_s.ticker").alias("ticker"))
     bad = F.filter("_i", lambda s: ~s["ticker"].rlike(SYMBOL))
     rejected = parsed.withColumn("_last", last).withColumn("_bad", bad).select(

@@ -212,9 +212,9 @@ HIST_SIGNALS = (
 )
 
 
-def hist_signals(bars: DataFrame, benchmark: DataFrame, ahead: int = 126, per_day: int = 2) -> DataFrame:
-    """Historical signals with at least 201 rows behind and `ahead` rows after them; the first
-    two rules that hold on a day count. The benchmark close is carried onto the ticker's dates."""
+def hist_signals(bars: DataFrame, benchmark: DataFrame, ahead: int = 126, per_day: int | None = None) -> DataFrame:
+    """Historical signals with at least 201 rows behind and `ahead` rows after them. Every
+    rule that holds on a day counts; `per_day` keeps only the first so many. The benchmark close is carried onto the ticker's dates."""
     joined = bars.join(benchmark.select("date", F.col("close").alias("bench_close")), "date", "left")
     c = F.col("close")
     prior_high = F.max(c).over(over().rowsBetween(-252, -1))
@@ -244,7 +244,7 @@ def hist_signals(bars: DataFrame, benchmark: DataFrame, ahead: int = 126, per_da
         )
     )
     keep = (F.col("n_rows") >= 260) & (F.col("i") >= 201) & (F.col("i") < F.col("n_rows") - ahead) & F.col("sma200").isNotNull()
-    return t.filter(keep).withColumn("_s", F.slice(found, 1, per_day)).select(
+    return t.filter(keep).withColumn("_s", found if per_day is None else F.slice(found, 1, per_day)).select(
         "ticker", "sector", "date", c.alias("entry_price"), F.inline("_s")
     )
 

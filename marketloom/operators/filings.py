@@ -70,11 +70,12 @@ def surprise(actual: Column, estimate: Column) -> Column:
     return F.when(ok, safe_div(actual - estimate, F.abs(estimate)) * 100)
 
 
-def earnings_streak(reports: DataFrame, last: int = 8) -> DataFrame:
-    """Beat or miss streak from the latest report, mean and last surprise, over the last reports.
-    Ranking keeps `last` rows per ticker and task before the shuffle."""
+def earnings_streak(reports: DataFrame, last: int | None = None) -> DataFrame:
+    """Beat or miss streak from the latest report, mean and last surprise, over all reports or the `last` ones."""
     rn = F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("date")))
-    rows = reports.withColumn("surprise_pct", surprise(F.col("eps_actual"), F.col("eps_estimate"))).withColumn("rn", rn).filter(F.col("rn") <= last)
+    rows = reports.withColumn("surprise_pct", surprise(F.col("eps_actual"), F.col("eps_estimate"))).withColumn("rn", rn)
+    if last is not None:
+        rows = rows.filter(F.col("rn") <= last)
     beat = F.coalesce(F.col("surprise_pct") > 0, F.lit(False))
     out = rows.groupBy("ticker").agg(
         F.count(F.lit(1)).alias("reports"),

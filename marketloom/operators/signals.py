@@ -31,13 +31,13 @@ def forward_table(bars: DataFrame) -> DataFrame:
 
 
 def signal_outcome(signals: DataFrame, bars: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Forward returns of each signal from its first bar on or after the signal date, the lowest
-    path return, and the one-month return relative to the benchmark."""
-    ahead = forward_table(bars)
-    entry = _first_on_or_after(signals, ahead, ["ticker"])
+    """Forward returns of each signal from its first bar on or after the signal date, at any distance, the
+    lowest path return, and the one-month return relative to the benchmark. A signal after the last bar
+    has no outcome; without a benchmark bar from its date on only the relative return is null."""
+    entry = _first_on_or_after(signals, forward_table(bars), ["ticker"])
     by_date = Window.partitionBy(F.lit(0)).orderBy("date")  # one row per trading date
     bench = benchmark.select("date", F.col("close").alias("b0"), F.lead("close", 21).over(by_date).alias("b21"))
-    out = _first_on_or_after(entry.drop("date").withColumnRenamed("signal_date", "date"), bench, [])
+    out = _first_on_or_after(entry.drop("date").withColumnRenamed("signal_date", "date"), bench, [], "left")
     price = F.coalesce(F.nullif("entry_price", F.lit(0.0)), F.col("close"))
     out = out.withColumn("entry", price)
     for name, n in HORIZONS:
@@ -48,16 +48,19 @@ def signal_outcome(signals: DataFrame, bars: DataFrame, benchmark: DataFrame) ->
     return out.select(*keep, F.col("signal_date").alias("date"), *[n for n, _ in HORIZONS], "max_drawdown", "sp500_relative_return")
 
 
-def _first_on_or_after(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Each left row with the first right row whose date is not earlier; `signal_date` keeps the
-    left date. A right row owns the days since its predecessor, so the lookup is an equi-join on
-    (key, day) of a short expansion instead of a range join."""
-    w = Window.partitionBy(*keys).orderBy("date") if keys else Window.partitionBy(F.lit(0)).orderBy("date")
-    prev = F.lag("date").over(w)
-    spans = right.withColumn("_from", F.coalesce(F.date_add(prev, 1), F.date_sub("date", 7)))
-    days = spans.withColumn("_day", F.explode(F.sequence("_from", "date"))).drop("_from")
-    base = left.withColumnRenamed("date", "signal_date").withColumn("_day", F.col("signal_date"))
-    return base.join(days, [*keys, "_day"]).drop("_day")
+def _first_on_or_after(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Each left row with the first right row whose date is not earlier; `signal_date` keeps the left date.
+
+    Only the distinct (key, date) pairs asked for are laid among the right rows; read from the last date
+    backwards, the latest right row seen is the answer. The answers are joined to the left rows by equality."""
+    others = [c for c in right.columns if c not in keys]
+    asked = left.select(*keys, F.col("date").alias("_at")).distinct()
+    found = right.select(*keys, F.col("date").alias("_at"), F.struct(*others).alias("_row"))
+    marks = found.unionByName(asked, allowMissingColumns=True).withColumn("_asked", F.col("_row").isNull())
+    back = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.desc("_at"), "_asked").rowsBetween(Window.unboundedPreceding, 0)
+    answers = marks.withColumn("_row", F.last("_row", ignorenulls=True).over(back)).filter("_asked")
+    answers = answers.filter(F.col("_row").isNotNull()).select(*keys, F.col("_at").alias("signal_date"), "_row.*")
+    return left.withColumnRenamed("date", "signal_date").join(answers, [*keys, "signal_date"], how)
 
 
 def pending(signals: DataFrame, outcomes: DataFrame) -> DataFrame:

@@ -93,7 +93,7 @@ query("state_transitions", "ticker alerts",
             F.regexp_replace(F.array_join("alerts", "|"), "(?<![A-Za-z])-?[0-9][0-9.]*|(?<=SMA)[0-9]+", "#")).cast("string")))
 
 view("hs", f"""SELECT ticker, sector, date, close AS entry_price, unnest(list_filter([CASE WHEN prev <= p50 AND close > sma50 AND close > sma200 THEN 'sma50_reclaim' END, CASE WHEN close >= h252 * 0.995e0 AND volume > vol_avg * 1.2e0 THEN 'high_volume_52w_breakout' END,
- CASE WHEN rs_60 > 0.05e0 AND close > sma50 AND sma50 > sma200 THEN 'relative_strength_leadership' END], lambda x: x IS NOT NULL)[1:2]) AS signal_type FROM (
+ CASE WHEN rs_60 > 0.05e0 AND close > sma50 AND sma50 > sma200 THEN 'relative_strength_leadership' END], lambda x: x IS NOT NULL)) AS signal_type FROM (
  SELECT *, lag(sma50) OVER {T} AS p50 FROM (SELECT i0.*, {roll('avg', 'close', 50)} AS sma50, {roll('avg', 'close', 200)} AS sma200, {roll('avg', 'volume', 20)} AS vol_avg,
  CASE WHEN i >= 252 THEN max(close) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 252 PRECEDING AND 1 PRECEDING) END AS h252, (close / lag(close, 60) OVER {T} - 1) - (bench_close / lag(bench_close, 60) OVER {T} - 1) AS rs_60 FROM i0))
  WHERE n_rows >= 260 AND i >= 201 AND i < n_rows - 126 AND sma200 IS NOT NULL""", "i0")

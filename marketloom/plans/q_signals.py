@@ -24,7 +24,21 @@ def outcomes(m):
     return signals.signal_outcome(raw_signals(m), m.bars, m.benchmark)
 
 
-query("signal_outcome", "ticker date:d signal_type return_1w:8 return_1m:8 return_3m:8 return_6m:8 max_drawdown:8 sp500_relative_return:8", "SELECT * FROM outc", "outc")(outcomes)
+# signals of any day, some of them years before the first bar, and a benchmark that ends half a year early
+view("sigm", "SELECT * REPLACE (CASE WHEN day(date) = 13 THEN date - 9000 ELSE date - CAST(day(date) % 4 AS INTEGER) END AS date) FROM sig", "sig")
+view("outm", """SELECT s.*, c5 / entry_price - 1 AS return_1w, c21 / entry_price - 1 AS return_1m, c63 / entry_price - 1 AS return_3m, c126 / entry_price - 1 AS return_6m, CASE WHEN rn > 1 THEN low / entry_price - 1 END AS max_drawdown, c21 / entry_price - 1 - (b21 / b0 - 1) AS sp500_relative_return
+ FROM sigm s ASOF JOIN fwd f ON s.ticker = f.ticker AND s.date <= f.date ASOF LEFT JOIN (SELECT date, close AS b0, lead(close, 21) OVER (ORDER BY date) AS b21 FROM bench WHERE date < (SELECT max(date) - 180 FROM bench)) b ON s.date <= b.date""", "sigm", "fwd", "bench")
+
+
+def moved_outcomes(m):
+    day = F.dayofmonth("date")
+    moved = raw_signals(m).withColumn("date", F.when(day == 13, F.date_sub("date", 9000)).otherwise(F.date_sub("date", day % 4)))
+    last = m.benchmark.agg(F.max("date").alias("_last"))  # one row
+    short = m.benchmark.crossJoin(F.broadcast(last)).filter(F.col("date") < F.date_sub("_last", 180)).drop("_last")
+    return signals.signal_outcome(moved, m.bars, short)
+
+
+query("signal_outcome", "ticker date:d signal_type return_1w:8 return_1m:8 return_3m:8 return_6m:8 max_drawdown:8 sp500_relative_return:8", "SELECT * FROM outm", "outm")(moved_outcomes)
 
 
 def with_id(df):
@@ -138,7 +152,7 @@ query("momentum_backtest", "lookback:i date:d r:9 turnover:6", "SELECT * FROM mr
 query("momentum_research", "lookback:i cagr:4 sharpe_ratio:4 sortino_ratio:4 max_drawdown:4 win_rate:4 profit_factor:4", perf_sql("mret2", "lookback"), "mret2")(
     lambda m: risk.performance_report(backtest.momentum_backtest(pf.price_matrix(m.bars), (63, 126, 252, 504))[0], ("lookback",)))
 
-SIMS = 200
+SIMS = 5000
 view("arr", "SELECT ticker, array_agg(r ORDER BY date) AS rs, count(*) AS n FROM (SELECT ticker, date, r FROM bx WHERE rn <= 252 AND r IS NOT NULL) GROUP BY 1", "bx")
 
 
@@ -168,12 +182,12 @@ query("model_disagreement", "ticker ratio:7 model_disagreement",
       """SELECT *, CASE WHEN n < 120 OR ratio IS NULL OR ratio > 1.8 OR ratio < 0.55 THEN 'High' WHEN ratio > 1.35 OR ratio < 0.75 THEN 'Medium' ELSE 'Low' END AS model_disagreement FROM (SELECT ticker, max(n_rows) AS n, stddev_samp(CASE WHEN rn <= 30 THEN r END) / nullif(stddev_samp(CASE WHEN rn <= 252 THEN r END), 0) AS ratio FROM rx GROUP BY 1)""", "rx")(
     lambda m: backtest.model_disagreement(ind.daily_returns(m.bars)))
 
-CAL_SIMS = 60
+CAL_SIMS = 500
 view("callr", "SELECT ticker, array_agg(r ORDER BY date) AS rs, count(*) AS n FROM rets GROUP BY 1", "rets")
 view("calc", "SELECT ticker, array_agg(close ORDER BY date) AS cs FROM bars GROUP BY 1", "bars")
 view("calo", f"""SELECT ticker, origin, any_value(now) AS now, any_value(later) AS later, {', '.join(f'quantile_cont(e, {q}) AS q{int(q * 100):02d}' for q in (0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95))}, avg(CASE WHEN e > now THEN 1e0 ELSE 0e0 END) AS pu FROM (SELECT ticker, origin, sim, any_value(now) AS now, any_value(later) AS later, any_value(now) * exp(sum(ln(1 + x))) AS e FROM (
  SELECT ticker, origin, sim, cs[origin + 1] AS now, cs[origin + 31] AS later, rs[CAST((sim * 7919 + day * 104729 + 7) % origin AS BIGINT) + 1] AS x FROM (SELECT callr.*, cs, unnest(range(90, n - 30, 10)) AS origin FROM callr JOIN calc USING (ticker)), range(0, {CAL_SIMS}) AS s(sim), range(0, 30) AS d(day)) GROUP BY 1, 2, 3) GROUP BY 1, 2""", "callr", "calc")
-query("forecast_calibration", "ticker sample_size:i coverage_50:6 coverage_80:6 coverage_90:6 directional_hit_rate:6 brier_score:7 median_absolute_error:7 false_confidence_rate:6 baseline_hit_rate:6 calibration_error:6",
+query("forecast_calibration", "ticker sample_size:i coverage_50:6 coverage_80:6 coverage_90:6 directional_hit_rate:6 brier_score:9 median_absolute_error:9 false_confidence_rate:6 baseline_hit_rate:6 calibration_error:6",
       """SELECT *, abs(coverage_80 - 0.8e0) AS calibration_error FROM (SELECT ticker, count(*) AS sample_size, avg(CASE WHEN later BETWEEN q25 AND q75 THEN 1e0 ELSE 0e0 END) AS coverage_50, avg(CASE WHEN later BETWEEN q10 AND q90 THEN 1e0 ELSE 0e0 END) AS coverage_80, avg(CASE WHEN later BETWEEN q05 AND q95 THEN 1e0 ELSE 0e0 END) AS coverage_90,
  avg(CASE WHEN (pu >= 0.5) = (later >= now) THEN 1e0 ELSE 0e0 END) AS directional_hit_rate, avg(pow(pu - CASE WHEN later >= now THEN 1e0 ELSE 0e0 END, 2)) AS brier_score, median(abs(q50 - later) / now) AS median_absolute_error, avg(CASE WHEN abs(pu - 0.5) >= 0.25 AND (pu >= 0.5) <> (later >= now) THEN 1e0 ELSE 0e0 END) AS false_confidence_rate, avg(CASE WHEN later >= now THEN 1e0 ELSE 0e0 END) AS baseline_hit_rate FROM calo GROUP BY 1)""", "calo")(
     lambda m: backtest.forecast_calibration(m.bars, simulations=CAL_SIMS, mode="arithmetic"))

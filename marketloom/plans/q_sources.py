@@ -121,8 +121,8 @@ def submission_docs(m):
 query("src_filing_meta", "ticker cik form accession_number filing_date report_date source_url",
       f"""SELECT *, 'https://www.sec.gov/Archives/edgar/data/' || ltrim(cik, '0') || '/' || replace(accession_number, '-', '') || '/doc.xml' AS source_url FROM (
  SELECT 'C' || o_custkey AS ticker, lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS cik, form, '0001-24-' || k AS accession_number, CAST(d AS VARCHAR) AS filing_date, CAST(d - 1 AS VARCHAR) AS report_date, row_number() OVER (PARTITION BY o_custkey, yr ORDER BY d DESC, form DESC, k DESC) AS rn FROM (
- SELECT o_custkey, year(o_orderdate) AS yr, CAST(o_orderdate AS DATE) AS d, {FORM_OF} AS form, max(o_orderkey) AS k FROM orders GROUP BY 1, 2, 3, 4) WHERE form IN ('4', 'SC 13D', '13F-HR') AND month(d) <> 1) WHERE rn <= 2""")(
-    lambda m: files.filing_metadata(submission_docs(m), FORMS, 2))
+ SELECT o_custkey, year(o_orderdate) AS yr, CAST(o_orderdate AS DATE) AS d, {FORM_OF} AS form, max(o_orderkey) AS k FROM orders GROUP BY 1, 2, 3, 4) WHERE form IN ('4', 'SC 13D', '13F-HR') AND month(d) <> 1)""")(
+    lambda m: files.filing_metadata(submission_docs(m), FORMS))
 
 
 def cik_docs(m):
@@ -153,10 +153,10 @@ def symbol_lists(m):
         F.array_join(F.transform(F.sort_array(F.collect_list(one)), lambda s: s["raw"]), ",").alias("raw"))
 
 
-view("sym", f"""SELECT *, min(CASE WHEN ok AND nth = 25 THEN p END) OVER (PARTITION BY list_id) AS lastp FROM (SELECT *, CASE WHEN ok AND first THEN sum(CASE WHEN ok AND first THEN 1 ELSE 0 END) OVER (PARTITION BY list_id ORDER BY p) END AS nth FROM (
- SELECT *, row_number() OVER (PARTITION BY list_id, t ORDER BY p) = 1 AS first, regexp_matches(t, '^[A-Z][A-Z0-9.-]{{0,9}}$') AS ok FROM (SELECT CAST(floor(c_custkey / 60) AS BIGINT) AS list_id, row_number() OVER (PARTITION BY floor(c_custkey / 60) ORDER BY c_custkey) - 1 AS p, trim({RAW}) AS raw, replace(upper(trim({RAW})), '/', '-') AS t FROM customer)))""")
+view("sym", f"""SELECT *, CASE WHEN ok AND first THEN sum(CASE WHEN ok AND first THEN 1 ELSE 0 END) OVER (PARTITION BY list_id ORDER BY p) END AS nth FROM (
+ SELECT *, row_number() OVER (PARTITION BY list_id, t ORDER BY p) = 1 AS first, regexp_matches(t, '^[A-Z][A-Z0-9.-]{{0,9}}$') AS ok FROM (SELECT CAST(floor(c_custkey / 60) AS BIGINT) AS list_id, row_number() OVER (PARTITION BY floor(c_custkey / 60) ORDER BY c_custkey) - 1 AS p, trim({RAW}) AS raw, replace(upper(trim({RAW})), '/', '-') AS t FROM customer))""")
 query("clean_symbols", "list_id:i kind position:i value",
-      """SELECT list_id, 'accepted' AS kind, nth - 1 AS position, t AS value FROM sym WHERE nth <= 25 UNION ALL SELECT list_id, 'rejected', p, raw FROM sym WHERE NOT ok AND (lastp IS NULL OR p < lastp)""", "sym")(
+      """SELECT list_id, 'accepted' AS kind, nth - 1 AS position, t AS value FROM sym WHERE nth IS NOT NULL UNION ALL SELECT list_id, 'rejected', p, raw FROM sym WHERE NOT ok""", "sym")(
     lambda m: _symbols(symbol_lists(m)))
 
 

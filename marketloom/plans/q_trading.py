@@ -178,7 +178,7 @@ query("news_tone", "doc_id:i ticker bullish_score:i bearish_score:i importance_s
 view("rep", """SELECT ticker, date, eps_actual, lag(eps_actual) OVER (PARTITION BY ticker ORDER BY date) AS eps_estimate FROM (SELECT o_custkey AS ticker, CAST(o_orderdate AS DATE) AS date, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / 100 AS eps_actual FROM orders GROUP BY 1, 2)""")
 query("earnings_streak", "ticker:i reports:i beat_streak:i miss_streak:i average_surprise_pct:5 last_surprise_pct:5 last_surprise_direction",
       """SELECT *, CASE WHEN last_surprise_pct > 0 THEN 'beat' WHEN last_surprise_pct IS NOT NULL THEN 'miss' END AS last_surprise_direction FROM (SELECT ticker, count(*) AS reports, coalesce(min(rn) FILTER (NOT beat) - 1, count(*)) AS beat_streak, coalesce(min(rn) FILTER (beat) - 1, count(*)) AS miss_streak, avg(s) AS average_surprise_pct, arg_min(s, rn) FILTER (s IS NOT NULL) AS last_surprise_pct FROM (
- SELECT *, coalesce(s > 0, false) AS beat FROM (SELECT *, (eps_actual - eps_estimate) / abs(eps_estimate) * 100 AS s, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS rn FROM rep)) WHERE rn <= 8 GROUP BY 1)""", "rep")(lambda m: filings.earnings_streak(m.earnings))
+ SELECT *, coalesce(s > 0, false) AS beat FROM (SELECT *, (eps_actual - eps_estimate) / abs(eps_estimate) * 100 AS s, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS rn FROM rep)) GROUP BY 1)""", "rep")(lambda m: filings.earnings_streak(m.earnings))
 
 
 def report_dates(m):

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from marketloom import schemas
 from marketloom.functions.expr import notes, truth
 
-MAX_DOCUMENT_BYTES = 5_000_000
 ALLOWED_HOSTS = ("www.sec.gov", "data.sec.gov")  # fixed values
 ARCHIVES = "https://www.sec.gov/Archives"  # fixed value
 
@@ -88,7 +87,7 @@ def form4_class(code: Column, ownership: Column) -> tuple[Column, Column]:
 def form4_transactions(docs: DataFrame, column: str = "xml") -> DataFrame:
     """Form 4 documents to one row per non-derivative transaction. Unreadable XML keeps one row
     with parser_status = failed; a document without transactions yields no row."""
-    text = F.regexp_replace(F.substring(column, 1, MAX_DOCUMENT_BYTES), "(?i)<!DOCTYPE[^>]*>", "")
+    text = F.regexp_replace(column, "(?i)<!DOCTYPE[^>]*>", "")
     opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record", "rowTag": "ownershipDocument"}
     doc = docs.withColumn("_d", F.from_xml(text, schemas.FORM4_DOC, opts))
     failed = F.col("_d").isNull() | F.col("_d._corrupt_record").isNotNull() | ~F.trim(F.col(column)).endswith("</ownershipDocument>")
@@ -127,8 +126,8 @@ def form4_transactions(docs: DataFrame, column: str = "xml") -> DataFrame:
 
 def schedule13(docs: DataFrame, column: str = "text") -> DataFrame:
     """Schedule 13D/13G texts to owner, percent, shares, purpose and amendment flag. The whole
-    text is searched; only documents beyond the size limit are cut, as the source does."""
-    text = F.substring(column, 1, MAX_DOCUMENT_BYTES)
+    text is searched, whatever its length."""
+    text = F.col(column)
     form = F.upper("form_type")
     owner = F.regexp_extract(text, r"(?i)(?:NAME OF REPORTING PERSON|Reporting Person)\s*[:\n]\s*([^\n<]+)", 1)
     percent = F.regexp_extract(text, r"(?i)(\d+(?:\.\d+)?)\s*%", 1)
@@ -155,9 +154,9 @@ def allowed_url(url: Column) -> Column:
     return truth((F.parse_url(url, F.lit("PROTOCOL")) == "https") & F.parse_url(url, F.lit("HOST")).isin(*ALLOWED_HOSTS))
 
 
-def filing_metadata(docs: DataFrame, forms: Sequence[str], limit: int = 20, column: str = "doc") -> DataFrame:
-    """Columnar submissions JSON to rows: the first `limit` filings of the wanted forms per
-    document, in document order, with their source address. The cut happens inside the
+def filing_metadata(docs: DataFrame, forms: Sequence[str], limit: int | None = None, column: str = "doc") -> DataFrame:
+    """Columnar submissions JSON to rows: the filings of the wanted forms per document, in document
+    order, with their source address; `limit` keeps the first so many. All happens inside the
     document's own arrays, so no ranking shuffle is needed."""
     recent = F.from_json(column, schemas.SUBMISSIONS_DOC)["filings"]["recent"]
     d = docs.withColumn("_r", recent)
@@ -166,7 +165,7 @@ def filing_metadata(docs: DataFrame, forms: Sequence[str], limit: int = 20, colu
         zipped,
         lambda x: x["form"].isin(*forms) & (F.coalesce(x["accessionNumber"], F.lit("")) != "") & (F.coalesce(x["primaryDocument"], F.lit("")) != ""),
     )
-    rows = d.select("ticker", "cik", F.posexplode(F.slice(good, 1, limit)).alias("position", "_x"))
+    rows = d.select("ticker", "cik", F.posexplode(good if limit is None else F.slice(good, 1, limit)).alias("position", "_x"))
     return rows.select(
         "ticker",
         "cik",

@@ -127,7 +127,7 @@ def test_option_columns(spark):
 
 def test_symbols(spark):
     lists = spark.createDataFrame([(1, " aapl,msft,AAPL,bad ticker!,BRK-B "), (2, "spy qqq brk/b"), (3, ",".join(f"T{i}" for i in range(30)) + ",bad one!"), (4, "a&b")], "list_id long, raw string")
-    ok, bad = cleaning.clean_symbols(lists)
+    ok, bad = cleaning.clean_symbols(lists, limit=25)
     got = {}
     for r in sorted(ok.collect(), key=lambda r: r["position"]):
         got.setdefault(r["list_id"], []).append(r["ticker"])
