@@ -122,11 +122,11 @@ def signal_type(reason: Column) -> Column:
 STATE_COLUMNS = ("close", "sma50", "sma200", "rsi_weekly", "rsi_monthly", "mrs", "rv", "high_52w", "low_52w", "is_stage_2")
 
 
-def state_row(latest: DataFrame) -> DataFrame:
-    """The stored state of a ticker, with the defaults for missing values."""
+def state_row(latest: DataFrame, *others: str) -> DataFrame:
+    """The stored state of a ticker, with the defaults for missing values; `others` are kept beside it."""
     fill = {"close": 0.0, "sma50": 0.0, "sma200": 0.0, "rsi_weekly": 50.0, "rsi_monthly": 50.0, "mrs": 0.0, "rv": 1.0}
     cols = [F.coalesce(c, F.lit(v)).alias(c) for c, v in fill.items()]
-    out = latest.select("ticker", *cols, "high_52w", "low_52w")
+    out = latest.select("ticker", *others, *cols, "high_52w", "low_52w")
     return out.withColumn("is_stage_2", (F.col("close") > F.col("sma50")) & (F.col("sma50") > F.col("sma200")))
 
 
@@ -250,17 +250,24 @@ def hist_signals(bars: DataFrame, benchmark: DataFrame, ahead: int = 126, per_da
 
 
 def return_zscore(bars: DataFrame, keys: Sequence[str] = ("ticker",), order: str = "date", lookback: int = 252) -> DataFrame:
-    """Every row's return against the up to lookback-1 returns before it (at least 30 in all)."""
+    """Every row's return against the up to lookback-1 returns before it (at least 30 in all). A zero price makes
+    the return after it infinite, so there is no score while one lies in the lookback."""
     r = F.col("r")
     before = over(keys, order).rowsBetween(-(lookback - 1), -1)
     seen = F.count(r).over(before)
     sd = F.stddev_samp(r).over(before)
-    out = bars.withColumn("r", pct_change("close", 1, keys, order)).withColumn(
-        "z_score", F.when(seen >= 29, safe_div(r - F.avg(r).over(before), sd))
-    )
+    after_zero = (lagged("close", 1, keys, order) == 0).cast("int")
+    broken = F.coalesce(F.max("_after_zero").over(over(keys, order).rowsBetween(-(lookback - 1), 0)), F.lit(0)) == 1
+    out = bars.withColumn("r", pct_change("close", 1, keys, order)).withColumn("_after_zero", after_zero)
+    out = out.withColumn("z_score", F.when((seen >= 29) & ~broken, safe_div(r - F.avg(r).over(before), sd)))
+    return with_abnormality(out.drop("_after_zero"))
+
+
+def with_abnormality(scored: DataFrame) -> DataFrame:
+    """`abnormality` and `normal_percentile` of the column `z_score`."""
     z = F.col("z_score")
     side = F.when(z > 0, "upside").otherwise("downside")
-    return out.withColumn(
+    return scored.withColumn(
         "abnormality",
         F.when(z.isNull(), "Normal")
         .when(F.abs(z) >= 3, F.concat(F.lit("extremely unusual "), side, F.lit(" move")))
@@ -302,6 +309,12 @@ def intraday_reasons(bars: DataFrame, move_pct: float = 2.0, ratio: float = 2.0,
         .withColumn("prev20", lagged("sma20", 1, keys, order))
         .withColumn("prev50", lagged("sma50", 1, keys, order))
     )
+    return bar_rules(out, move_pct, ratio, z_limit)
+
+
+def bar_rules(features: DataFrame, move_pct: float = 2.0, ratio: float = 2.0, z_limit: float = 2.0) -> DataFrame:
+    """`reasons` of a bar from its features; the one rule table of the batch and the stream."""
+    out, c = features, F.col("close")
     p, m = F.col("prev"), F.col("move_pct")
     long = F.col("i") >= 50
     wide = F.col("i") >= 2

@@ -112,12 +112,12 @@ def fr(a, b):
     return f"(PARTITION BY ticker ORDER BY ts ROWS BETWEEN {a} PRECEDING AND {b})"
 
 
-view("iv0", f"""SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts) - 1 AS i, lag(close) OVER (PARTITION BY ticker ORDER BY ts) AS p, close / lag(close) OVER (PARTITION BY ticker ORDER BY ts) - 1 AS r,
+view("iv0", f"""SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts) - 1 AS i, lag(close) OVER (PARTITION BY ticker ORDER BY ts) AS p, close / nullif(lag(close) OVER (PARTITION BY ticker ORDER BY ts), 0) - 1 AS r,
  sum((high + low + close) / 3 * volume) OVER {fr(77, 'CURRENT ROW')} / nullif(sum(volume) OVER {fr(77, 'CURRENT ROW')}, 0) AS vwap, sum((high + low + close) / 3 * volume) OVER {fr(77, '1 PRECEDING')} / nullif(sum(volume) OVER {fr(77, '1 PRECEDING')}, 0) AS pvwap FROM intra""", "intra")
 query("session_vwap", "ticker ts vwap:9", "SELECT ticker, strftime(ts, '%Y-%m-%d %H:%M') AS ts, vwap FROM iv0", "iv0")(
     lambda m: events.session_vwap(m.intraday).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm")))
-view("iv1", f"""SELECT *, CASE WHEN c >= 29 THEN (r - a) / nullif(s, 0) END AS z FROM (SELECT *, count(r) OVER {fr(251, '1 PRECEDING')} AS c, avg(r) OVER {fr(251, '1 PRECEDING')} AS a, stddev_samp(r) OVER {fr(251, '1 PRECEDING')} AS s,
- coalesce((close - p) / p * 100, 0) AS move_pct, coalesce(volume / nullif(avg(volume) OVER {fr(19, 'CURRENT ROW')}, 0), 0) AS volume_ratio, CASE WHEN i >= 20 THEN max(high) OVER {fr(20, '1 PRECEDING')} END AS ph, CASE WHEN i >= 20 THEN min(low) OVER {fr(20, '1 PRECEDING')} END AS pl,
+view("iv1", f"""SELECT *, CASE WHEN c >= 29 AND NOT broken THEN (r - a) / nullif(s, 0) END AS z FROM (SELECT *, coalesce(max(CASE WHEN p = 0 THEN 1 ELSE 0 END) OVER {fr(251, 'CURRENT ROW')}, 0) = 1 AS broken, count(r) OVER {fr(251, '1 PRECEDING')} AS c, avg(r) OVER {fr(251, '1 PRECEDING')} AS a, stddev_samp(r) OVER {fr(251, '1 PRECEDING')} AS s,
+ coalesce((close - p) / nullif(p, 0) * 100, 0) AS move_pct, coalesce(volume / nullif(avg(volume) OVER {fr(19, 'CURRENT ROW')}, 0), 0) AS volume_ratio, CASE WHEN i >= 20 THEN max(high) OVER {fr(20, '1 PRECEDING')} END AS ph, CASE WHEN i >= 20 THEN min(low) OVER {fr(20, '1 PRECEDING')} END AS pl,
  {roll('avg', 'close', 20, None, 'ticker', 'ts')} AS s20, {roll('avg', 'close', 50, None, 'ticker', 'ts')} AS s50 FROM iv0)""", "iv0")
 view("ireason", f"""SELECT ticker, ts, move_pct, volume_ratio, z, {ABN} AS abnormality, list_sort(list_filter([CASE WHEN abs(z) >= 2 THEN 'abnormal move z-score # (' || {ABN} || '; larger than ~#% of normal bars)' END, CASE WHEN abs(move_pct) >= 2 THEN '#m price move #%' END,
  CASE WHEN volume_ratio >= 2 THEN 'volume spike #x' END, CASE WHEN close >= ph THEN 'intraday breakout above #' END, CASE WHEN close <= pl THEN 'intraday breakdown below #' END,

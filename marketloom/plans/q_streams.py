@@ -32,16 +32,18 @@ query("st_sliding", "ticker ts events:i mean_value:7 mean_size:7",
 
 
 def alert_stream(m):
-    bars = m.spark.readStream.schema(BARS).parquet(bars_folder(m))
-    return streams.bar_alerts(bars)
+    """Alerts chained to the closed windows of the event stream, which arrive in time order."""
+    return streams.bar_alerts(streams.window_bars(streams.read_events(m.spark, m.folder)))
 
 
-TEXTS = (("abnormal move", "abnormal move%"), ("price move", "#m price move%"), ("volume spike", "volume spike%"), ("breakout", "intraday breakout%"), ("breakdown", "intraday breakdown%"), ("reclaimed SMA20", "price reclaimed intraday%"), ("lost SMA20", "price lost intraday%"),
-         ("SMA20 above SMA50", "%crossed above SMA%"), ("SMA20 below SMA50", "%crossed below SMA%"), ("reclaimed VWAP", "price reclaimed session%"), ("lost VWAP", "price lost session%"))
-SHORT = "CASE " + " ".join(f"WHEN t LIKE '{like}' THEN '{short}'" for short, like in TEXTS) + " END"
-view("sal", f"""SELECT ticker, ts, move_pct, volume_ratio, z, array_to_string(list_sort(list_transform(reasons, lambda t: {SHORT})), '|') AS reasons FROM ireason JOIN (SELECT ticker, ts FROM sb) k USING (ticker, ts)""", "ireason", "sb")
+def plain(df):
+    """Times to minutes; reasons with their numbers masked, as one text."""
+    return minutes(df, "ts").withColumn("reasons", F.array_join(q_events.masked(F.col("reasons")), "|"))
+
+
+view("sal", "SELECT ticker, ts, move_pct, volume_ratio, z, array_to_string(reasons, '|') AS reasons FROM ireason JOIN (SELECT ticker, ts FROM sb) k USING (ticker, ts)", "ireason", "sb")
 query("st_alerts", "ticker ts move_pct:6 volume_ratio:6 z_score:6 reasons", "SELECT ticker, strftime(ts, '%Y-%m-%d %H:%M') AS ts, move_pct, volume_ratio, z AS z_score, reasons FROM sal", "sal")(
-    lambda m: minutes(m.spark.read.schema(streams.ALERTS).parquet(streams.finish(alert_stream(m), "alerts")), "ts").withColumn("reasons", F.array_join("reasons", "|")))
+    lambda m: plain(m.spark.read.schema(streams.ALERTS).parquet(streams.finish(alert_stream(m), "alerts"))))
 
 
 def deduped(m):
@@ -55,7 +57,7 @@ def deduped(m):
 
 
 query("st_alert_dedupe", "ticker ts reasons", "SELECT ticker, strftime(ts, '%Y-%m-%d %H:%M') AS ts, reasons FROM sal WHERE reasons <> ''", "sal")(
-    lambda m: minutes(deduped(m), "ts").withColumn("reasons", F.array_join("reasons", "|")))
+    lambda m: plain(deduped(m)))
 
 
 def snapshot_stream(m):
@@ -66,19 +68,26 @@ def snapshot_stream(m):
     return m.spark.readStream.schema(rows.schema).parquet(path)
 
 
-view("trs", """SELECT ticker, date, n, concat_ws('|', CASE WHEN st AND NOT pst THEN 'Entered Stage 2' WHEN NOT st AND pst THEN 'Exited Stage 2' END, CASE WHEN coalesce(mrs, 0) > 0 AND pm <= 0 THEN 'RS breakout' WHEN coalesce(mrs, 0) < 0 AND pm >= 0 THEN 'RS breakdown' END, CASE WHEN coalesce(rv, 1) >= 2 AND pv < 2 THEN 'Volume spike' END,
- CASE WHEN close > sma200 AND prev <= q200 THEN 'Price above SMA200' WHEN close < sma200 AND prev >= q200 THEN 'Price below SMA200' END, CASE WHEN close > sma50 AND prev <= q50 THEN 'Price above SMA50' WHEN close < sma50 AND prev >= q50 THEN 'Price below SMA50' END, CASE WHEN rsi_monthly > 40 AND qm <= 40 THEN 'Monthly RSI above 40' END, CASE WHEN rsi_weekly < 40 AND qw >= 40 THEN 'Weekly RSI below 40' END,
- CASE WHEN close >= high_52w AND prev < ph THEN 'New 52-week high' END, CASE WHEN close <= low_52w AND prev > pl THEN 'New 52-week low' END) AS alerts FROM (SELECT *, row_number() OVER w AS n, coalesce(close > sma50 AND sma50 > sma200, false) AS st, coalesce(lag(close) OVER w > coalesce(lag(sma50) OVER w, 0) AND coalesce(lag(sma50) OVER w, 0) > coalesce(lag(sma200) OVER w, 0), false) AS pst, coalesce(lag(mrs) OVER w, 0) AS pm, coalesce(lag(rv) OVER w, 1) AS pv,
+view("trs", """SELECT ticker, date, n, concat_ws('|', CASE WHEN st AND NOT pst THEN 'Entered Stage # alignment' WHEN NOT st AND pst THEN 'Exited Stage # alignment' END, CASE WHEN coalesce(mrs, 0) > 0 AND pm <= 0 THEN 'RS breakout vs benchmark' WHEN coalesce(mrs, 0) < 0 AND pm >= 0 THEN 'RS breakdown vs benchmark' END, CASE WHEN coalesce(rv, 1) >= 2 AND pv < 2 THEN 'Volume spike: #x normal' END,
+ CASE WHEN close > sma200 AND prev <= q200 THEN 'Price crossed above SMA#' WHEN close < sma200 AND prev >= q200 THEN 'Price crossed below SMA#' END, CASE WHEN close > sma50 AND prev <= q50 THEN 'Price crossed above SMA#' WHEN close < sma50 AND prev >= q50 THEN 'Price crossed below SMA#' END, CASE WHEN rsi_monthly > 40 AND qm <= 40 THEN 'Monthly RSI crossed above #' END, CASE WHEN rsi_weekly < 40 AND qw >= 40 THEN 'Weekly RSI crossed below #' END,
+ CASE WHEN close >= high_52w AND prev < ph THEN 'New #-week high' END, CASE WHEN close <= low_52w AND prev > pl THEN 'New #-week low' END) AS alerts FROM (SELECT *, row_number() OVER w AS n, coalesce(close > sma50 AND sma50 > sma200, false) AS st, coalesce(lag(close) OVER w > coalesce(lag(sma50) OVER w, 0) AND coalesce(lag(sma50) OVER w, 0) > coalesce(lag(sma200) OVER w, 0), false) AS pst, coalesce(lag(mrs) OVER w, 0) AS pm, coalesce(lag(rv) OVER w, 1) AS pv,
  coalesce(lag(sma200) OVER w, 0) AS q200, coalesce(lag(sma50) OVER w, 0) AS q50, coalesce(lag(rsi_monthly) OVER w, 50) AS qm, coalesce(lag(rsi_weekly) OVER w, 50) AS qw, lag(high_52w) OVER w AS ph, lag(low_52w) OVER w AS pl FROM ind WINDOW w AS (PARTITION BY ticker ORDER BY date))""", "ind")
 query("st_transitions", "ticker date:d alerts", "SELECT ticker, date, CASE WHEN n = 1 THEN 'Initial data recorded. Monitoring for transitions.' ELSE alerts END AS alerts FROM trs", "trs")(
-    lambda m: m.spark.read.schema(streams.TRANSITIONS).parquet(streams.finish(streams.transitions(snapshot_stream(m)), "transitions")).withColumn("alerts", F.array_join("alerts", "|")))
+    lambda m: m.spark.read.parquet(streams.finish(streams.transitions(snapshot_stream(m)), "transitions")).withColumn(
+        "alerts", F.regexp_replace(F.array_join("alerts", "|"), "(?<![A-Za-z])-?[0-9][0-9.]*|(?<=SMA)[0-9]+", "#")))
 
 
 def latest_prices(m):
-    """Latest trade per ticker kept up to date by micro-batches."""
-    events = streams.read_events(m.spark, m.folder)
-    base = streams.upsert_stream(events.select("ticker", "event_id", "cents", "size"), ["ticker"], "event_id")
-    return streams.read_upserted(m.spark, base, ["ticker"])
+    """Latest trade per ticker kept up to date by micro-batches of one file each; events lie in the files
+    by their number modulo 5, so every batch after the first brings late rows, and compaction runs."""
+    path = streams.run_folder(m.spark, "trades")
+    events = m.table("events").select(
+        F.concat(F.lit("U"), F.col("user_id") % 25).alias("ticker"), "event_id", F.round(F.col("value") * 100).cast("long").alias("cents"),
+        F.get_json_object("props", "$.k").cast("double").alias("size"))
+    events.repartition(5, F.pmod("event_id", F.lit(5))).write.parquet(path)
+    trades = m.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    base = streams.upsert_stream(trades, ["ticker"], "event_id", compact_every=3)
+    return streams.read_upserted(m.spark, base, ["ticker"], "event_id")
 
 
 query("st_sink", "ticker event_id:i cents:i size:2", "SELECT 'U' || CAST(user_id % 25 AS VARCHAR) AS ticker, max(event_id) AS event_id, arg_max(CAST(round(value * 100) AS BIGINT), event_id) AS cents, arg_max(CAST(json_extract_string(props, '$.k') AS DOUBLE), event_id) AS size FROM events GROUP BY 1")(latest_prices)

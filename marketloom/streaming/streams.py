@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import uuid
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from marketloom.operators import events
 from marketloom.operators.tables import last_per_key
 from marketloom.session import shared_dir
 
@@ -40,10 +42,11 @@ def read_events(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def window_bars(events: DataFrame, width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
-    """Tumbling OHLCV bars; rows later than the watermark are dropped."""
+def window_bars(trades: DataFrame, width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
+    """Tumbling OHLCV bars; rows later than the watermark are dropped, and in append mode the windows that the
+    last watermark has not passed are not sent."""
     return (
-        events.withWatermark("ts", late)
+        trades.withWatermark("ts", late)
         .groupBy(F.window("ts", width).alias("w"), "ticker")
         .agg(
             (F.min_by("cents", "event_id") / 100.0).alias("open"),
@@ -56,10 +59,10 @@ def window_bars(events: DataFrame, width: str = "5 minutes", late: str = "10 min
     )
 
 
-def sliding_means(events: DataFrame, width: str = "100 minutes", step: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
+def sliding_means(trades: DataFrame, width: str = "100 minutes", step: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """Sliding mean price and volume, the time form of a 20-bar mean."""
     return (
-        events.withWatermark("ts", late)
+        trades.withWatermark("ts", late)
         .groupBy(F.window("ts", width, step).alias("w"), "ticker")
         .agg(F.count(F.lit(1)).alias("events"), (F.avg("cents") / 100.0).alias("mean_value"), F.avg("size").alias("mean_size"))
         .select("ticker", F.col("w.start").alias("ts"), F.col("w.end").alias("until"), "events", "mean_value", "mean_size")
@@ -82,80 +85,91 @@ def finish(stream: DataFrame, name: str, mode: str = "append") -> str:
     return out
 
 
-ALERTS = "ticker string, ts timestamp, close double, move_pct double, volume_ratio double, z_score double, reasons array<string>"
+FEATURES = (
+    "i prev high low close move_pct volume_ratio z_score prior_high prior_low sma20 sma50 prev20 prev50 vwap prev_vwap"
+).split()
+BAR_FEATURES = "ticker string, ts timestamp, " + ", ".join(f"{f} double" for f in FEATURES)
+ALERTS = "ticker string, ts timestamp, close double, move_pct double, volume_ratio double, z_score double, abnormality string, reasons array<string>"
 KEEP = 253  # bars of state: 252 returns for the z-score
 
 
-class BarAlerts(StatefulProcessor):
-    """Reasons per five-minute bar from the ticker's last bars. State is one bounded list."""
+class BarFeatures(StatefulProcessor):
+    """Features of each five-minute bar from the ticker's last bars. State is one bounded list.
+
+    Bars must reach it in time order from one micro-batch to the next, as closed windows behind a
+    watermark do; a bar not later than the last one seen is dropped. A micro-batch's bars of a ticker
+    are sorted in memory: the trigger's input limit bounds them."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("recent", "bars string, seen long")
+        self.state = handle.getValueState("recent", "bars string, seen long, last timestamp")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows)).sort_values("ts")
-        bars, seen = ([], 0)
+        old, seen = np.zeros((0, 4)), 0
         if self.state.exists():
             stored = self.state.get()
-            bars, seen = json.loads(stored[0]), stored[1]
-        out = []
-        for b in new.itertuples(index=False):
-            bars.append([b.high, b.low, b.close, b.volume])
-            bars = bars[-KEEP:]
-            seen += 1
-            out.append((key[0], b.ts, *bar_reasons(np.array(bars, dtype=float), seen)))
-        self.state.update((json.dumps(bars), seen))
-        yield pd.DataFrame(out, columns=["ticker", "ts", "close", "move_pct", "volume_ratio", "z_score", "reasons"])
+            old, seen = np.array(json.loads(stored[0]), dtype=float).reshape(-1, 4), stored[1]
+            new = new[new["ts"] > pd.Timestamp(stored[2]).tz_localize(new["ts"].dt.tz)]
+        if not len(new):
+            return
+        bars = np.concatenate([old, new[["high", "low", "close", "volume"]].to_numpy(float)])
+        self.state.update((json.dumps(bars[-KEEP:].tolist()), seen + len(new), new["ts"].iloc[-1]))
+        made = pd.DataFrame(bar_features(bars, seen - len(old))[len(old) :], columns=FEATURES)
+        made.insert(0, "ts", new["ts"].to_numpy())
+        made.insert(0, "ticker", key[0])
+        yield made
 
     def close(self) -> None:
         pass
 
 
-def bar_reasons(bars: np.ndarray, seen: int, move: float = 2.0, ratio: float = 2.0, look: int = 20, limit: float = 2.0):
-    """Reasons of the last bar; rows are (high, low, close, volume). Texts carry no numbers."""
+def _frames(x: np.ndarray, n: int) -> np.ndarray:
+    """Row k: the last n values up to x[k], filled with NaN before the first."""
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(n - 1, np.nan), x]), n)
+
+
+def bar_features(bars: np.ndarray, before: int, look: int = 20, step: int = 4096) -> np.ndarray:
+    """FEATURES of every bar; rows are (high, low, close, volume), `before` bars of the ticker lie before them.
+    The frames are laid out for `step` bars at a time."""
+    reach = 260
+    parts = []
+    for at in range(0, len(bars), step):
+        low = max(0, at - reach)
+        parts.append(_some_features(bars[low : at + step], before + low, look)[at - low :])
+    return np.concatenate(parts)
+
+
+def _some_features(bars: np.ndarray, before: int, look: int) -> np.ndarray:
     high, low, close, vol = bars.T
-    c = close[-1]
-    prev = close[-2] if len(close) > 1 else None
-    pct = (c - prev) / prev * 100 if prev else 0.0
-    mean_vol = vol[-20:].mean()
-    vr = vol[-1] / mean_vol if mean_vol else 0.0
-    z = None
-    if seen >= 31:
-        r = close[1:] / close[:-1] - 1
-        past = r[-252:][:-1]
-        sd = past.std(ddof=1)
-        z = float((r[-1] - past.mean()) / sd) if sd else None
-    found = []
-    if z is not None and abs(z) >= limit:
-        found.append("abnormal move")
-    if abs(pct) >= move:
-        found.append("price move")
-    if vr >= ratio:
-        found.append("volume spike")
-    if seen > look:
-        if c >= high[-look - 1 : -1].max():
-            found.append("breakout")
-        if c <= low[-look - 1 : -1].min():
-            found.append("breakdown")
-    if seen > 50:
-        s20, p20 = close[-20:].mean(), close[-21:-1].mean()
-        s50, p50 = close[-50:].mean(), close[-51:-1].mean()
-        for hit, text in (
-            (prev <= p20 and c > s20, "reclaimed SMA20"), (prev >= p20 and c < s20, "lost SMA20"),
-            (p20 <= p50 and s20 > s50, "SMA20 above SMA50"), (p20 >= p50 and s20 < s50, "SMA20 below SMA50"),
-        ):
-            if hit:
-                found.append(text)
-    if seen > 2:
-        tail = slice(-78, None)
-        tp, v = (high[tail] + low[tail] + close[tail]) / 3, vol[tail]
-        if v[:-1].sum() and v.sum():
-            now, was = (tp * v).sum() / v.sum(), (tp[:-1] * v[:-1]).sum() / v[:-1].sum()
-            if prev <= was and c > now:
-                found.append("reclaimed VWAP")
-            if prev >= was and c < now:
-                found.append("lost VWAP")
-    return float(c), float(pct), float(vr), z, sorted(set(found))
+    n, none = len(close), np.nan
+    i = before + np.arange(n)
+    with np.errstate(all="ignore"), warnings.catch_warnings():
+        warnings.simplefilter("ignore", RuntimeWarning)  # means of frames that are still empty
+        prev = np.concatenate([[none], close[:-1]])
+        r = close / prev - 1
+        pct = np.nan_to_num(np.where(prev == 0, 0.0, (close - prev) / prev * 100))
+        mean_vol = np.nanmean(_frames(vol, 20), axis=1)
+        ratio = np.nan_to_num(np.where(mean_vol == 0, 0.0, vol / mean_vol))
+        past = _frames(np.concatenate([[none], r[:-1]]), 251)
+        seen = np.sum(~np.isnan(past), axis=1)
+        sd = np.nanstd(past, axis=1, ddof=1)
+        broken = np.isinf(past).any(axis=1) | ~np.isfinite(r) | np.isnan(sd) | (sd == 0) | (seen < 29)
+        # a zero price makes the return after it infinite, or undefined after another zero
+        broken |= (_frames(np.where(prev == 0, 1.0, 0.0), 252) == 1).any(axis=1)
+        z = np.where(broken, none, (r - np.nanmean(past, axis=1)) / np.where(sd == 0, none, sd))
+        shift = lambda x: np.concatenate([[none], x[:-1]])
+        top, bottom = _frames(shift(high), look).max(axis=1), _frames(shift(low), look).min(axis=1)
+        s20, s50 = _frames(close, 20).mean(axis=1), _frames(close, 50).mean(axis=1)
+        flow, size = np.nan_to_num((high + low + close) / 3 * vol), np.nan_to_num(vol)
+
+        def ratio_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            total = np.nansum(b, axis=1)
+            return np.where(total == 0, none, np.nansum(a, axis=1) / total)
+
+        vwap = ratio_of(_frames(flow, 78), _frames(size, 78))
+        earlier = ratio_of(_frames(shift(flow), 77), _frames(shift(size), 77))
+        out = [i, prev, high, low, close, pct, ratio, z, top, bottom, s20, s50, shift(s20), shift(s50), vwap, earlier]
+    return np.column_stack(out)
 
 
 def stateful(rows: DataFrame, processor: StatefulProcessor, schema: str) -> DataFrame:
@@ -166,7 +180,12 @@ def stateful(rows: DataFrame, processor: StatefulProcessor, schema: str) -> Data
 
 
 def bar_alerts(bars: DataFrame) -> DataFrame:
-    return stateful(bars.select("ticker", "ts", "high", "low", "close", "volume"), BarAlerts(), ALERTS)
+    """Reasons of each bar of a stream of closed bars, by the rules of `events.bar_rules`."""
+    made = stateful(bars.select("ticker", "ts", "high", "low", "close", "volume"), BarFeatures(), BAR_FEATURES)
+    # what a frame lacks is null, as in the batch
+    made = made.select("ticker", "ts", *[F.when(~F.isnan(f), F.col(f)).alias(f) for f in FEATURES])
+    ruled = events.bar_rules(events.with_abnormality(made))
+    return ruled.select("ticker", "ts", "close", "move_pct", "volume_ratio", "z_score", "abnormality", "reasons")
 
 
 def dedupe_alerts(alerts: DataFrame, late: str = "1 day") -> DataFrame:
@@ -175,83 +194,77 @@ def dedupe_alerts(alerts: DataFrame, late: str = "1 day") -> DataFrame:
     return alerts.filter(F.size("reasons") > 0).withColumn("alert_key", key).withWatermark("ts", late).dropDuplicatesWithinWatermark(["alert_key"])
 
 
-TRANSITIONS = "ticker string, date date, alerts array<string>"
 FIELDS = ("close", "sma50", "sma200", "rsi_weekly", "rsi_monthly", "mrs", "rv", "high_52w", "low_52w")
+PAIRS = "ticker string, date date, first boolean, " + ", ".join(f"{side}_{f} double" for side in ("now", "before") for f in FIELDS)
 
 
-class Transitions(StatefulProcessor):
-    """Alerts between consecutive snapshots of a ticker; the stored snapshot is the state."""
+class Snapshots(StatefulProcessor):
+    """Consecutive snapshots of a ticker side by side; the last snapshot is the state. One not later than it
+    is dropped; a micro-batch's snapshots of a ticker are sorted in memory."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("last", "snapshot string")
+        self.state = handle.getValueState("last", "date string, snapshot string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows)).sort_values("date")
-        before = json.loads(self.state.get()[0]) if self.state.exists() else None
-        out = []
-        for row in new.itertuples(index=False):
-            now = {f: None if pd.isna(getattr(row, f)) else float(getattr(row, f)) for f in FIELDS}
-            out.append((key[0], row.date, transition_texts(now, before)))
-            before = stored_snapshot(now)
-        self.state.update((json.dumps(before),))
-        yield pd.DataFrame(out, columns=["ticker", "date", "alerts"])
+        stored = self.state.get() if self.state.exists() else None
+        if stored is not None:
+            new = new[new["date"].astype(str) > stored[0]]
+        if not len(new):
+            return
+        now = new[list(FIELDS)].to_numpy(float, na_value=np.nan)
+        first = np.full((1, len(FIELDS)), np.nan) if stored is None else np.array(json.loads(stored[1]), dtype=float)[None, :]
+        before = np.concatenate([first, now[:-1]])
+        self.state.update((str(new["date"].iloc[-1]), json.dumps([None if np.isnan(x) else x for x in now[-1]])))
+        made = pd.DataFrame(np.column_stack([now, before]), columns=[f"{side}_{f}" for side in ("now", "before") for f in FIELDS])
+        made.insert(0, "first", [stored is None and k == 0 for k in range(len(new))])
+        made.insert(0, "date", new["date"].to_numpy())
+        made.insert(0, "ticker", key[0])
+        yield made
 
     def close(self) -> None:
         pass
 
 
-def stored_snapshot(now: dict) -> dict:
-    fill = {"close": 0.0, "sma50": 0.0, "sma200": 0.0, "rsi_weekly": 50.0, "rsi_monthly": 50.0, "mrs": 0.0, "rv": 1.0}
-    s = {f: fill.get(f) if now[f] is None else now[f] for f in FIELDS}
-    s["is_stage_2"] = s["close"] > s["sma50"] > s["sma200"]
-    return s
-
-
-def transition_texts(now: dict, before: dict | None) -> list[str]:
-    if before is None:
-        return ["Initial data recorded. Monitoring for transitions."]
-
-    def up(a, pa, b, pb):
-        return None not in (a, pa, b, pb) and a > b and pa <= pb
-
-    def down(a, pa, b, pb):
-        return None not in (a, pa, b, pb) and a < b and pa >= pb
-
-    c, pc = now["close"], before["close"]
-    mrs, rv = now["mrs"] or 0.0, 1.0 if now["rv"] is None else now["rv"]
-    stage = None not in (c, now["sma50"], now["sma200"]) and c > now["sma50"] > now["sma200"]
-    rules = (
-        (stage and not before["is_stage_2"], "Entered Stage 2"),
-        (not stage and before["is_stage_2"], "Exited Stage 2"),
-        (mrs > 0 and before["mrs"] <= 0, "RS breakout"),
-        (mrs < 0 and before["mrs"] >= 0, "RS breakdown"),
-        (rv >= 2.0 and before["rv"] < 2.0, "Volume spike"),
-        (up(c, pc, now["sma200"], before["sma200"]), "Price above SMA200"),
-        (down(c, pc, now["sma200"], before["sma200"]), "Price below SMA200"),
-        (up(c, pc, now["sma50"], before["sma50"]), "Price above SMA50"),
-        (down(c, pc, now["sma50"], before["sma50"]), "Price below SMA50"),
-        (up(now["rsi_monthly"], before["rsi_monthly"], 40.0, 40.0), "Monthly RSI above 40"),
-        (down(now["rsi_weekly"], before["rsi_weekly"], 40.0, 40.0), "Weekly RSI below 40"),
-        (None not in (c, now["high_52w"], pc, before["high_52w"]) and c >= now["high_52w"] and pc < before["high_52w"], "New 52-week high"),
-        (None not in (c, now["low_52w"], pc, before["low_52w"]) and c <= now["low_52w"] and pc > before["low_52w"], "New 52-week low"),
+def transitions(snapshots: DataFrame) -> DataFrame:
+    """Alerts between consecutive snapshots of a ticker, by the rules of `events.transition_alerts`."""
+    pairs = stateful(snapshots.select("ticker", "date", *FIELDS), Snapshots(), PAIRS)
+    value = lambda side, f: F.when(~F.isnan(f"{side}_{f}"), F.col(f"{side}_{f}")).alias(f)
+    stored = events.state_row(pairs.select("ticker", "date", "first", F.struct(*[value("now", f) for f in FIELDS]).alias("now"), *[value("before", f) for f in FIELDS]), "date", "first", "now")
+    sides = stored.select("ticker", "date", "first", "now", F.struct(*events.STATE_COLUMNS).alias("before"))
+    return sides.select(
+        "ticker", "date", F.when(F.col("first"), F.array(F.lit(events.FIRST_RUN))).otherwise(events.transition_alerts("now", "before")).alias("alerts")
     )
-    return [text for hit, text in rules if hit]
 
 
-def transitions(snapshots: DataFrame) -> DataFrame:
-    return stateful(snapshots.select("ticker", "date", *FIELDS), Transitions(), TRANSITIONS)
+def newest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The row of the highest (order, version) per key: a late event never beats a newer one, and of
+    equal ones the later micro-batch wins."""
+    return last_per_key(rows.withColumn("_at", F.struct(order, "_version")), keys, "_at").drop("_at")
+
 
+def upsert_stream(rows: DataFrame, keys: list[str], order: str, buckets: int = 16, compact_every: int = 8) -> str:
+    """Keep the newest row per key, by `order`, in one table folder partitioned by version and key bucket.
 
-def upsert_stream(rows: DataFrame, keys: list[str], order: str, buckets: int = 16) -> str:
-    """Keep the newest row per key in a table folder. Each micro-batch writes its own newest rows
-    as one folder version by key bucket (a retried batch overwrites only itself); readers take
-    the newest version of each key."""
-    base = run_folder(rows.sparkSession, "upsert")
+    Each micro-batch writes its own newest rows as a version (a retried batch overwrites only itself). Every
+    `compact_every` batches the version written holds the newest rows of all versions before it, which
+    are then removed; a failure between the two leaves rows that readers already rank below."""
+    spark = rows.sparkSession
+    base = run_folder(spark, "upsert")
     place = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        new = last_per_key(batch, keys, order).withColumn("_bucket", place).withColumn("_version", F.lit(batch_id))
-        new.write.mode("overwrite").partitionBy("_bucket").parquet(f"{base}/v{batch_id}")
+        new = batch.withColumn("_version", F.lit(batch_id).cast("long"))
+        old = _versions(spark, base) if (batch_id + 1) % compact_every == 0 else []
+        if old:
+            before = spark.read.option("basePath", base).parquet(*[f"{base}/_version={v}" for v in old if v < batch_id])
+            new = new.unionByName(before.drop("_bucket").withColumn("_version", F.col("_version").cast("long")))
+        out = newest(new, keys, order).withColumn("_bucket", place).drop("_version")
+        out.write.mode("overwrite").partitionBy("_bucket").parquet(f"{base}/_version={batch_id}")
+        for v in old:
+            if v < batch_id:
+                path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/_version={v}")
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
     q = (
         rows.writeStream.foreachBatch(apply).option("checkpointLocation", base + "-checkpoint").trigger(availableNow=True).start()
@@ -260,7 +273,17 @@ def upsert_stream(rows: DataFrame, keys: list[str], order: str, buckets: int = 1
     return base
 
 
-def read_upserted(spark: SparkSession, base: str, keys: list[str]) -> DataFrame:
-    """Current rows of an upsert folder: the newest version of each key."""
-    rows = spark.read.option("basePath", base).option("mergeSchema", "false").parquet(f"{base}/v*")
-    return last_per_key(rows.drop("_bucket"), keys, "_version").drop("_version")
+def _versions(spark: SparkSession, base: str) -> list[int]:
+    """Numbers of the versions in an upsert folder; at most `compact_every` of them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(path):
+        return []
+    names = [f.getPath().getName() for f in store.listStatus(path)]
+    return sorted(int(n.split("=")[1]) for n in names if n.startswith("_version="))
+
+
+def read_upserted(spark: SparkSession, base: str, keys: list[str], order: str) -> DataFrame:
+    """Current rows of an upsert folder: the newest row of each key over all versions."""
+    rows = spark.read.option("basePath", base).parquet(*[f"{base}/_version={v}" for v in _versions(spark, base)])
+    return newest(rows.drop("_bucket"), keys, order).drop("_version")
