@@ -29,15 +29,14 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return others.unionByName(least.filter("u <> m").select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(links: DataFrame, left: str, right: str, rounds: int = 64) -> DataFrame:
-    """`node`, `component` (its smallest node) of every node in a link between different nodes."""
+def connected_components(links: DataFrame, left: str, right: str, rows: int | None = None, rounds: int = 64) -> DataFrame:
+    """rows: about how many links there are, where that is known. `node`, `component` (its smallest node) of every node in a link between different nodes."""
     table = links.filter(F.col(left) != F.col(right)).select(F.col(left).alias("u"), F.col(right).alias("v")).distinct()
-    table, state = kept(table), None
+    table, state = kept(table, rows), None
     for _ in range(rounds):
-        table = kept(_star(_star(table, True), False))
         # a stable sum of hashes says that no link moved
-        now = table.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == state:
+        now = tuple(table.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == state or not now[0]:
             return table.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        state = tuple(now)
+        state, table = now, kept(_star(_star(table, True), False), now[0])
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -234,7 +234,7 @@ def links(prints: DataFrame, radius: int = RADIUS, shared: int = SHARED, tile: i
 
 def _components(classes: DataFrame, radius: int, shared: int) -> DataFrame:
     """`classes` (distinct `fp`) with `component`, the smallest fingerprint reachable."""
-    nodes = connected_components(links(classes.select("fp"), radius, shared), "a", "b")
+    nodes = connected_components(links(classes.select("fp"), radius, shared), "a", "b", classes.count())
     # fingerprints without a link are components of their own
     return classes.join(nodes, F.col("fp") == F.col("node"), "left").select(
         *classes.columns, F.coalesce("component", "fp").alias("component")
@@ -246,7 +246,7 @@ def near_duplicates(
 ) -> DataFrame:
     """`doc_id`, `fingerprint`, `component_id` of every row."""
     prints = kept(fingerprints(docs, id_col, text_col))
-    classes = kept(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    classes = kept(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), prints.count())
     placed = _components(classes, radius, shared)
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     by_print = placed.join(least, "component").select("fp", "component_id")
@@ -265,6 +265,6 @@ def representatives(
     stored = written(docs.withColumn(row, F.monotonically_increasing_id()), "near-dedup")
     prints = kept(fingerprints(stored, row, text_col).withColumnRenamed("doc_id", row))
     ids = stored.select(row, F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row")).alias("_at"))
-    classes = kept(prints.join(ids, row).groupBy("fp").agg(F.min("_at").alias("_at")))
+    classes = kept(prints.join(ids, row).groupBy("fp").agg(F.min("_at").alias("_at")), prints.count())
     first = _components(classes, radius, shared).groupBy("component").agg(F.min("_at").alias("_at"))
     return stored.join(first.select(F.col("_at.row").alias(row)), row, "left_semi").select(*docs.columns)
