@@ -17,16 +17,20 @@ from pyspark.sql import functions as F
 PAIR_SCHEMA = "a string, b string, n long, sx double, sy double, sxx double, syy double, sxy double"
 
 
-def block_pairs(df: DataFrame, key: str, at: str, value: str, block: int = 128) -> DataFrame:
-    """Rows (p, q, series, at, value): each row once per block pair that needs its block."""
-    members = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).agg(F.count(F.lit(1)).alias("_members"))
-    blocks = F.greatest(F.ceil(F.col("_members") / block), F.lit(1))
+def block_pairs(df: DataFrame, key: str, at: str, value: str, block: int = 128, within: str | None = None) -> DataFrame:
+    """Rows (p, q, series, at, value): each row once per block pair that needs its block. With `within` only the
+    series of one group are paired, and the rows carry the group as `g`."""
+    blocks = F.greatest(F.ceil(F.col("_members") / block), F.lit(1)).cast("int").alias("_blocks")
+    rows = df.select(F.col(key).alias("series"), F.col(at).alias("at"), F.col(value).alias("value"), F.col(within).alias("g") if within else F.lit("").alias("g"))
+    members = rows.select("g", "series").distinct().groupBy("g").agg(F.count(F.lit(1)).alias("_members")).select("g", blocks)
+    # without groups the counts are one row
+    counted = rows.join(members, "g") if within else rows.crossJoin(F.broadcast(members.drop("g")))
     return (
-        df.select(F.col(key).alias("series"), F.col(at).alias("at"), F.col(value).alias("value"))
-        .crossJoin(F.broadcast(members.select(blocks.cast("int").alias("_blocks"))))  # one row
+        counted
         .withColumn("_own", F.pmod(F.xxhash64("series"), F.col("_blocks")).cast("int"))
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
         .select(
+            "g",
             F.least("_own", "_other").alias("p"),
             F.greatest("_own", "_other").alias("q"),
             F.col("_own").alias("own"),
@@ -69,9 +73,18 @@ def per_block(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema:
     return block_pairs(df, key, at, value, block).groupBy("p", "q").applyInPandas(fn, schema)
 
 
-def pair_moments(df: DataFrame, key: str, at: str, value: str, block: int = 128) -> DataFrame:
-    """One row per pair a <= b with the sums over the dates both series have; adds `cov`, `corr`."""
-    out = per_block(df, _moments, PAIR_SCHEMA, key, at, value, block)
+def _group_moments(pdf: pd.DataFrame) -> pd.DataFrame:
+    return _moments(pdf).assign(g=pdf["g"].iloc[0])
+
+
+def pair_moments(df: DataFrame, key: str, at: str, value: str, block: int = 128, within: str | None = None) -> DataFrame:
+    """One row per pair a <= b with the sums over the dates both series have; adds `cov`, `corr`. With `within`
+    (a text column) pairs are made inside each of its groups only."""
+    if within is None:
+        out = per_block(df, _moments, PAIR_SCHEMA, key, at, value, block)
+    else:
+        blocks = block_pairs(df, key, at, value, block, within)
+        out = blocks.groupBy("g", "p", "q").applyInPandas(_group_moments, PAIR_SCHEMA + ", g string").withColumnRenamed("g", within)
     n = F.col("n")
     cxy = F.col("sxy") - F.col("sx") * F.col("sy") / n
     cxx = F.col("sxx") - F.col("sx") * F.col("sx") / n

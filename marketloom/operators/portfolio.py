@@ -53,6 +53,15 @@ def aligned_returns(matrix: DataFrame) -> DataFrame:
     )
 
 
+def held_returns(matrix: DataFrame, held: DataFrame, by: str = "portfolio_id") -> DataFrame:
+    """Rows of `held` (`by`, ticker, ...) with date and return, on the dates where every ticker of the
+    group has one. A ticker that a group does not hold has no part in it."""
+    first = matrix.groupBy("ticker").agg(F.min("date").alias("_f"))
+    start = held.select(by, "ticker").join(first, "ticker").groupBy(by).agg(F.max("_f").alias("_start"))
+    returns = matrix_returns(matrix).select("ticker", "date", "r").filter(F.col("r").isNotNull())
+    return held.join(start, by).join(returns, "ticker").filter(F.col("date") > F.col("_start")).drop("_start")
+
+
 def last_prices(bars: DataFrame) -> DataFrame:
     return bars.groupBy("ticker").agg(F.max_by("close", "date").alias("price"))
 
@@ -73,24 +82,20 @@ def weights(positions: DataFrame, bars: DataFrame) -> DataFrame:
 
 
 def portfolio_returns(matrix: DataFrame, wts: DataFrame) -> DataFrame:
-    """Weighted daily return; a holding without a return that day counts as 0."""
-    return _weighted(matrix_returns(matrix).withColumn("r", F.coalesce("r", F.lit(0.0))), wts, matrix)
+    """Weighted daily return from the second date on that any holding has a price; a holding without a
+    return that day counts as 0."""
+    rows = matrix_returns(matrix).join(wts.select("portfolio_id", "ticker", "weight"), "ticker")
+    return (
+        rows.groupBy("portfolio_id", "date")
+        .agg(F.sum(F.col("weight") * F.coalesce("r", F.lit(0.0))).alias("r"), F.count("r").alias("_returns"))
+        .filter(F.col("_returns") > 0)
+        .drop("_returns")
+    )
 
 
 def aligned_portfolio_returns(matrix: DataFrame, wts: DataFrame) -> DataFrame:
-    return _weighted(aligned_returns(matrix), wts, None)
-
-
-def _weighted(returns: DataFrame, wts: DataFrame, matrix: DataFrame | None) -> DataFrame:
-    out = (
-        returns.join(wts.select("portfolio_id", "ticker", "weight"), "ticker")
-        .groupBy("portfolio_id", "date")
-        .agg(F.sum(F.col("weight") * F.col("r")).alias("r"))
-    )
-    if matrix is not None:
-        first = matrix.agg(F.min("date").alias("_first"))  # one row
-        out = out.crossJoin(F.broadcast(first)).filter(F.col("date") > F.col("_first")).drop("_first")
-    return out
+    rows = held_returns(matrix, wts.select("portfolio_id", "ticker", "weight"))
+    return rows.groupBy("portfolio_id", "date").agg(F.sum(F.col("weight") * F.col("r")).alias("r"))
 
 
 def classify(x: Column, bands: Sequence[tuple[float, str]], otherwise: str, at_least: bool = True) -> Column:
@@ -127,15 +132,11 @@ def variance_metrics(matrix: DataFrame, wts: DataFrame) -> DataFrame:
     return out.withColumn("risk_classification", classify_volatility(F.col("annual_volatility")))
 
 
-def holding_pairs(pairs: DataFrame, wts: DataFrame) -> DataFrame:
-    """Correlation pairs (a < b) of the holdings of each portfolio, by equi-joins only."""
-    held = wts.select("portfolio_id", "ticker")
-    return (
-        pairs.filter((F.col("a") < F.col("b")) & F.col("corr").isNotNull())
-        .withColumn("correlation", F.round("corr", 4))
-        .join(held.withColumnRenamed("ticker", "a"), "a")
-        .join(held.withColumnRenamed("ticker", "b"), ["portfolio_id", "b"])
-    )
+def holding_pairs(matrix: DataFrame, wts: DataFrame) -> DataFrame:
+    """Correlation pairs (a < b) of the holdings of each portfolio; no other pair is computed."""
+    rows = held_returns(matrix, wts.select("portfolio_id", "ticker"))
+    pairs = pair_moments(rows, "ticker", "date", "r", within="portfolio_id")
+    return pairs.filter((F.col("a") < F.col("b")) & F.col("corr").isNotNull()).withColumn("correlation", F.round("corr", 4))
 
 
 def correlation_rows(held_pairs: DataFrame) -> DataFrame:
@@ -164,8 +165,7 @@ def risk_contributions(matrix: DataFrame, wts: DataFrame) -> DataFrame:
     """Share of portfolio variance per holding, in percent."""
     whole = aligned_portfolio_returns(matrix, wts).withColumnRenamed("r", "pr")
     out = (
-        aligned_returns(matrix)
-        .join(wts.select("portfolio_id", "ticker", "sector", "weight"), "ticker")
+        held_returns(matrix, wts.select("portfolio_id", "ticker", "sector", "weight"))
         .join(whole, ["portfolio_id", "date"])
         .groupBy("portfolio_id", "ticker", "sector", "weight")
         .agg(F.covar_samp("r", "pr").alias("marginal"))
@@ -333,7 +333,7 @@ def metrics(positions: DataFrame, bars: DataFrame, rf: float = 0.045) -> DataFra
     matrix = price_matrix(bars).persist()  # read by every part below
     wts = weights(positions, bars).persist()
     series = portfolio_returns(matrix, wts).persist()
-    corr = correlation_summary(holding_pairs(covariance_pairs(matrix), wts))
+    corr = correlation_summary(holding_pairs(matrix, wts))
     contrib = risk_contributions(matrix, wts).groupBy("portfolio_id").agg(
         F.max(F.struct("contribution_pct", "ticker")).alias("_risk"),
     )
@@ -474,8 +474,7 @@ def score_candidates(matrix: DataFrame, candidates: DataFrame, rf: float = 0.045
     """Return, volatility and Sharpe of each candidate weight vector (set_id, ticker, weight);
     flags the best Sharpe and the best return per volatility bucket."""
     series = (
-        aligned_returns(matrix)
-        .join(candidates, "ticker")
+        held_returns(matrix, candidates, "set_id")
         .groupBy("set_id", "date")
         .agg(F.sum(F.col("weight") * F.col("r")).alias("r"))
     )

@@ -22,7 +22,7 @@ def matrix(m):
 
 
 def held_pairs(m):
-    return pf.holding_pairs(pf.covariance_pairs(matrix(m)), wts(m))
+    return pf.holding_pairs(matrix(m), wts(m))
 
 
 query("price_matrix_ffill", "ticker date:d close:4", "SELECT * FROM pm", "pm")(matrix)
@@ -30,16 +30,16 @@ query("weights", "portfolio_id ticker shares:2 value:6 weight:9", "SELECT * FROM
 query("sector_exposure_map", "portfolio_id sector weight:9", "SELECT portfolio_id, coalesce(sector, 'Unknown') AS sector, sum(weight) AS weight FROM wts GROUP BY 1, 2", "wts")(
     lambda m: pf.sector_exposure(wts(m)))
 query("pf_returns", "portfolio_id date:d r:9", "SELECT * FROM pfr", "pfr")(lambda m: pf.portfolio_returns(matrix(m), wts(m)))
-view("pfa", "SELECT portfolio_id, date, sum(weight * r) AS r FROM wts JOIN pma USING (ticker) GROUP BY 1, 2", "wts", "pma")
+view("pfa", "SELECT portfolio_id, date, sum(weight * r) AS r FROM hpma GROUP BY 1, 2", "hpma")
 view("pvar", """SELECT portfolio_id, dv AS daily_variance, dv * 21 AS monthly_variance, dv * 252 AS annual_variance, sqrt(dv) AS daily_volatility, sqrt(dv) * sqrt(21) AS monthly_volatility,
  sqrt(dv) * sqrt(252) AS annual_volatility, CASE WHEN sqrt(dv) * sqrt(252) < 0.08 THEN 'Very Low' WHEN sqrt(dv) * sqrt(252) < 0.15 THEN 'Low' WHEN sqrt(dv) * sqrt(252) < 0.25 THEN 'Moderate'
  WHEN sqrt(dv) * sqrt(252) < 0.4 THEN 'High' ELSE 'Very High' END AS risk_classification FROM (
- SELECT w1.portfolio_id, sum(w1.weight * w2.weight * cov) AS dv FROM covp JOIN wts w1 ON covp.a = w1.ticker JOIN wts w2 ON covp.b = w2.ticker AND w1.portfolio_id = w2.portfolio_id GROUP BY 1)""", "covp", "wts")
+ SELECT h.portfolio_id, sum(w1.weight * w2.weight * cov) AS dv FROM hcov h JOIN wts w1 ON h.a = w1.ticker AND w1.portfolio_id = h.portfolio_id JOIN wts w2 ON h.b = w2.ticker AND w2.portfolio_id = h.portfolio_id GROUP BY 1)""", "hcov", "wts")
 query("cov_matrix", "portfolio_id daily_variance:10 monthly_variance:9 annual_variance:8 daily_volatility:8 monthly_volatility:8 annual_volatility:8 risk_classification", "SELECT * FROM pvar", "pvar")(
     lambda m: pf.variance_metrics(matrix(m), wts(m)))
 query("cov_matrix_pairs", "a b n:i cov:10", "SELECT * FROM covp WHERE a <= b", "covp")(lambda m: pf.covariance_pairs(matrix(m)))
 
-view("hp", """SELECT w1.portfolio_id, a, b, round(corr, 4) AS correlation FROM covp JOIN wts w1 ON covp.a = w1.ticker JOIN wts w2 ON covp.b = w2.ticker AND w1.portfolio_id = w2.portfolio_id WHERE a < b""", "covp", "wts")
+view("hp", "SELECT portfolio_id, a, b, round(corr, 4) AS correlation FROM hcov WHERE a < b", "hcov")
 view("csum", """SELECT portfolio_id, round(avg(correlation), 4) AS average_correlation, max(correlation) AS highest, min(correlation) AS lowest, sum(CASE WHEN correlation >= 0.8 THEN 1 ELSE 0 END) AS redundant,
  sum(CASE WHEN correlation <= 0.3 THEN 1 ELSE 0 END) AS diversifiers FROM hp GROUP BY 1""", "hp")
 query("corr_matrix", "portfolio_id a b correlation:4 high_rank:i low_rank:i redundant diversifier average_correlation:4",
@@ -48,7 +48,7 @@ query("corr_matrix", "portfolio_id a b correlation:4 high_rank:i low_rank:i redu
     lambda m: pf.correlation_rows(held_pairs(m)).join(pf.correlation_summary(held_pairs(m)).select("portfolio_id", "average_correlation"), "portfolio_id"))
 
 view("rc", """SELECT portfolio_id, ticker, sector, weight, round(weight * m / sum(weight * m) OVER (PARTITION BY portfolio_id) * 100, 2) AS contribution_pct FROM (
- SELECT w1.portfolio_id, w1.ticker, w1.sector, any_value(w1.weight) AS weight, sum(w2.weight * cov) AS m FROM covp JOIN wts w1 ON covp.a = w1.ticker JOIN wts w2 ON covp.b = w2.ticker AND w1.portfolio_id = w2.portfolio_id GROUP BY 1, 2, 3)""", "covp", "wts")
+ SELECT w1.portfolio_id, w1.ticker, w1.sector, any_value(w1.weight) AS weight, sum(w2.weight * cov) AS m FROM hcov h JOIN wts w1 ON h.a = w1.ticker AND w1.portfolio_id = h.portfolio_id JOIN wts w2 ON h.b = w2.ticker AND w2.portfolio_id = h.portfolio_id GROUP BY 1, 2, 3)""", "hcov", "wts")
 query("risk_contrib", "portfolio_id ticker contribution_pct:2", "SELECT * FROM rc", "rc")(lambda m: pf.risk_contributions(matrix(m), wts(m)))
 view("rcr", """SELECT *, row_number() OVER (PARTITION BY portfolio_id ORDER BY contribution_pct DESC, ticker) AS rank, round(weight * 100, 2) AS position_weight_pct,
  CASE WHEN contribution_pct >= 35 THEN 'High' WHEN contribution_pct >= 20 THEN 'Medium' ELSE 'Low' END AS concentration_risk FROM rc""", "rc")
@@ -208,8 +208,8 @@ def candidates(m):
 
 view("cnd", """SELECT *, (annual_return - 0.045e0) / annual_volatility AS sharpe, floor(round(annual_volatility, 9) / 0.01e0) AS vb FROM (
  SELECT set_id, avg(r) * 252 AS annual_return, sqrt(greatest(var_samp(r) * 252, 1e-12)) AS annual_volatility FROM (SELECT set_id, date, sum(w * r) AS r FROM (
-  SELECT portfolio_id || ':current' AS set_id, ticker, weight AS w FROM wts UNION ALL SELECT portfolio_id || ':equal', ticker, 1e0 / count(*) OVER (PARTITION BY portfolio_id) FROM wts
-  UNION ALL SELECT portfolio_id || ':inverse', ticker, (1 / weight) / sum(1 / weight) OVER (PARTITION BY portfolio_id) FROM wts) JOIN pma USING (ticker) GROUP BY 1, 2) GROUP BY 1)""", "wts", "pma")
+  SELECT portfolio_id, portfolio_id || ':current' AS set_id, ticker, weight AS w FROM wts UNION ALL SELECT portfolio_id, portfolio_id || ':equal', ticker, 1e0 / count(*) OVER (PARTITION BY portfolio_id) FROM wts
+  UNION ALL SELECT portfolio_id, portfolio_id || ':inverse', ticker, (1 / weight) / sum(1 / weight) OVER (PARTITION BY portfolio_id) FROM wts) JOIN hpma USING (portfolio_id, ticker) GROUP BY 1, 2) GROUP BY 1)""", "wts", "hpma")
 query("weight_candidates", "set_id annual_return:8 annual_volatility:8 sharpe:6 is_best on_frontier",
       """SELECT *, set_id = (SELECT arg_max(set_id, struct_pack(s := round(sharpe, 9), t := set_id)) FROM cnd) AS is_best, set_id = arg_max(set_id, struct_pack(s := round(annual_return, 9), t := set_id)) OVER (PARTITION BY vb) AS on_frontier FROM cnd""", "cnd")(
     lambda m: pf.score_candidates(matrix(m), candidates(m)))

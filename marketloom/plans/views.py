@@ -103,7 +103,7 @@ view(
 view("rets", "SELECT * FROM bx WHERE r IS NOT NULL", "bx")
 view("pos", """SELECT c_mktsegment AS portfolio_id, n_name AS ticker, r_name AS sector, CAST(count(*) AS DOUBLE) AS shares,
        CAST(sum(CAST(round(c_acctbal * 100) AS BIGINT)) AS DOUBLE) / count(*) / 5000 AS cost_basis
-FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2, 3""")
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE (n_nationkey + length(c_mktsegment)) % 4 <> 0 GROUP BY 1, 2, 3""")
 view(
     "pm",
     """SELECT g.ticker, cal.date, g.close FROM
@@ -134,10 +134,24 @@ FROM pos JOIN lastpx USING (ticker)""",
 view(
     "pfr",
     """SELECT portfolio_id, date, sum(weight * coalesce(r, 0)) AS r FROM wts JOIN pmr USING (ticker)
- WHERE date > (SELECT min(date) FROM bars) GROUP BY portfolio_id, date""",
+ GROUP BY portfolio_id, date HAVING count(r) > 0""",
     "wts",
     "pmr",
+)
+view(
+    "hpma",
+    """SELECT w.portfolio_id, w.ticker, w.sector, w.weight, m.date, m.r FROM wts w JOIN (
+ SELECT portfolio_id, max(f) AS start FROM wts JOIN (SELECT ticker, min(date) AS f FROM bars GROUP BY 1) USING (ticker) GROUP BY 1) s USING (portfolio_id)
+ JOIN pmr m USING (ticker) WHERE m.r IS NOT NULL AND m.date > s.start""",
+    "wts",
     "bars",
+    "pmr",
+)
+view(
+    "hcov",
+    """SELECT portfolio_id, a.ticker AS a, b.ticker AS b, covar_samp(a.r, b.r) AS cov, corr(a.r, b.r) AS corr, count(*) AS n
+ FROM hpma a JOIN hpma b USING (portfolio_id, date) GROUP BY 1, 2, 3""",
+    "hpma",
 )
 view(
     "covp",
