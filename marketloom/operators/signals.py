@@ -250,9 +250,13 @@ PROBABILITY_FIELDS = (
 )
 
 
-def outperformance(rows: DataFrame) -> DataFrame:
+BASELINE_NOTE = "Insufficient feature evidence; using baseline probability."
+
+
+def outperformance(rows: DataFrame, payload: Sequence[str] = PROBABILITY_FIELDS) -> DataFrame:
     """Rule points to a clipped logistic probability. Rows carry the six category scores, the
-    fundamental, technical and catalyst fields, and the market environment."""
+    fundamental, technical and catalyst fields, and the market environment. `payload` names the columns of the
+    score, fundamental, technical and catalyst payloads; how many of them are filled is the confidence."""
     off, danger = F.col("risk_environment") == "Risk-off", F.col("buy_environment") == "Dangerous"
     plus = (
         (F.col("revenue_growth") >= 0.20, 6.0, "Revenue growth above 20%"),
@@ -275,12 +279,16 @@ def outperformance(rows: DataFrame) -> DataFrame:
     raw = base
     for cond, pts, _ in plus:
         raw = raw + F.when(truth(cond), pts).otherwise(0.0)
-    filled = sum(F.col(c).isNotNull().cast("int") for c in PROBABILITY_FIELDS if c in rows.columns)
+    filled = sum(F.col(c).isNotNull().cast("int") for c in payload if c in rows.columns)
+    found = [(c, t) for c, _, t in plus]
+    if "final_score" in rows.columns:
+        found.append((F.col("final_score").isNotNull(), F.format_string("Composite score %.2f/100", F.col("final_score").cast("double"))))
+    evidence = notes(*found)
     out = rows.withColumn("raw_points", raw).withColumn("probability", clip(1 / (1 + F.exp(-(-0.15 + F.col("raw_points") / 25))), 0.05, 0.95))
     return (
         out.withColumn("filled_fields", filled)
         .withColumn("probability_confidence", F.when(filled >= 30, "High").when(filled >= 16, "Moderate").otherwise("Low"))
-        .withColumn("evidence", F.slice(notes(*[(c, t) for c, _, t in plus]), 1, 8))
+        .withColumn("evidence", F.when(F.size(evidence) > 0, evidence).otherwise(F.array(F.lit(BASELINE_NOTE))))
     )
 
 

@@ -234,11 +234,19 @@ def sc(x, lo, hi, a, b):
     return SC.format(x=x, lo=lo, hi=hi, a=a, b=b)
 
 
-query("outperf_prob", "ticker raw_points:6 probability:7 probability_confidence evidence",
-      f"""SELECT *, least(greatest(1 / (1 + exp(-(-0.15e0 + raw_points / 25))), 0.05), 0.95) AS probability, 'Low' AS probability_confidence FROM (SELECT f.ticker, {sc('momentum_score', 50, 100, 0, 18)} + {sc('technical_score', 50, 100, 0, 14)} + CASE WHEN f.available THEN {sc('fundamental_score', 50, 100, 0, 14)} ELSE 0 END + {sc('volume_score', 40, 100, 0, 10)} + {sc('risk_score', 40, 100, -10, 10)} + {sc('catalyst_score', 0, 100, 0, 10)}
+# a fifth of the tickers lacks all but scores and events, another fifth its fundamental, technical and risk fields
+OF_SCORE = "final_score score_confidence score_rating risk_level".split()
+OF_REST = "revenue_growth eps_growth roe forward_pe gross_margin price_to_book relative_volume breakout price_above_sma50 price_above_sma200 rsi quant_score sharpe_ratio max_drawdown annualized_volatility".split()
+ALWAYS = "technical_score momentum_score volume_score fundamental_score risk_score catalyst_score earnings_surprise analyst_revision major_news".split()
+LISTS = "technical_evidence momentum_evidence volume_evidence catalyst_evidence explanation".split()  # never null
+FIFTH = "CAST(substr(ticker, 8) AS INT) % 5"
+view("fq", f"""SELECT *, 5 + {' + '.join(f'CASE WHEN {c} IS NULL THEN 0 ELSE 1 END' for c in OF_SCORE + OF_REST + ALWAYS)} AS filled FROM (SELECT ticker, {', '.join(f'CASE WHEN {FIFTH} <> 1 THEN {c} END AS {c}' for c in OF_SCORE)}, {', '.join(f'CASE WHEN {FIFTH} NOT IN (1, 2) THEN {c} END AS {c}' for c in OF_REST)},
+ technical_score, momentum_score, volume_score, CASE WHEN available THEN fundamental_score END AS fundamental_score, risk_score, catalyst_score, earnings_surprise, analyst_revision, major_news FROM (SELECT f.*, breakout, price_above_sma50, price_above_sma200, rsi FROM fin f JOIN tech t USING (ticker)))""", "fin", "tech")
+query("outperf_prob", "ticker raw_points:6 probability:7 filled_fields:i probability_confidence evidence",
+      f"""SELECT *, least(greatest(1 / (1 + exp(-(-0.15e0 + raw_points / 25))), 0.05), 0.95) AS probability, filled AS filled_fields, CASE WHEN filled >= 30 THEN 'High' WHEN filled >= 16 THEN 'Moderate' ELSE 'Low' END AS probability_confidence, CASE WHEN e = '' THEN 'Insufficient feature evidence; using baseline probability.' ELSE e END AS evidence FROM (SELECT f.ticker, filled, {sc('momentum_score', 50, 100, 0, 18)} + {sc('technical_score', 50, 100, 0, 14)} + {sc('fundamental_score', 50, 100, 0, 14)} + {sc('volume_score', 40, 100, 0, 10)} + {sc('risk_score', 40, 100, -10, 10)} + {sc('catalyst_score', 0, 100, 0, 10)}
  + CASE WHEN revenue_growth >= 0.2 THEN 6 ELSE 0 END + CASE WHEN eps_growth >= 0.15 THEN 5 ELSE 0 END + CASE WHEN relative_volume >= 1.5 THEN 5 ELSE 0 END + CASE WHEN breakout THEN 5 ELSE 0 END + CASE WHEN earnings_surprise THEN 5 ELSE 0 END + CASE WHEN analyst_revision THEN 4 ELSE 0 END - CASE WHEN h.environment = 'Risk-off' THEN 8 ELSE 0 END - CASE WHEN h.buy_environment = 'Dangerous' THEN 8 ELSE 0 END AS raw_points,
  concat_ws('|', CASE WHEN revenue_growth >= 0.2 THEN 'Revenue growth above 20%' END, CASE WHEN eps_growth >= 0.15 THEN 'EPS growth above 15%' END, CASE WHEN relative_volume >= 1.5 THEN 'Volume surge above 1.5x' END, CASE WHEN breakout THEN 'Breakout pressure detected' END, CASE WHEN earnings_surprise THEN 'Positive earnings surprise/catalyst' END, CASE WHEN analyst_revision THEN 'Analyst data is supportive' END,
- CASE WHEN h.environment = 'Risk-off' THEN 'Risk-off market regime lowers probability' END, CASE WHEN h.buy_environment = 'Dangerous' THEN 'Buy environment is dangerous' END) AS evidence FROM fin f JOIN (SELECT ticker, breakout FROM tech) t USING (ticker), heur h)""", "fin tech heur")(
+ CASE WHEN h.environment = 'Risk-off' THEN 'Risk-off market regime lowers probability' END, CASE WHEN h.buy_environment = 'Dangerous' THEN 'Buy environment is dangerous' END, CASE WHEN final_score IS NOT NULL THEN printf('Composite score %.2f/100', CAST(final_score AS DOUBLE)) END) AS e FROM fq f, heur h)""", "fq heur")(
     lambda m: _outperf(m))
 
 
@@ -246,7 +254,9 @@ def _outperf(m):
     from marketloom.operators import signals
     market = regime.regime_heuristic(indices(m), renamed(m, SECTOR_NAMES), vix(m)).select("risk_environment", "buy_environment")
     rows = categories(m).withColumn("fundamental_score", F.when(F.col("available"), F.col("fundamental_score"))).crossJoin(F.broadcast(market))  # one row
-    return signals.outperformance(rows).withColumn("evidence", F.array_join("evidence", "|"))
+    fifth = F.substring("ticker", 8, 9).cast("int") % 5
+    hide = {c: F.when(fifth != 1, F.col(c)) for c in OF_SCORE} | {c: F.when(~fifth.isin(1, 2), F.col(c)) for c in OF_REST}
+    return signals.outperformance(rows.withColumns(hide), OF_SCORE + OF_REST + ALWAYS + LISTS).withColumn("evidence", F.array_join("evidence", "|"))
 
 
 query("feature_row", "ticker final_score:6 technical_score:2 momentum_score:2 volume_score:2 fundamental_score:2 risk_score:2 catalyst_score:2 revenue_growth:6 eps_growth:6 roe:6 forward_pe:6 relative_volume:7 breakout price_above_sma50 price_above_sma200 earnings_surprise analyst_revision major_news",
