@@ -53,8 +53,8 @@ view("fs", score_sql(), "feat")
 query("factor_scores", "ticker momentum:6 value:6 quality:6 growth:6 low_volatility:6 composite:6 coverage:6", "SELECT * FROM fs", "fs")(lambda m: factors.factor_scores(features(m)))
 
 query("join_semi_weights", "portfolio_id ticker weight:9",
-      "SELECT portfolio_id, ticker, weight / sum(weight) OVER (PARTITION BY portfolio_id) AS weight FROM wts WHERE ticker IN (SELECT ticker FROM cf WHERE classification <> 'Fundamentally Average' AND available)", "wts cf")(
-    lambda m: factors.semi_weights(wts(m), q_sources.fundamentals(m).filter("available AND classification <> 'Fundamentally Average'")))
+      "SELECT portfolio_id, ticker, weight / sum(weight) OVER (PARTITION BY portfolio_id) AS weight FROM wts WHERE ticker IN (SELECT ticker FROM cf WHERE available)", "wts cf")(
+    lambda m: factors.semi_weights(wts(m), q_sources.fundamentals(m).filter("available")))
 
 FW = list(factors.FACTOR_WEIGHTS)
 view("fx", f"""SELECT *, tc / total AS top_share, max(exposure) OVER (PARTITION BY portfolio_id) - min(exposure) OVER (PARTITION BY portfolio_id) AS concentration_score FROM (

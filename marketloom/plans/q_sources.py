@@ -4,6 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from marketloom import schemas
 from marketloom.operators import cleaning
 from marketloom.operators import indicators as ind
 from marketloom.operators import events, risk
@@ -16,6 +17,19 @@ FIELDS = ("open", "high", "low", "close", "volume")
 query("src_bars", "ticker sector date:d open:4 high:4 low:4 close:4 volume:4", "SELECT * FROM bars", "bars")(lambda m: m.bars)
 
 
+def bars_from_files(m):
+    """Bars written as CSV and as JSON lines and read back, one copy of each."""
+    base = f"{shared_dir(m.spark)}/bars-{uuid.uuid4().hex}"
+    rows = m.bars.select(*schemas.BARS.fieldNames())
+    rows.write.option("header", "true").csv(f"{base}/csv")
+    rows.write.json(f"{base}/json")
+    read = lambda fmt: files.read_bars(m.spark, f"{base}/{fmt}", fmt).withColumn("format", F.lit(fmt))
+    return read("csv").unionByName(read("json"))
+
+
+query("src_bars_files", "format ticker date:d open:4 high:4 low:4 close:4 volume:4", "SELECT unnest(['csv', 'json']) AS format, * FROM bars", "bars")(bars_from_files)
+
+
 def wide_bars(m):
     names = [r[0] for r in m.table("nation").select("n_name").collect()]  # 25 column names
     wide = m.bars.groupBy("date").pivot("ticker", names).agg(*[F.first(f).alias(f) for f in FIELDS])
@@ -31,14 +45,32 @@ query("src_reshape_wide", "ticker date:d open:4 high:4 low:4 close:4 volume:4",
 def portfolio_docs(m):
     """One JSON document per portfolio (at most one entry per nation)."""
     p = m.positions
-    one = F.struct(F.concat(F.lit(" "), F.lower("ticker")).alias("ticker"), "shares", F.when(F.col("shares") >= 12, F.col("sector")).alias("sector"))
+    one = F.struct(F.concat(F.lit(" "), F.lower("ticker")).alias("ticker"), "shares", F.when(F.substring("ticker", 8, 9).cast("int") % 5 != 4, F.col("sector")).alias("sector"))
     return p.groupBy("portfolio_id").agg(F.collect_list(one).alias("positions")).select(F.to_json(F.struct("portfolio_id", "positions")).alias("doc"))
 
 
-query("src_json_state", "portfolio_id ticker shares:2 sector", "SELECT portfolio_id, ticker, shares, CASE WHEN shares >= 12 THEN sector ELSE 'Unknown' END AS sector FROM pos", "pos")(
+query("src_json_state", "portfolio_id ticker shares:2 sector", "SELECT portfolio_id, ticker, shares, CASE WHEN CAST(substr(ticker, 8) AS INT) % 5 <> 4 THEN sector ELSE 'Unknown' END AS sector FROM pos", "pos")(
     lambda m: files.portfolio_positions(portfolio_docs(m)))
 
 
+def peer_docs(m):
+    """One peer-universe document per region: nations five apart are peers, in both listing orders by parity."""
+    n = m.places
+    a = n.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("x"), "r_name")
+    b = n.select((F.col("n_nationkey") - 5).alias("k"), F.col("n_name").alias("y"), F.col("r_name").alias("r"))
+    pairs = a.join(b, (a["k"] == b["k"]) & (F.col("r_name") == F.col("r"))).drop(b["k"])
+    odd = F.col("k") % 2 == 1
+    one = F.struct(F.when(odd, F.col("y")).otherwise(F.col("x")).alias("ticker_a"), F.when(odd, F.col("x")).otherwise(F.col("y")).alias("ticker_b"), F.lower("r_name").alias("industry"),
+                   F.col("r_name").alias("sector_proxy"), F.when(odd, F.array(F.lit("Same industry"), F.concat(F.lit("Region "), "r_name"))).otherwise(F.array(F.lit("Same industry"))).alias("reasons"))
+    return pairs.groupBy("r_name").agg(F.collect_list(one).alias("relationships")).select(F.to_json(F.struct(F.lit("v1").alias("version"), "relationships")).alias("doc"))
+
+
+query("src_peer_json", "ticker_a ticker_b industry sector_proxy reasons",
+      """SELECT CASE WHEN odd THEN y ELSE x END AS ticker_a, CASE WHEN odd THEN x ELSE y END AS ticker_b, lower(r_name) AS industry, r_name AS sector_proxy, CASE WHEN odd THEN 'Same industry|Region ' || r_name ELSE 'Same industry' END AS reasons FROM (
+ SELECT a.n_name AS x, b.n_name AS y, r_name, a.n_nationkey % 2 = 1 AS odd FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey + 5 AND a.n_regionkey = b.n_regionkey JOIN region ON a.n_regionkey = r_regionkey)""")(
+    lambda m: files.peer_relationships(peer_docs(m)).withColumn("reasons", F.array_join("reasons", "|")))
+
+
 def state_round_trip(m):
     rows = ind.vol_forecast(ind.daily_returns(m.bars)).select("ticker", F.col("expected").alias("confidence"), F.round("ewma_daily", 9).alias("ewma_daily"))
     path = f"{shared_dir(m.spark)}/state-{uuid.uuid4().hex}"

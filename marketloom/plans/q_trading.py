@@ -17,14 +17,14 @@ from marketloom.sources import files
 
 # --- order book and execution ------------------------------------------------------------
 K = "CAST(json_extract_string(props, '$.k') AS DOUBLE)"
-view("book", f"""SELECT strftime(ts, '%Y%m%d%H') || '-' || (user_id % 5) AS snapshot_id, CASE WHEN event_type = 'view' THEN 'bid' ELSE 'ask' END AS side, CASE WHEN event_type = 'view' THEN 500 - value / 10e0 ELSE 501 + value / 10e0 END AS price, {K} AS size FROM events WHERE event_type IN ('view', 'click')""")
+view("book", f"""SELECT strftime(ts, '%Y%m%d%H') || '-' || (user_id % 5) AS snapshot_id, CASE WHEN event_type IN ('view', 'signup') THEN 'bid' ELSE 'ask' END AS side, CASE WHEN event_type IN ('view', 'signup') THEN 500 - value / 10e0 ELSE 501 + value / 10e0 END AS price, {K} AS size FROM events""")
 view("lvl", "SELECT snapshot_id, side, price, sum(size) AS size FROM book GROUP BY 1, 2, 3", "book")
-query("book_metrics", "snapshot_id available best_bid:4 best_ask:4 mid_price:6 spread:6 spread_bps:5 bid_depth:4 ask_depth:4 imbalance:8 microprice:7",
+query("book_metrics", "snapshot_id available best_bid:4 best_ask:4 mid_price:6 spread:6 spread_bps:5 bid_depth:4 ask_depth:4 imbalance:9 microprice:8",
       """SELECT *, best_bid IS NOT NULL AND best_ask IS NOT NULL AS available, (best_bid + best_ask) / 2 AS mid_price, best_ask - best_bid AS spread, (best_ask - best_bid) / ((best_bid + best_ask) / 2) * 10000 AS spread_bps, coalesce((bid_depth - ask_depth) / nullif(bid_depth + ask_depth, 0), 0) AS imbalance,
  coalesce((best_ask * bs + best_bid * az) / nullif(bs + az, 0), (best_bid + best_ask) / 2) AS microprice FROM (SELECT snapshot_id, max(price) FILTER (side = 'bid') AS best_bid, min(price) FILTER (side = 'ask') AS best_ask, arg_max(size, price) FILTER (side = 'bid') AS bs, arg_min(size, price) FILTER (side = 'ask') AS az, coalesce(sum(size) FILTER (side = 'bid'), 0) AS bid_depth, coalesce(sum(size) FILTER (side = 'ask'), 0) AS ask_depth FROM lvl GROUP BY 1)""", "lvl")(
     lambda m: micro.book_metrics(m.book))
 
-view("jt", f"""SELECT event_id AS trade_id, n_name AS ticker, CASE WHEN event_type = 'view' THEN 'buy' ELSE 'sell' END AS action, {K} AS shares, value AS price, CAST(ts AS DATE) AS date, ts FROM events JOIN nation ON user_id % 25 = n_nationkey WHERE event_type IN ('view', 'click')""")
+view("jt", f"""SELECT event_id AS trade_id, n_name AS ticker, CASE WHEN event_type IN ('view', 'signup') THEN 'buy' ELSE 'sell' END AS action, {K} AS shares, value AS price, CAST(ts AS DATE) AS date, ts FROM events JOIN nation ON user_id % 25 = n_nationkey""")
 query("vwap", "ticker date:d vwap:7 volume:2", "SELECT ticker, date, sum(price * shares) / nullif(sum(shares), 0) AS vwap, sum(shares) AS volume FROM jt GROUP BY 1, 2", "jt")(lambda m: micro.vwap(m.trades, ("ticker", "date"), size="shares"))
 query("twap_schedule", "o_orderkey:i slice:i shares:7", "SELECT o_orderkey, unnest(range(1, n + 1)) AS slice, o_totalprice / n AS shares FROM (SELECT *, 3 + o_custkey % 5 AS n FROM orders)")(
     lambda m: micro.twap_schedule(m.table("orders").withColumn("slices", 3 + F.col("o_custkey") % 5), "o_totalprice"))
@@ -127,8 +127,8 @@ query("ev_trades", "ticker trade_count:i strategy_ev:8 win_rate:7 average_win:7
       """SELECT *, win_rate * average_win + (1 - win_rate) * average_loss AS simple_ev, win_rate * average_win - (1 - win_rate) * abs(average_loss) - 0.0005e0 AS trade_ev, strategy_ev - 0.0005e0 AS ev_after_cost, strategy_ev - 0.0002e0 AS ev_after_slippage FROM (SELECT ticker, count(*) AS trade_count, avg(v) AS strategy_ev, avg(CASE WHEN v > 0 THEN 1e0 ELSE 0e0 END) AS win_rate, avg(v) FILTER (v > 0) AS average_win, avg(v) FILTER (v <= 0) AS average_loss FROM (SELECT ticker, r - 0.0001e0 AS v FROM rets) GROUP BY 1)""", "rets")(
     lambda m: ev.ev_trades(ind.daily_returns(m.bars), ("ticker",), "r", 0.0001, 0.0005, 0.0002))
 query("ev_portfolio", "portfolio_id missing_count:i missing expected_value:8",
-      """SELECT portfolio_id, count(*) FILTER (e IS NULL) AS missing_count, coalesce(string_agg(ticker, '|' ORDER BY ticker) FILTER (e IS NULL), '') AS missing, CASE WHEN count(*) FILTER (e IS NULL) = 0 THEN sum(weight * e) END AS expected_value FROM (SELECT portfolio_id, ticker, weight, CASE WHEN n >= 1300 THEN annual END AS e FROM wts JOIN (SELECT ticker, annual, n FROM sa) s USING (ticker) WHERE shares >= 18) GROUP BY 1""", "wts sa")(
-    lambda m: ev.ev_portfolio(wts(m).filter("shares >= 18"), risk.stock_analysis(m.bars, m.benchmark).filter("sample_size >= 1300").select("ticker", F.col("annual").alias("expected_return"))).withColumn("missing", F.array_join("missing", "|")))
+      """SELECT portfolio_id, count(*) FILTER (e IS NULL) AS missing_count, coalesce(string_agg(ticker, '|' ORDER BY ticker) FILTER (e IS NULL), '') AS missing, CASE WHEN count(*) FILTER (e IS NULL) = 0 THEN sum(weight * e) END AS expected_value FROM (SELECT portfolio_id, ticker, weight, CASE WHEN CAST(substr(ticker, 8) AS INT) <> 3 THEN annual END AS e FROM wts JOIN (SELECT ticker, annual, n FROM sa) s USING (ticker)) GROUP BY 1""", "wts sa")(
+    lambda m: ev.ev_portfolio(wts(m), risk.stock_analysis(m.bars, m.benchmark).filter(F.substring("ticker", 8, 9).cast("int") != 3).select("ticker", F.col("annual").alias("expected_return"))).withColumn("missing", F.array_join("missing", "|")))
 query("event_rate", "ticker trials:i successes:i event_probability:8 conditional_probability:8 bayes_posterior:8 probability_of_profit:8",
       """SELECT *, successes / trials::DOUBLE AS event_probability, least(1, j / c::DOUBLE) AS conditional_probability, (j / successes::DOUBLE * (successes / trials::DOUBLE)) / (j / successes::DOUBLE * (successes / trials::DOUBLE) + jf / (trials - successes)::DOUBLE * (1 - successes / trials::DOUBLE)) AS bayes_posterior, greatest(0, successes / trials::DOUBLE - c / trials::DOUBLE) AS probability_of_profit FROM (
  SELECT ticker, count(*) AS trials, count(*) FILTER (r > 0) AS successes, count(*) FILTER (rv >= 1.5) AS c, count(*) FILTER (r > 0 AND rv >= 1.5) AS j, count(*) FILTER (NOT r > 0 AND rv >= 1.5) AS jf FROM rvx WHERE r IS NOT NULL GROUP BY 1)""", "rvx")(
@@ -280,8 +280,8 @@ def thesis_records(m):
 
 
 def report_rows(m):
-    """Report rows of the tickers with enough history."""
-    a = risk.stock_analysis(m.bars, m.benchmark).filter("sample_size >= 1300")
+    """Report rows; a seventh of the tickers has none."""
+    a = risk.stock_analysis(m.bars, m.benchmark).filter(F.substring("ticker", 8, 9).cast("int") % 7 != 3)
     t = events.technical_screen(table(m), ind.support_resistance(m.bars)).select("ticker", "setup_type", "support", "resistance")
     return a.join(t, "ticker").join(q_sources.fundamentals(m).select("ticker", "classification"), "ticker").select(
         "ticker", F.col("quant_score").alias("score"), F.col("quant_label").alias("rating"), "setup_type", "classification", F.lit("Breakout").alias("reason"), (F.col("quant_score") >= 50).alias("send_alert"),
@@ -291,7 +291,7 @@ def report_rows(m):
 view("trec", "SELECT ticker, b, CASE WHEN b > 5000 THEN 'own view' ELSE 'Thesis not set yet.' END AS thesis, CASE WHEN b > 4800 THEN 95e0 END AS stop_loss, CASE WHEN b > 4000 THEN 101e0 END AS target_price, CASE WHEN b > 4500 THEN '1 year' ELSE 'Unspecified' END AS time_horizon FROM (SELECT n_name AS ticker, avg(s_acctbal) AS b FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1)")
 query("fill_blanks", "ticker thesis stop_loss:2 target_price:2 time_horizon status risk_budget_pct:2 skipped updated",
       """SELECT r.ticker, CASE WHEN k AND b <= 5000 THEN r.ticker || ' is tracked as a ' || quant_label || ' candidate. Setup: ' || setup_type || '. Fundamentals: ' || classification || '. Why now: Breakout.' ELSE thesis END AS thesis, CASE WHEN k AND stop_loss IS NULL THEN round(support * 0.97e0, 2) ELSE stop_loss END AS stop_loss, CASE WHEN k AND target_price IS NULL THEN round(resistance, 2) ELSE target_price END AS target_price,
- CASE WHEN k AND time_horizon = 'Unspecified' THEN CASE WHEN quant_score >= 50 THEN '1-3 months' ELSE '3-6 months' END ELSE time_horizon END AS time_horizon, 'watching' AS status, CASE WHEN k THEN CASE WHEN annualized_volatility > 0.45 THEN 1 ELSE 2 END END AS risk_budget_pct, NOT k AS skipped, k AS updated FROM trec r LEFT JOIN (SELECT sa.ticker, quant_label, quant_score, annualized_volatility, setup_type, support, resistance, classification FROM sa JOIN tech USING (ticker) JOIN cf USING (ticker) WHERE sa.n >= 1300) s USING (ticker), LATERAL (SELECT s.quant_label IS NOT NULL AS k)""", "trec sa tech cf")(
+ CASE WHEN k AND time_horizon = 'Unspecified' THEN CASE WHEN quant_score >= 50 THEN '1-3 months' ELSE '3-6 months' END ELSE time_horizon END AS time_horizon, 'watching' AS status, CASE WHEN k THEN CASE WHEN annualized_volatility > 0.45 THEN 1 ELSE 2 END END AS risk_budget_pct, NOT k AS skipped, k AS updated FROM trec r LEFT JOIN (SELECT sa.ticker, quant_label, quant_score, annualized_volatility, setup_type, support, resistance, classification FROM sa JOIN tech USING (ticker) JOIN cf USING (ticker) WHERE CAST(substr(ticker, 8) AS INT) % 7 <> 3) s USING (ticker), LATERAL (SELECT s.quant_label IS NOT NULL AS k)""", "trec sa tech cf")(
     lambda m: tables.fill_blanks(thesis_records(m), report_rows(m)))
 
 query("join_watchlist_meta", "ticker status active flags close:4 score:i",

@@ -215,11 +215,10 @@ class Market:
         """Levels of a book snapshot: one snapshot per hour and venue (user_id mod 5)."""
         return (
             self.table("events")
-            .filter(F.col("event_type").isin("view", "click"))
             .select(
                 F.concat_ws("-", F.date_format("ts", "yyyyMMddHH"), (F.col("user_id") % 5).cast("string")).alias("snapshot_id"),
-                F.when(F.col("event_type") == "view", "bid").otherwise("ask").alias("side"),
-                F.when(F.col("event_type") == "view", 500 - F.col("value") / 10).otherwise(501 + F.col("value") / 10).alias("price"),
+                F.when(F.col("event_type").isin("view", "signup"), "bid").otherwise("ask").alias("side"),
+                F.when(F.col("event_type").isin("view", "signup"), 500 - F.col("value") / 10).otherwise(501 + F.col("value") / 10).alias("price"),
                 F.get_json_object("props", "$.k").cast("double").alias("size"),
                 "event_id",
             )
@@ -227,16 +226,15 @@ class Market:
 
     @cached_property
     def trades(self) -> DataFrame:
-        """Journal entries: view = buy, click = sell, per ticker in event order."""
+        """Journal entries: view and signup buy, the other events sell, per ticker in event order."""
         return (
             self.table("events")
             .withColumn("k", (F.col("user_id") % 25).cast("int"))
             .join(self.places, F.col("k") == F.col("n_nationkey"))
-            .filter(F.col("event_type").isin("view", "click"))
             .select(
                 F.col("event_id").alias("trade_id"),
                 F.col("n_name").alias("ticker"),
-                F.when(F.col("event_type") == "view", "buy").otherwise("sell").alias("action"),
+                F.when(F.col("event_type").isin("view", "signup"), "buy").otherwise("sell").alias("action"),
                 F.get_json_object("props", "$.k").cast("double").alias("shares"),
                 F.col("value").alias("price"),
                 F.to_date("ts").alias("date"),
