@@ -1,13 +1,13 @@
 """Byte-level BPE with a hierarchical-bitmap rank queue.
 
 The parts of a pre-token form a linked list over byte positions. Every neighbouring pair that has a
-merge rank puts its left position into the bucket of that rank; a three-level bitmap of the ranks in
+merge rank puts its left position into the bucket of that rank; a hierarchical bitmap of the ranks in
 use gives the smallest one by find-first-set. The leftmost position of that bucket is merged,
 unless the pair there has changed meanwhile (a stale entry, which is skipped), and the two new
 pairs enter their buckets. A pre-token of n bytes takes O(n log n) steps whatever its length.
 
-Pre-tokens come from the pattern of the vocabulary; results of short ones are kept in a bounded
-cache of the Python worker. Cases: a null text is empty and has no ids; special tokens are plain
+Pre-tokens come from the pattern of the vocabulary. Texts are cut at spaces, which no pre-token spans, and each
+distinct chunk of a batch is looked up once in a bounded cache of the Python worker. Cases: a null text is empty and has no ids; special tokens are plain
 text; any text decodes to its own bytes.
 """
 
@@ -19,61 +19,20 @@ from functools import lru_cache
 from heapq import heappop, heappush
 from itertools import chain
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from marketloom.llm.common import arrow_rows
-
-CACHE_LIMIT = 500_000
-#: Pre-tokens beyond this many bytes are encoded anew each time.
-CACHE_BYTES = 64
-WORD = 64  # bits of a bitmap word
-
-
-class RankQueue:
-    """Positions by rank; `pop` gives the smallest rank and, within it, the leftmost position."""
-
-    def __init__(self, ranks: int):
-        sizes = [-(-ranks // WORD)]
-        while sizes[-1] > 1:
-            sizes.append(-(-sizes[-1] // WORD))
-        self.levels = [[0] * n for n in sizes]
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        at = rank
-        for level in self.levels:
-            word = at // WORD
-            before = level[word]
-            level[word] = before | 1 << at % WORD
-            if before:
-                return
-            at = word
-
-    def pop(self) -> tuple[int, int] | None:
-        at = 0
-        for level in reversed(self.levels):
-            bits = level[at]
-            if not bits:
-                return None
-            at = at * WORD + (bits & -bits).bit_length() - 1
-        bucket = self.buckets[at]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[at]
-            word = at
-            for level in self.levels:
-                bit, word = word % WORD, word // WORD
-                level[word] &= ~(1 << bit)
-                if level[word]:
-                    break
-        return at, position
+from marketloom.llm.common import arrow_rows, text_or_empty
+from marketloom.llm.pieces import Generations, cut_at_spaces
+
+#: Chunks per generation of the cache; two generations are held.
+CACHE_LIMIT = 300_000
+WORD_BITS = 8  # a bitmap word has 256 bits
+WORD_MASK = (1 << WORD_BITS) - 1
 
 
 class BytePairs:
@@ -84,40 +43,71 @@ class BytePairs:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.tokens = {i: t for t, i in self.ranks.items()}
         self.find = regex.compile(pattern).findall
-        self.queue = RankQueue(max(self.tokens) + 1)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        # the queue: bits of the ranks in use, word by word, and the places that wait under each rank
+        self.words = [0] * ((max(self.tokens) >> WORD_BITS) + 1)
+        self.buckets: dict[int, int | list[int]] = {}
+        self.known = Generations(CACHE_LIMIT)
+        self.bare: dict[str, tuple[int, ...]] = {}  # pre-tokens without a space before them
 
     def merge(self, data: bytes) -> tuple[int, ...]:
         """Ids of one pre-token."""
-        whole = self.ranks.get(data)
+        ranks = self.ranks
+        whole = ranks.get(data)
         if whole is not None:
             return (whole,)
-        n, ranks, queue = len(data), self.ranks, self.queue
+        words, buckets, used = self.words, self.buckets, 0  # used: bits of the words that are not zero
+        n = len(data)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair: list[int | None] = [ranks.get(data[i : i + 2]) for i in range(n - 1)] + [None]
-        for i, rank in enumerate(pair):
-            if rank is not None:
-                queue.push(rank, i)
-        while (top := queue.pop()) is not None:
-            rank, i = top
-            if pair[i] != rank:
-                continue
+        pair: list[int | None] = [ranks.get(data[i : i + 2]) for i in range(n - 1)]
+        pair.append(None)
+        waiting = [(rank, i) for i, rank in enumerate(pair) if rank is not None]
+        while True:
+            for rank, i in waiting:
+                bucket = buckets.get(rank)
+                if bucket is None:
+                    buckets[rank] = i
+                    word = rank >> WORD_BITS
+                    words[word] |= 1 << (rank & WORD_MASK)
+                    used |= 1 << word
+                elif type(bucket) is int:
+                    buckets[rank] = [bucket, i] if bucket < i else [i, bucket]
+                else:
+                    heappush(bucket, i)
+            # the smallest rank, by the first bit set on either level, and its leftmost place
+            while used:
+                word = (used & -used).bit_length() - 1
+                bits = words[word]
+                low = bits & -bits
+                rank = (word << WORD_BITS) + low.bit_length() - 1
+                bucket = buckets[rank]
+                if type(bucket) is int:
+                    i = bucket
+                else:
+                    i = heappop(bucket)
+                if type(bucket) is int or not bucket:
+                    del buckets[rank]
+                    words[word] = bits ^ low
+                    if bits == low:
+                        used &= used - 1
+                if pair[i] == rank:
+                    break
+            else:
+                break
             j = after[i]
             end = after[j]
-            after[i], pair[j] = end, None
-            pair[i] = None
+            after[i] = end
+            pair[j] = pair[i] = None
+            waiting = []
             if end < n:
                 before[end] = i
-                made = ranks.get(data[i : after[end]])
+                made = pair[i] = ranks.get(data[i : after[end]])
                 if made is not None:
-                    pair[i] = made
-                    queue.push(made, i)
+                    waiting.append((made, i))
             left = before[i]
             if left >= 0:
-                made = ranks.get(data[left:end])
-                pair[left] = made
+                made = pair[left] = ranks.get(data[left:end])
                 if made is not None:
-                    queue.push(made, left)
+                    waiting.append((made, left))
         ids, i = [], 0
         while i < n:
             ids.append(ranks[data[i : after[i]]])
@@ -125,18 +115,38 @@ class BytePairs:
         return tuple(ids)
 
     def encode(self, text: str) -> list[int]:
-        cache, parts = self.cache, self.find(text)
-        fresh = set(parts).difference(cache)
-        if len(cache) + len(fresh) > CACHE_LIMIT:
-            cache.clear()
-            fresh = set(parts)
-        long = {}
-        for part in fresh:
-            data = part.encode()
-            (cache if len(data) <= CACHE_BYTES else long)[part] = self.merge(data)
-        if not long:
-            return list(chain.from_iterable(map(cache.__getitem__, parts)))
-        return list(chain.from_iterable(cache[p] if p in cache else long[p] for p in parts))
+        return [i for part in self.find(text) for i in self.merge(part.encode())]
+
+    def _bare(self, part: str) -> tuple[int, ...]:
+        if part not in self.bare:
+            if len(self.bare) >= CACHE_LIMIT:
+                self.bare.clear()
+            self.bare[part] = self.merge(part.encode())
+        return self.bare[part]
+
+    def _chunk(self, chunk: str) -> tuple[int, ...]:
+        """Ids of a space and `chunk`."""
+        known, parts = self.known.now, self.find(" " + chunk)
+        ids: tuple[int, ...] = ()
+        for part in parts:
+            if part[0] != " ":
+                ids += self._bare(part)
+            else:
+                core = part[1:]
+                if core not in known:
+                    known[core] = self.merge(part.encode())
+                ids += known[core]
+        return ids
+
+    def encode_chunks(self, texts: pa.Array) -> tuple[list[tuple[int, ...]], np.ndarray, np.ndarray]:
+        """Ids of distinct chunks, and the chunks of all texts by number with the texts' bounds."""
+        distinct, index, bounds, heads = cut_at_spaces(texts)
+        known = self.known
+        for chunk in known.missing(distinct):
+            known.now[chunk] = self._chunk(chunk)
+        ids = list(map(known.now.__getitem__, distinct))
+        ids += [tuple(self.encode(t)) if whole else tuple(i for p in self.find(t) for i in self._bare(p)) for whole, t in heads]
+        return ids, index, bounds
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -152,16 +162,23 @@ def _path(vocabulary: str | None) -> str:
     return vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def _strings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col), text_or_empty(F.col(text_col)).alias(text_col))
+
+
 def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """`doc_id`, `ids` of every text."""
     path = _path(vocabulary)
 
-    def rows(groups):
+    def rows(batches):
         coder = byte_pairs(path)
-        for group in groups:
-            yield [(doc, coder.encode(text or "")) for doc, text in group]
+        for batch in batches:
+            ids, index, bounds = coder.encode_chunks(batch.column(1))
+            index = index.tolist()
+            spans = zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)
+            yield [(doc, list(chain.from_iterable(map(ids.__getitem__, index[a:b])))) for doc, a, b in spans]
 
-    return arrow_rows(docs, [id_col, text_col], rows, "doc_id bigint, ids array<int>", 64)
+    return arrow_rows(_strings(docs, id_col, text_col), [id_col, text_col], rows, "doc_id bigint, ids array<int>", 256, raw=True)
 
 
 def decode_ids(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str | None = None) -> DataFrame:
@@ -180,17 +197,26 @@ def round_trip_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """`doc_id`, `n_tokens`, digests of the ids as decimal text and of the bytes decoded from them."""
     path = _path(vocabulary)
 
-    def rows(groups):
+    def rows(batches):
         coder = byte_pairs(path)
-        decimal = {i: str(i) for i in coder.tokens}
-        for group in groups:
+        decimal = {i: str(i).encode() for i in coder.tokens}
+        for batch in batches:
+            ids, index, bounds = coder.encode_chunks(batch.column(1))
+            # every id is decoded through the table, once per distinct chunk
+            said = [b" ".join(map(decimal.__getitem__, c)) for c in ids]
+            data = [coder.decode(c) for c in ids]
+            sizes = np.fromiter(map(len, ids), "int64", len(ids))[index]
+            totals = np.concatenate([[0], np.cumsum(sizes)])[bounds]
+            # an empty head has no ids, and so no separator behind it
+            index = index.tolist()
             made = []
-            for doc, text in group:
-                ids = coder.encode(text or "")
-                said = " ".join(map(decimal.__getitem__, ids)).encode()
-                made.append((doc, len(ids), hashlib.sha256(said).hexdigest(), hashlib.sha256(coder.decode(ids)).hexdigest()))
+            spans = zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), np.diff(totals).tolist(), strict=True)
+            for doc, a, b, n in spans:
+                own = index[a:b]
+                listed = b" ".join(map(said.__getitem__, own if ids[own[0]] else own[1:]))
+                decoded = b"".join(map(data.__getitem__, own))
+                made.append((doc, n, hashlib.sha256(listed).hexdigest(), hashlib.sha256(decoded).hexdigest()))
             yield made
 
-    return arrow_rows(
-        docs, [id_col, text_col], rows, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", 64
-    )
+    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    return arrow_rows(_strings(docs, id_col, text_col), [id_col, text_col], rows, schema, 1000, raw=True)

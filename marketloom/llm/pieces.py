@@ -3,7 +3,7 @@
 A text is cut at single spaces (byte-level vocabularies, where a space opens the next pre-token) or at
 any ASCII white space (lower-case vocabularies, which drop it); no pre-token spans such a cut, so the
 ids of the chunks, joined, are the ids of the text. Arrow cuts the texts of a batch and numbers their distinct
-chunks; only these are looked up, in a bounded cache of the Python worker, and numpy lays their ids out. New chunks are
+chunks; only these are looked up, in a bounded cache of the Python worker. New chunks are
 encoded many at a time: words of letters, with any closing punctuation taken off, are whole pre-tokens and need no
 pattern; the others go through the full tokenizer. Byte-level texts in which a space lies beside other white
 space are encoded whole.
@@ -33,6 +33,55 @@ SPACE_BYTE, WORD_END = "\u0120", "</w>"
 _MARK = "\x02"
 
 
+def _cuttable(text: str) -> bool:
+    if any(run in text for run in _RUNS):
+        return False
+    if text.isascii():
+        return not any(c in text for c in "\x1c\x1d\x1e\x1f")
+    return not _ODD.search(text)
+
+
+def cut_at_spaces(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, list[tuple[bool, str]]]:
+    """Distinct chunks, the number of each chunk in text order, the texts' bounds in it, and the heads.
+
+    A chunk stands for itself with a space before it. The first place of a text belongs to its head, which is
+    numbered behind the chunks: (False, what stands before its first space) or (True, the whole uncut text)."""
+    plain = texts.to_pylist()
+    whole = {i for i, t in enumerate(plain) if not _cuttable(t)}
+    if whole:
+        texts = pa.array(["" if i in whole else t for i, t in enumerate(plain)], pa.string())
+    distinct, index, bounds = _numbered(pc.split_pattern(texts, " "))
+    first = bounds[:-1]
+    heads = [(i in whole, plain[i] if i in whole else distinct[k]) for i, k in enumerate(index[first].tolist())]
+    index[first] = len(distinct) + np.arange(len(heads), dtype="int32")
+    return distinct, index, bounds, heads
+
+
+def _numbered(lists: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    bounds = lists.offsets.to_numpy().astype("int64")
+    numbered = lists.flatten().dictionary_encode()
+    return numbered.dictionary.to_pylist(), numbered.indices.to_numpy(zero_copy_only=False).copy(), bounds - bounds[0]
+
+
+class Generations:
+    """A bounded cache in two generations: what is used again survives when the older one is dropped."""
+
+    def __init__(self, limit: int):
+        self.limit, self.now, self.old = limit, {}, {}
+
+    def missing(self, keys: list[str]) -> list[str]:
+        """The keys without a value; the others are in `now` afterwards."""
+        fresh = set(keys).difference(self.now)
+        if len(self.now) + len(fresh) > self.limit:
+            self.old, self.now = self.now, {}
+            fresh = set(keys)
+        if self.old:
+            again = fresh.intersection(self.old)
+            self.now.update(zip(again, map(self.old.__getitem__, again), strict=True))
+            fresh = fresh.difference(again)
+        return list(fresh)
+
+
 class ChunkEncoder:
     """Ids of whole texts.
 
@@ -44,8 +93,7 @@ class ChunkEncoder:
         self.tokenizer.encode_special_tokens = True
         self.spaced, self.limit = spaced, limit
         # ids as little-endian unsigned 32-bit bytes
-        self.cache: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.known = Generations(limit)
         self.bare: dict[str, bytes] = {}  # pieces without a space before them
         # words of letters alone: the same model behind a cut at line ends
         self.plain = Tokenizer(self.tokenizer.model)
@@ -70,24 +118,29 @@ class ChunkEncoder:
     def _chunk(self, chunk: str) -> bytes:
         return self._whole(" " + chunk if self.spaced else chunk)
 
-    def _letters(self, core: str) -> bool:
-        """Whether a chunk is one pre-token of letters that the normaliser only lower-cases."""
-        return core.isalpha() and (core.isascii() or self.spaced or (max(core) < "\u0250" and "\u0130" not in core))
+    def _letters(self, cores: pa.Array) -> np.ndarray:
+        """Which chunks are one pre-token of letters that the normaliser only lower-cases."""
+        letters = pc.utf8_is_alpha(cores).to_numpy(zero_copy_only=False)
+        if not self.spaced:
+            wide = np.flatnonzero(letters & ~pc.string_is_ascii(cores).to_numpy(zero_copy_only=False))
+            far = [i for i, c in zip(wide.tolist(), cores.take(pa.array(wide)).to_pylist(), strict=True) if max(c) >= "\u0250" or "\u0130" in c]
+            letters[far] = False
+        return letters
 
     def _learn(self, fresh: list[str]) -> None:
-        cache, words, others = self.cache, [], []
-        for chunk in fresh:
-            core = chunk.rstrip(TAIL)
-            if self._letters(core):
-                words.append((chunk, core))
-            else:
-                others.append(chunk)
-        cores = list({core for _, core in words}.difference(cache))
-        for at in range(0, len(cores), 1000):
-            self._learn_words(cores[at : at + 1000])
-        for chunk, core in words:
-            if chunk != core:
+        cache = self.known.now
+        cores = pc.utf8_rtrim(pa.array(fresh, pa.string()), TAIL)
+        letters = self._letters(cores)
+        cores = cores.to_pylist()
+        words = np.flatnonzero(letters).tolist()
+        new = list({cores[i] for i in words}.difference(cache))
+        for at in range(0, len(new), 1000):
+            self._learn_words(new[at : at + 1000])
+        for i in words:
+            chunk, core = fresh[i], cores[i]
+            if len(chunk) != len(core):
                 cache[chunk] = cache[core] + self._bare(chunk[len(core) :])
+        others = [fresh[i] for i in np.flatnonzero(~letters).tolist()]
         for at in range(0, len(others), 1000):
             self._learn_others(others[at : at + 1000])
 
@@ -95,7 +148,7 @@ class ChunkEncoder:
         if len(starts) != len(chunks):
             raise AssertionError("the library cut other chunks than were sent")
         data = ids.tobytes()
-        self.cache.update(zip(chunks, [data[4 * a : 4 * b] for a, b in zip(starts, ends, strict=True)], strict=True))
+        self.known.now.update(zip(chunks, [data[4 * a : 4 * b] for a, b in zip(starts, ends, strict=True)], strict=True))
 
     def _learn_words(self, part: list[str]) -> None:
         sent = " " + "\n ".join(part) if self.spaced else "\n".join(part).lower()
@@ -109,7 +162,7 @@ class ChunkEncoder:
 
     def _learn_others(self, part: list[str]) -> None:
         clear = [c for c in part if c and _MARK not in c]
-        self.cache.update((c, self._chunk(c)) for c in part if not c or _MARK in c)
+        self.known.now.update((c, self._chunk(c)) for c in part if not c or _MARK in c)
         if not clear:
             return
         sent = " " + " ".join(clear) if self.spaced else f" {_MARK} ".join(clear)
@@ -123,64 +176,32 @@ class ChunkEncoder:
         if len(starts) == len(clear):
             self._store(clear, ids, starts, ends)
         else:
-            self.cache.update((c, self._chunk(c)) for c in clear)
-
-    @staticmethod
-    def _cuttable(text: str) -> bool:
-        if any(run in text for run in _RUNS):
-            return False
-        if text.isascii():
-            return not any(c in text for c in "\x1c\x1d\x1e\x1f")
-        return not _ODD.search(text)
+            self.known.now.update((c, self._chunk(c)) for c in clear)
 
     def _looked_up(self, chunks: list[str]) -> list[bytes]:
         """The ids of distinct chunks."""
-        fresh = set(chunks).difference(self.cache)
-        if len(self.cache) + len(fresh) > self.limit:
-            self.old, self.cache = self.cache, {}
-            fresh = set(chunks)
-        if self.old:
-            again = fresh.intersection(self.old)
-            self.cache.update((c, self.old[c]) for c in again)
-            fresh = fresh.difference(again)
-        self._learn(list(fresh))
-        return list(map(self.cache.__getitem__, chunks))
+        fresh = self.known.missing(chunks)
+        if fresh:
+            self._learn(fresh)
+        return list(map(self.known.now.__getitem__, chunks))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (strings without nulls), one after another, and their texts+1 bounds."""
         if not len(texts):
             return np.zeros(0, "<u4"), np.zeros(1, "int64")
-        heads: list[bytes] = []
         if self.spaced:
-            plain = texts.to_pylist()
-            whole = [i for i, t in enumerate(plain) if not self._cuttable(t)]
-            if whole:
-                cut = plain[:]
-                for i in whole:
-                    cut[i] = ""
-                texts = pa.array(cut, pa.string())
-            lists = pc.split_pattern(texts, " ")
+            distinct, index, bounds, heads = cut_at_spaces(texts)
+            found = self._looked_up(distinct) + [self._whole(t) if whole else self._bare(t) for whole, t in heads]
         else:
-            lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
-        bounds = lists.offsets.to_numpy().astype("int64")
-        bounds, chunks = bounds - bounds[0], lists.flatten()
-        numbered = chunks.dictionary_encode()
-        index, distinct = numbered.indices.to_numpy().astype("int64"), numbered.dictionary.to_pylist()
-        if self.spaced:
-            # what stands before the first space of a text has no space of its own
-            first = bounds[:-1]
-            heads = [self._bare(distinct[k]) for k in index[first].tolist()]
-            for i in whole:
-                heads[i] = self._whole(plain[i])
-            index[first] = len(distinct) + np.arange(len(heads))
-        found = self._looked_up(distinct) + heads
-        sizes = np.fromiter(map(len, found), "int64", len(found)) // 4
-        flat, starts = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+            distinct, index, bounds = _numbered(pc.ascii_split_whitespace(pc.ascii_lower(texts)))
+            found = self._looked_up(distinct)
+        sizes = np.fromiter(map(len, found), "int32", len(found)) // 4
+        flat, starts = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes, dtype="int32") - sizes
         each = sizes[index]
-        ends = np.cumsum(each)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = flat[np.repeat(starts[index] - (ends - each), each) + np.arange(total)]
-        return ids, np.concatenate([[0], ends])[bounds]
+        ends = np.cumsum(each, dtype="int32")
+        places = np.repeat(starts[index] - (ends - each), each)
+        places += np.arange(len(places), dtype="int32")
+        return flat[places], np.concatenate([[0], ends.astype("int64")])[bounds]
 
 
 @lru_cache(maxsize=4)
