@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import arrow_rows, text_or_empty
-from marketloom.llm.pieces import Generations, cut_at_spaces
+from marketloom.llm.pieces import Generations, cut_at_spaces, spoken
 
 #: Chunks per generation of the cache; two generations are held.
 CACHE_LIMIT = 300_000
@@ -125,8 +125,8 @@ class BytePairs:
         return self.bare[part]
 
     def _chunk(self, chunk: str) -> tuple[int, ...]:
-        """Ids of a space and `chunk`."""
-        known, parts = self.known.now, self.find(" " + chunk)
+        """Ids of what a chunk stands for."""
+        known, parts = self.known.now, self.find(spoken(chunk))
         ids: tuple[int, ...] = ()
         for part in parts:
             if part[0] != " ":

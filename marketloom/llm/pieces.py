@@ -1,6 +1,6 @@
 """Whole-text encoding with a library tokenizer through a cache of short chunks.
 
-A text is cut at single spaces (byte-level vocabularies, where a space opens the next pre-token) or at
+A text is cut at single spaces and line ends (byte-level vocabularies, where they open the next pre-token) or at
 any ASCII white space (lower-case vocabularies, which drop it); no pre-token spans such a cut, so the
 ids of the chunks, joined, are the ids of the text. Arrow cuts the texts of a batch and numbers their distinct
 chunks; only these are looked up, in a bounded cache of the Python worker. New chunks are
@@ -27,6 +27,8 @@ TAIL = ".,;:!?)]}#*$%&|"
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Neighbours of a space that make it part of a run.
 _RUNS = ("  ", *(p for c in "\t\n\x0b\f\r" for p in (c + " ", " " + c)))
+#: Neighbours of a line end that make it part of a run.
+_LINE_RUNS = ("\n\n", *(p for c in "\t\x0b\f\r" for p in (c + "\n", "\n" + c)))
 #: How byte-level vocabularies write a space, and how lower-case ones end a word.
 SPACE_BYTE, WORD_END = "\u0120", "</w>"
 #: A control character that is one token of its own between two spaces.
@@ -44,19 +46,29 @@ def _cuttable(text: str) -> bool:
 def cut_at_spaces(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, list[tuple[bool, str]]]:
     """Distinct chunks, the number of each chunk in text order, the texts' bounds in it, and the heads.
 
-    A chunk stands for itself with a space before it. The first place of a text belongs to its head, which is
-    numbered behind the chunks: (False, what stands before its first space) or (True, the whole uncut text)."""
+    A chunk stands for itself with a space before it, or, where it begins with a line end, for itself alone. The
+    first place of a text belongs to its head, which is numbered behind the chunks: (False, what stands
+    before its first cut) or (True, the whole uncut text)."""
     plain = texts.to_pylist()
     whole = {i for i, t in enumerate(plain) if not _cuttable(t)}
-    if whole:
-        texts = pa.array(["" if i in whole else t for i, t in enumerate(plain)], pa.string())
-    distinct, index, bounds = _numbered(pc.split_pattern(texts, " "))
+    sent = ["" if i in whole else _lines_cut(t) for i, t in enumerate(plain)]
+    distinct, index, bounds = _numbered(pc.split_pattern(pa.array(sent, pa.string()), " "))
     first = bounds[:-1]
     heads = [(i in whole, plain[i] if i in whole else distinct[k]) for i, k in enumerate(index[first].tolist())]
     index[first] = len(distinct) + np.arange(len(heads), dtype="int32")
     return distinct, index, bounds, heads
 
 
+def _lines_cut(text: str) -> str:
+    """A cut before every line end, where each is white space by itself."""
+    return text if any(run in text for run in _LINE_RUNS) else text.replace("\n", " \n")
+
+
+def spoken(chunk: str) -> str:
+    """The text that a chunk stands for."""
+    return chunk if chunk[:1] == "\n" else " " + chunk
+
+
 def _numbered(lists: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     bounds = lists.offsets.to_numpy().astype("int64")
     numbered = lists.flatten().dictionary_encode()
@@ -104,19 +116,28 @@ class ChunkEncoder:
         for token, i in self.tokenizer.get_vocab().items():
             self.opens[i], self.ends[i] = token[:1] == SPACE_BYTE, token.endswith(WORD_END)
         self.mark[np.frombuffer(self._whole(_MARK), "<u4")] = True
+        self.line_end = self._whole("\n")
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _bare(self, text: str) -> bytes:
-        if text not in self.bare:
-            if len(self.bare) >= self.limit:
-                self.bare.clear()
-            self.bare[text] = self._whole(text)
-        return self.bare[text]
+    def _bare(self, texts: list[str]) -> list[bytes]:
+        """Ids of pieces without a space before them; closing punctuation is a pre-token of its own after letters."""
+        parts = []
+        for text in texts:
+            core = text.rstrip(TAIL)
+            parts.append((core, text[len(core) :]) if core.isalpha() else (text, ""))
+        fresh = {p for both in parts for p in both}.difference(self.bare)
+        if len(self.bare) + len(fresh) > self.limit:
+            self.bare.clear()
+            fresh = {p for both in parts for p in both}
+        made = list(fresh)
+        for part, found in zip(made, self.tokenizer.encode_batch_fast(made, add_special_tokens=False), strict=True):
+            self.bare[part] = np.array(found.ids, "<u4").tobytes()
+        return [self.bare[core] + self.bare[tail] for core, tail in parts]
 
     def _chunk(self, chunk: str) -> bytes:
-        return self._whole(" " + chunk if self.spaced else chunk)
+        return self._whole(spoken(chunk) if self.spaced else chunk)
 
     def _letters(self, cores: pa.Array) -> np.ndarray:
         """Which chunks are one pre-token of letters that the normaliser only lower-cases."""
@@ -136,11 +157,14 @@ class ChunkEncoder:
         new = list({cores[i] for i in words}.difference(cache))
         for at in range(0, len(new), 1000):
             self._learn_words(new[at : at + 1000])
-        for i in words:
-            chunk, core = fresh[i], cores[i]
-            if len(chunk) != len(core):
-                cache[chunk] = cache[core] + self._bare(chunk[len(core) :])
+        closed = [i for i in words if len(fresh[i]) != len(cores[i])]
+        tails = self._bare([fresh[i][len(cores[i]) :] for i in closed])
+        cache.update((fresh[i], cache[cores[i]] + tail) for i, tail in zip(closed, tails, strict=True))
         others = [fresh[i] for i in np.flatnonzero(~letters).tolist()]
+        if self.spaced:
+            lines = [c for c in others if c[:1] == "\n"]
+            cache.update(zip(lines, [self.line_end + ids for ids in self._bare([c[1:] for c in lines])], strict=True))
+            others = [c for c in others if c[:1] != "\n"]
         for at in range(0, len(others), 1000):
             self._learn_others(others[at : at + 1000])
 
@@ -191,7 +215,8 @@ class ChunkEncoder:
             return np.zeros(0, "<u4"), np.zeros(1, "int64")
         if self.spaced:
             distinct, index, bounds, heads = cut_at_spaces(texts)
-            found = self._looked_up(distinct) + [self._whole(t) if whole else self._bare(t) for whole, t in heads]
+            bare = iter(self._bare([t for whole, t in heads if not whole]))
+            found = self._looked_up(distinct) + [self._whole(t) if whole else next(bare) for whole, t in heads]
         else:
             distinct, index, bounds = _numbered(pc.ascii_split_whitespace(pc.ascii_lower(texts)))
             found = self._looked_up(distinct)
