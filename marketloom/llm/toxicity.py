@@ -29,10 +29,12 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import arrow_rows, text_or_empty, written
+from marketloom.llm.pieces import Generations
 
 BUCKETS = 1 << 20
 #: Labelled documents that the model is fitted on, at most: the ones whose ids hash lowest.
@@ -44,7 +46,8 @@ DRIFT = 1.5
 LIMIT = 6.0
 #: Evidence beyond this makes no difference to a probability.
 MOST = 40.0
-CACHE_LIMIT = 400_000
+#: Chunks per generation of a worker's cache.
+CACHE_LIMIT = 100_000
 EULER = 0.5772156649
 #: Segments per sampled document that the fit looks at; their evidence alone reaches MOST.
 TOP = 64
@@ -93,7 +96,7 @@ class TokenScores:
 
     def __init__(self, toxic: np.ndarray, other: np.ndarray, rate: float, drift: float = DRIFT, prior: float = PRIOR):
         self.toxic, self.other, self.rate, self.drift, self.prior = toxic, other, min(max(rate, 1e-6), 1 - 1e-6), drift, prior
-        self.cache: dict[str, float] = {}
+        self.known = Generations(CACHE_LIMIT)
 
     def token(self, token: str) -> float:
         share = self.rate
@@ -103,35 +106,53 @@ class TokenScores:
         lift = math.log(share / (1 - share)) - math.log(self.rate / (1 - self.rate))
         return max(-LIMIT, min(LIMIT, lift)) - self.drift
 
-    def of(self, text: str) -> np.ndarray:
-        """One score per chunk between white space: that of its highest token."""
-        chunks = text.split()
-        fresh = set(chunks).difference(self.cache)
-        if len(self.cache) + len(fresh) > CACHE_LIMIT:
-            self.cache.clear()
-            fresh = set(chunks)
-        for chunk in fresh:
-            self.cache[chunk] = max(map(self.token, tokens(chunk)), default=-self.drift)
-        scores = np.fromiter(map(self.cache.__getitem__, chunks), "float64", len(chunks))
-        seen = set()
-        for i in np.flatnonzero(scores > 0).tolist():
-            if chunks[i] in seen:
-                scores[i] = -self.drift
-            seen.add(chunks[i])
-        return scores
-
-    def segments(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
-        """Number of chunks and maximal segments; what lies between two positive chunks is one step."""
-        scores = self.of(text)
-        hits = np.flatnonzero(scores > 0)
-        if not len(hits):
-            return len(scores), []
-        before = np.concatenate([[0.0], np.cumsum(scores)])
-        steps = np.empty(2 * len(hits) - 1)
-        steps[::2] = scores[hits]
-        steps[1::2] = before[hits[1:]] - before[hits[:-1] + 1]
-        found = maximal_segments(steps.tolist())
-        return len(scores), [(int(hits[a // 2]), int(hits[(b - 1) // 2]) + 1, s) for a, b, s in found]
+    def values(self, chunks: list[str]) -> np.ndarray:
+        """One score per distinct chunk: that of its highest token."""
+        for chunk in self.known.missing(chunks):
+            self.known.now[chunk] = max(map(self.token, tokens(chunk)), default=-self.drift)
+        return np.fromiter(map(self.known.now.__getitem__, chunks), "float64", len(chunks))
+
+    def of(self, texts: Sequence[str]) -> list[np.ndarray]:
+        """Per text the scores of its chunks between white space; a chunk that comes again only pays the drift."""
+        lists = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+        bounds = lists.offsets.to_numpy().astype("int64")
+        numbered = lists.flatten().dictionary_encode()
+        index = numbered.indices.to_numpy(zero_copy_only=False)
+        chunks = numbered.dictionary.to_pylist()
+        blank = np.array([not c for c in chunks], bool)
+        scores = self.values(chunks)[index]
+        out = []
+        for a, b in zip((bounds[:-1] - bounds[0]).tolist(), (bounds[1:] - bounds[0]).tolist(), strict=True):
+            # white space at either end leaves an empty piece there
+            a, b = (a + 1 if a < b and blank[index[a]] else a), b
+            b = b - 1 if a < b and blank[index[b - 1]] else b
+            own = scores[a:b]
+            hits = np.flatnonzero(own > 0)
+            if len(hits) > 1:
+                _, first = np.unique(index[a + hits], return_index=True)
+                again = np.ones(len(hits), bool)
+                again[first] = False
+                own = own.copy()
+                own[hits[again]] = -self.drift
+            out.append(own)
+        return out
+
+    def segments(self, texts: Sequence[str]) -> list[tuple[int, list[tuple[int, int, float]]]]:
+        """Per text the number of chunks and the maximal segments; what lies between two positive chunks is one step."""
+        return [(len(scores), compressed_segments(scores)) for scores in self.of(texts)]
+
+
+def compressed_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
+    """`maximal_segments` with the chunks between two positive ones as one step."""
+    hits = np.flatnonzero(scores > 0)
+    if not len(hits):
+        return []
+    before = np.concatenate([[0.0], np.cumsum(scores)])
+    steps = np.empty(2 * len(hits) - 1)
+    steps[::2] = scores[hits]
+    steps[1::2] = before[hits[1:]] - before[hits[:-1] + 1]
+    found = maximal_segments(steps.tolist())
+    return [(int(hits[a // 2]), int(hits[(b - 1) // 2]) + 1, s) for a, b, s in found]
 
 
 @dataclass(frozen=True)
@@ -160,11 +181,13 @@ class ToxicityModel:
             return self.rate
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * total + self.offset))))
 
-    def score(self, scores: TokenScores, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
-        """Probability, and the segments that chance gives less than once in such a text."""
-        n, found = scores.segments(text or "")
-        total = self.total(n, [s for _, _, s in found])
-        return self.probability(total), [x for x in found if self.evidence(n, x[2]) > 0]
+    def score(self, scores: TokenScores, texts: Sequence[str | None]) -> list[tuple[float, list[tuple[int, int, float]]]]:
+        """Per text the probability, and the segments that chance gives less than once in such a text."""
+        out = []
+        for n, found in scores.segments([t or "" for t in texts]):
+            total = self.total(n, [s for _, _, s in found])
+            out.append((self.probability(total), [x for x in found if self.evidence(n, x[2]) > 0]))
+        return out
 
 
 def held_out(id_: Column) -> Column:
@@ -185,14 +208,16 @@ def class_counts(sample: DataFrame, buckets: int) -> DataFrame:
 
     def rows(groups):
         for group in groups:
-            made: dict[int, list[int]] = {}
+            seen = []
             for text, toxic, half in group:
-                for k in {k for t in set(tokens(text)) for k in token_classes(t, buckets)}:
-                    made.setdefault(k, [0, 0, 0, 0])[2 * half + (toxic > 0)] += 1
-            yield [(k, *v) for k, v in made.items()]
+                own = {k for t in set(tokens(text)) for k in token_classes(t, buckets)}
+                seen.append(np.fromiter(own, "int64", len(own)) * 4 + (2 * half + (toxic > 0)))
+            classes, place = np.unique(np.concatenate(seen) >> 2, return_inverse=True)
+            table = np.bincount(place * 4 + (np.concatenate(seen) & 3), minlength=4 * len(classes)).reshape(-1, 4)
+            yield list(zip(classes.tolist(), *table.T.tolist(), strict=True))
 
     names = [f"c{h}{t}" for h in (0, 1) for t in (0, 1)]
-    partial = arrow_rows(sample, ["text", "toxic", "half"], rows, "class int, " + ", ".join(f"{n} bigint" for n in names), 4096)
+    partial = arrow_rows(sample, ["text", "toxic", "half"], rows, "class int, " + ", ".join(f"{n} bigint" for n in names), 1024)
     return partial.groupBy("class").agg(*[F.sum(n).cast("int").alias(n) for n in names])
 
 
@@ -253,10 +278,12 @@ def fit(
         scorers = [TokenScores(sent.value[3 - 2 * h], sent.value[2 - 2 * h], rate) for h in (0, 1)]
         for group in groups:
             made = []
-            for text, toxic, half in group:
-                n, found = scorers[half].segments(text)
-                bins = np.bincount(np.clip((scorers[half].of(text) + 8) * 8, 0, 127).astype(int), minlength=128)
-                made.append((int(toxic > 0), n, sorted((s for _, _, s in found), reverse=True)[:TOP], bins.tolist()))
+            for h in (0, 1):
+                mine = [(text, toxic) for text, toxic, half in group if half == h]
+                for (_, toxic), scores in zip(mine, scorers[h].of([t for t, _ in mine]), strict=True):
+                    bins = np.bincount(np.clip((scores + 8) * 8, 0, 127).astype(int), minlength=128)
+                    best = sorted((s for _, _, s in compressed_segments(scores)), reverse=True)[:TOP]
+                    made.append((int(toxic > 0), len(scores), best, bins.tolist()))
             yield made
 
     judged = arrow_rows(sample, ["text", "toxic", "half"], rows, "toxic int, n bigint, segments array<double>, bins array<bigint>")
@@ -282,9 +309,10 @@ def _scored(docs: DataFrame, model: ToxicityModel, id_col: str, text_col: str, r
         model = sent.value
         scores = model.scorer()
         for group in groups:
-            yield [x for doc, text in group for x in rows(doc, *model.score(scores, text))]
+            found = model.score(scores, [text for _, text in group])
+            yield [x for (doc, _), one in zip(group, found, strict=True) for x in rows(doc, *one)]
 
-    return arrow_rows(docs, [id_col, text_col], run, schema)
+    return arrow_rows(docs, [id_col, text_col], run, schema, 1000)
 
 
 def toxic_passages(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -308,7 +336,10 @@ def without_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text")
         model = sent.value
         scores = model.scorer()
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col))
-            yield batch.filter(pa.array([model.score(scores, t.as_py())[0] < 0.5 for t in texts], pa.bool_()))
+            place = batch.schema.get_field_index(text_col)
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                found = model.score(scores, part.column(place).to_pylist())
+                yield part.filter(pa.array([p < 0.5 for p, _ in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -44,9 +44,13 @@ def test_compressed_scan_equals_full_scan():
     scores = toxicity.TokenScores(toxic, other, 0.1)
     for _ in range(50):
         text = " ".join(r.choice(["bad", "vile", "calm", "blue", "x"]) for _ in range(r.randint(0, 30)))
-        n, found = scores.segments(text)
-        assert n == len(text.split())
-        assert [(a, b) for a, b, _ in found] == [(a, b) for a, b, _ in toxicity.maximal_segments(scores.of(text).tolist())]
+        ((n, found),) = scores.segments([text])
+        (full,) = scores.of([text])
+        assert n == len(full) == len(text.split())
+        assert [(a, b) for a, b, _ in found] == [(a, b) for a, b, _ in toxicity.maximal_segments(full.tolist())]
+        hits = [w for w, x in zip(text.split(), full, strict=True) if x > 0]
+        assert len(hits) == len(set(hits)) == len({"bad", "vile"} & set(text.split()))
+    assert [n for n, _ in scores.segments(["", " ", " bad  x ", "\n"])] == [0, 0, 2, 0]
 
 
 @pytest.fixture(scope="module")
