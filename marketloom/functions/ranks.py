@@ -11,19 +11,26 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from marketloom.session import keep
 
-RANGES = 32
+#: Distinct values that one task ranks, and the most ranges that a group is cut into.
+VALUES_PER_RANGE = 50_000
+MOST_RANGES = 1024
 
 
-def ordered_values(df: DataFrame, keys: Sequence[str], value: str, ranges: int = RANGES) -> DataFrame:
+def ordered_values(df: DataFrame, keys: Sequence[str], value: str, per_range: int = VALUES_PER_RANGE) -> DataFrame:
     """Distinct values per group with `_c` (copies), `_hi` (rank of the last copy), `_n` (rows
-    of the group) and `_range` (value range, ascending).
+    of the group) and `_range` (value range, ascending). A group gets as many ranges as it has
+    `per_range` distinct values, MOST_RANGES at most.
 
     The counted values are kept: cutting, ranking and totals each read them, and the plan that
     produced `df` must not run once per reader."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")).persist()
-    cuts = F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 2000)
-    edges = counts.groupBy(*keys).agg(cuts.alias("_cuts"))
+    counts = keep(df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")))
+    levels = F.percentile_approx(value, [i / MOST_RANGES for i in range(1, MOST_RANGES)], 5000).alias("_levels")
+    parts = F.least(F.lit(MOST_RANGES), F.ceil(F.col("_values") / per_range)).cast("int")
+    pick = lambda i: F.get("_levels", (i * MOST_RANGES / F.col("_parts")).cast("int") - 1)
+    chosen = F.when(F.col("_parts") > 1, F.transform(F.sequence(F.lit(1), F.col("_parts") - 1), pick)).otherwise(F.slice("_levels", 1, 0))
+    edges = counts.groupBy(*keys).agg(levels, F.count(F.lit(1)).alias("_values")).withColumn("_parts", parts).select(*keys, chosen.alias("_cuts"))
     placed = counts.join(edges, list(keys)).withColumn(
         "_range", F.size(F.filter("_cuts", lambda e: e < F.col(value)))
     ).drop("_cuts")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from marketloom.functions.expr import product
 from marketloom.functions.rolling import lagged, pct_change, with_position
 from marketloom.operators import risk
+from marketloom.session import keep
 
 
 def wf_positions(rows: DataFrame, train: int = 252, test: int = 63, percentile: float = 0.75, cost_bps: float = 10) -> DataFrame:
@@ -77,7 +78,7 @@ def momentum_backtest(matrix: DataFrame, horizons: Sequence[int] = (126,), top_n
     Only month-end rows are ranked, the selections (top_n per horizon and month) are joined to
     the returns of the days they cover, and turnover compares neighbouring selections.
     """
-    matrix = matrix.persist()  # calendar, ranking and returns read it
+    matrix = keep(matrix)  # calendar, ranking and returns read it
     # the calendar: one row per trading date, so its ordered partition is bounded
     cal = matrix.select("date").distinct()
     whole = Window.partitionBy(F.lit(0)).orderBy("date")
@@ -94,7 +95,7 @@ def momentum_backtest(matrix: DataFrame, horizons: Sequence[int] = (126,), top_n
     rank = F.row_number().over(Window.partitionBy("lookback", "date").orderBy(F.desc("momentum"), "ticker"))
     size = F.count(F.lit(1)).over(Window.partitionBy("lookback", "date"))
     picks = scored.withColumn("rank", rank).filter(F.col("rank") <= top_n).withColumn("weight", 1.0 / size).drop("pos", "rank")
-    picks = picks.persist()  # a few rows per month, read by the returns and the turnover
+    picks = keep(picks)  # a few rows per month, read by the returns and the turnover
     # rebalance dates per horizon, each with the next one (at most one per month)
     turns = picks.select("lookback", "date").distinct().withColumn("until", F.lead("date").over(Window.partitionBy("lookback").orderBy("date")))
     returns = matrix.withColumn("r", pct_change("close")).select("ticker", "date", "r")

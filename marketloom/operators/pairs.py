@@ -18,6 +18,7 @@ from marketloom.functions.expr import clip, correlation, notes, safe_div
 from marketloom.functions.gram import pair_moments, per_block, wide
 from marketloom.functions.rolling import lagged, rolling_mean, rolling_std, with_position
 from marketloom.operators import regress, risk
+from marketloom.session import keep
 
 PAIR = ("a", "b")
 
@@ -229,7 +230,7 @@ def rolling_coint(frame: DataFrame, n: int = 126) -> DataFrame:
 
 def coint_stats(frame: DataFrame, least: int = 252) -> DataFrame:
     """Curated-pair diagnostics with warnings; short pairs keep a row without numbers."""
-    spreads = with_spread(frame).persist()
+    spreads = keep(with_spread(frame))
     stats = spread_stats(spreads)
     out = stats.join(structural_break(spreads), list(PAIR)).join(rolling_coint(frame), list(PAIR), "left")
     ready = F.col("sample_size") >= least
@@ -319,7 +320,7 @@ def relationship_status(z: Column, raw_p: Column, adj_p: Column, stability: Colu
 
 def relative_value(candidates: DataFrame, bars: DataFrame) -> DataFrame:
     """Diagnostics, validation and multiple-testing control of curated pairs, with labels."""
-    frame = pair_frame(bars, candidates).persist()  # diagnostics and validation read it
+    frame = keep(pair_frame(bars, candidates))  # diagnostics and validation read it
     stats = coint_stats(frame)
     checks = pair_walk_forward(frame).select(*PAIR, F.col("sample_size").alias("validation_sample"), "narrowing_rate", "after_cost_status")
     out = candidates.select(*PAIR).distinct().join(stats, list(PAIR), "left").join(checks, list(PAIR), "left")

@@ -15,6 +15,7 @@ from marketloom.functions.expr import clip, correlation, notes, safe_div, truth
 from marketloom.functions.gram import pair_moments
 from marketloom.functions.rolling import pct_change, rolling_mean, rolling_std, with_position
 from marketloom.operators import indicators, risk
+from marketloom.session import keep
 
 
 def by_portfolio():
@@ -330,9 +331,9 @@ def rolling_correlation_trend(rolling: DataFrame) -> DataFrame:
 
 def metrics(positions: DataFrame, bars: DataFrame, rf: float = 0.045) -> DataFrame:
     """One wide row per portfolio that the scores, warnings and reports read."""
-    matrix = price_matrix(bars).persist()  # read by every part below
-    wts = weights(positions, bars).persist()
-    series = portfolio_returns(matrix, wts).persist()
+    matrix = keep(price_matrix(bars))  # read by every part below
+    wts = keep(weights(positions, bars))
+    series = keep(portfolio_returns(matrix, wts))
     corr = correlation_summary(holding_pairs(matrix, wts))
     contrib = risk_contributions(matrix, wts).groupBy("portfolio_id").agg(
         F.max(F.struct("contribution_pct", "ticker")).alias("_risk"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from marketloom.functions.expr import clip, notes, safe_div, truth
 from marketloom.functions.ranks import ordered_values
 from marketloom.operators import regress
+from marketloom.session import keep
 
 # fixed values: outcome column and rows after the entry row
 HORIZONS = (("return_1w", 5), ("return_1m", 21), ("return_3m", 63), ("return_6m", 126))
@@ -82,7 +83,7 @@ def medians(rows: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
 
 def signal_summary(rows: DataFrame, keys: Sequence[str] = ("signal_type",), x: str = "return_1m") -> DataFrame:
     """Outcome statistics per signal type: one aggregate plus the exact median."""
-    rows = rows.select(*keys, x, "sp500_relative_return", "max_drawdown").persist()
+    rows = keep(rows.select(*keys, x, "sp500_relative_return", "max_drawdown"))
     v = F.col(x)
     out = rows.groupBy(*keys).agg(
         F.count(x).alias("sample_size"),

@@ -9,13 +9,14 @@ from marketloom.operators import portfolio as pf
 from marketloom.plans import q_portfolio  # noqa: F401  (views)
 from marketloom.plans.registry import query, view
 from marketloom.plans.views import cdf, ema, roll, rsi
+from marketloom.session import keep
 
 T = "(PARTITION BY ticker ORDER BY date)"
 
 
 def table(m):
     """One indicator table for all the reports of a session that read it."""
-    return ind.indicator_table(m.bars, m.benchmark).persist()
+    return keep(ind.indicator_table(m.bars, m.benchmark))
 
 
 query("golden_cross", "ticker date:d close:4 sma50:8 sma200:8",

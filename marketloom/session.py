@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,3 +50,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+_SCOPES: list[list[DataFrame]] = []
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """`df`, persisted for the readers of one plan; the enclosing `release` scope lets go of it."""
+    df = df.persist()
+    if _SCOPES:
+        _SCOPES[-1].append(df)
+    return df
+
+
+@contextmanager
+def release() -> Iterator[None]:
+    """Plans built and run inside leave nothing in the session's storage.
+
+        with release():
+            report(market).write.parquet(path)
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for df in _SCOPES.pop():
+            df.unpersist()

@@ -11,6 +11,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from marketloom.session import keep
 
 
 class Market:
@@ -89,7 +90,7 @@ class Market:
             price("c").alias("close"),
             "volume",
         )
-        return out.persist() if self.keep_bars else out
+        return keep(out) if self.keep_bars else out
 
     @cached_property
     def benchmark(self) -> DataFrame:
