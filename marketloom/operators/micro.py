@@ -83,14 +83,21 @@ def net_edge(gross: Column, commission: Column, slippage: Column, spread: Column
     return gross - commission - slippage - spread
 
 
-def lot_positions(trades: DataFrame, keys: Sequence[str], chunk: str, order: str) -> DataFrame:
+#: Consecutive order numbers whose trades are summed in one task.
+LOT_BLOCK = 65_536
+
+
+def lot_positions(trades: DataFrame, keys: Sequence[str], chunk: str | None, order: str) -> DataFrame:
     """Each trade with the shares bought and the sold shares matched, before and after it.
 
     Sells beyond the shares held are dropped: with X the running balance of buys minus sells,
     the shares dropped so far are -min(0, running minimum of X). All running values are built
     inside (key, chunk) and shifted by one summary row per chunk, so a ticker with most of the
-    trades is spread over its days and the trades are joined once.
+    trades is spread over its chunks and the trades are joined once. A chunk holds LOT_BLOCK consecutive order
+    numbers, unless a column that never falls along the order is named.
     """
+    if chunk is None:
+        trades, chunk = trades.withColumn("_block", F.floor(F.col(order) / LOT_BLOCK)), "_block"
     run, before = inside_chunk(keys, chunk, (order,)), earlier_chunks(keys, chunk)
     buy = F.col("action").isin("buy", "entry")
     q, none = F.col("shares"), F.lit(0.0)
@@ -108,10 +115,10 @@ def lot_positions(trades: DataFrame, keys: Sequence[str], chunk: str, order: str
     lowest = F.least(F.col("_ol"), F.col("_low") + F.col("_ob") - F.col("_os"), none)
     t = t.withColumn("bought", F.col("_ob") + F.col("_b")).withColumn("matched", F.col("_os") + F.col("_s") + lowest)
     prior = F.lag("matched").over(Window.partitionBy(*keys, chunk).orderBy(order))
-    return t.withColumn("matched_before", F.coalesce(prior, F.col("_os") + F.least(F.col("_ol"), none))).drop("_b", "_s", "_low", "_ob", "_os", "_ol")
+    return t.withColumn("matched_before", F.coalesce(prior, F.col("_os") + F.least(F.col("_ol"), none))).drop("_b", "_s", "_low", "_ob", "_os", "_ol", "_block")
 
 
-def fifo_lots(trades: DataFrame, keys: Sequence[str] = ("ticker",), chunk: str = "date", order: str = "trade_id") -> tuple[DataFrame, DataFrame]:
+def fifo_lots(trades: DataFrame, keys: Sequence[str] = ("ticker",), chunk: str | None = None, order: str = "trade_id") -> tuple[DataFrame, DataFrame]:
     """Closed lots (one row per matched part) and open shares per ticker.
 
     On the axis of shares bought so far a buy is the interval [bought before, bought after) and

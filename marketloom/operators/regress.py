@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.expr import clip, correlation, norm_cdf, safe_div
+from marketloom.functions.gram import pair_moments
 from marketloom.functions.ranks import ordered_values, quantile_edges, with_avg_rank
 from marketloom.functions.rolling import with_position
 
@@ -199,27 +200,31 @@ def factor_sensitivity(frame: DataFrame, keys: Sequence[str], y: str, xs: Sequen
     )
 
 
-def pca(matrix_returns: DataFrame, components: int = 5) -> DataFrame:
-    """Principal components of standardised returns: explained share and loadings. Series
-    become the columns of the design matrix, rows stay distributed."""
-    from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    names = [r[0] for r in matrix_returns.select("ticker").distinct().orderBy("ticker").collect()]  # column names of the pivot
-    wide = matrix_returns.groupBy("date").pivot("ticker", names).agg(F.first("r")).dropna()
-    vec = VectorAssembler(inputCols=names, outputCol="raw").transform(wide)
-    scaled = StandardScaler(withMean=True, withStd=True, inputCol="raw", outputCol="x").fit(vec).transform(vec)
-    model = PCA(k=len(names), inputCol="x", outputCol="pc").fit(scaled)
-    explained = [float(v) for v in model.explainedVariance]
-    loadings = model.pc.toArray()
-    rows = []
+PCA_SCHEMA = "component int, explained_variance_pct double, ticker string, loading double, effective_factor_count int"
+
+
+def _components(pairs: pd.DataFrame, components: int) -> pd.DataFrame:
+    names = sorted(set(pairs["a"]))
+    grid = pairs.pivot(index="a", columns="b", values="corr").reindex(index=names, columns=names).to_numpy(float)
+    matrix = np.where(np.isnan(grid), grid.T, grid)
+    np.fill_diagonal(matrix, 1.0)
+    values, vectors = np.linalg.eigh(np.nan_to_num(matrix))
+    share = values[::-1] / values.sum()
+    parts = []
     for c in range(min(components, len(names))):
-        col = loadings[:, c]
-        col = col * np.sign(col[np.argmax(np.abs(col))])
-        for name, value in zip(names, col):
-            rows.append((c + 1, explained[c] * 100, name, float(value), int(sum(e > 0.05 for e in explained))))
-    spark = matrix_returns.sparkSession
-    return spark.createDataFrame(rows, "component int, explained_variance_pct double, ticker string, loading double, effective_factor_count int")
+        v = vectors[:, -1 - c]
+        v = v * np.sign(v[np.argmax(np.abs(v))])
+        parts.append(pd.DataFrame({"component": c + 1, "explained_variance_pct": share[c] * 100, "ticker": names, "loading": v, "effective_factor_count": int((share > 0.05).sum())}))
+    return pd.concat(parts).astype({"component": "int32", "effective_factor_count": "int32"})
+
+
+def pca(returns: DataFrame, components: int = 5) -> DataFrame:
+    """Principal components of standardised returns: explained share and loadings.
+
+    The correlations are summed as blocked pair moments over all rows; only the finished matrix, one row per pair
+    of series, is decomposed in one group."""
+    pairs = pair_moments(returns, "ticker", "date", "r").select("a", "b", "corr")
+    return pairs.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda rows: _components(rows, components), PCA_SCHEMA)
 
 
 def ic_buckets(frame: DataFrame, keys: Sequence[str], score: str, future: str, quantiles: int = 5, per_bucket: int = 10) -> DataFrame:

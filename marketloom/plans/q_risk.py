@@ -194,7 +194,19 @@ query("factor_sensitivity", "portfolio_id term signed_exposure:4 share_pct:2 con
  WHERE a.r IS NOT NULL AND b.r IS NOT NULL AND c.r IS NOT NULL)''', 'portfolio_id')}) WHERE term <> 'alpha')""", "pfr sectx")(
     lambda m: regress.factor_sensitivity(portfolio_factors(m), ("portfolio_id",), "r", SECTORS))
 
-query("pca", "component:i explained_variance_pct:6 ticker loading:6 effective_factor_count:i")(
+# the leading eigenvector of a symmetric matrix is what its powers tend to: square it 34 times, keep the row of the
+# largest diagonal entry, take its share out of the matrix, and again
+view("pc0", "SELECT list(r ORDER BY a) AS m, list(a ORDER BY a) AS names FROM (SELECT a, list(corr ORDER BY b) AS r FROM covp GROUP BY a)", "covp")
+for _k in range(1, 6):
+    view(f"pw{_k}", f"""WITH RECURSIVE p(n, x) AS (SELECT 0, m FROM pc{_k - 1} UNION ALL SELECT n + 1, list_transform(y, lambda r: list_transform(r, lambda e: e / t)) FROM (
+ SELECT n, y, list_sum(list_transform(range(1, len(y) + 1), lambda i: y[i][i])) AS t FROM (SELECT n, list_transform(x, lambda r: list_transform(x, lambda c: list_dot_product(r, c))) AS y FROM p WHERE n < 34))) SELECT x FROM p WHERE n = 34""", f"pc{_k - 1}")
+    view(f"pv{_k}", f"""SELECT m, names, v, list_sum(list_transform(range(1, len(v) + 1), lambda i: v[i] * list_dot_product(m[i], v))) AS l FROM (SELECT m, names, list_transform(w, lambda e: e / sqrt(list_dot_product(w, w)) * sign(w[list_position(list_transform(w, lambda z: abs(z)), list_max(list_transform(w, lambda z: abs(z))))])) AS v FROM (
+ SELECT m, names, x[list_position(d, list_max(d))] AS w FROM (SELECT x, list_transform(range(1, len(x) + 1), lambda i: x[i][i]) AS d FROM pw{_k}), pc{_k - 1}))""", f"pw{_k}", f"pc{_k - 1}")
+    view(f"pc{_k}", f"SELECT list_transform(range(1, len(v) + 1), lambda i: list_transform(range(1, len(v) + 1), lambda j: m[i][j] - l * v[i] * v[j])) AS m, names FROM pv{_k}", f"pv{_k}")
+query("pca", "component:i explained_variance_pct:6 ticker loading:6 effective_factor_count:i",
+      "SELECT *, l / n * 100 AS explained_variance_pct, sum(CASE WHEN first AND l / n > 0.05 THEN 1 ELSE 0 END) OVER () AS effective_factor_count FROM ("
+      + " UNION ALL ".join(f"SELECT {k} AS component, l, len(names) AS n, unnest(names) AS ticker, unnest(v) AS loading, unnest(range(1, len(v) + 1)) = 1 AS first FROM pv{k}" for k in range(1, 6)) + ")",
+      " ".join(f"pv{k}" for k in range(1, 6)))(
     lambda m: regress.pca(pf.aligned_returns(pf.price_matrix(m.bars))))
 
 
