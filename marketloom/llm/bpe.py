@@ -219,4 +219,4 @@ def round_trip_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield made
 
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return arrow_rows(_strings(docs, id_col, text_col), [id_col, text_col], rows, schema, 1000, raw=True)
+    return arrow_rows(_strings(docs, id_col, text_col), [id_col, text_col], rows, schema, 2000, raw=True)

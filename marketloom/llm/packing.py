@@ -56,7 +56,7 @@ def pieces(
             yield made
 
     plain = docs.select(F.col(id_col), text_or_empty(F.col(text_col)).alias(text_col))
-    return arrow_rows(plain, [id_col, text_col], rows, PIECES + (", ids binary" if with_ids else ""), 1000, raw=True)
+    return arrow_rows(plain, [id_col, text_col], rows, PIECES + (", ids binary" if with_ids else ""), 2000, raw=True)
 
 
 def fullest(counts: dict[int, int], space: int) -> list[int]:

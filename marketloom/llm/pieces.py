@@ -82,16 +82,16 @@ class Generations:
         self.limit, self.now, self.old = limit, {}, {}
 
     def missing(self, keys: list[str]) -> list[str]:
-        """The keys without a value; the others are in `now` afterwards."""
-        fresh = set(keys).difference(self.now)
-        if len(self.now) + len(fresh) > self.limit:
-            self.old, self.now = self.now, {}
-            fresh = set(keys)
-        if self.old:
-            again = fresh.intersection(self.old)
-            self.now.update(zip(again, map(self.old.__getitem__, again), strict=True))
-            fresh = fresh.difference(again)
-        return list(fresh)
+        """Of distinct keys those without a value; the others are in `now` afterwards."""
+        now, old = self.now, self.old
+        fresh = [k for k in keys if k not in now]
+        if len(now) + len(fresh) > self.limit:
+            self.old, self.now = old, now = now, {}
+            fresh = keys
+        if old:
+            now.update((k, old[k]) for k in fresh if k in old)
+            fresh = [k for k in fresh if k not in now]
+        return fresh
 
 
 class ChunkEncoder:
@@ -157,9 +157,11 @@ class ChunkEncoder:
         new = list({cores[i] for i in words}.difference(cache))
         for at in range(0, len(new), 1000):
             self._learn_words(new[at : at + 1000])
-        closed = [i for i in words if len(fresh[i]) != len(cores[i])]
-        tails = self._bare([fresh[i][len(cores[i]) :] for i in closed])
-        cache.update((fresh[i], cache[cores[i]] + tail) for i, tail in zip(closed, tails, strict=True))
+        closed = [(fresh[i], cores[i]) for i in words if len(fresh[i]) != len(cores[i])]
+        tails = [chunk[len(core) :] for chunk, core in closed]
+        known = list(set(tails))
+        ids = dict(zip(known, self._bare(known), strict=True))
+        cache.update((chunk, cache[core] + ids[tail]) for (chunk, core), tail in zip(closed, tails, strict=True))
         others = [fresh[i] for i in np.flatnonzero(~letters).tolist()]
         if self.spaced:
             lines = [c for c in others if c[:1] == "\n"]

@@ -81,7 +81,7 @@ def write_token_files(
         .repartitionByRange(parts, F.col(id_col).asc_nulls_first())
         .sortWithinPartitions(F.col(id_col).asc_nulls_first(), text_col)
     )
-    return kept(arrow_rows(ordered, [id_col, text_col], rows, MANIFEST, 1000, raw=True))
+    return kept(arrow_rows(ordered, [id_col, text_col], rows, MANIFEST, 2000, raw=True))
 
 
 def part_bases(manifest: DataFrame) -> DataFrame:
