@@ -129,7 +129,8 @@ def state_name(vol_median: float) -> Column:
 
 def regime_cluster(features: DataFrame, states: int = 6, least: int = 120, seed: int = 17) -> DataFrame:
     """Cluster the standardised regime features, name the clusters by their centres, and report
-    the chances of the next state out of the latest one (0.5 smoothing per state).
+    the chances of the next state out of the latest one (0.5 smoothing per state). The number of
+    `states` is the same for a short and a long history; below `least` rows there is no result.
 
     `features`: date plus FEATURES. Fitting and scoring are distributed; what reaches the driver
     is the model's centres (states x 4 numbers).
@@ -144,12 +145,11 @@ def regime_cluster(features: DataFrame, states: int = 6, least: int = 120, seed:
     if n < least:
         empty = spark.createDataFrame([], schema)
         return empty.select("state_name", F.lit(None).cast("boolean").alias("is_current"), F.lit(None).cast("double").alias("probability_pct"), F.lit(None).cast("long").alias("days"))
-    k = min(states, max(2, n // 60))
     pipe = Pipeline(
         stages=[
             VectorAssembler(inputCols=list(FEATURES), outputCol="_v"),
             StandardScaler(inputCol="_v", outputCol="_x", withMean=True, withStd=True),
-            KMeans(featuresCol="_x", predictionCol="state", k=k, seed=seed, maxIter=50),
+            KMeans(featuresCol="_x", predictionCol="state", k=states, seed=seed, maxIter=50),
         ]
     )
     model = pipe.fit(features)
