@@ -79,6 +79,17 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return [free_name(df, name) for name in names]
 
 
+#: Rows and bytes of an Arrow batch. Whole texts are handed to Python, so bytes are what bounds a worker.
+BATCH_ROWS = 2_000
+BATCH_BYTES = "16m"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of the session hold so many rows and bytes at most (a longer row is a batch by itself)."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def arrow_rows(
     df: DataFrame,
     columns: Sequence[str],
@@ -91,6 +102,7 @@ def arrow_rows(
 
     It gets an iterator of lists of at most `group` tuples (raw: of Arrow batches of so many rows) and yields
     lists of output tuples, so a task never holds more than one Arrow batch and one group."""
+    bounded_batches(df.sparkSession)
     out = df.sparkSession.createDataFrame([], schema).schema
     target = pa.schema([pa.field(f.name, _arrow_type(f.dataType.simpleString())) for f in out])
 

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import arrow_rows, text_or_empty, written
+from marketloom.llm.common import arrow_rows, bounded_batches, text_or_empty, written
 from marketloom.llm.pieces import Generations
 
 BUCKETS = 1 << 20
@@ -330,6 +330,7 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id
 
 def without_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
     """The rows of `docs`, unchanged, whose score lies below one half."""
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]):
