@@ -140,8 +140,8 @@ class BytePairs:
 
     def encode_chunks(self, texts: pa.Array) -> tuple[list[tuple[int, ...]], np.ndarray, np.ndarray]:
         """Ids of distinct chunks, and the chunks of all texts by number with the texts' bounds."""
-        distinct, index, bounds, heads = cut_at_spaces(texts)
-        known = self.known
+        chunks, index, bounds, heads = cut_at_spaces(texts)
+        distinct, known = chunks.to_pylist(), self.known
         for chunk in known.missing(distinct):
             known.now[chunk] = self._chunk(chunk)
         ids = list(map(known.now.__getitem__, distinct))

@@ -11,7 +11,6 @@ space are encoded whole.
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 
 import numpy as np
@@ -20,59 +19,50 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer, pre_tokenizers
 
 #: Chunks per generation of the cache; two generations are held.
-CACHE_LIMIT = 300_000
+CACHE_LIMIT = 450_000
 #: Closing punctuation; no apostrophe, which may open a pre-token of letters.
 TAIL = ".,;:!?)]}#*$%&|"
-#: White space beyond ASCII's common six; tokenizers differ on whether it joins a run.
-_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-#: Neighbours of a space that make it part of a run.
-_RUNS = ("  ", *(p for c in "\t\n\x0b\f\r" for p in (c + " ", " " + c)))
-#: Neighbours of a line end that make it part of a run.
-_LINE_RUNS = ("\n\n", *(p for c in "\t\x0b\f\r" for p in (c + "\n", "\n" + c)))
+#: A space beside other white space, or white space beyond ASCII's common six, of which tokenizers differ on
+#: whether it joins a run (RE2 syntax).
+UNCUT = r"[ ][\t-\r ]|[\t-\r][ ]|[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: A line end that is part of a run, too.
+LINE_RUN = r"[\t-\r][\t-\r]"
 #: How byte-level vocabularies write a space, and how lower-case ones end a word.
 SPACE_BYTE, WORD_END = "\u0120", "</w>"
 #: A control character that is one token of its own between two spaces.
 _MARK = "\x02"
 
 
-def _cuttable(text: str) -> bool:
-    if any(run in text for run in _RUNS):
-        return False
-    if text.isascii():
-        return not any(c in text for c in "\x1c\x1d\x1e\x1f")
-    return not _ODD.search(text)
-
-
-def cut_at_spaces(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, list[tuple[bool, str]]]:
+def cut_at_spaces(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, list[tuple[bool, str]]]:
     """Distinct chunks, the number of each chunk in text order, the texts' bounds in it, and the heads.
 
     A chunk stands for itself with a space before it, or, where it begins with a line end, for itself alone. The
     first place of a text belongs to its head, which is numbered behind the chunks: (False, what stands
     before its first cut) or (True, the whole uncut text)."""
-    plain = texts.to_pylist()
-    whole = {i for i, t in enumerate(plain) if not _cuttable(t)}
-    sent = ["" if i in whole else _lines_cut(t) for i, t in enumerate(plain)]
-    distinct, index, bounds = _numbered(pc.split_pattern(pa.array(sent, pa.string()), " "))
+    whole = set(np.flatnonzero(pc.match_substring_regex(texts, UNCUT).to_numpy(zero_copy_only=False)).tolist())
+    uncut = {i: texts[i].as_py() for i in whole}
+    if whole:
+        texts = pa.array(["" if i in whole else t for i, t in enumerate(texts.to_pylist())], pa.string())
+    # a cut before every line end, where each is white space by itself
+    runs = pc.match_substring_regex(texts, LINE_RUN)
+    sent = pc.if_else(runs, texts, pc.replace_substring(texts, "\n", " \n"))
+    distinct, index, bounds = _numbered(pc.split_pattern(sent, " "))
     first = bounds[:-1]
-    heads = [(i in whole, plain[i] if i in whole else distinct[k]) for i, k in enumerate(index[first].tolist())]
+    before = distinct.take(pa.array(index[first])).to_pylist()
+    heads = [(i in whole, uncut.get(i, head)) for i, head in enumerate(before)]
     index[first] = len(distinct) + np.arange(len(heads), dtype="int32")
     return distinct, index, bounds, heads
 
 
-def _lines_cut(text: str) -> str:
-    """A cut before every line end, where each is white space by itself."""
-    return text if any(run in text for run in _LINE_RUNS) else text.replace("\n", " \n")
-
-
 def spoken(chunk: str) -> str:
     """The text that a chunk stands for."""
     return chunk if chunk[:1] == "\n" else " " + chunk
 
 
-def _numbered(lists: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+def _numbered(lists: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     bounds = lists.offsets.to_numpy().astype("int64")
     numbered = lists.flatten().dictionary_encode()
-    return numbered.dictionary.to_pylist(), numbered.indices.to_numpy(zero_copy_only=False).copy(), bounds - bounds[0]
+    return numbered.dictionary, numbered.indices.to_numpy(zero_copy_only=False).copy(), bounds - bounds[0]
 
 
 class Generations:
@@ -82,12 +72,12 @@ class Generations:
         self.limit, self.now, self.old = limit, {}, {}
 
     def missing(self, keys: list[str]) -> list[str]:
-        """Of distinct keys those without a value; the others are in `now` afterwards."""
+        """The keys without a value, once each; the others are in `now` afterwards."""
         now, old = self.now, self.old
-        fresh = [k for k in keys if k not in now]
+        fresh = list(dict.fromkeys([k for k in keys if k not in now]))
         if len(now) + len(fresh) > self.limit:
             self.old, self.now = old, now = now, {}
-            fresh = keys
+            fresh = list(dict.fromkeys(keys))
         if old:
             now.update((k, old[k]) for k in fresh if k in old)
             fresh = [k for k in fresh if k not in now]
@@ -128,7 +118,7 @@ class ChunkEncoder:
             core = text.rstrip(TAIL)
             parts.append((core, text[len(core) :]) if core.isalpha() else (text, ""))
         fresh = {p for both in parts for p in both}.difference(self.bare)
-        if len(self.bare) + len(fresh) > self.limit:
+        if len(self.bare) + len(fresh) > self.limit // 3:
             self.bare.clear()
             fresh = {p for both in parts for p in both}
         made = list(fresh)
@@ -149,23 +139,15 @@ class ChunkEncoder:
         return letters
 
     def _learn(self, fresh: list[str]) -> None:
-        cache = self.known.now
-        cores = pc.utf8_rtrim(pa.array(fresh, pa.string()), TAIL)
-        letters = self._letters(cores)
-        cores = cores.to_pylist()
-        words = np.flatnonzero(letters).tolist()
-        new = list({cores[i] for i in words}.difference(cache))
-        for at in range(0, len(new), 1000):
-            self._learn_words(new[at : at + 1000])
-        closed = [(fresh[i], cores[i]) for i in words if len(fresh[i]) != len(cores[i])]
-        tails = [chunk[len(core) :] for chunk, core in closed]
-        known = list(set(tails))
-        ids = dict(zip(known, self._bare(known), strict=True))
-        cache.update((chunk, cache[core] + ids[tail]) for (chunk, core), tail in zip(closed, tails, strict=True))
-        others = [fresh[i] for i in np.flatnonzero(~letters).tolist()]
+        """Caches new keys: words of letters, and chunks of any other kind."""
+        letters = self._letters(pa.array(fresh, pa.string())).tolist()
+        words = [c for c, yes in zip(fresh, letters, strict=True) if yes]
+        for at in range(0, len(words), 1000):
+            self._learn_words(words[at : at + 1000])
+        others = [c for c, yes in zip(fresh, letters, strict=True) if not yes]
         if self.spaced:
             lines = [c for c in others if c[:1] == "\n"]
-            cache.update(zip(lines, [self.line_end + ids for ids in self._bare([c[1:] for c in lines])], strict=True))
+            self.known.now.update(zip(lines, [self.line_end + ids for ids in self._bare([c[1:] for c in lines])], strict=True))
             others = [c for c in others if c[:1] != "\n"]
         for at in range(0, len(others), 1000):
             self._learn_others(others[at : at + 1000])
@@ -204,12 +186,22 @@ class ChunkEncoder:
         else:
             self.known.now.update((c, self._chunk(c)) for c in clear)
 
-    def _looked_up(self, chunks: list[str]) -> list[bytes]:
-        """The ids of distinct chunks."""
-        fresh = self.known.missing(chunks)
+    def _looked_up(self, chunks: pa.Array) -> list[bytes]:
+        """The ids of distinct chunks. A word with closing punctuation is looked up as two pre-tokens."""
+        cores = pc.utf8_rtrim(chunks, TAIL)
+        letters = self._letters(cores)
+        keys = pc.if_else(pa.array(letters), cores, chunks).to_pylist()
+        fresh = self.known.missing(keys)
         if fresh:
             self._learn(fresh)
-        return list(map(self.known.now.__getitem__, chunks))
+        found = list(map(self.known.now.__getitem__, keys))
+        closed = np.flatnonzero(letters & (pc.binary_length(chunks).to_numpy() != pc.binary_length(cores).to_numpy()))
+        tails = [c[len(keys[i]) :] for i, c in zip(closed.tolist(), chunks.take(pa.array(closed)).to_pylist(), strict=True)]
+        kinds = list(set(tails))
+        ids = dict(zip(kinds, self._bare(kinds), strict=True))
+        for i, tail in zip(closed.tolist(), tails, strict=True):
+            found[i] += ids[tail]
+        return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (strings without nulls), one after another, and their texts+1 bounds."""
