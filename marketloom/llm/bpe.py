@@ -22,15 +22,16 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import arrow_rows, text_or_empty
-from marketloom.llm.pieces import Generations, cut_at_spaces, spoken
+from marketloom.llm.pieces import Generations, closing_punctuation, cut_at_spaces, spoken
 
 #: Chunks per generation of the cache; two generations are held.
-CACHE_LIMIT = 300_000
+CACHE_LIMIT = 600_000
 WORD_BITS = 8  # a bitmap word has 256 bits
 WORD_MASK = (1 << WORD_BITS) - 1
 
@@ -119,35 +120,34 @@ class BytePairs:
 
     def _bare(self, part: str) -> tuple[int, ...]:
         if part not in self.bare:
-            if len(self.bare) >= CACHE_LIMIT:
+            if len(self.bare) >= CACHE_LIMIT // 3:
                 self.bare.clear()
             self.bare[part] = self.merge(part.encode())
         return self.bare[part]
 
-    def _chunk(self, chunk: str) -> tuple[int, ...]:
-        """Ids of what a chunk stands for."""
-        known, parts = self.known.now, self.find(spoken(chunk))
-        ids: tuple[int, ...] = ()
-        for part in parts:
-            if part[0] != " ":
-                ids += self._bare(part)
-            else:
-                core = part[1:]
-                if core not in known:
-                    known[core] = self.merge(part.encode())
-                ids += known[core]
-        return ids
-
     def encode_chunks(self, texts: pa.Array) -> tuple[list[tuple[int, ...]], np.ndarray, np.ndarray]:
         """Ids of distinct chunks, and the chunks of all texts by number with the texts' bounds."""
         chunks, index, bounds, heads = cut_at_spaces(texts)
-        distinct, known = chunks.to_pylist(), self.known
-        for chunk in known.missing(distinct):
-            known.now[chunk] = self._chunk(chunk)
-        ids = list(map(known.now.__getitem__, distinct))
-        ids += [tuple(self.encode(t)) if whole else tuple(i for p in self.find(t) for i in self._bare(p)) for whole, t in heads]
+        keys, closed, tails = closing_punctuation(chunks, lambda cores: pc.utf8_is_alpha(cores).to_numpy(zero_copy_only=False))
+        known = self.known
+        for key in known.missing(keys):
+            known.now[key] = self._joined(spoken(key))
+        ids = list(map(known.now.__getitem__, keys))
+        for i, tail in zip(closed, tails, strict=True):
+            ids[i] += self._joined(tail)
+        ids += [tuple(self.encode(text)) if whole else self._joined(text) for whole, text in heads]
         return ids, index, bounds
 
+    def _joined(self, text: str) -> tuple[int, ...]:
+        """Ids of a short text; pre-tokens that do not open with a space are few and kept apart."""
+        parts = self.find(text)
+        if len(parts) == 1 and text[:1] == " ":
+            return self.merge(text.encode())
+        ids: tuple[int, ...] = ()
+        for part in parts:
+            ids += self.merge(part.encode()) if part[:1] == " " else self._bare(part)
+        return ids
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 

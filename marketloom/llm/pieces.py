@@ -11,6 +11,7 @@ space are encoded whole.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -65,6 +66,20 @@ def _numbered(lists: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return numbered.dictionary, numbered.indices.to_numpy(zero_copy_only=False).copy(), bounds - bounds[0]
 
 
+def closing_punctuation(chunks: pa.Array, letters: Callable[[pa.Array], np.ndarray]) -> tuple[list[str], list[int], list[str]]:
+    """The key of each chunk, and the places and tails of those with a tail.
+
+    Where a chunk is a word of letters (by `letters`) and closing punctuation, the key is the word and the tail a
+    pre-token of its own; any other chunk is its own key."""
+    cores = pc.utf8_rtrim(chunks, TAIL)
+    words = letters(cores)
+    keys = pc.if_else(pa.array(words), cores, chunks).to_pylist()
+    closed = np.flatnonzero(words & (pc.binary_length(chunks).to_numpy() != pc.binary_length(cores).to_numpy()))
+    places = closed.tolist()
+    tails = [c[len(keys[i]) :] for i, c in zip(places, chunks.take(pa.array(closed)).to_pylist(), strict=True)]
+    return keys, places, tails
+
+
 class Generations:
     """A bounded cache in two generations: what is used again survives when the older one is dropped."""
 
@@ -188,18 +203,14 @@ class ChunkEncoder:
 
     def _looked_up(self, chunks: pa.Array) -> list[bytes]:
         """The ids of distinct chunks. A word with closing punctuation is looked up as two pre-tokens."""
-        cores = pc.utf8_rtrim(chunks, TAIL)
-        letters = self._letters(cores)
-        keys = pc.if_else(pa.array(letters), cores, chunks).to_pylist()
+        keys, closed, tails = closing_punctuation(chunks, self._letters)
         fresh = self.known.missing(keys)
         if fresh:
             self._learn(fresh)
         found = list(map(self.known.now.__getitem__, keys))
-        closed = np.flatnonzero(letters & (pc.binary_length(chunks).to_numpy() != pc.binary_length(cores).to_numpy()))
-        tails = [c[len(keys[i]) :] for i, c in zip(closed.tolist(), chunks.take(pa.array(closed)).to_pylist(), strict=True)]
         kinds = list(set(tails))
         ids = dict(zip(kinds, self._bare(kinds), strict=True))
-        for i, tail in zip(closed.tolist(), tails, strict=True):
+        for i, tail in zip(closed, tails, strict=True):
             found[i] += ids[tail]
         return found
 
