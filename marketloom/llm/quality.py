@@ -24,7 +24,7 @@ BUCKETS = 1 << 14
 #: Labelled documents that the target is estimated from, at most: the ones whose ids hash lowest.
 TARGET_DOCUMENTS = 20_000
 #: Mean log-ratio below which a document is dropped.
-THRESHOLD = -0.06
+THRESHOLD = -0.075
 SMOOTHING = 1.0
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
