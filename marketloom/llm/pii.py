@@ -1,11 +1,14 @@
 """Personal data: patterns, and terms whose co-occurrence in the corpus discloses a protected entity.
 
-Base kinds are found by patterns. Every value found is a protected entity c with information
-IC(c) = -log p(c). A term t near it discloses PMI(t; c) = log(p(t, c) / (p(t) p(c))) of that; all
-probabilities are shares of documents of the whole corpus. A term whose share PMI / IC reaches `generalise`
-becomes a span of its own and is generalised to its class; from `remove` on it is removed.
-Co-occurrence counts as evidence only if seen in at least `support` different surroundings, so that
-copies of one passage are not taken for a habit.
+Base kinds are found by patterns. Every value found is a protected entity c, and so is the part it shares
+with others (an address's host, a network, an issuer, a number without its last four digits), with
+information IC(c) = -log p(c). A term t discloses PMI(t; c) = log(p(t, c) / (p(t) p(c))) of that, so
+PMI / IC = 1 + log p(c | t) / IC; all counts are of distinct texts of the whole corpus, and a text and a
+term or an entity meet wherever they stand in it. What a document shows about itself is no evidence:
+p(c | t) is the share among the other texts with t, smoothed by `prior` texts that hold c as often as the
+corpus does, so a pair seen in one text discloses nothing, and one seen in two does where c is rare.
+A term whose share reaches `generalise` becomes a span at every occurrence in every document, and is
+generalised to its class; if its own counts (without smoothing) reach `remove` it is removed.
 
 Cases: a null text is empty and has no spans; a value that fails its check is dropped and not tried
 again shorter; spans of different kinds may overlap, and sanitising replaces their union once,
@@ -15,19 +18,21 @@ table gives an empty table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import let, text_or_empty, written
+from marketloom.llm.common import text_or_empty, written
+from marketloom.llm.exact_dedup import digest
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-#: Characters on either side of an entity that count as its surroundings.
-REACH = 80
-SUPPORT = 3
+#: Texts that count beside the observed ones of a term, with the corpus share of the entity.
+PRIOR = 1.0
 GENERALISE = 0.9
 REMOVE = 1.0
-NEAR = "array<struct<entity:string,place:bigint,terms:array<struct<term:string,start:int,end:int>>>>"
+TERMS = "array<struct<start:int,end:int,removed:boolean>>"
 TERM_PATTERN = r"\p{L}[\p{L}\p{N}]{2,}"
 
 #: Stand-ins for a separator inside a number and a dot inside a host name; both keep a text's length.
@@ -63,8 +68,8 @@ def _possible(kind: str, text: Column) -> Column:
     }[kind]
 
 
-def located(text: Column, pattern: str) -> Column:
-    """Matches as an array of (start, end, value); places count characters, the end is exclusive."""
+def located(text: Column, pattern: str, wanted: Callable[[Column], Column] = lambda value: F.lit(True)) -> Column:
+    """Wanted matches as an array of (start, end, value); places count characters, the end is exclusive."""
     found = F.arrays_zip(
         F.split(text, pattern, -1).alias("gap"),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"),
@@ -76,7 +81,8 @@ def located(text: Column, pattern: str) -> Column:
         begin = acc["at"] + F.char_length(x["gap"])
         end = begin + F.char_length(x["value"])
         one = F.array(F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value"))).cast(item)
-        return F.when(x["value"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], one).alias("out")))
+        out = F.when(wanted(x["value"]), F.concat(acc["out"], one)).otherwise(acc["out"])
+        return F.when(x["value"].isNull(), acc).otherwise(F.struct(end.alias("at"), out.alias("out")))
 
     return F.aggregate(found, start, step, lambda acc: acc["out"])
 
@@ -125,72 +131,101 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[of(kind).cast(item) for kind in KINDS])
 
 
-def surroundings(text: Column, spans: Column) -> Column:
-    """Array of (entity, place, terms): the words within REACH characters of each span, outside of all spans."""
+def entities_of(spans: Column) -> Column:
+    """Distinct protected entities of the spans: each value and the part it shares with others."""
 
-    def around(s: Column) -> Column:
-        low = F.greatest(s["start"] - REACH, F.lit(0))
-        cut = F.substring(text, low + 1, s["end"] - low + REACH)
-        word = lambda t: F.struct(
-            F.lower(t["value"]).alias("term"), (low + t["start"]).alias("start"), (low + t["end"]).alias("end")
+    def both(s: Column) -> Column:
+        kind, value, digits = s["kind"], F.lower(s["value"]), _digits(s["value"])
+        number = kind.isin("card", "phone")
+        part = (
+            F.when(kind == "email", F.concat(F.lit("host:"), F.substring_index(value, "@", -1)))
+            .when(kind == "ip", F.concat(F.lit("network:"), F.substring_index(value, ".", 3)))
+            .when(kind == "card", F.concat(F.lit("issuer:"), F.substring(digits, 1, 6)))
+            .otherwise(F.concat(F.lit("prefix:"), F.substring(digits, F.lit(1), F.char_length(digits) - 4)))
         )
-        # a word that touches the cut may be a part of one
-        whole = lambda t: ((t["start"] > 0) | (low == 0)) & ((t["end"] < F.char_length(cut)) | (low + t["end"] == F.char_length(text)))
-        clear = lambda t: F.forall(spans, lambda o: (o["end"] <= t["start"]) | (o["start"] >= t["end"]))
-        terms = F.filter(F.transform(F.filter(located(cut, TERM_PATTERN), whole), word), clear)
-        return F.struct(s["value"].alias("entity"), F.xxhash64(F.array_join(F.transform(terms, lambda t: t["term"]), " ")).alias("place"), terms.alias("terms"))
+        return F.array(F.concat(kind, F.lit(":"), F.when(number, digits).otherwise(value)), part)
+
+    return F.array_distinct(F.flatten(F.transform(spans, both)))
+
 
-    return F.transform(spans, around)
+def outside(text: Column, spans: Column) -> Column:
+    """The text with its spans blanked; places stay the same."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
+        blank = F.repeat(F.lit(" "), s["end"] - F.greatest(s["start"], acc["at"]))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, blank).alias("out"))
+
+    rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text)))
+    order = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(order, start, step, rest))
 
 
 def found_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """`row` (a number), `doc` (the columns of `docs`), `base` (spans) and `near` (surroundings)."""
-    text = text_or_empty(F.col(f"doc.{text_col}"))
-    based = docs.select(F.struct(*docs.columns).alias("doc")).withColumn("base", base_spans(text))
-    near = F.when(F.size("base") > 0, let(F.col("base"), lambda s: surroundings(text, s))).otherwise(F.array())
-    return based.withColumn("near", near.cast(NEAR)).withColumn("row", F.monotonically_increasing_id())
-
-
-def term_documents(texts: DataFrame) -> DataFrame:
-    """`term`, `n`: the number of documents of the whole corpus that hold it."""
-    terms = F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty(F.col("text"))), F.lit(TERM_PATTERN), F.lit(0)))
-    return texts.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-
-
-def disclosing_terms(found: DataFrame, texts: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
-    """texts: `text` of every document. `entity`, `term`, `disclosure` (PMI / IC) of pairs that reach the threshold."""
-    near = found.filter(F.size("near") > 0).select("row", F.inline("near"))
-    total = texts.agg(F.count(F.lit(1)).alias("_n"))
-    entities = near.select("row", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("_c"))
-    pairs = near.select("row", "place", "entity", F.explode(F.array_distinct(F.transform("terms", lambda t: t["term"]))).alias("term"))
-    # first the surroundings of a pair, each with its documents; then their number and sum
-    places = pairs.groupBy("entity", "term", "place").agg(F.countDistinct("row").alias("_d"))
-    seen = places.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("_places"), F.sum("_d").alias("_tc"))
-    seen = seen.filter(F.col("_places") >= support)
-    joined = seen.join(entities, "entity").join(term_documents(texts).withColumnRenamed("n", "_t"), "term").join(F.broadcast(total))
-    both = F.least("_tc", "_c", "_t")
-    pmi = F.log(both * F.col("_n") / (F.col("_t") * F.col("_c")))
-    ic = F.log(F.col("_n") / F.col("_c"))
-    return joined.select("entity", "term", F.when(ic > 0, pmi / ic).otherwise(0.0).alias("disclosure")).filter(F.col("disclosure") >= generalise)
-
-
-def with_spans(found: DataFrame, terms: DataFrame) -> DataFrame:
-    """`found` with `_terms`: spans (start, end, removed) of disclosing terms, sorted and distinct."""
-    near = found.filter(F.size("near") > 0).select("row", F.inline("near")).select("row", "entity", F.inline("terms"))
-    hits = near.join(terms, ["entity", "term"]).select("row", "start", "end", (F.col("disclosure") >= REMOVE).alias("removed"))
-    by_row = hits.groupBy("row", "start", "end").agg(F.max("removed").alias("removed"))
-    by_row = by_row.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "removed"))).alias("terms"))
-    none = F.array().cast("array<struct<start:int,end:int,removed:boolean>>")
-    # rows without an entity have no such term: they, with their texts, stay out of the shuffle
-    joined = found.filter(F.size("near") > 0).join(by_row, "row", "left").withColumn("terms", F.coalesce("terms", none))
-    return joined.unionByName(found.filter(F.size("near") == 0).withColumn("terms", none))
+    """`row` (a number), `doc` (the columns of `docs`), `base` (spans), `entities` and `digest` of the text."""
+    text = F.col(f"doc.{text_col}")
+    based = docs.select(F.struct(*docs.columns).alias("doc")).withColumn("base", base_spans(text_or_empty(text)))
+    named = based.withColumn("entities", entities_of(F.col("base"))).withColumn("digest", digest(text))
+    return named.withColumn("row", F.monotonically_increasing_id())
+
+
+def _words(text_col: str) -> Column:
+    """The text of a found row outside of its base spans."""
+    return outside(text_or_empty(F.col(f"doc.{text_col}")), F.col("base"))
+
+
+def distinct_terms(text: Column) -> Column:
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(TERM_PATTERN), F.lit(0)))
+    return F.array_distinct(F.transform(found, F.lower))
+
+
+def disclosing_terms(
+    found: DataFrame, text_col: str = "text", prior: float = PRIOR, generalise: float = GENERALISE, remove: float = REMOVE
+) -> DataFrame:
+    """`term`, `removed` of the terms that disclose an entity, by the counts of all distinct texts."""
+    one = F.count(F.lit(1))
+    first = found.groupBy("digest").agg(F.min("row").alias("row")).select("row")
+    texts = found.join(first, "row", "left_semi")
+    total = first.agg(one.alias("_n"))
+    holders = texts.filter(F.size("entities") > 0)
+    held = holders.select("row", F.explode("entities").alias("entity"))
+    # an entity or a pair of one text has nothing to be judged by: its smoothed share is p(c), its PMI zero or less
+    shared = written(held.groupBy("entity").agg(one.alias("_c")).filter(F.col("_c") > 1), "pii-entities")
+    of_row = held.join(shared, "entity", "left_semi").groupBy("row").agg(F.collect_list("entity").alias("shared"))
+    pairs = holders.join(of_row, "row").select(F.explode("shared").alias("entity"), distinct_terms(_words(text_col)).alias("terms"))
+    seen = pairs.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(one.alias("_tc")).filter(F.col("_tc") > 1)
+    counts = texts.select(F.explode(distinct_terms(_words(text_col))).alias("term")).groupBy("term").agg(one.alias("_t"))
+    joined = seen.join(shared, "entity").join(counts, "term").join(F.broadcast(total))
+    p = F.col("_c") / F.col("_n")
+    ic = -F.log(p)
+    share = (F.col("_tc") - 1 + prior * p) / (F.col("_t") - 1 + prior)
+    judged = joined.filter(F.col("_c") < F.col("_n")).select(
+        "term", (1 + F.log(share) / ic).alias("disclosure"), (1 + F.log(F.col("_tc") / F.col("_t")) / ic).alias("plain")
+    )
+    return judged.filter(F.col("disclosure") >= generalise).groupBy("term").agg((F.max("plain") >= remove).alias("removed"))
+
+
+def with_spans(found: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
+    """`found` with `terms`: spans (start, end, removed) of every occurrence of a disclosing term, in order."""
+    # both tables are stored, so that the planner knows their size: texts are shuffled only where many documents are concerned
+    terms = written(terms, "pii-terms")
+    hits = found.select("row", F.explode(distinct_terms(_words(text_col))).alias("term")).join(terms, "term")
+    concerned = hits.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "removed"))).alias("_terms"))
+    marked = found.join(written(concerned, "pii-concerned"), "row", "left")
+    told = lambda value: F.element_at("_terms", F.lower(value))
+    spans = F.transform(
+        located(_words(text_col), TERM_PATTERN, lambda value: told(value).isNotNull()),
+        lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), told(t["value"]).alias("removed")),
+    )
+    return marked.withColumn("terms", F.when(F.col("_terms").isNull(), F.array().cast(TERMS)).otherwise(spans.cast(TERMS))).drop("_terms")
 
 
 def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """`doc_id`, `base`, `terms` of every row: spans without texts."""
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found = written(found_spans(plain).withColumn("doc", F.struct("doc.doc_id")), "pii")
-    return with_spans(found, disclosing_terms(found, plain, **options)).select("doc.doc_id", "base", "terms")
+    found = written(found_spans(plain), "pii")
+    return with_spans(found, disclosing_terms(found, **options)).select("doc.doc_id", "base", "terms")
 
 
 def sanitised_text(text: Column, base: Column, terms: Column) -> Column:
@@ -217,7 +252,7 @@ def sanitise(docs: DataFrame, text_col: str = "text", length_col: str | None = N
     length_col: a column, if there is one of that name, that holds the number of characters of the text."""
     found = written(found_spans(docs, text_col), "pii")
     text = F.col(f"doc.{text_col}")
-    marked = with_spans(found, disclosing_terms(found, found.select(text.alias("text")), **options))
+    marked = with_spans(found, disclosing_terms(found, text_col, **options), text_col)
     clean = F.when(text.isNotNull(), sanitised_text(text, F.col("base"), F.col("terms")))
     columns = {c: F.col(f"doc.`{c}`") for c in docs.columns} | {text_col: clean}
     if length_col in columns:

@@ -175,3 +175,40 @@ def test_sanitise(docs):
     assert got[2, len("a [IP] b [PHONE] c")] == "a [IP] b [PHONE] c" and got[3, 7] == "no data" and got[1, None] is None
     assert (None, len("[EMAIL]")) in got
     assert all("Zylberstein" not in t and "[EMAIL]" in t for (i, _), t in got.items() if i is not None and 1000 <= i < 1006)
+
+
+def prose(r, n):
+    return " ".join(r.choice(["market", "river", "garden", "window", "letter", "forest", "summer", "music"]) for _ in range(n))
+
+
+def marked(docs, rows):
+    """Lower-case words under a term span, by document."""
+    text = dict(rows)
+    spans = {x.doc_id: [s.split(":") for s in x.spans.split(",") if s] for x in pii.pii_report(docs(rows)).collect()}
+    return {i: {text[i][int(a) : int(b)].lower() for k, a, b in found if k == "term"} for i, found in spans.items()}
+
+
+def test_few_texts_disclose(docs):
+    """Two texts are evidence where the value, or the part it shares with others, is rare; copies and one text are none."""
+    r = random.Random(5)
+    rows = [(i, prose(r, 40)) for i in range(2500)]
+    rows += [(3000 + i, f"{prose(r, 30)} Okonjo {prose(r, 9)} okonjo@mail.example.com") for i in range(2)]
+    rows += [(4000 + i, f"{prose(r, 30)} Brannagh {prose(r, 9)} desk{i}@small.example.org") for i in range(2)]
+    rows += [(5000 + i, f"{prose(r, 30)} Tolland {prose(r, 9)} 10.20.30.{i}") for i in range(2)]
+    rows += [(6000 + i, "a copied text about Quirrell who has copy@other.example.net") for i in range(9)]
+    rows += [(7000, f"{prose(r, 30)} Ashgrove ashgrove@lone.example.net")]
+    got = marked(docs, rows)
+    assert all(got[i] == {name} for at, name in ((3000, "okonjo"), (4000, "brannagh"), (5000, "tolland")) for i in (at, at + 1))
+    assert not any(got[i] for i, _ in rows if i < 3000 or i >= 6000)
+
+
+def test_terms_far_from_the_value(docs):
+    """A text and a value meet anywhere in a document, and a disclosing term is a span wherever it stands."""
+    r = random.Random(6)
+    rows = [(i, prose(r, 40)) for i in range(1000)]
+    rows += [(2000 + i, f"Zylberstein {prose(r, 60)} zylberstein {prose(r, 60)} john@mail.example.com {prose(r, 60)} Zylberstein") for i in range(8)]
+    rows += [(3000, f"{prose(r, 30)} Zylberstein {prose(r, 30)}")]
+    assert all((i >= 2000) == (names == {"zylberstein"}) for i, names in marked(docs, rows).items())
+    clean = {x.doc_id: x.text for x in pii.sanitise(docs(rows)).collect()}
+    assert not any("zylberstein" in text.lower() for text in clean.values())
+    assert all(clean[i] == t for i, t in rows if i < 2000)
