@@ -11,6 +11,8 @@ from marketloom.llm.chat import perspectives
 from marketloom.llm.exact_dedup import exact_dedup
 from marketloom.llm.packing import best_fit_packing
 from marketloom.llm.pii import pii_report
+from marketloom.llm.prefix_trie import COLUMNS as TRIE_COLUMNS
+from marketloom.llm.prefix_trie import conversation_trie
 from marketloom.llm.quality import quality
 from marketloom.llm.simhash import near_duplicates
 from marketloom.llm.token_files import token_files
@@ -64,6 +66,10 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files(table(spark, folder, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_trie(table(spark, folder, "conversations")).select(*TRIE_COLUMNS)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -77,9 +83,23 @@ QUERIES = {
         op8_best_fit_packing,
         op9_html_tree_model,
         op10_token_files,
+        op11_conversation_trie,
     )
 }
 
+#: The table of the unsigned crc32, and its value over a list of bytes.
+CRC_TABLE = """
+        crc AS (
+            SELECT list_transform(range(256), lambda i: list_reduce([i, 1, 2, 3, 4, 5, 6, 7, 8],
+                lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab
+        )"""
+
+
+def crc_sql(data: str, tab: str = "tab") -> str:
+    step = f"lambda c, b: xor(c >> 8, {tab}[(xor(c, b) & 255) + 1])"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {data}), {step}), 4294967295)"
+
+
 SQL = {
     "op1_chat_perspectives": r"""
         WITH said AS (
@@ -116,4 +136,42 @@ SQL = {
                row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id NULLS LAST) = 1 AS kept,
                text_sha256
         FROM t""",
+    "op11_conversation_trie": rf"""
+        WITH {CRC_TABLE},
+        own AS (
+            SELECT conv_id, list({{'key': sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 'chars': length(coalesce(text, ''))}}
+                                 ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+            FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+        ),
+        counted AS (
+            SELECT conv_id, turns, {crc_sql("list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))")} % 6 AS h
+            FROM own, crc
+        ),
+        rebuilt AS (
+            SELECT c.conv_id, list_concat(coalesce(f.turns[1:c.h], []), c.turns[c.h + 1:]) AS turns
+            FROM counted AS c LEFT JOIN own AS f ON f.conv_id = c.conv_id - c.conv_id % 100
+        ),
+        prefixes AS (
+            SELECT conv_id, len(turns) AS size, d, array_to_string(list_transform(turns[1:d], lambda t: t.key), ',') AS path,
+                   array_to_string(list_transform(turns[1:d - 1], lambda t: t.key), ',') AS above, coalesce(turns[d].chars, 0) AS chars
+            FROM (SELECT conv_id, turns, unnest(range(len(turns) + 1)) AS d FROM rebuilt)
+        ),
+        nodes AS (
+            SELECT d, path, min(above) AS above, min(chars) AS chars, min(conv_id) AS conv_id, count(*) AS n_convs,
+                   sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE size = d), '')) AS ends_sha256
+            FROM prefixes GROUP BY d, path
+        ),
+        kids AS (SELECT d - 1 AS d, above AS path, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+        figures AS (
+            SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN n_children IS NULL THEN 1 ELSE 0 END AS leaf, (n_convs - 1) * chars AS saved
+            FROM nodes AS n LEFT JOIN kids USING (d, path)
+        ),
+        lines AS (SELECT DISTINCT l.d, l.path, u.d AS top_d, u.path AS top FROM prefixes AS l JOIN prefixes AS u ON l.conv_id = u.conv_id AND u.d <= l.d),
+        below AS (
+            SELECT top_d AS d, top AS path, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens
+            FROM lines JOIN figures USING (d, path) GROUP BY top_d, top
+        )
+        SELECT f.conv_id, f.d AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+               CAST(saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+        FROM figures AS f JOIN below USING (d, path) LEFT JOIN figures AS p ON f.d > 0 AND p.d = f.d - 1 AND p.path = f.above""",
 }
