@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import html_tree, toxicity
+from marketloom.llm import compression, html_tree, toxicity
 from marketloom.llm.bpe import round_trip_digests
 from marketloom.llm.chat import perspectives
 from marketloom.llm.exact_dedup import exact_dedup
@@ -15,6 +15,7 @@ from marketloom.llm.prefix_trie import COLUMNS as TRIE_COLUMNS
 from marketloom.llm.prefix_trie import conversation_trie
 from marketloom.llm.quality import quality
 from marketloom.llm.simhash import near_duplicates
+from marketloom.llm.spelling import spelling_variants
 from marketloom.llm.token_files import token_files
 
 
@@ -70,6 +71,15 @@ def op11_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
     return conversation_trie(table(spark, folder, "conversations")).select(*TRIE_COLUMNS)
 
 
+def op12_compression_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return compression.quality_scores(docs, compression.fit(docs, table(spark, folder, "labels")))
+
+
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants(table(spark, folder, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -84,6 +94,8 @@ QUERIES = {
         op9_html_tree_model,
         op10_token_files,
         op11_conversation_trie,
+        op12_compression_quality,
+        op13_spelling_variants,
     )
 }
 
@@ -174,4 +186,42 @@ SQL = {
         SELECT f.conv_id, f.d AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
                CAST(saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
         FROM figures AS f JOIN below USING (d, path) LEFT JOIN figures AS p ON f.d > 0 AND p.d = f.d - 1 AND p.path = f.above""",
+    "op13_spelling_variants": rf"""
+        WITH RECURSIVE {CRC_TABLE},
+        runs AS (
+            SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run
+            FROM documents
+        ),
+        counted AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY doc_id, run),
+        hashed AS (
+            SELECT run, n, {crc_sql("""flatten(list_transform(string_split(CAST(doc_id AS VARCHAR) || ':' || run, ''), lambda ch: CASE WHEN unicode(ch) < 128
+                THEN [CAST(unicode(ch) AS BIGINT)] ELSE [CAST(192 + (unicode(ch) >> 6) AS BIGINT), CAST(128 + (unicode(ch) & 63) AS BIGINT)] END))""")} AS h
+            FROM counted, crc
+        ),
+        spelt AS (
+            SELECT CASE WHEN h % 97 = 0 THEN substring(run, 1, CAST(h % length(run) AS BIGINT)) || substring(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n
+            FROM hashed
+        ),
+        words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spelt WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+        holes AS (
+            SELECT word, n, i, substring(word, 1, i) || substring(word, i + 2) AS rest
+            FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+        ),
+        near AS (
+            SELECT a.word, b.word AS other, b.n AS other_n FROM holes AS a JOIN holes AS b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+            UNION SELECT h.word, w.word, w.n FROM holes AS h JOIN words AS w ON h.rest = w.word
+            UNION SELECT w.word, h.word, h.n FROM holes AS h JOIN words AS w ON h.rest = w.word
+        ),
+        best AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM near GROUP BY word),
+        formed AS (
+            SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * n THEN other END AS form, CASE WHEN other_n >= 2 * n THEN other_n END AS form_n
+            FROM words AS w LEFT JOIN best AS b ON b.word = w.word
+        ),
+        follow AS (
+            SELECT word, word AS at FROM formed
+            UNION ALL SELECT f.word, g.form FROM follow AS f JOIN formed AS g ON g.word = f.at WHERE g.form IS NOT NULL
+        )
+        SELECT f.word, form, at AS root, n, n_near, form_n
+        FROM formed AS f JOIN follow AS r ON r.word = f.word
+        WHERE at IN (SELECT word FROM formed WHERE form IS NULL)""",
 }
