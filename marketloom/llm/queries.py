@@ -218,10 +218,10 @@ SQL = {
             FROM words AS w LEFT JOIN best AS b ON b.word = w.word
         ),
         follow AS (
-            SELECT word, word AS at FROM formed
-            UNION ALL SELECT f.word, g.form FROM follow AS f JOIN formed AS g ON g.word = f.at WHERE g.form IS NOT NULL
+            SELECT word, word AS last FROM formed
+            UNION ALL SELECT f.word, g.form FROM follow AS f JOIN formed AS g ON g.word = f.last WHERE g.form IS NOT NULL
         )
-        SELECT f.word, form, at AS root, n, n_near, form_n
+        SELECT f.word, form, last AS root, n, n_near, form_n
         FROM formed AS f JOIN follow AS r ON r.word = f.word
-        WHERE at IN (SELECT word FROM formed WHERE form IS NULL)""",
+        WHERE last IN (SELECT word FROM formed WHERE form IS NULL)""",
 }
