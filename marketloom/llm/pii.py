@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import text_or_empty, written
+from marketloom.llm.common import let, text_or_empty, written
 from marketloom.llm.exact_dedup import digest
 
 KINDS = ("email", "ip", "card", "phone")
@@ -36,7 +36,7 @@ TERMS = "array<struct<start:int,end:int,removed:boolean>>"
 TERM_PATTERN = r"\p{L}[\p{L}\p{N}]{2,}"
 
 #: Stand-ins for a separator inside a number and a dot inside a host name; both keep a text's length.
-_JOINT, _DOT = "\ue000", "\ue001"
+_JOINT, _DOT, _OTHER = "\ue000", "\ue001", "\ue002"
 
 # A run of characters is matched at once and never given back (++), from its first character or from
 # the end of the match before, so no pattern is tried again inside a run that has failed.
@@ -52,9 +52,9 @@ PATTERNS = {
 def _prepared(kind: str, text: Column) -> Column:
     """The text with the joints of its runs marked, so that a run is a plain row of characters."""
     if kind == "email":
-        return F.regexp_replace(F.translate(text, _DOT, "x"), r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", _DOT)
+        return F.regexp_replace(F.translate(text, _DOT, _OTHER), r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", _DOT)
     if kind == "card":
-        return F.regexp_replace(F.translate(text, _JOINT, "x"), r"(?<=[0-9])[\x20-](?=[0-9])", _JOINT)
+        return F.regexp_replace(F.translate(text, _JOINT, _OTHER), r"(?<=[0-9])[\x20-](?=[0-9])", _JOINT)
     return text
 
 
@@ -123,7 +123,7 @@ def base_spans(text: Column) -> Column:
 
     def of(kind: str) -> Column:
         named = lambda s: F.struct(
-            F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("value")
+            F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.translate(s["value"], _JOINT + _DOT, "-.").alias("value")
         )
         good = F.filter(F.transform(located(_prepared(kind, text), PATTERNS[kind]), named), lambda s: _valid(kind, s["value"]))
         return F.when(_possible(kind, text), good).otherwise(none)
@@ -148,18 +148,66 @@ def entities_of(spans: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(spans, both)))
 
 
-def outside(text: Column, spans: Column) -> Column:
-    """The text with its spans blanked; places stay the same."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+#: Characters of a part of a long text with many spans: places are sought from a part's start, not from the text's.
+PART = 2048
+FEW = 32
+
+
+def _replaced(text: Column, pieces: Column) -> Column:
+    """The text with the places of `pieces` (start, end, tag; sorted) replaced by their tags; of what overlaps the first tag stands."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        blank = F.repeat(F.lit(" "), s["end"] - F.greatest(s["start"], acc["at"]))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, blank).alias("out"))
+        more = F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.array(gap, s["tag"])))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), more.alias("out"))
+
+    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.char_length(text)))
+    return F.aggregate(pieces, start, step, rest)
+
+
+def _rebuilt(text: Column, pieces: Column, fill: str | None = None) -> Column:
+    """The text with its `pieces` (start, end, tag; sorted) replaced, by `fill` for every character if given.
+
+    A text with many pieces is rebuilt part by part, each with the pieces in it, so time grows with the
+    text and not with its product with the pieces. A piece that goes on in the next part leaves its tag in the first."""
 
-    rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text)))
+    def within(p: Column, i: Column) -> Column:
+        low, high = i * PART, (i + 1) * PART
+        here = F.filter(p, lambda s: (s["start"] < high) & (s["end"] > low))
+        begin = lambda s: F.greatest(s["start"] - low, F.lit(0))
+        end = lambda s: F.least(s["end"] - low, F.lit(PART))
+        tag = lambda s: F.repeat(F.lit(fill), end(s) - begin(s)) if fill else F.when(s["start"] < low, "").otherwise(s["tag"])
+        return F.transform(here, lambda s: F.struct(begin(s).alias("start"), end(s).alias("end"), tag(s).alias("tag")))
+
+    def body(p: Column) -> Column:
+        parts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))
+        many = F.array_join(F.transform(parts, lambda part, i: let(within(p, i), lambda here: _replaced(part, here))), "")
+        return F.when(F.size(p) <= FEW, _replaced(text, p)).otherwise(many)
+
+    return F.when(F.size(pieces) == 0, text).otherwise(let(pieces, body))
+
+
+def _merged(spans: Column) -> Column:
+    """Sorted spans (start, end) with overlapping and touching ones made one."""
+    item = "array<struct<start:int,end:int>>"
     order = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(order, start, step, rest))
+    none = F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"), F.array().cast(item).alias("out"))
+    closed = lambda acc: F.when(acc["start"] < 0, acc["out"]).otherwise(
+        F.concat(acc["out"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end"))))
+    )
+
+    def step(acc: Column, s: Column) -> Column:
+        joined = F.struct(acc["start"].alias("start"), F.greatest(acc["end"], s["end"]).alias("end"), acc["out"].alias("out"))
+        return F.when((acc["start"] >= 0) & (s["start"] <= acc["end"]), joined).otherwise(F.struct(s["start"], s["end"], closed(acc).alias("out")))
+
+    return F.aggregate(order, none, step, closed)
+
+
+def outside(text: Column, spans: Column) -> Column:
+    """The text with its spans blanked; places stay the same."""
+    blank = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.repeat(F.lit(" "), s["end"] - s["start"]).alias("tag"))
+    return F.when(F.size(spans) == 0, text).otherwise(_rebuilt(text, F.transform(_merged(spans), blank), " "))
 
 
 def found_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -180,23 +228,57 @@ def distinct_terms(text: Column) -> Column:
     return F.array_distinct(F.transform(found, F.lower))
 
 
+#: Bits of the map of repeated digests: eight a digest, within these bounds (4 KB and 16 MB are broadcast).
+LEAST_BITS, MOST_BITS = 1 << 15, 1 << 27
+
+
+def _bit(bits: int) -> Column:
+    """The place of a digest in a map of so many bits, from 1."""
+    return F.pmod(F.xxhash64("digest"), F.lit(bits)) + 1
+
+
+def distinct_texts(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of `found` without the copies of a text, and the `row` of every distinct text.
+
+    A bitmap of the digests that occur more than once, of bounded size, tells where the rows are scanned which texts may have
+    copies: only those are shuffled, with whole texts, to leave all but the first out. All others stay where they are."""
+    groups = written(found.groupBy("digest").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("n")), "pii-digests")
+    repeated = groups.filter("n > 1")
+    bits = min(max(LEAST_BITS, 1 << (8 * repeated.count()).bit_length()), MOST_BITS)
+    place = _bit(bits)
+    maps = repeated.groupBy(F.bitmap_bucket_number(place).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_map"))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("_map", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    known = found.withColumn("_bucket", F.bitmap_bucket_number(place)).join(F.broadcast(maps), "_bucket", "left")
+    maybe = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    known = known.withColumn("_maybe", maybe).drop("_bucket", "_map")
+    firsts = groups.select("row")
+    first_copies = known.filter("_maybe").join(firsts, "row", "left_semi")
+    return known.filter(~F.col("_maybe")).unionByName(first_copies).drop("_maybe"), firsts
+
+
 def disclosing_terms(
     found: DataFrame, text_col: str = "text", prior: float = PRIOR, generalise: float = GENERALISE, remove: float = REMOVE
 ) -> DataFrame:
     """`term`, `removed` of the terms that disclose an entity, by the counts of all distinct texts."""
     one = F.count(F.lit(1))
-    first = found.groupBy("digest").agg(F.min("row").alias("row")).select("row")
-    texts = found.join(first, "row", "left_semi")
+    texts, first = distinct_texts(found)
     total = first.agg(one.alias("_n"))
-    holders = texts.filter(F.size("entities") > 0)
-    held = holders.select("row", F.explode("entities").alias("entity"))
+    holders = found.filter(F.size("entities") > 0).select("row", "entities").join(first, "row", "left_semi")
+    held = written(holders.select("row", F.explode("entities").alias("entity")), "pii-held")
+    # entities of the same texts are judged alike: a list of addresses in two texts is one class, told by sums over its texts
+    mark = (F.sum(F.xxhash64("row").cast("decimal(38,0)")).cast("string"), F.bit_xor(F.xxhash64("row", F.lit(1))).cast("string"))
+    of = held.groupBy("entity").agg(one.alias("_c"), F.concat_ws("/", one.cast("string"), *mark).alias("class"))
     # an entity or a pair of one text has nothing to be judged by: its smoothed share is p(c), its PMI zero or less
-    shared = written(held.groupBy("entity").agg(one.alias("_c")).filter(F.col("_c") > 1), "pii-entities")
-    of_row = held.join(shared, "entity", "left_semi").groupBy("row").agg(F.collect_list("entity").alias("shared"))
-    pairs = holders.join(of_row, "row").select(F.explode("shared").alias("entity"), distinct_terms(_words(text_col)).alias("terms"))
-    seen = pairs.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(one.alias("_tc")).filter(F.col("_tc") > 1)
+    of = written(of.filter(F.col("_c") > 1), "pii-entities")
+    shared = of.select("class", "_c").distinct()
+    of_row = held.join(of.select("entity", "class"), "entity").groupBy("row").agg(F.collect_set("class").alias("classes"))
+    # terms are found before classes are listed, so once a text
+    pairs = texts.filter(F.size("entities") > 0).join(of_row, "row").select("classes", distinct_terms(_words(text_col)).alias("terms"))
+    pairs = pairs.select(F.explode("classes").alias("class"), "terms")
+    seen = pairs.select("class", F.explode("terms").alias("term")).groupBy("class", "term").agg(one.alias("_tc")).filter(F.col("_tc") > 1)
     counts = texts.select(F.explode(distinct_terms(_words(text_col))).alias("term")).groupBy("term").agg(one.alias("_t"))
-    joined = seen.join(shared, "entity").join(counts, "term").join(F.broadcast(total))
+    joined = seen.join(shared, "class").join(counts, "term").join(F.broadcast(total))
     p = F.col("_c") / F.col("_n")
     ic = -F.log(p)
     share = (F.col("_tc") - 1 + prior * p) / (F.col("_t") - 1 + prior)
@@ -234,16 +316,7 @@ def sanitised_text(text: Column, base: Column, terms: Column) -> Column:
         F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("tag"))),
         F.transform(terms, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["removed"], "").otherwise("[WORD]").alias("tag"))),
     )
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        more = F.when(s["start"] < acc["at"], acc["out"]).otherwise(
-            F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), s["tag"])
-        )
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), more.alias("out"))
-
-    rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text)))
-    return F.when(F.size(tags) == 0, text).otherwise(F.aggregate(F.sort_array(tags), start, step, rest))
+    return _rebuilt(text, F.sort_array(tags))
 
 
 def sanitise(docs: DataFrame, text_col: str = "text", length_col: str | None = None, **options) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import re
 from collections import Counter
 
@@ -212,3 +213,53 @@ def test_terms_far_from_the_value(docs):
     clean = {x.doc_id: x.text for x in pii.sanitise(docs(rows)).collect()}
     assert not any("zylberstein" in text.lower() for text in clean.values())
     assert all(clean[i] == t for i, t in rows if i < 2000)
+
+
+def test_pii_many_values_in_one_text(docs):
+    r = random.Random(11)
+    names = ["".join(r.choice("abcdefghij") for _ in range(9)) for _ in range(5000)]
+    book = " ".join(f"{n} {n}@host{i % 700}.org;" for i, n in enumerate(names))
+    rows = [(1, "list one " + book), (2, "list two " + book)] + [(10 + i, f"plain words here {i}") for i in range(4000)]
+    start = time.time()
+    got = {x.doc_id: x for x in pii.pii_report(docs(rows)).collect()}
+    assert time.time() - start < 60
+    assert got[1].n_email == got[2].n_email == 5000
+    # a name that stands beside its address in both lists, and nowhere else, discloses it
+    assert got[1].n_term == got[2].n_term == len(names) + 1 and got[10].n_term == 0
+
+
+def test_pii_rebuilt_in_parts(docs):
+    """Spans over the borders of parts, one after another, and in a text of wide characters."""
+    r = random.Random(5)
+    for n in (40, 300):
+        text = "".join(r.choice("ab é𝒳") for _ in range(9000))
+        cuts = sorted(r.sample(range(9000), 2 * n))
+        spans = list(zip(cuts[::2], cuts[1::2]))
+        df = docs([(1, text)]).select("text", F.from_json(F.lit(str([{"start": a, "end": b, "kind": "ip"} for a, b in spans]).replace("'", '"')), "array<struct<kind:string,start:int,end:int>>").alias("s"))
+        out, clean = df.select(pii.outside(F.col("text"), F.col("s")), pii.sanitised_text(F.col("text"), F.col("s"), F.array().cast(pii.TERMS))).first()
+        want, tagged = list(text), list(text)
+        for a, b in spans:
+            want[a:b] = " " * (b - a)
+            tagged[a:b] = ["[IP]"] + [""] * (b - a - 1)
+        assert out == "".join(want) and clean == "".join(tagged)
+
+
+def test_pii_copies_are_no_evidence(docs):
+    """A person named beside a value in three different texts among 1,000 is found; one in copies of one text is not."""
+    rows = [(i, f"text number {i} about nothing in particular") for i in range(1000)]
+    rows += [(2000 + i, f"case {i} of Zylberstein, write to z.berg@corp.example today") for i in range(3)]
+    rows += [(3000 + i, "note by Quentworth, write to quent@other.example today") for i in range(40)]
+    got = {x.doc_id: x for x in pii.pii_report(docs(rows)).collect()}
+    spans = lambda i: [s.split(":") for s in got[i].spans.split(",") if s]
+    words = lambda i: {rows_by[i][int(a) : int(b)] for k, a, b in spans(i) if k == "term"}
+    rows_by = dict(rows)
+    assert "Zylberstein" in words(2000) and "Quentworth" not in words(3000)
+    assert len(got) == len(rows) and words(5) == set()
+
+
+def test_pii_distinct_texts_keep_one_of_each(docs):
+    rows = [(i, f"only {i}") for i in range(300)] + [(1000 + i, "the same") for i in range(50)] + [(None, None), (None, None)]
+    found = pii.written(pii.found_spans(docs(rows)), "pii")
+    texts, first = pii.distinct_texts(found)
+    assert texts.count() == first.count() == 302
+    assert texts.select("digest").distinct().count() == 302
