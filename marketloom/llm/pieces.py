@@ -6,7 +6,8 @@ ids of the chunks, joined, are the ids of the text. Arrow cuts the texts of a ba
 chunks; only these are looked up, in a bounded cache of the Python worker. New chunks are
 encoded many at a time: words of letters, with any closing punctuation taken off, are whole pre-tokens and need no
 pattern; the others go through the full tokenizer. Byte-level texts in which a space lies beside other white
-space are encoded whole.
+space are encoded whole, and so are texts that hold the content of an added token (such as an end-of-text mark), which the
+library makes that token.
 """
 
 from __future__ import annotations
@@ -122,6 +123,8 @@ class ChunkEncoder:
             self.opens[i], self.ends[i] = token[:1] == SPACE_BYTE, token.endswith(WORD_END)
         self.mark[np.frombuffer(self._whole(_MARK), "<u4")] = True
         self.line_end = self._whole("\n")
+        # added tokens may be matched after the normaliser, so in any case
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -216,6 +219,30 @@ class ChunkEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (strings without nulls), one after another, and their texts+1 bounds."""
+        held = self._with_added_tokens(texts)
+        if not held:
+            return self._encode(texts)
+        rest = pa.array(["" if i in held else t for i, t in enumerate(texts.to_pylist())], pa.string())
+        flat, bounds = self._encode(rest)
+        parts = [flat[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        for i, ids in held.items():
+            parts[i] = ids
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+
+    def _with_added_tokens(self, texts: pa.Array) -> dict[int, np.ndarray]:
+        """Place and ids of the texts that may hold an added token's content, by the plain library call."""
+        lower, held = pc.utf8_lower(texts), set()
+        for content in self.added:
+            held.update(np.flatnonzero(pc.match_substring(lower, content).to_numpy(zero_copy_only=False)).tolist())
+        if not held:
+            return {}
+        self.tokenizer.encode_special_tokens = False
+        try:
+            return {i: np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4") for i in sorted(held)}
+        finally:
+            self.tokenizer.encode_special_tokens = True
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if not len(texts):
             return np.zeros(0, "<u4"), np.zeros(1, "int64")
         if self.spaced:

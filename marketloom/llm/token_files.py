@@ -27,7 +27,7 @@ from marketloom.llm.common import arrow_rows, kept, mounted, shared_folder, text
 from marketloom.llm.pieces import encoder
 
 MANIFEST = "part int, n_docs bigint, n_tokens bigint, bin string, idx string"
-READ = "part int, doc_id bigint, start_in_part bigint, n_tokens bigint, ids_crc32 bigint"
+READ = "part int, doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
 
 def id_type(vocabulary_size: int) -> str:
@@ -84,18 +84,20 @@ def write_token_files(
     return kept(arrow_rows(ordered, [id_col, text_col], rows, MANIFEST, 2000, raw=True))
 
 
-def part_bases(manifest: DataFrame) -> DataFrame:
-    """`part` and `base`, the ids in all parts before it. One row per file: a small table."""
+def with_bases(manifest: DataFrame) -> DataFrame:
+    """The manifest with `base`, the ids in all parts before. One row per file: the small table is what one task orders."""
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    return manifest.select("part", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
+    return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
 def read_token_files(spark: SparkSession, manifest: DataFrame, id_bytes: int = 2) -> DataFrame:
-    """One row per document, read from the memory-mapped files: place in the part, size, checksum."""
+    """One row per document, read from the memory-mapped files: place among all ids, size, checksum.
+
+    The bases are summed before files are read, so no row of a document is joined or leaves the task that reads it."""
 
     def rows(groups):
         for group in groups:
-            for part, n, _, bin_, idx in group:
+            for part, n, bin_, idx, base in group:
                 head = np.memmap(idx, "<u8", "r", 0, (n + 2,))
                 if int(head[0]) != n:
                     raise ValueError(f"{idx} holds {int(head[0])} documents, not {n}")
@@ -108,12 +110,12 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, id_bytes: int = 2
                     for i in range(at, min(n, at + 4096)):
                         a, b = int(offsets[i]), int(offsets[i + 1])
                         sum_ = zlib.crc32(tokens[a:b].astype("<u4").tobytes())
-                        made.append((part, int(ids[i]) if given[i] else None, a, b - a, sum_))
+                        made.append((part, int(ids[i]) if given[i] else None, base + a, b - a, sum_))
                     yield made
 
     # one file is one row here: deal the files out, so that tasks read a few each
-    spread = manifest.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "part")
-    return arrow_rows(spread, ["part", "n_docs", "n_tokens", "bin", "idx"], rows, READ)
+    spread = with_bases(manifest).repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "part")
+    return arrow_rows(spread, ["part", "n_docs", "bin", "idx", "base"], rows, READ)
 
 
 def token_files(docs: DataFrame, folder: str | None = None, **options) -> DataFrame:
@@ -122,7 +124,4 @@ def token_files(docs: DataFrame, folder: str | None = None, **options) -> DataFr
     manifest = write_token_files(docs, folder or shared_folder(spark, "token-files"), **options)
     size = encoder(options.get("vocabulary") or public_tokenizers.path("byte_bpe_50k.json"), True).tokenizer.get_vocab_size()
     found = read_token_files(spark, manifest, np.dtype(id_type(size)).itemsize)
-    # the bases have one row per file; files hold a share of a task each, so the table is small
-    return found.join(part_bases(manifest), "part").select(
-        "doc_id", (F.col("base") + F.col("start_in_part")).alias("start"), "n_tokens", "ids_crc32"
-    )
+    return found.select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -20,7 +20,6 @@ from marketloom.llm.pieces import ChunkEncoder
 
 def library(name):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -34,6 +33,7 @@ def rank_library():
 @pytest.mark.parametrize("name,spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_chunk_encoder_equals_library(name, spaced, odd_texts):
     texts = [t or "" for t in odd_texts]
+    texts += ["a <|endoftext|> b", "<|startoftext|>", "x<|ENDOFTEXT|>y ", "<|endoftext|><|endoftext|>", "a  <|endoftext|>\n \n b" * 300]
     coder, whole = ChunkEncoder(public_tokenizers.path(name), spaced, limit=200), library(name)
     for at in range(0, len(texts), 16):
         part = texts[at : at + 16]
@@ -164,3 +164,16 @@ def test_empty_tables(docs, tmp_path):
     assert bpe.round_trip_digests(empty).collect() == []
     assert packing.best_fit_packing(empty).collect() == []
     assert token_files.token_files(empty, f"file://{tmp_path}/e").collect() == []
+
+
+def test_documents_leave_the_tasks_that_read_them(spark, docs, tmp_path):
+    """No document row is broadcast or joined: the bases are in the manifest before files are read."""
+    df = docs([(i, f"text {i}") for i in range(400)]).repartition(6)
+    out = token_files.token_files(df, f"file://{tmp_path}/t", parts=5)
+    plan = out._jdf.queryExecution().toString()
+    assert "Join" not in plan and "BroadcastExchange" not in plan
+    above = plan[plan.index("Optimized Logical Plan") :].split("MapInArrow")[0]
+    assert "Window" not in above
+    rows = sorted(out.collect())
+    assert [r["start"] for r in rows] == [sum(x["n_tokens"] for x in rows[:i]) for i in range(400)]
+    assert out.rdd.getNumPartitions() > 1
