@@ -13,7 +13,7 @@ is seen twice, the second time without its landmarks, so that the other features
 decide on pages without marks.
 
 Cases: null, empty and text-free pages give an empty text; unclosed and stray tags are repaired as browsers do
-in the common cases; without labelled pages the fixed names alone decide; rows with
+in the common cases; a tag that the page's end cuts off is dropped; time grows with the page's length, whatever is in it; without labelled pages the fixed names alone decide; rows with
 null or repeated ids are rows of their own; an empty table gives an empty table.
 """
 
@@ -40,7 +40,7 @@ SAMPLE_ROWS = 50_000
 # The element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style".split())
-HIDDEN = frozenset("script style noscript template head title svg math iframe object canvas select option button textarea datalist".split())
+HIDDEN = frozenset("script style noscript template head title svg iframe canvas select option button textarea datalist".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
@@ -48,6 +48,7 @@ CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split()
 )
 CLOSES_SELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+BARRIERS = CLOSES_P - {"p"}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
 # Landmarks and the names pages give to parts that are not the article.
@@ -59,7 +60,8 @@ OTHER_NAMES = frozenset(
     " subscription toolbar widget".split()
 )
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)>|<[!?/][^>]*(?:>|\Z)", re.S)
+# Runs are possessive, and every alternative ends at the end of the page: a page is read in one pass, however it is cut.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _NAMES = re.compile(r"[a-z]+")
 
@@ -80,7 +82,8 @@ def parse(page: str | None) -> list[Node]:
     """Block nodes in document order; a node's parent comes before it."""
     page = page or ""
     nodes = [Node("#page", -1)]
-    open_: list[tuple[str, int]] = [("#page", 0)]  # (tag, block node) of open elements
+    open_: list[tuple[str, int]] = [("#page", 0)]  # (tag, block node) of open elements; "" for a closed inline one
+    places: dict[str, list[int]] = {"#block": [0]}  # where the open elements of a tag or kind stand in it
     pieces: list[tuple[str, bool]] = []
     owner, place, links = 0, 0, 0
 
@@ -97,10 +100,23 @@ def parse(page: str | None) -> list[Node]:
                 place += 1
             pieces = []
 
+    def push(tag: str) -> None:
+        for kind in (tag, "" if tag in INLINE else "#block", "#barrier" if tag in BARRIERS else ""):
+            if kind:
+                places.setdefault(kind, []).append(len(open_))
+        open_.append((tag, owner))
+
+    def top(*kinds: str) -> int:
+        return max((places[k][-1] for k in kinds if places.get(k)), default=0)
+
     def pop_to(depth: int) -> None:
         nonlocal owner, links
         flush()
-        links -= sum(tag == "a" for tag, _ in open_[depth:])
+        for tag, _ in open_[depth:]:
+            for kind in (tag, "" if tag in INLINE else "#block", "#barrier" if tag in BARRIERS else ""):
+                if tag and kind:
+                    places[kind].pop()
+            links -= tag == "a"
         del open_[depth:]
         owner = open_[-1][1]
 
@@ -121,30 +137,21 @@ def parse(page: str | None) -> list[Node]:
         if found[2]:
             if tag in INLINE:
                 # an inline end tag reaches no further than its block
-                for depth in range(len(open_) - 1, 0, -1):
-                    if open_[depth][0] == tag:
-                        if tag == "a":
-                            links -= 1
-                        del open_[depth]
-                        break
-                    if open_[depth][0] not in INLINE:
-                        break
-            else:
-                depth = next((d for d in range(len(open_) - 1, 0, -1) if open_[d][0] == tag), 0)
-                if depth:
-                    pop_to(depth)
+                depth = top(tag)
+                if depth > top("#block"):
+                    links -= tag == "a"
+                    places[tag].pop()
+                    open_[depth] = ("", open_[depth][1])
+            elif top(tag):
+                pop_to(top(tag))
             continue
         if tag == "br":
             pieces.append((" ", False))
             continue
         if tag in CLOSES_P or tag in CLOSES_SELF:
-            closes, stop = ({"p"}, CLOSES_P - {"p"}) if tag in CLOSES_P else (CLOSES_SELF[tag], SCOPES[tag])
-            for depth in range(len(open_) - 1, 0, -1):
-                if open_[depth][0] in closes:
-                    pop_to(depth)
-                    break
-                if open_[depth][0] in stop:
-                    break
+            depth, barrier = (top("p"), top("#barrier")) if tag in CLOSES_P else (top(*CLOSES_SELF[tag]), top(*SCOPES[tag]))
+            if depth > barrier:
+                pop_to(depth)
         if tag in VOID:
             if tag == "hr":
                 flush()
@@ -153,15 +160,15 @@ def parse(page: str | None) -> list[Node]:
             if found[4].endswith("/"):
                 continue
             links += tag == "a"
-            open_.append((tag, owner))
+            push(tag)
             continue
         flush()
         names = tuple(n for _, v in _ATTRIBUTE.findall(found[4]) for n in _NAMES.findall(v.lower())) if found[4] else ()
         nodes.append(Node(tag, owner, names, nodes[owner].hidden or tag in HIDDEN))
         owner = len(nodes) - 1
-        open_.append((tag, owner))
+        push(tag)
         if tag in RAW:
-            close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            close = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = close.end() if close else size
             pop_to(len(open_) - 1)
     flush()
@@ -210,25 +217,20 @@ def own_labels(nodes: list[Node]) -> list[int] | None:
     """Labels a page gives itself by its landmarks; None for a page without them."""
     if not any(n.tag in MAIN_TAGS for n in nodes):
         return None
-    out = []
+    out, refused = [], []
     for node in nodes:
         inside = out[node.parent] if node.parent >= 0 else 0
+        above = node.parent >= 0 and refused[node.parent]
+        other = node.tag in OTHER_TAGS or any(n in OTHER_NAMES for n in node.names)
         if node.tag in MAIN_TAGS:
-            inside = 1 if node.parent < 0 or not _refused(nodes, node.parent) else 0
-        elif node.tag in OTHER_TAGS or any(n in OTHER_NAMES for n in node.names):
+            inside = int(not above)
+        elif other:
             inside = 0
         out.append(inside)
+        refused.append(above or other)
     return out
 
 
-def _refused(nodes: list[Node], i: int) -> bool:
-    while i >= 0:
-        if nodes[i].tag in OTHER_TAGS or any(n in OTHER_NAMES for n in nodes[i].names):
-            return True
-        i = nodes[i].parent
-    return False
-
-
 def edge_kind(node: Node) -> int:
     """0: a plain child; 1: one that starts a part of another kind; 2: one that starts a main part."""
     if node.tag in MAIN_TAGS:

@@ -1,6 +1,7 @@
 """Fitted operators: toxic segments and page text, and the pipeline that joins operators."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -188,3 +189,30 @@ def test_pipeline(spark, folder, tmp_path):
     packed = corpus_pipeline.run(spark, folder)
     assert {r.doc_id for r in packed.collect()} == ids
     assert bpe.encode_texts(seen).count() == len(ids)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<p>kept</p><div " + 'data-k="v" ' * 10_000,
+        "<p>kept</p>" + "<a " * 300_000,
+        "<p>kept</p>" + "<div '\" " * 100_000,
+        "<p>kept</p>" + "<span>" * 60_000 + "</div>" * 60_000,
+        "<p>kept</p>" + "<b><span>" * 60_000 + "</b>" * 60_000,
+        "<p>kept</p>" + "<span>" * 60_000 + "<li></li>" * 60_000,
+        "<p>kept</p>" + "<script></script " * 60_000,
+        "<p>kept</p>" + "<article>" * 60_000,
+    ],
+    ids=["quotes", "openings", "mixed", "stray", "inline", "items", "scripts", "nested"],
+)
+def test_pages_end_whatever_they_hold(page):
+    start = time.time()
+    nodes = html_tree.parse(page)
+    html_tree.own_labels(nodes)
+    assert time.time() - start < 2
+    assert [t for n in nodes for _, t in n.runs][0] == "kept"
+
+
+def test_truncated_tag_is_dropped():
+    assert [t for n in html_tree.parse('<p>one</p><p>two<div class="x') for _, t in n.runs] == ["one", "two"]
+    assert [t for _, t in sorted(r for n in html_tree.parse('<p title="a>b">one <b>two</b></p>three') for r in n.runs)] == ["one two", "three"]
