@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from marketloom.functions.expr import safe_div, truth
 from marketloom.functions.rolling import with_position
 from marketloom.operators.factors import sector_momentum
+from marketloom.session import cut_lineage, keep
 
 # fixed values: sectors that lead in risk-on and in defensive markets
 RISK_ON = ("Technology", "Consumer Discretionary", "Financials", "Industrials")
@@ -116,7 +117,7 @@ def regime_sma(indices: DataFrame, key: str = "name", n: int = 200) -> DataFrame
 FEATURES = ("return_21d", "volatility_21d", "trend_50d", "drawdown")
 
 
-def state_name(vol_median: float) -> Column:
+def state_name(vol_median: float | Column) -> Column:
     return (
         F.when((F.col("drawdown") <= -0.20) & (F.col("return_21d") <= -0.08), "Crash")
         .when(F.col("volatility_21d") >= vol_median * 1.35, "High Volatility")
@@ -127,59 +128,66 @@ def state_name(vol_median: float) -> Column:
     )
 
 
-def regime_cluster(features: DataFrame, states: int = 6, least: int = 120, seed: int = 17) -> DataFrame:
-    """Cluster the standardised regime features, name the clusters by their centres, and report
-    the chances of the next state out of the latest one (0.5 smoothing per state). The number of
-    `states` is the same for a short and a long history; below `least` rows there is no result.
-
-    `features`: date plus FEATURES. Fitting and scoring are distributed; what reaches the driver
-    is the model's centres (states x 4 numbers).
-    """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-
-    spark = features.sparkSession
-    n = features.count()
-    schema = "state int, state_name string, return_21d double, volatility_21d double, trend_50d double, drawdown double"
-    if n < least:
-        empty = spark.createDataFrame([], schema)
-        return empty.select("state_name", F.lit(None).cast("boolean").alias("is_current"), F.lit(None).cast("double").alias("probability_pct"), F.lit(None).cast("long").alias("days"))
-    pipe = Pipeline(
-        stages=[
-            VectorAssembler(inputCols=list(FEATURES), outputCol="_v"),
-            StandardScaler(inputCol="_v", outputCol="_x", withMean=True, withStd=True),
-            KMeans(featuresCol="_x", predictionCol="state", k=states, seed=seed, maxIter=50),
-        ]
-    )
-    model = pipe.fit(features)
-    scaler, km = model.stages[1], model.stages[2]
-    centres = [[float(v) for v in (c * scaler.std.toArray() + scaler.mean.toArray())] for c in km.clusterCenters()]
-    ordered = sorted(c[1] for c in centres)
-    mid = len(ordered) // 2
-    median = ordered[mid] if len(ordered) % 2 else (ordered[mid - 1] + ordered[mid]) / 2
-    named = spark.createDataFrame([(i, *c) for i, c in enumerate(centres)], "state int, return_21d double, volatility_21d double, trend_50d double, drawdown double")
-    named = named.withColumn("state_name", state_name(median)).select("state", "state_name")
-    by_date = Window.partitionBy(F.lit(0)).orderBy("date")  # one row per trading date of the index
-    labelled = model.transform(features).select("date", "state").withColumn("next_state", F.lead("state").over(by_date))
-    latest = labelled.agg(F.max_by("state", "date").alias("now"))
-    moves = labelled.filter(F.col("next_state").isNotNull()).groupBy("state", "next_state").agg(F.count(F.lit(1)).alias("moves"))
-    days = labelled.groupBy("state").agg(F.count(F.lit(1)).alias("days"))
-    out = (
-        named.join(days, "state", "left")
-        .crossJoin(latest)  # one row
-        .join(moves.select(F.col("state").alias("now"), F.col("next_state").alias("state"), "moves"), ["now", "state"], "left")
-        .withColumn("weight", F.coalesce("moves", F.lit(0)) + 0.5)
-    )
-    total = F.sum("weight").over(Window.partitionBy(F.lit(0)))  # k rows
-    return (
-        out.withColumn("p", F.col("weight") / total)
-        .groupBy("state_name")
-        .agg(
-            F.max(F.col("state") == F.col("now")).alias("is_current"),
-            F.round(F.sum("p") * 100, 2).alias("probability_pct"),
-            F.sum("days").alias("days"),
-        )
+def lloyd(rows: DataFrame, keys: Sequence[str], values: str, states: str, start: str, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """k-means of every group at once from given first labels: the rows with `state`, and `keys`, `state`, `centre` (a struct), `members`.
+
+    values: an array column; states: the group's number of clusters; start: the first label. A round sums the
+    members of each cluster (combined before the shuffle) and hands a group's centres, a small array, to its rows. A cluster that
+    loses all members keeps its centre; ties go to the smaller label. Runs a job a round; the centres are checkpointed."""
+    size = len(FEATURES)
+    labelled = rows.withColumn("state", F.col(start))
+    centres = None
+    for _ in range(rounds + 1):
+        sums = labelled.groupBy(*keys, "state").agg(F.count(F.lit(1)).alias("members"), F.struct(*[F.avg(F.get(values, F.lit(i))).alias(f"c{i}") for i in range(size)]).alias("centre"))
+        entry = F.struct("state", "centre", "members")
+        found = sums.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("_found"))  # at most `states` rows a group
+        if centres is not None:
+            old = centres.select(*keys, F.col("centres").alias("_old"))
+            lost = F.filter("_old", lambda o: ~F.exists("_found", lambda f: f["state"] == o["state"]))
+            lost = F.transform(lost, lambda o: F.struct(o["state"].alias("state"), o["centre"].alias("centre"), F.lit(0).cast("long").alias("members")))
+            found = found.join(old, list(keys)).withColumn("_found", F.sort_array(F.concat("_found", lost)))
+        centres = cut_lineage(found.select(*keys, F.col("_found").alias("centres")))
+        apart = lambda c: sum((F.pow(F.get(values, F.lit(i)) - c["centre"][f"c{i}"], 2) for i in range(1, size)), F.pow(F.get(values, F.lit(0)) - c["centre"]["c0"], 2))
+        nearest = F.array_min(F.transform("centres", lambda c: F.struct(apart(c).alias("d"), c["state"].alias("state"))))
+        labelled = rows.join(centres, list(keys)).withColumn("_near", nearest).withColumn("state", F.col("_near.state")).withColumn("_apart", F.sqrt("_near.d")).drop("_near", "centres")
+    return keep(labelled), centres.select(*keys, F.inline("centres"))
+
+
+def regime_cluster(features: DataFrame, keys: Sequence[str] = ("ticker",), states: int = 6, least: int = 120, per_state: int = 60, rounds: int = 10) -> DataFrame:
+    """Clusters of the standardised regime features of every series, named by their centres, with the
+    chances of the next state out of the latest one (0.5 smoothing per state).
+
+    A series of n rows has n / `per_state` states, 2 at least and `states` at most; below `least` rows it has none. First labels are
+    shares of equal size in the order of volatility; `rounds` rounds of Lloyd's algorithm follow, see `lloyd`. `confidence` falls with the
+    distance of the latest row from its centre. `features`: keys, date plus FEATURES."""
+    whole = Window.partitionBy(*keys)
+    shape = features.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(f"_m{i}") for i, c in enumerate(FEATURES)], *[F.stddev_pop(c).alias(f"_s{i}") for i, c in enumerate(FEATURES)])
+    shape = shape.filter(F.col("_n") >= least).withColumn("_k", F.least(F.lit(states), F.greatest(F.lit(2), F.floor(F.col("_n") / per_state).cast("int"))))
+    unit = lambda i: F.when(F.col(f"_s{i}") > 0, F.col(f"_s{i}")).otherwise(1.0)
+    z = F.array(*[(F.col(c) - F.col(f"_m{i}")) / unit(i) for i, c in enumerate(FEATURES)])
+    # a series' rows are its trading days: the one order per series is bounded by the calendar
+    rank = F.row_number().over(whole.orderBy("volatility_21d", "date")) - 1
+    rows = features.select(*keys, "date", *FEATURES).join(shape, list(keys))
+    rows = keep(rows.select(*keys, "date", "_k", F.array(*[F.array(F.col(f"_m{i}"), unit(i)) for i in range(len(FEATURES))]).alias("_scale"), z.alias("_z"), F.floor(rank * F.col("_k") / F.col("_n")).cast("int").alias("_start")))
+    labelled, centres = lloyd(rows, keys, "_z", "_k", "_start", rounds)
+    scale = rows.groupBy(*keys).agg(F.first("_scale").alias("_scale"))
+    back = [(F.col(f"centre.c{i}") * F.get(F.get("_scale", F.lit(i)), F.lit(1)) + F.get(F.get("_scale", F.lit(i)), F.lit(0))).alias(c) for i, c in enumerate(FEATURES)]
+    named = centres.join(scale, list(keys)).select(*keys, "state", *back)
+    named = named.withColumn("_median", F.median("volatility_21d").over(whole))  # at most `states` rows a series
+    named = named.withColumn("state_name", state_name(F.col("_median"))).select(*keys, "state", "state_name")
+    moves = labelled.withColumn("next_state", F.lead("state").over(whole.orderBy("date")))
+    latest = labelled.groupBy(*keys).agg(F.max_by("state", "date").alias("now"), F.max_by("_apart", "date").alias("_apart"))
+    counts = moves.groupBy(*keys, "state", "next_state").agg(F.count(F.lit(1)).alias("moves"))
+    days = labelled.groupBy(*keys, "state").agg(F.count(F.lit(1)).alias("days"))
+    onward = counts.select(*keys, F.col("state").alias("now"), F.col("next_state").alias("state"), "moves")
+    out = named.join(days, [*keys, "state"], "left").join(latest, list(keys)).join(onward, [*keys, "now", "state"], "left")
+    out = out.withColumn("_weight", F.coalesce("moves", F.lit(0)) + 0.5)
+    out = out.withColumn("_p", F.col("_weight") / F.sum("_weight").over(whole))
+    return out.groupBy(*keys, "state_name").agg(
+        F.max(F.col("state") == F.col("now")).alias("is_current"),
+        F.round(F.sum("_p") * 100, 2).alias("probability_pct"),
+        F.coalesce(F.sum("days"), F.lit(0)).alias("days"),
+        F.round(F.max(100 / (1 + F.col("_apart"))), 1).alias("confidence"),
     )
 
 

@@ -13,6 +13,7 @@ from marketloom.functions.expr import clip, correlation, norm_cdf, safe_div
 from marketloom.functions.gram import pair_moments
 from marketloom.functions.ranks import ordered_values, quantile_edges, with_avg_rank
 from marketloom.functions.rolling import with_position
+from marketloom.session import cut_lineage
 
 
 def market_returns(benchmark: DataFrame) -> DataFrame:
@@ -200,31 +201,101 @@ def factor_sensitivity(frame: DataFrame, keys: Sequence[str], y: str, xs: Sequen
     )
 
 
-PCA_SCHEMA = "component int, explained_variance_pct double, ticker string, loading double, effective_factor_count int"
+#: Columns that a subspace has beyond the wanted components; they speed convergence up, and a universe no larger is solved at once.
+SPARE = 27
 
 
-def _components(pairs: pd.DataFrame, components: int) -> pd.DataFrame:
-    names = sorted(set(pairs["a"]))
-    grid = pairs.pivot(index="a", columns="b", values="corr").reindex(index=names, columns=names).to_numpy(float)
-    matrix = np.where(np.isnan(grid), grid.T, grid)
-    np.fill_diagonal(matrix, 1.0)
-    values, vectors = np.linalg.eigh(np.nan_to_num(matrix))
-    share = values[::-1] / values.sum()
-    parts = []
-    for c in range(min(components, len(names))):
-        v = vectors[:, -1 - c]
-        v = v * np.sign(v[np.argmax(np.abs(v))])
-        parts.append(pd.DataFrame({"component": c + 1, "explained_variance_pct": share[c] * 100, "ticker": names, "loading": v, "effective_factor_count": int((share > 0.05).sum())}))
-    return pd.concat(parts).astype({"component": "int32", "effective_factor_count": "int32"})
+def correlation_edges(returns: DataFrame, key: str = "ticker", at: str = "date", value: str = "r") -> DataFrame:
+    """(`a`, `b`, `corr`) of the whole symmetric correlation matrix without its diagonal of ones; null correlations are zero and left out."""
+    pairs = pair_moments(returns, key, at, value).filter(F.col("corr").isNotNull() & (F.col("corr") != 0) & (F.col("a") != F.col("b")))
+    swap = F.array(F.struct(F.col("a"), F.col("b"), "corr"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "corr"))
+    return pairs.select(F.inline(swap))
 
 
-def pca(returns: DataFrame, components: int = 5) -> DataFrame:
-    """Principal components of standardised returns: explained share and loadings.
+def _arrays(column: pd.Series) -> np.ndarray:
+    return np.array(column.tolist(), float).reshape(len(column), -1)
+
+
+def _grams(table: DataFrame, *pairs: tuple[str, str]) -> list[np.ndarray]:
+    """Sums over all rows of the products of array columns. A task sends one matrix a pair, so what arrives
+    grows with the tasks and not with the rows."""
+
+    def run(batches):
+        total = None
+        for pdf in batches:
+            arrays = {c: _arrays(pdf[c]) for c in {x for pair in pairs for x in pair}}
+            part = np.concatenate([(arrays[x].T @ arrays[y]).ravel() for x, y in pairs])
+            total = part if total is None else total + part
+        if total is not None:
+            yield pd.DataFrame({"g": [total]})
+
+    rows = table.select(*{x for pair in pairs for x in pair}).mapInPandas(run, "g array<double>").collect()
+    total = np.sum([r["g"] for r in rows], axis=0)
+    size = int(round((len(total) / len(pairs)) ** 0.5))
+    return list(total.reshape(len(pairs), size, size))
 
-    The correlations are summed as blocked pair moments over all rows; only the finished matrix, one row per pair
-    of series, is decomposed in one group."""
-    pairs = pair_moments(returns, "ticker", "date", "r").select("a", "b", "corr")
-    return pairs.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda rows: _components(rows, components), PCA_SCHEMA)
+
+def _rotated(table: DataFrame, column: str, matrix: np.ndarray) -> DataFrame:
+    """`a` and `v`, the array column times a small matrix."""
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"a": pdf["a"], "v": list(_arrays(pdf[column]) @ matrix)}) if len(pdf) else pd.DataFrame({"a": [], "v": []})
+
+    return table.select("a", column).mapInPandas(run, "a string, v array<double>")
+
+
+def leading_subspace(edges: DataFrame, names: DataFrame, wanted: int, tolerance: float = 1e-8, rounds: int = 300) -> tuple[DataFrame, np.ndarray]:
+    """Eigenvalues (descending) of the matrix `edges` plus the identity, and a table `a`, `v` of its eigenvectors' entries.
+
+    Block subspace iteration. The loadings are a table with one array per series; a round joins the
+    matrix's entries with them and sums by series, so no task holds the matrix or a whole row of it. What reaches the driver are
+    two matrices of the block's size: they orthogonalise the block, give the Ritz values and the residuals that end the rounds."""
+    n = names.count()
+    size = min(n, wanted + SPARE)
+    if not size:
+        return names.select("a", F.array().cast("array<double>").alias("v")), np.zeros(0)
+    unit = lambda i: F.pmod(F.xxhash64("a", F.lit(i)), F.lit(1 << 20)) / F.lit(float(1 << 19)) - 1.0
+    block = cut_lineage(names.select("a", F.array(*[unit(i) for i in range(size)]).alias("v")))
+    block, size = _orthogonal(block, "v", _grams(block, ("v", "v"))[0])
+    for _ in range(rounds):
+        entry = lambda i: F.sum(F.col("corr") * F.get("v", F.lit(i))).alias(f"y{i}")
+        far = edges.join(block.select(F.col("a").alias("b"), "v"), "b").groupBy("a").agg(*[entry(i) for i in range(size)])
+        product = F.array(*[F.get("v", F.lit(i)) + F.coalesce(f"y{i}", F.lit(0.0)) for i in range(size)])
+        moved = cut_lineage(block.join(far, "a", "left").select("a", "v", product.alias("y")))
+        inner, squares = _grams(moved, ("v", "y"), ("y", "y"))
+        ritz, turn = np.linalg.eigh((inner + inner.T) / 2)
+        ritz, turn = ritz[::-1], turn[:, ::-1]
+        left = np.sqrt(np.maximum(np.einsum("ij,ik,kj->j", turn, squares, turn) - ritz**2, 0.0))
+        if (left[: min(wanted, size)] <= tolerance * max(ritz[0], 1.0)).all() or size == n:
+            return cut_lineage(_rotated(moved, "v", turn[:, :wanted])), ritz
+        block, size = _orthogonal(moved, "y", squares)
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def _orthogonal(table: DataFrame, column: str, gram: np.ndarray) -> tuple[DataFrame, int]:
+    """The block with orthonormal columns; directions that have vanished are left out."""
+    values, vectors = np.linalg.eigh(gram)
+    good = values > max(values.max(), 1e-300) * 1e-13
+    return cut_lineage(_rotated(table, column, vectors[:, good] / np.sqrt(values[good]))), int(good.sum())
+
+
+def pca(returns: DataFrame, components: int = 5) -> DataFrame:
+    """Principal components of standardised returns: explained share, loadings (the largest is positive), and how many
+    components explain more than 5 %.
+
+    Runs jobs: the correlations are summed as blocked pair moments and stored; their leading subspace is iterated, see `leading_subspace`."""
+    names = cut_lineage(returns.select(F.col("ticker").alias("a")).distinct())
+    edges = cut_lineage(correlation_edges(returns))
+    vectors, values = leading_subspace(edges, names, components)
+    total = names.count()
+    share = values / max(total, 1)
+    shown = min(components, len(values))
+    largest = vectors.agg(*[F.max_by(F.sign(F.get("v", F.lit(i))), F.struct(F.abs(F.get("v", F.lit(i))))).alias(f"s{i}") for i in range(shown)]) if shown else None
+    signs = [1.0 if s is None or s >= 0 else -1.0 for s in largest.first()] if shown else []
+    parts = [F.struct(F.lit(i + 1).alias("component"), F.lit(float(share[i] * 100)).alias("explained_variance_pct"), F.col("a").alias("ticker"), (F.get("v", F.lit(i)) * signs[i]).alias("loading"), F.lit(int((share > 0.05).sum())).alias("effective_factor_count")) for i in range(shown)]
+    empty = "array<struct<component:int,explained_variance_pct:double,ticker:string,loading:double,effective_factor_count:int>>"
+    return vectors.select(F.inline(F.array(*parts).cast(empty)))
 
 
 def ic_buckets(frame: DataFrame, keys: Sequence[str], score: str, future: str, quantiles: int = 5, per_bucket: int = 10) -> DataFrame:

@@ -54,16 +54,27 @@ query("regime_sma", "name close:6 sma:7 regime", "SELECT name, c AS close, s AS
     lambda m: regime.regime_sma(indices(m)))
 
 
-def market_features(m):
-    return ind.regime_features(m.benchmark.withColumn("ticker", F.lit("market")))
-
-
-query("regime_cluster", "state_name is_current probability_pct:2 days:i")(lambda m: regime.regime_cluster(market_features(m)))
-
 # named state per (ticker, day): the centre rules applied to the row itself
 view("rfeat", """SELECT ticker, date, return_21d, volatility_21d, trend_50d, dd, median(volatility_21d) OVER () AS vm FROM (SELECT ticker, date, close / lag(close, 21) OVER w - 1 AS return_21d, CASE WHEN count(r) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 20 PRECEDING AND CURRENT ROW) >= 21 THEN stddev_samp(r) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 20 PRECEDING AND CURRENT ROW) * sqrt(252) END AS volatility_21d,
  close / CASE WHEN i >= 49 THEN avg(close) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) END - 1 AS trend_50d, close / CASE WHEN i >= 59 THEN max(close) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW) END - 1 AS dd FROM bx WINDOW w AS (PARTITION BY ticker ORDER BY date))
  WHERE return_21d IS NOT NULL AND volatility_21d IS NOT NULL AND trend_50d IS NOT NULL AND dd IS NOT NULL""", "bx")
+_Z = ("return_21d", "volatility_21d", "trend_50d", "dd")
+view("rz", "SELECT ticker, date, k, " + ", ".join(f"a{i}, s{i}, (x{i} - a{i}) / s{i} AS z{i}" for i in range(4)) + ", CAST(floor(rk * k / n) AS BIGINT) AS state FROM (SELECT ticker, date, count(*) OVER t AS n, least(6, greatest(2, CAST(floor(count(*) OVER t / 60) AS BIGINT))) AS k, row_number() OVER (PARTITION BY ticker ORDER BY volatility_21d, date) - 1 AS rk, "
+     + ", ".join(f"{c} AS x{i}, avg({c}) OVER t AS a{i}, coalesce(nullif(stddev_pop({c}) OVER t, 0), 1) AS s{i}" for i, c in enumerate(_Z)) + " FROM rfeat WINDOW t AS (PARTITION BY ticker) QUALIFY n >= 120)", "rfeat")
+_MEANS = ", ".join(f"avg(z{i}) AS m{i}" for i in range(4))
+view("rk0", f"SELECT ticker, state, {_MEANS} FROM rz GROUP BY 1, 2", "rz")
+for _r in range(11):
+    view(f"rl{_r}", f"SELECT * FROM (SELECT x.* EXCLUDE (state), c.state, {' + '.join(f'(z{i} - m{i}) * (z{i} - m{i})' for i in range(4))} AS d FROM rz x JOIN rk{_r} c USING (ticker)) QUALIFY row_number() OVER (PARTITION BY ticker, date ORDER BY d, state) = 1", "rz", f"rk{_r}")
+    view(f"rk{_r + 1}", f"SELECT o.ticker, o.state, {', '.join(f'coalesce(f.m{i}, o.m{i}) AS m{i}' for i in range(4))} FROM rk{_r} o LEFT JOIN (SELECT ticker, state, {_MEANS} FROM rl{_r} GROUP BY 1, 2) f USING (ticker, state)", f"rk{_r}", f"rl{_r}")
+query("regime_cluster", "ticker state_name is_current probability_pct:2 days:i confidence:1", """
+ SELECT ticker, state_name, bool_or(state = now) AS is_current, round(sum(p) * 100, 2) AS probability_pct, coalesce(sum(days), 0) AS days, round(max(100 / (1 + sqrt(last_d))), 1) AS confidence FROM (
+ SELECT n.*, l.now, last_d, y.days, (coalesce(moves, 0) + 0.5e0) / sum(coalesce(moves, 0) + 0.5e0) OVER (PARTITION BY ticker) AS p FROM (
+  SELECT ticker, state, CASE WHEN c3 <= -0.20 AND c0 <= -0.08 THEN 'Crash' WHEN c1 >= median(c1) OVER (PARTITION BY ticker) * 1.35e0 THEN 'High Volatility' WHEN c2 < -0.03 AND c0 < 0 THEN 'Bear Trend' WHEN c3 < -0.05 AND c0 > 0.03 THEN 'Recovery' WHEN c2 > 0.02 AND c0 > 0 THEN 'Bull Trend' ELSE 'Sideways' END AS state_name
+  FROM (SELECT k.ticker, k.state, """ + ", ".join(f"m{i} * s{i} + a{i} AS c{i}" for i in range(4)) + """ FROM rk10 k JOIN (SELECT DISTINCT ON (ticker) * EXCLUDE (state) FROM rz) USING (ticker))) n
+ JOIN (SELECT ticker, arg_max(state, date) AS now, arg_max(d, date) AS last_d FROM rl10 GROUP BY 1) l USING (ticker)
+ LEFT JOIN (SELECT ticker, state, count(*) AS days FROM rl10 GROUP BY 1, 2) y USING (ticker, state)
+ LEFT JOIN (SELECT ticker, state AS now, nx AS state, count(*) AS moves FROM (SELECT ticker, state, lead(state) OVER (PARTITION BY ticker ORDER BY date) AS nx FROM rl10) WHERE nx IS NOT NULL GROUP BY ALL) v USING (ticker, now, state)) GROUP BY ticker, state_name""", "rz rk10 rl10")(
+    lambda m: regime.regime_cluster(ind.regime_features(m.bars)))
 POSTURE = " ".join(f"WHEN '{n}' THEN '{p}'" for n, p, _, _ in regime.STRATEGIES)
 PREF = " ".join(f"WHEN '{n}' THEN '{'|'.join(g)}'" for n, _, g, _ in regime.STRATEGIES)
 AVOID = " ".join(f"WHEN '{n}' THEN '{'|'.join(b)}'" for n, _, _, b in regime.STRATEGIES)

@@ -115,7 +115,25 @@ view("lfit", f"SELECT max(coefficient) FILTER (term = 'alpha') AS b0, max(coeffi
 query("linear_model", "term coefficient:6 train_size:i test_size:i test_mae:7",
       """SELECT unnest(['intercept', 'ret_5', 'ret_20', 'ret_63']) AS term, unnest([b0, b1, b2, b3]) AS coefficient, train_size, test_size, test_mae FROM (SELECT any_value(b0) AS b0, any_value(b1) AS b1, any_value(b2) AS b2, any_value(b3) AS b3, count(*) FILTER (train) AS train_size, count(*) FILTER (NOT train) AS test_size, avg(abs(b0 + b1 * x1 + b2 * x2 + b3 * x3 - y)) FILTER (NOT train) AS test_mae FROM lrn, lfit)""", "lrn lfit")(
     lambda m: signals.linear_model(learning_frame(m), ("ret_5", "ret_20", "ret_63"), "future_return"))
-query("logistic_model", "term coefficient:4 train_size:i test_size:i test_accuracy:4")(lambda m: signals.logistic_model(learning_frame(m), ("ret_5", "ret_20", "ret_63"), "outperformed"))
+
+# Newton's method, a pair of views a round: sums of gradient and Hessian, and the step by a Cholesky factor of the four by four system
+view("lgx", """SELECT ticker, date, y, train, 1e0 AS z0, """ + ", ".join(f"(x{i} - avg(x{i}) FILTER (train) OVER t) / coalesce(nullif(stddev_samp(x{i}) FILTER (train) OVER t, 0), 1) AS z{i}" for i in (1, 2, 3)) + """ FROM (
+ SELECT ticker, date, CASE WHEN f > 0 THEN 1e0 ELSE 0e0 END AS y, x1, x2, x3, datediff('day', DATE '1970-01-01', date) <= quantile_cont(datediff('day', DATE '1970-01-01', date)::DOUBLE, 0.7) OVER () AS train FROM (SELECT ticker, date, close / lag(close, 5) OVER w - 1 AS x1, close / lag(close, 20) OVER w - 1 AS x2, close / lag(close, 63) OVER w - 1 AS x3, lead(close, 21) OVER w / close - 1 AS f FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY date)) WHERE x3 IS NOT NULL AND f IS NOT NULL)
+ WINDOW t AS (PARTITION BY ticker) QUALIFY count(*) OVER t >= 30""", "bars")
+view("lgw0", "SELECT ticker, " + ", ".join(f"0e0 AS w{i}" for i in range(4)) + " FROM lgx GROUP BY ticker", "lgx")
+STEP = (
+    "sqrt(h00 + 1e-9) AS a0, h01 / a0 AS a1, h02 / a0 AS a2, h03 / a0 AS a3, sqrt(h11 + 1e-9 - a1 * a1) AS b1, (h12 - a2 * a1) / b1 AS b2, (h13 - a3 * a1) / b1 AS b3, sqrt(h22 + 1e-9 - a2 * a2 - b2 * b2) AS c2, "
+    "(h23 - a3 * a2 - b3 * b2) / c2 AS c3, sqrt(h33 + 1e-9 - a3 * a3 - b3 * b3 - c3 * c3) AS e3, g0 / a0 AS u0, (g1 - a1 * u0) / b1 AS u1, (g2 - a2 * u0 - b2 * u1) / c2 AS u2, (g3 - a3 * u0 - b3 * u1 - c3 * u2) / e3 AS u3, "
+    "u3 / e3 AS d3, (u2 - c3 * d3) / c2 AS d2, (u1 - b2 * d2 - b3 * d3) / b1 AS d1, (u0 - a1 * d1 - a2 * d2 - a3 * d3) / a0 AS d0"
+)
+for _r in range(1, 9):
+    view(f"lgs{_r}", "SELECT ticker, " + ", ".join(f"any_value(w{i}) AS w{i}, sum(z{i} * (y - p)) AS g{i}" for i in range(4)) + ", " + ", ".join(f"sum(z{i} * z{j} * p * (1 - p)) AS h{i}{j}" for i in range(4) for j in range(i, 4))
+         + f" FROM (SELECT *, 1 / (1 + exp(-(w0 + w1 * z1 + w2 * z2 + w3 * z3))) AS p FROM lgx JOIN lgw{_r - 1} USING (ticker) WHERE train) GROUP BY ticker", "lgx", f"lgw{_r - 1}")
+    view(f"lgw{_r}", "SELECT ticker, " + ", ".join(f"w{i} + greatest(least(d{i}, 5), -5) AS w{i}" for i in range(4)) + f" FROM (SELECT *, {STEP} FROM lgs{_r})", f"lgs{_r}")
+query("logistic_model", "ticker term coefficient:5 train_size:i test_size:i test_accuracy:8",
+      """SELECT ticker, unnest(['intercept', 'ret_5', 'ret_20', 'ret_63']) AS term, unnest([w0, w1, w2, w3]) AS coefficient, train_size, test_size, test_accuracy FROM (SELECT ticker, any_value(w0) AS w0, any_value(w1) AS w1, any_value(w2) AS w2, any_value(w3) AS w3, count(*) FILTER (train) AS train_size, count(*) FILTER (NOT train) AS test_size,
+ avg(CASE WHEN (w0 + w1 * z1 + w2 * z2 + w3 * z3 >= 0) = (y > 0.5) THEN 1e0 ELSE 0e0 END) FILTER (NOT train) AS test_accuracy FROM lgx JOIN lgw8 USING (ticker) GROUP BY ticker)""", "lgx lgw8")(
+    lambda m: signals.logistic_model(learning_frame(m), ("ret_5", "ret_20", "ret_63"), "outperformed"))
 
 # --- backtests ---------------------------------------------------------------------------
 view("wfr", """SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS j, count(*) OVER (PARTITION BY ticker) AS nj FROM (SELECT ticker, date, close, close / lag(close, 20) OVER (PARTITION BY ticker ORDER BY date) - 1 AS signal FROM bars) WHERE signal IS NOT NULL""", "bars")

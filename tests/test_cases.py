@@ -213,6 +213,53 @@ def test_principal_components(spark):
     assert share.iloc[0] > 80 and share.sum() == pytest.approx(100, abs=1e-6)
 
 
+def test_leading_components_of_a_larger_universe(spark):
+    """More series than columns of the subspace, with a gap here and there: iteration against a full decomposition."""
+    rng = np.random.default_rng(4)
+    days, n = 150, 60
+    drivers = rng.normal(0, 1, (days, 6)) * np.array([3, 2, 1.5, 1.2, 1, 0.8])
+    r = drivers @ rng.normal(0, 1, (6, n)) + rng.normal(0, 1, (days, n))
+    rows = [(f"T{j:02}", f"{d:03}", float(r[d, j])) for j in range(n) for d in range(days) if (d * 7 + j) % 31]
+    rows += [("flat", f"{d:03}", 1.0) for d in range(days)]
+    got = regress.pca(spark.createDataFrame(rows, "ticker string, date string, r double"), 4).toPandas()
+    wide = pd.DataFrame(rows, columns=["ticker", "date", "r"]).pivot(index="date", columns="ticker", values="r")
+    corr = wide.corr().fillna(0.0).to_numpy(copy=True)
+    np.fill_diagonal(corr, 1.0)
+    values, vectors = np.linalg.eigh(corr)
+    for c in range(4):
+        part = got[got["component"] == c + 1].sort_values("ticker")
+        assert part["explained_variance_pct"].iloc[0] == pytest.approx(values[-1 - c] / (n + 1) * 100, rel=1e-8)
+        v = vectors[:, -1 - c] * np.sign(vectors[np.abs(vectors[:, -1 - c]).argmax(), -1 - c])
+        order = np.argsort(list(wide.columns))
+        assert np.allclose(part["loading"].to_numpy(), v[order], atol=1e-6)
+    assert regress.pca(spark.createDataFrame([], "ticker string, date string, r double")).count() == 0
+
+
+def test_logistic_groups_at_once(spark):
+    """Newton's rounds against a plain fit of each group; a separable group stays finite, a short one has no model."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for g, (w, b) in {"a": (1.5, 0.2), "b": (-0.7, -1.0)}.items():
+        x = rng.normal(3, 2, (400, 2))
+        y = rng.random(400) < 1 / (1 + np.exp(-(b + w * (x[:, 0] - 3))))
+        rows += [(g, i, float(x[i, 0]), float(x[i, 1]), float(y[i]), i < 300) for i in range(400)]
+    rows += [("apart", i, float(i), 0.0, float(i > 20), i < 30) for i in range(40)] + [("short", i, float(i), 1.0, 1.0, True) for i in range(11)]
+    rows += [("a", -1, None, 1.0, 1.0, True)]
+    df = spark.createDataFrame(rows, "ticker string, i int, x1 double, x2 double, y double, is_train boolean")
+    got = signals.logistic_model(df, ("x1", "x2"), "y").toPandas()
+    assert set(got["ticker"]) == {"a", "b", "apart"} and np.isfinite(got["coefficient"]).all()
+    for g in "ab":
+        d = pd.DataFrame([r for r in rows if r[0] == g and r[2] is not None], columns=["g", "i", "x1", "x2", "y", "t"])
+        train = d[d["t"]]
+        z = np.column_stack([np.ones(len(train)), ((train[["x1", "x2"]] - train[["x1", "x2"]].mean()) / train[["x1", "x2"]].std()).to_numpy()])
+        w = np.zeros(3)
+        for _ in range(4000):
+            w -= 0.5 * z.T @ (1 / (1 + np.exp(-z @ w)) - train["y"].to_numpy()) / len(z)
+        mine = got[got["ticker"] == g].set_index("term")["coefficient"]
+        assert np.allclose(mine[["intercept", "x1", "x2"]], w, atol=1e-5)
+        assert set(got[got["ticker"] == g]["train_size"]) == {300} and set(got[got["ticker"] == g]["test_size"]) == {100}
+
+
 def test_factor_board(spark):
     ddl = "ticker string, return_12m_ex_1m double, return_6m double, relative_strength double, forward_pe double, price_to_book double, return_on_equity double, revenue_growth double, annualized_volatility double, maximum_drawdown double"
     df = spark.createDataFrame([("A", 0.3, 0.2, 1.0, 15.0, 2.0, 0.3, 0.2, 0.2, -0.1), ("B", 0.1, 0.1, 0.5, 25.0, 4.0, 0.2, 0.1, 0.3, -0.2), ("C", -0.1, None, -1.0, 40.0, 8.0, 0.1, 0.0, 0.5, -0.4)], ddl)
