@@ -7,7 +7,7 @@ functions/gram.py), so no table of pairs x dates is ever shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -150,44 +150,116 @@ def coint_score(frame: DataFrame) -> DataFrame:
 SCAN_SCHEMA = "a string, b string, sample_size long, hedge_ratio double, test_statistic double, z_recent double, half_life_days double"
 
 
-def _scan_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Spread statistics of the pairs between the two blocks of a group."""
-    left, right, xs, ys = wide(pdf)
-    same = pdf["p"].iloc[0] == pdf["q"].iloc[0]
-    rows = []
-    for i, one in enumerate(left):
-        for j, two in enumerate(right):
-            if (same and one >= two) or one == two:
-                continue
-            u, v = (xs[:, i], ys[:, j]) if one < two else (ys[:, j], xs[:, i])
-            keep = ~(np.isnan(u) | np.isnan(v))
-            y, x = u[keep], v[keep]
-            n = len(y)
-            if n < 60:
-                continue
-            dx = x - x.mean()
-            beta = float(dx @ (y - y.mean()) / max(dx @ dx, 1e-300))
-            s = (y - y.mean()) - beta * dx
-            lag, d = s[:-1], np.diff(s)
-            lc, dc = lag - lag.mean(), d - d.mean()
-            sxx = float(lc @ lc)
-            if sxx <= 0:
-                continue
-            slope = float(lc @ dc / sxx)
-            sse = max(float(dc @ dc) - slope * slope * sxx, 0.0)
-            t = slope / np.sqrt(max(sse / (n - 3) / sxx, 1e-12))
-            tail = s[-60:]
-            sd = tail.std(ddof=1)
-            z = (tail[-1] - tail.mean()) / sd if sd else 0.0
-            rows.append((min(one, two), max(one, two), n, beta, t, z, -np.log(2) / slope if slope < 0 else None))
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in SCAN_SCHEMA.split(", ")])
-
-
-def pairs_scan(bars: DataFrame, z_limit: float = 2.0, block: int = 64) -> DataFrame:
+SCAN_LEAST = 60  # common dates a pair needs; also the rows of the recent z-score
+SLACK = 0.05  # the screen's distance from the limits; rounding of moments is far below it
+FLAT = 1e-9  # a spread that keeps less of a series' variance than this is not judged by moments
+
+
+def _same_dates(grid: np.ndarray) -> list[np.ndarray]:
+    """Columns of a (dates x series) matrix, grouped by the dates on which they have values."""
+    groups: dict[bytes, list[int]] = {}
+    for i, bits in enumerate(np.packbits(~np.isnan(grid), axis=0).T):
+        groups.setdefault(bits.tobytes(), []).append(i)
+    return [np.array(g) for g in groups.values()]
+
+
+def _centred(v: np.ndarray) -> np.ndarray:
+    return v - v.mean(axis=0)
+
+
+def _candidates(u: np.ndarray, v: np.ndarray, forward: np.ndarray, t_limit: float, z_limit: float) -> np.ndarray:
+    """Mask (columns of u x columns of v) of the pairs that may pass both limits, from matrix products only.
+
+    The spread of a pair is linear in its two series, so every moment of its lag regression and of its last
+    rows is a combination of cross products. `forward`: the series of u is the dependent one."""
+    n, sides = len(u), []
+    for m in (u, v):
+        full, tail = _centred(m), m[-SCAN_LEAST:]
+        sides.append({"full": full, "lag": _centred(full[:-1]), "diff": _centred(np.diff(full, axis=0)), "tail": _centred(tail)})
+    one, two = sides
+
+    def both(name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sums of squares of the dependent and of the other series, and their products."""
+        p, q = (one[name] ** 2).sum(axis=0)[:, None], (two[name] ** 2).sum(axis=0)[None, :]
+        return np.where(forward, p, q), np.where(forward, q, p), one[name].T @ two[name]
+
+    own = [(side["lag"] * side["diff"]).sum(axis=0) for side in sides]
+    yd, xd = np.where(forward, own[0][:, None], own[1][None, :]), np.where(forward, own[1][None, :], own[0][:, None])
+    crossed = one["lag"].T @ two["diff"] + one["diff"].T @ two["lag"]
+    _, xx, xy = both("full")
+    beta = xy / np.maximum(xx, 1e-300)
+    spread = lambda yy, xx, xy: yy - 2 * beta * xy + beta**2 * xx
+    lag, diff, tail = both("lag"), both("diff"), both("tail")
+    sxx, dd, tt = spread(*lag), spread(*diff), spread(*tail)
+    sxd = yd - beta * crossed + beta**2 * xd
+    with np.errstate(all="ignore"):
+        slope = sxd / sxx
+        t = slope / np.sqrt(np.maximum((dd - slope * sxd) / (n - 3) / sxx, 1e-12))
+        end = np.where(forward, one["tail"][-1][:, None], two["tail"][-1][None, :]) - beta * np.where(forward, two["tail"][-1][None, :], one["tail"][-1][:, None])
+        z = end / np.sqrt(tt / (SCAN_LEAST - 1))
+        clear = (sxx > FLAT * lag[0]) & (dd > FLAT * diff[0]) & (tt > FLAT * tail[0])
+        return ~clear | ((t < t_limit + SLACK) & (np.abs(z) >= z_limit - SLACK))
+
+
+def _spread_columns(y: np.ndarray, x: np.ndarray) -> dict[str, np.ndarray]:
+    """Spread statistics of y[:, k] on x[:, k] for every k, from the spreads themselves."""
+    dx, dy = _centred(x), _centred(y)
+    beta = (dx * dy).sum(axis=0) / np.maximum((dx * dx).sum(axis=0), 1e-300)
+    s = dy - beta * dx
+    lag, d = _centred(s[:-1]), _centred(np.diff(s, axis=0))
+    sxx = (lag * lag).sum(axis=0)
+    tail = s[-SCAN_LEAST:]
+    sd = tail.std(axis=0, ddof=1)
+    with np.errstate(all="ignore"):
+        slope = (lag * d).sum(axis=0) / sxx
+        sse = np.maximum((d * d).sum(axis=0) - slope * slope * sxx, 0.0)
+        t = slope / np.sqrt(np.maximum(sse / (len(s) - 3) / sxx, 1e-12))
+        z = np.where(sd > 0, (tail[-1] - tail.mean(axis=0)) / sd, 0.0)
+        half = np.where(slope < 0, -np.log(2) / slope, np.nan)
+    t = np.where(sxx > 0, t, np.nan)  # a spread without variance has no test
+    return {"hedge_ratio": beta, "test_statistic": t, "z_recent": z, "half_life_days": half}
+
+
+def _scan_block(t_limit: float, z_limit: float, step: int = 512) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Statistics of the pairs between the two blocks of a group that pass the limits.
+
+    Series with values on the same dates are taken together: their pairs are screened by matrix products, and
+    only those that may pass get their spreads computed, `step` pairs at a time."""
+
+    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right, xs, ys = wide(pdf)
+        same = pdf["p"].iloc[0] == pdf["q"].iloc[0]
+        names, others = np.array(left, dtype=object), np.array(right, dtype=object)
+        found = []
+        for i in _same_dates(xs):
+            for j in _same_dates(ys):
+                common = ~np.isnan(xs[:, i[0]]) & ~np.isnan(ys[:, j[0]])
+                n = int(common.sum())
+                if n < SCAN_LEAST:
+                    continue
+                u, v = xs[np.ix_(common, i)], ys[np.ix_(common, j)]
+                forward = names[i][:, None] < others[j][None, :]
+                wanted = forward if same else names[i][:, None] != others[j][None, :]
+                k, m = np.nonzero(_candidates(u, v, forward, t_limit, z_limit) & wanted)
+                for at in range(0, len(k), step):
+                    kk, mm = k[at : at + step], m[at : at + step]
+                    ahead = forward[kk, mm]
+                    stats = _spread_columns(np.where(ahead, u[:, kk], v[:, mm]), np.where(ahead, v[:, mm], u[:, kk]))
+                    one, two = names[i][kk], others[j][mm]
+                    ids = {"a": np.where(ahead, one, two), "b": np.where(ahead, two, one), "sample_size": np.full(len(kk), n)}
+                    found.append(pd.DataFrame({**ids, **stats}))
+        columns = [c.split()[0] for c in SCAN_SCHEMA.split(", ")]
+        out = pd.concat(found) if found else pd.DataFrame(columns=columns)
+        return out[(out["test_statistic"] < t_limit) & (out["z_recent"].abs() >= z_limit)]
+
+    return scan
+
+
+def pairs_scan(bars: DataFrame, z_limit: float = 2.0, block: int = 64, t_limit: float = -3.34) -> DataFrame:
     """Every pair of log prices: the cointegrated ones whose spread is stretched."""
     logs = bars.filter(F.col("close") > 0).withColumn("logp", F.log("close"))
-    stats = per_block(logs, _scan_block, SCAN_SCHEMA, "ticker", "date", "logp", block)
-    return stats.filter((F.col("test_statistic") < -3.34) & (F.abs("z_recent") >= z_limit))
+    out = per_block(logs, _scan_block(t_limit, z_limit), SCAN_SCHEMA, "ticker", "date", "logp", block)
+    return out.withColumn("half_life_days", F.when(~F.isnan("half_life_days"), F.col("half_life_days")))
 
 
 def structural_break(spreads: DataFrame, keys: Sequence[str] = PAIR) -> DataFrame:
