@@ -241,6 +241,22 @@ def bootstrap_scenarios(
     )
 
 
+def outcome_frequencies(bars: DataFrame, horizon: int = 30) -> DataFrame:
+    """How often a ticker stood higher, or at least a tenth lower, `horizon` bars after each of its bars.
+    Plain historical shares in percent, no model; bars without a positive close and tickers without a whole
+    horizon are left out."""
+    own = Window.partitionBy("ticker").orderBy("date")
+    later = bars.filter(F.col("close") > 0).select("ticker", F.round(F.lead("close", horizon).over(own) / F.col("close") - 1, 9).alias("r"))
+    n, r = F.col("sample_size"), F.col("r")
+    counted = later.groupBy("ticker").agg(
+        F.count("r").alias("sample_size"), F.count(F.when(r > 0, 1)).alias("_up"), F.count(F.when(r <= -0.1, 1)).alias("_down")
+    )
+    return counted.filter(n > 0).select(
+        "ticker", "sample_size", (100.0 * F.col("_up") / n).alias("ending_higher_pct"), (100.0 * F.col("_down") / n).alias("down_10_pct"),
+        F.when(n >= 180, "Medium").otherwise("Low").alias("confidence"),
+    )
+
+
 def model_disagreement(returns: DataFrame, lookback: int = 252) -> DataFrame:
     """30-row against lookback volatility."""
     out = with_position(returns).groupBy("ticker").agg(

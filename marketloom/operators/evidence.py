@@ -137,9 +137,12 @@ def opportunities(analyses: DataFrame, n: int = 5) -> DataFrame:
 CATEGORY = "name string, conclusion string, supporting array<string>, contradicting array<string>, confidence string, freshness string, validation_status string"
 
 
-def aggregate_evidence(categories: DataFrame, keys: Sequence[str], order: str, event_risk: Column, structural_break: Column) -> DataFrame:
+def aggregate_evidence(categories: DataFrame, keys: Sequence[str], order: str, event_risk: Column, structural_break: Column, risks_each: int | None = None, reasons: int | None = None) -> DataFrame:
     """Categories of a subject to one conclusion. Failed ones are dropped first. A subject has a
-    handful of categories; `order` gives their place."""
+    handful of categories; `order` gives their place. `risks_each` cuts the counter-arguments taken from a
+    category, `reasons` the list of conclusions."""
+    from marketloom.operators.scores import first_of
+
     usable = categories.filter(~F.col("validation_status").isin("failed_validation", "error"))
     rows = usable.withColumn("_event", event_risk).withColumn("_break", structural_break)
     entry = F.struct(F.col(order).alias("o"), "conclusion", "supporting", "contradicting")
@@ -148,11 +151,11 @@ def aggregate_evidence(categories: DataFrame, keys: Sequence[str], order: str, e
     )
     pos = F.filter("_l", lambda e: F.size(e["supporting"]) > 0)
     neg = F.filter("_l", lambda e: F.size(e["contradicting"]) > 0)
-    found = F.flatten(F.transform(neg, lambda e: F.slice(e["contradicting"], 1, 2)))
+    found = F.flatten(F.transform(neg, lambda e: first_of(e["contradicting"], risks_each)))
     lead = notes(
         (F.col("_event"), "Upcoming event risk caps confidence."), (F.col("_break"), "A structural break may invalidate relative-value evidence.")
     )
-    why = F.slice(F.transform(pos, lambda e: e["conclusion"]), 1, 5)
+    why = first_of(F.transform(pos, lambda e: e["conclusion"]), reasons)
     risks = F.concat(lead, found)
     np_, nn = F.size(pos), F.size(neg)
     one = lambda text: F.array(F.lit(text))

@@ -177,9 +177,14 @@ def catalyst_score(flags: DataFrame) -> DataFrame:
     )
 
 
-def final_score(rows: DataFrame) -> DataFrame:
+def first_of(items: Column, n: int | None) -> Column:
+    """The first n entries of an array, all of them without n."""
+    return items if n is None else F.slice(items, 1, n)
+
+
+def final_score(rows: DataFrame, note_limit: int | None = None) -> DataFrame:
     """Weighted composite, dispersion-based confidence, rating and risk level. `rows` carry the
-    six category scores and their evidence arrays."""
+    six category scores and their evidence arrays; `note_limit` cuts the explanation to its first notes."""
     cats = [F.coalesce(f"{k}_score", F.lit(0.0)) for k in COMPOSITE]
     final = sum(c * w for c, w in zip(cats, COMPOSITE.values()))
     values = F.array(*cats)
@@ -197,7 +202,7 @@ def final_score(rows: DataFrame) -> DataFrame:
             F.when(r < 35, "Avoid").when(f >= 80, "Buy Watch").when(f >= 65, "Watch").when(f >= 45, "Hold").when(f >= 30, "Drop").otherwise("Avoid"),
         )
         .withColumn("risk_level", F.when(r < 45, "High").when(r < 70, "Moderate").otherwise("Controlled"))
-        .withColumn("explanation", F.when(F.size(evidence) > 0, F.array_join(F.slice(evidence, 1, 6), "; ")).otherwise("No high-conviction evidence yet."))
+        .withColumn("explanation", F.when(F.size(evidence) > 0, F.array_join(first_of(evidence, note_limit), "; ")).otherwise("No high-conviction evidence yet."))
         .drop("_mean")
     )
 
@@ -206,8 +211,9 @@ def liquidity(rv: Column) -> Column:
     return clip(55 + F.least(F.greatest((rv - 1) * 20, F.lit(-20.0)), F.lit(25.0)), 0.0, 100.0)
 
 
-def research_rows(rows: DataFrame) -> DataFrame:
-    """Research score, liquidity, direction, uncertainty, drivers and missing fields per ticker."""
+def research_rows(rows: DataFrame, driver_limit: int | None = None) -> DataFrame:
+    """Research score, liquidity, direction, uncertainty, drivers and missing fields per ticker.
+    `driver_limit` cuts each list of drivers."""
     rv = F.coalesce("relative_volume", F.lit(1.0))
     above = truth(F.col("price_above_sma200"))
     lead = F.lower("rs_status") == "leading"
@@ -237,8 +243,8 @@ def research_rows(rows: DataFrame) -> DataFrame:
         .withColumn("signal_direction", F.when(score >= 65, "Constructive").when(score <= 40, "Defensive").otherwise("Neutral"))
         .withColumn("data_quality_score", F.least(F.lit(100.0), conf + 35))
         .withColumn("uncertainty", F.when(100 - conf >= 75, "High").when(100 - conf >= 50, "Medium").otherwise("Low"))
-        .withColumn("top_positive_drivers", F.slice(pos, 1, 4))
-        .withColumn("top_negative_drivers", F.slice(neg, 1, 4))
+        .withColumn("top_positive_drivers", first_of(pos, driver_limit))
+        .withColumn("top_negative_drivers", first_of(neg, driver_limit))
         .withColumn(
             "missing_data",
             notes(*[(F.col(c).isNull(), c) for c in ("quant_score", "confidence", "annualized_volatility", "sharpe_ratio")]),

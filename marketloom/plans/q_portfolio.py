@@ -90,11 +90,14 @@ query("drift", "portfolio_id ticker current_weight_pct:2 target_weight_pct:2 dri
     lambda m: pf.drift(wts(m)))
 
 query("turnover", "portfolio_id turnover_pct:4",
-      """SELECT portfolio_id, sum(abs(coalesce(b.w, 0) - coalesce(a.w, 0))) / 2 AS turnover_pct FROM (SELECT portfolio_id, ticker, round(weight * 100, 2) AS w FROM wts) a
- FULL JOIN (SELECT portfolio_id, ticker, round(100e0 / count(*) OVER (PARTITION BY portfolio_id), 2) AS w FROM (SELECT * FROM wts WHERE CAST(substr(ticker, 8) AS INT) % 6 <> 5)) b USING (portfolio_id, ticker) GROUP BY 1""", "wts")(
-    lambda m: pf.turnover(
-        wts(m).withColumn("weight_pct", F.round(F.col("weight") * 100, 2)),
-        wts(m).filter(F.substring("ticker", 8, 9).cast("int") % 6 != 5).withColumn("weight_pct", F.round(100 / F.count(F.lit(1)).over(Window.partitionBy("portfolio_id")), 2))))
+      """SELECT portfolio_id, sum(abs(coalesce(b, 0) - a)) / 2 AS turnover_pct FROM (SELECT portfolio_id, round(weight * 100, 2) AS a, CASE WHEN weight <= 1.5e0 * avg(weight) OVER (PARTITION BY portfolio_id) THEN round(100e0 / count(*) OVER (PARTITION BY portfolio_id), 2) END AS b FROM wts) GROUP BY 1""", "wts")(
+    lambda m: pf.turnover(wts(m).withColumn("weight_pct", F.round(F.col("weight") * 100, 2)), targets(m)))
+
+
+def targets(m):
+    """Equal weights; a holding of one and a half times the mean weight or more has no target."""
+    own = Window.partitionBy("portfolio_id")
+    return wts(m).withColumn("weight_pct", F.when(F.col("weight") <= 1.5 * F.avg("weight").over(own), F.round(100 / F.count(F.lit(1)).over(own), 2)))
 
 view("tsr", f"""SELECT *, {roll('stddev_samp', 'r', 21, None, 'portfolio_id')} * sqrt(252) AS rolling_vol, {roll('avg', 'r', 63, None, 'portfolio_id')} / nullif({roll('stddev_samp', 'r', 63, None, 'portfolio_id')}, 0) * sqrt(252) AS rolling_sharpe FROM pfr""", "pfr")
 query("rolling_sharpe", "portfolio_id date:d rolling_vol:8 rolling_sharpe:6", "SELECT * FROM tsr", "tsr")(
@@ -218,7 +221,7 @@ query("pf_fit", "portfolio_id ticker sector sector_weight:2 assessment",
       """SELECT u.portfolio_id, u.ticker, u.sector, coalesce(sw, 0) AS sector_weight, CASE WHEN h.ticker IS NOT NULL THEN 'Already held; monitor risk contribution and thesis quality.' WHEN coalesce(sw, 0) > 35 THEN 'May increase sector concentration risk.'
  ELSE 'Potential diversifier; evaluate correlation and volatility before adding.' END AS assessment FROM (SELECT portfolio_id, ticker, sector FROM pos) u LEFT JOIN (SELECT portfolio_id, ticker FROM wts WHERE CAST(substr(ticker, 8) AS INT) % 5 <> 4) h USING (portfolio_id, ticker)
  LEFT JOIN (SELECT portfolio_id, sector, round(sum(weight) * 100, 2) AS sw FROM (SELECT portfolio_id, sector, shares * price / sum(shares * price) OVER (PARTITION BY portfolio_id) AS weight FROM wts JOIN lastpx USING (ticker) WHERE CAST(substr(ticker, 8) AS INT) % 5 <> 4) GROUP BY 1, 2) sx ON sx.portfolio_id = u.portfolio_id AND sx.sector = u.sector""", "pos wts lastpx")(
-    lambda m: pf.portfolio_fit(m.positions.select("portfolio_id", "ticker", "sector"), pf.weights(m.positions.filter(F.substring("ticker", 8, 9).cast("int") % 5 != 4), m.bars)))
+    lambda m: pf.portfolio_fit(m.positions.select("portfolio_id", "ticker", "sector"), pf.weights(m.positions.withColumn("shares", F.when(F.substring("ticker", 8, 9).cast("int") % 5 != 4, F.col("shares"))), m.bars)))
 
 query("pf_positions_pnl", "portfolio_id ticker shares:2 cost_basis:8 price:4 market_value:4 unrealized_pnl:4 unrealized_return_pct:7 data_quality",
       """SELECT *, shares * price AS market_value, (price - cost_basis) * shares AS unrealized_pnl, price / cost_basis - 1 AS unrealized_return_pct, 'actual_position' AS data_quality FROM pos LEFT JOIN lastpx USING (ticker)""", "pos lastpx")(

@@ -173,7 +173,7 @@ query("catalyst_score", "ticker catalyst_score:2 earnings_surprise analyst_revis
 view("fin", """SELECT *, CASE WHEN risk_score < 35 THEN 'Avoid' WHEN final_score >= 80 THEN 'Buy Watch' WHEN final_score >= 65 THEN 'Watch' WHEN final_score >= 45 THEN 'Hold' WHEN final_score >= 30 THEN 'Drop' ELSE 'Avoid' END AS score_rating, CASE WHEN risk_score < 45 THEN 'High' WHEN risk_score < 70 THEN 'Moderate' ELSE 'Controlled' END AS risk_level,
  greatest(0, least(100, mean - sd * 0.25e0 - zeros * 5)) AS score_confidence FROM (SELECT *, list_avg(v) AS mean, list_stddev_pop(v) AS sd, len(list_filter(v, lambda x: x = 0)) AS zeros, v[1] * 0.25e0 + v[2] * 0.25e0 + v[3] * 0.15e0 + v[4] * 0.15e0 + v[5] * 0.15e0 + v[6] * 0.05e0 AS final_score FROM (
  SELECT t.ticker, t.sector, t.technical_score, m.momentum_score, v.volume_score, coalesce(f.fundamental_score, 0) AS fundamental_score, r.risk_score, c.catalyst_score, c.earnings_surprise, c.analyst_revision, c.major_news, f.revenue_growth, f.eps_growth, f.roe, f.forward_pe, f.available, f.price_to_book, f.gross_margin, v.relative_volume, r.quant_score, r.sharpe_ratio, r.max_drawdown, r.annualized_volatility,
- CAST([t.technical_score, m.momentum_score, v.volume_score, coalesce(f.fundamental_score, 0), r.risk_score, c.catalyst_score] AS DOUBLE[]) AS v, array_to_string(string_split(concat_ws('|', nullif(technical_evidence, ''), nullif(momentum_evidence, ''), nullif(volume_evidence, ''), nullif(catalyst_evidence, '')), '|')[1:6], '; ') AS ex FROM tsc t JOIN msc m USING (ticker) JOIN vsc v USING (ticker) JOIN rsc r USING (ticker) JOIN cf f USING (ticker) JOIN csc c USING (ticker)))""", "tsc", "msc", "vsc", "rsc", "cf", "csc")
+ CAST([t.technical_score, m.momentum_score, v.volume_score, coalesce(f.fundamental_score, 0), r.risk_score, c.catalyst_score] AS DOUBLE[]) AS v, array_to_string(string_split(concat_ws('|', nullif(technical_evidence, ''), nullif(momentum_evidence, ''), nullif(volume_evidence, ''), nullif(catalyst_evidence, '')), '|'), '; ') AS ex FROM tsc t JOIN msc m USING (ticker) JOIN vsc v USING (ticker) JOIN rsc r USING (ticker) JOIN cf f USING (ticker) JOIN csc c USING (ticker)))""", "tsc", "msc", "vsc", "rsc", "cf", "csc")
 
 
 def categories(m):
@@ -197,7 +197,7 @@ query("final_score", "ticker technical_score:2 momentum_score:2 volume_score:2 f
 view("rr0", """SELECT f.*, t.price_above_sma200, l.mrs > 0 AS lead, CASE WHEN f.score_confidence >= 5 THEN f.score_confidence END AS confidence FROM fin f JOIN tech t USING (ticker) JOIN l1 l USING (ticker)""", "fin", "tech", "l1")
 view("rrow", """SELECT ticker, sector, CASE WHEN quant_score <> 0 THEN CAST(quant_score AS DOUBLE) ELSE 50 END AS overall_score, greatest(0, least(100, 55 + least(greatest((relative_volume - 1) * 20, -20), 25))) AS liquidity_score, greatest(0, 100 - CASE WHEN annualized_volatility <= 1 THEN annualized_volatility * 100 ELSE annualized_volatility END) AS research_risk_score, coalesce(confidence, 0) AS c0,
  concat_ws('|', CASE WHEN price_above_sma200 THEN 'Price is above the 200-day trend line.' END, CASE WHEN lead THEN 'Relative strength is leading the benchmark/watchlist.' END, CASE WHEN sharpe_ratio >= 1 THEN 'Risk-adjusted return is constructive.' END) AS top_positive_drivers,
- concat_ws('|', CASE WHEN NOT price_above_sma200 THEN 'Price is not above the 200-day trend line.' END, CASE WHEN NOT lead THEN 'Relative strength is lagging.' END, CASE WHEN sharpe_ratio < 1 THEN 'Sharpe ratio is below institutional quality.' END, CASE WHEN abs(max_drawdown) >= 0.35 THEN 'Historical drawdown has been severe.' END, CASE WHEN annualized_volatility >= 0.45 AND (price_above_sma200 OR lead OR sharpe_ratio >= 1 OR abs(max_drawdown) < 0.35) THEN 'Realized volatility is elevated.' END) AS top_negative_drivers,
+ concat_ws('|', CASE WHEN NOT price_above_sma200 THEN 'Price is not above the 200-day trend line.' END, CASE WHEN NOT lead THEN 'Relative strength is lagging.' END, CASE WHEN sharpe_ratio < 1 THEN 'Sharpe ratio is below institutional quality.' END, CASE WHEN abs(max_drawdown) >= 0.35 THEN 'Historical drawdown has been severe.' END, CASE WHEN annualized_volatility >= 0.45 THEN 'Realized volatility is elevated.' END) AS top_negative_drivers,
  CASE WHEN confidence IS NULL THEN 'confidence' ELSE '' END AS missing_data FROM rr0""", "rr0")
 query("research_rows", "ticker overall_score:2 liquidity_score:6 slippage_risk research_risk_score:6 signal_direction data_quality_score:6 uncertainty top_positive_drivers top_negative_drivers missing_data",
       """SELECT *, CASE WHEN liquidity_score < 45 THEN 'High' WHEN liquidity_score < 65 THEN 'Medium' ELSE 'Low' END AS slippage_risk, CASE WHEN overall_score >= 65 THEN 'Constructive' WHEN overall_score <= 40 THEN 'Defensive' ELSE 'Neutral' END AS signal_direction, least(100, c0 + 35) AS data_quality_score, CASE WHEN 100 - c0 >= 75 THEN 'High' WHEN 100 - c0 >= 50 THEN 'Medium' ELSE 'Low' END AS uncertainty FROM rrow""", "rrow")(
@@ -406,15 +406,19 @@ query("model_gate", "ticker expected ewma_daily:8", "SELECT * FROM vfc WHERE exp
 def leads(m):
     from marketloom.operators.filings import filing_insight
     insights = filing_insight(recent_filings(m)).filter("form_type = '4' AND transaction_type = 'Open-market purchase'").select("ticker", "headline", "confidence")
-    scen = backtest.bootstrap_scenarios(m.bars, 30, q_signals.SIMS, mode="arithmetic").select("ticker", "ending_higher_pct", "down_10_pct", "confidence")
+    scen = backtest.outcome_frequencies(m.bars, 30)
     return evidence.opportunity_union(pairs.relative_value(sector_pairs(m), m.bars), whale(m), insights, scen, 60)
 
 
+view("ofreq", "SELECT ticker, count(t) AS n, 100e0 * count(*) FILTER (t > 0) / count(t) AS h, 100e0 * count(*) FILTER (t <= -0.1e0) / count(t) AS dn, CASE WHEN count(t) >= 180 THEN 'Medium' ELSE 'Low' END AS c FROM (SELECT ticker, round(lead(close, 30) OVER (PARTITION BY ticker ORDER BY date) / close - 1, 9) AS t FROM bars WHERE close > 0) GROUP BY 1 HAVING count(t) > 0", "bars")
+query("outcome_frequencies", "ticker sample_size:i ending_higher_pct:7 down_10_pct:7 confidence", "SELECT ticker, n AS sample_size, h AS ending_higher_pct, dn AS down_10_pct, c AS confidence FROM ofreq", "ofreq")(
+    lambda m: backtest.outcome_frequencies(m.bars, 30))
+
 query("opportunity_union", "rank:i category subject title confidence",
       """SELECT row_number() OVER (ORDER BY kind, subject, title) AS rank, ['Relative-Value Watch', 'Observed market behavior', 'Confirmed filing', 'Model estimate'][kind + 1] AS category, subject, title, confidence FROM (
  SELECT 0 AS kind, a || '/' || b AS subject, relationship_status AS title, confidence FROM relv WHERE relationship_status IN ('Moderate Divergence', 'Unusual Divergence') AND confidence IN ('Medium', 'High') UNION ALL SELECT 1, ticker, 'Whale Activity: ' || level, confidence FROM whale WHERE level IN ('High', 'Elevated', 'Distribution Risk')
  UNION ALL SELECT 2, n_name, 'Confirmed insider filing', 'Medium' FROM f4 JOIN nation ON f4.ticker = 'N' || n_nationkey WHERE filing_date >= (SELECT max(filing_date) FROM f4) - 30 AND transaction_type = 'Open-market purchase'
- UNION ALL SELECT 3, ticker, CASE WHEN h >= 58 AND dn <= 18 THEN 'Favorable scenario balance' ELSE 'Meaningful downside frequency' END, c FROM (SELECT ticker, avg(CASE WHEN t > 0 THEN 1e2 ELSE 0 END) AS h, avg(CASE WHEN t <= -0.1 THEN 1e2 ELSE 0 END) AS dn, CASE WHEN max(n) >= 180 THEN 'Medium' ELSE 'Low' END AS c FROM paths GROUP BY 1) WHERE (h >= 58 AND dn <= 18) OR dn >= 25) QUALIFY rank <= 60""", "relv whale f4 paths")(leads)
+ UNION ALL SELECT 3, ticker, CASE WHEN h >= 58 AND dn <= 18 THEN 'Favorable scenario balance' ELSE 'Meaningful downside frequency' END, c FROM ofreq WHERE (h >= 58 AND dn <= 18) OR dn >= 25) QUALIFY rank <= 60""", "relv whale f4 ofreq")(leads)
 
 query("stock_bundle", "ticker trend level expected pair_count:i pair_list",
       """SELECT e.ticker, e.trend, w.level, v.expected, coalesce(p.n, 0) AS pair_count, coalesce(p.l, '') AS pair_list FROM evi e LEFT JOIN whale w USING (ticker) LEFT JOIN vfc v USING (ticker) LEFT JOIN (SELECT ticker, count(*) AS n, string_agg(a || '/' || b, '|' ORDER BY a, b) AS l FROM (SELECT a, b, unnest([a, b]) AS ticker FROM relv) GROUP BY 1) p USING (ticker)""", "evi whale vfc relv")(

@@ -128,7 +128,7 @@ query("ev_trades", "ticker trade_count:i strategy_ev:8 win_rate:7 average_win:7
     lambda m: ev.ev_trades(ind.daily_returns(m.bars), ("ticker",), "r", 0.0001, 0.0005, 0.0002))
 query("ev_portfolio", "portfolio_id missing_count:i missing expected_value:8",
       """SELECT portfolio_id, count(*) FILTER (e IS NULL) AS missing_count, coalesce(string_agg(ticker, '|' ORDER BY ticker) FILTER (e IS NULL), '') AS missing, CASE WHEN count(*) FILTER (e IS NULL) = 0 THEN sum(weight * e) END AS expected_value FROM (SELECT portfolio_id, ticker, weight, CASE WHEN CAST(substr(ticker, 8) AS INT) <> 3 THEN annual END AS e FROM wts JOIN (SELECT ticker, annual, n FROM sa) s USING (ticker)) GROUP BY 1""", "wts sa")(
-    lambda m: ev.ev_portfolio(wts(m), risk.stock_analysis(m.bars, m.benchmark).filter(F.substring("ticker", 8, 9).cast("int") != 3).select("ticker", F.col("annual").alias("expected_return"))).withColumn("missing", F.array_join("missing", "|")))
+    lambda m: ev.ev_portfolio(wts(m), risk.stock_analysis(m.bars, m.benchmark).select("ticker", F.when(F.substring("ticker", 8, 9).cast("int") != 3, F.col("annual")).alias("expected_return"))).withColumn("missing", F.array_join("missing", "|")))
 query("event_rate", "ticker trials:i successes:i event_probability:8 conditional_probability:8 bayes_posterior:8 probability_of_profit:8",
       """SELECT *, successes / trials::DOUBLE AS event_probability, least(1, j / c::DOUBLE) AS conditional_probability, (j / successes::DOUBLE * (successes / trials::DOUBLE)) / (j / successes::DOUBLE * (successes / trials::DOUBLE) + jf / (trials - successes)::DOUBLE * (1 - successes / trials::DOUBLE)) AS bayes_posterior, greatest(0, successes / trials::DOUBLE - c / trials::DOUBLE) AS probability_of_profit FROM (
  SELECT ticker, count(*) AS trials, count(*) FILTER (r > 0) AS successes, count(*) FILTER (rv >= 1.5) AS c, count(*) FILTER (r > 0 AND rv >= 1.5) AS j, count(*) FILTER (NOT r > 0 AND rv >= 1.5) AS jf FROM rvx WHERE r IS NOT NULL GROUP BY 1)""", "rvx")(
@@ -280,18 +280,19 @@ def thesis_records(m):
 
 
 def report_rows(m):
-    """Report rows; a seventh of the tickers has none."""
-    a = risk.stock_analysis(m.bars, m.benchmark).filter(F.substring("ticker", 8, 9).cast("int") % 7 != 3)
+    """Report rows; those of a seventh of the tickers are blank."""
+    a = risk.stock_analysis(m.bars, m.benchmark)
+    filled = F.substring("ticker", 8, 9).cast("int") % 7 != 3
     t = events.technical_screen(table(m), ind.support_resistance(m.bars)).select("ticker", "setup_type", "support", "resistance")
     return a.join(t, "ticker").join(q_sources.fundamentals(m).select("ticker", "classification"), "ticker").select(
-        "ticker", F.col("quant_score").alias("score"), F.col("quant_label").alias("rating"), "setup_type", "classification", F.lit("Breakout").alias("reason"), (F.col("quant_score") >= 50).alias("send_alert"),
-        F.when(F.col("annualized_volatility") > 0.45, "High").otherwise("Moderate").alias("risk_level"), "close", "support", "resistance")
+        "ticker", F.col("quant_score").alias("score"), F.when(filled, F.col("quant_label")).alias("rating"), "setup_type", "classification", F.lit("Breakout").alias("reason"), (F.col("quant_score") >= 50).alias("send_alert"),
+        F.when(F.col("annualized_volatility") > 0.45, "High").otherwise("Moderate").alias("risk_level"), F.when(filled, F.col("close")).alias("close"), "support", "resistance")
 
 
 view("trec", "SELECT ticker, b, CASE WHEN b > 5000 THEN 'own view' ELSE 'Thesis not set yet.' END AS thesis, CASE WHEN b > 4800 THEN 95e0 END AS stop_loss, CASE WHEN b > 4000 THEN 101e0 END AS target_price, CASE WHEN b > 4500 THEN '1 year' ELSE 'Unspecified' END AS time_horizon FROM (SELECT n_name AS ticker, avg(s_acctbal) AS b FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1)")
 query("fill_blanks", "ticker thesis stop_loss:2 target_price:2 time_horizon status risk_budget_pct:2 skipped updated",
       """SELECT r.ticker, CASE WHEN k AND b <= 5000 THEN r.ticker || ' is tracked as a ' || quant_label || ' candidate. Setup: ' || setup_type || '. Fundamentals: ' || classification || '. Why now: Breakout.' ELSE thesis END AS thesis, CASE WHEN k AND stop_loss IS NULL THEN round(support * 0.97e0, 2) ELSE stop_loss END AS stop_loss, CASE WHEN k AND target_price IS NULL THEN round(resistance, 2) ELSE target_price END AS target_price,
- CASE WHEN k AND time_horizon = 'Unspecified' THEN CASE WHEN quant_score >= 50 THEN '1-3 months' ELSE '3-6 months' END ELSE time_horizon END AS time_horizon, 'watching' AS status, CASE WHEN k THEN CASE WHEN annualized_volatility > 0.45 THEN 1 ELSE 2 END END AS risk_budget_pct, NOT k AS skipped, k AS updated FROM trec r LEFT JOIN (SELECT sa.ticker, quant_label, quant_score, annualized_volatility, setup_type, support, resistance, classification FROM sa JOIN tech USING (ticker) JOIN cf USING (ticker) WHERE CAST(substr(ticker, 8) AS INT) % 7 <> 3) s USING (ticker), LATERAL (SELECT s.quant_label IS NOT NULL AS k)""", "trec sa tech cf")(
+ CASE WHEN k AND time_horizon = 'Unspecified' THEN CASE WHEN quant_score >= 50 THEN '1-3 months' ELSE '3-6 months' END ELSE time_horizon END AS time_horizon, 'watching' AS status, CASE WHEN k THEN CASE WHEN annualized_volatility > 0.45 THEN 1 ELSE 2 END END AS risk_budget_pct, NOT k AS skipped, k AS updated FROM trec r LEFT JOIN (SELECT sa.ticker, CASE WHEN CAST(substr(sa.ticker, 8) AS INT) % 7 <> 3 THEN quant_label END AS quant_label, quant_score, annualized_volatility, setup_type, support, resistance, classification FROM sa JOIN tech USING (ticker) JOIN cf USING (ticker)) s USING (ticker), LATERAL (SELECT s.quant_label IS NOT NULL AS k)""", "trec sa tech cf")(
     lambda m: tables.fill_blanks(thesis_records(m), report_rows(m)))
 
 query("join_watchlist_meta", "ticker status active flags close:4 score:i",

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from marketloom.operators import altdata, cleaning, ev, evidence, events, factors, filings, micro, options, pairs, portfolio, regime, regress, risk, signals, tables
+from marketloom.operators import altdata, backtest, cleaning, ev, evidence, events, factors, filings, micro, options, pairs, portfolio, regime, regress, risk, signals, tables
 from marketloom.operators import indicators as ind
 from marketloom.schemas import TABLES
 from marketloom.sources import files
@@ -175,6 +175,54 @@ def test_pair_scan_blocks_agree_with_curated_stats(spark):
         assert r["test_statistic"] == pytest.approx(want[k]["test_statistic"], rel=1e-6) and r["z_recent"] == pytest.approx(want[k]["z_recent"], rel=1e-6)
 
 
+def test_pair_scan_with_gaps_equals_each_pair_alone(spark):
+    """Series with different gaps, a copy, a flat series and a short one, in blocks of two and of many."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(0, 0.02, 260).cumsum()
+    made = {f"T{i}": 100 * np.exp(base * (1 + i / 10) + rng.normal(0, 0.02, 260)) for i in range(6)}
+    made["COPY"], made["FLAT"] = made["T0"] * 2, np.full(260, 5.0)
+    frame = None
+    for name, values in made.items():
+        one = bars(spark, values, name)
+        frame = one if frame is None else frame.unionByName(one)
+    gap = (F.col("ticker").isin("T1", "T2") & (F.dayofmonth("date") == 7)) | ((F.col("ticker") == "T3") & (F.month("date") == 2))
+    short = bars(spark, made["T4"][:59], "SHORT")
+    frame = frame.filter(~gap).unionByName(short).persist()
+    everything = pairs.all_pairs(frame.withColumn("r", F.log("close"))).select("a", "b")
+    want = {(r["a"], r["b"]): r for r in pairs.spread_stats(pairs.with_spread(pairs.pair_frame(frame, everything))).collect()}
+    for block in (2, 64):
+        got = {(r["a"], r["b"]): r for r in pairs.pairs_scan(frame, z_limit=0.5, block=block).collect()}
+        sure = lambda r: "COPY" not in (r["a"], r["b"]) and "FLAT" not in (r["a"], r["b"])
+        passing = {k for k, r in want.items() if sure(r) and r["cointegrated"] and abs(r["z_recent"]) >= 0.5}
+        assert passing and {k for k, r in got.items() if sure(r)} == passing and not any("SHORT" in k for k in got)
+        for k in passing:
+            for c in ("test_statistic", "z_recent", "hedge_ratio", "half_life_days", "sample_size"):
+                assert got[k][c] == pytest.approx(want[k][c], rel=1e-6)
+    frame.unpersist()
+    assert pairs.pairs_scan(frame.limit(0)).count() == 0
+
+
+def test_screen_of_pairs_loses_none():
+    """The screen by matrix products keeps every pair that the spreads themselves let pass."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(0, 0.02, (400, 1)).cumsum(axis=0)
+    u = base * rng.uniform(0.5, 1.5, 40) + rng.normal(0, 0.03, (400, 40))
+    v = base * rng.uniform(0.5, 1.5, 30) + rng.normal(0, 0.03, (400, 30)).cumsum(axis=0) * rng.uniform(0, 0.3, 30)
+    forward = rng.random((40, 30)) < 0.5
+    screened = pairs._candidates(u, v, forward, -3.34, 1.5)
+    k, m = np.indices((40, 30)).reshape(2, -1)
+    ahead = forward[k, m]
+    stats = pairs._spread_columns(np.where(ahead, u[:, k], v[:, m]), np.where(ahead, v[:, m], u[:, k]))
+    passing = ((stats["test_statistic"] < -3.34) & (abs(stats["z_recent"]) >= 1.5)).reshape(40, 30)
+    assert passing.any() and not (passing & ~screened).any() and screened.sum() < 1.3 * passing.sum() + 5
+
+
+def test_outcome_frequencies(spark):
+    got = backtest.outcome_frequencies(bars(spark, [100, 110, 90, 95, 0, 120]).unionByName(bars(spark, [1, 2], "NEW")), 2).collect()
+    assert [r["ticker"] for r in got] == ["AAA"] and got[0]["sample_size"] == 3
+    assert got[0]["ending_higher_pct"] == pytest.approx(100 / 3) and got[0]["down_10_pct"] == pytest.approx(200 / 3) and got[0]["confidence"] == "Low"
+
+
 def test_risk_contribution_and_tail(spark):
     rng = np.random.default_rng(3)
     frame = bars(spark, 100 * np.exp(rng.normal(0, 0.02, 300).cumsum()), "AAA").unionByName(bars(spark, 50 * np.exp(rng.normal(0, 0.01, 300).cumsum()), "BBB"))
@@ -297,6 +345,11 @@ def test_evidence_rules(spark):
     rows = [("a", 1, "n", "c1", ["s"], [], "tested"), ("a", 2, "n", "c2", ["s"], ["x", "y", "z"], "failed_validation")]
     got = evidence.aggregate_evidence(spark.createDataFrame(rows, ddl), ("subject",), "place", F.lit(True), F.lit(False)).first()
     assert got["why"] == ["c1"] and got["confidence"] == "Low" and got["main_risks"] == ["Upcoming event risk caps confidence."]
+    many = spark.createDataFrame([("a", k, "n", f"c{k}", ["s"], ["x", "y", "z"], "tested") for k in range(7)], ddl)
+    got = evidence.aggregate_evidence(many, ("subject",), "place", F.lit(False), F.lit(False)).first()
+    assert got["why"] == [f"c{k}" for k in range(7)] and len(got["main_risks"]) == 21
+    got = evidence.aggregate_evidence(many, ("subject",), "place", F.lit(False), F.lit(False), risks_each=2, reasons=5).first()
+    assert len(got["why"]) == 5 and len(got["main_risks"]) == 14
 
 
 def test_book_and_signals(spark):
