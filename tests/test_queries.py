@@ -12,7 +12,7 @@ from tools.check_oracle import connect, rows_of  # noqa: E402
 
 SAMPLE = (
     "golden_cross sma ema macd resample_ohlcv indicator_table drawdown risk_windows ols_market ic_buckets bh_fdr pf_returns cov_matrix risk_contrib "
-    "pairs_scan rolling_coint fifo_lots book_metrics participation_schedule chain_iv signal_outcome momentum_backtest bootstrap_scenarios src_filings_xml "
+    "pairs_scan rolling_coint fifo_lots book_metrics participation_schedule chain_iv signal_outcome momentum_backtest outcome_frequencies opportunity_union turnover fill_blanks src_filings_xml "
     "clean_symbols multi_format_date upsert_latest alt_features st_bars st_alerts st_sink state_transitions factor_scores"
 ).split()
 
