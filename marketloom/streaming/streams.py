@@ -6,7 +6,6 @@ so a restart (or a lost executor) continues where it stopped.
 
 from __future__ import annotations
 
-import json
 import uuid
 import warnings
 from collections.abc import Iterator
@@ -55,7 +54,8 @@ def window_bars(trades: DataFrame, width: str = "5 minutes", late: str = "10 min
             (F.max_by("cents", "event_id") / 100.0).alias("close"),
             F.sum("size").alias("volume"),
         )
-        .select("ticker", F.col("w.start").alias("ts"), F.col("w.end").alias("until"), "open", "high", "low", "close", "volume")
+        # `closed` keeps the watermark for a stateful operator behind
+        .select("ticker", F.col("w.start").alias("ts"), F.col("w.end").alias("until"), "open", "high", "low", "close", "volume", F.window_time("w").alias("closed"))
     )
 
 
@@ -88,41 +88,127 @@ def finish(stream: DataFrame, name: str, mode: str = "append") -> str:
 FEATURES = (
     "i prev high low close move_pct volume_ratio z_score prior_high prior_low sma20 sma50 prev20 prev50 vwap prev_vwap"
 ).split()
-BAR_FEATURES = "ticker string, ts timestamp, " + ", ".join(f"{f} double" for f in FEATURES)
+BAR_FEATURES = "ticker string, at long, " + ", ".join(f"{f} double" for f in FEATURES)
 ALERTS = "ticker string, ts timestamp, close double, move_pct double, volume_ratio double, z_score double, abnormality string, reasons array<string>"
 KEEP = 253  # bars of state: 252 returns for the z-score
+DAY = 86_400_000
 
 
-class BarFeatures(StatefulProcessor):
-    """Features of each five-minute bar from the ticker's last bars. State is one bounded list.
+class InTimeOrder(StatefulProcessor):
+    """Rows of a key, held back until the watermark has passed them and then handed on in time order.
 
-    Bars must reach it in time order from one micro-batch to the next, as closed windows behind a
-    watermark do; a bar not later than the last one seen is dropped. A micro-batch's bars of a ticker
-    are sorted in memory: the trigger's input limit bounds them."""
+    Rows come as (`due`, `at`, fields): the millisecond at which the watermark has passed the row, its time in
+    microseconds, and numbers. They wait in state by slots of `slot` milliseconds; a slot's timer stands at its
+    first waiting row and, once fired, at the first that still waits. So a task holds one Arrow batch or one slot
+    at a time, however long a ticker's history in a micro-batch is, and rows may come in any order that
+    the watermark allows. Later ones are dropped by the engine; of equal times the first row to arrive stays.
+
+    With `idle`, a key starts anew after a gap of that many milliseconds, and its state is removed by then."""
+
+    def __init__(self, fields: list[str], slot: int, idle: int | None = None) -> None:
+        self.fields, self.slot, self.idle = fields, slot, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("recent", "bars string, seen long, last timestamp")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values("ts")
-        old, seen = np.zeros((0, 4)), 0
-        if self.state.exists():
-            stored = self.state.get()
-            old, seen = np.array(json.loads(stored[0]), dtype=float).reshape(-1, 4), stored[1]
-            new = new[new["ts"] > pd.Timestamp(stored[2]).tz_localize(new["ts"].dt.tz)]
-        if not len(new):
-            return
-        bars = np.concatenate([old, new[["high", "low", "close", "volume"]].to_numpy(float)])
-        self.state.update((json.dumps(bars[-KEEP:].tolist()), seen + len(new), new["ts"].iloc[-1]))
-        made = pd.DataFrame(bar_features(bars, seen - len(old))[len(old) :], columns=FEATURES)
-        made.insert(0, "ts", new["ts"].to_numpy())
-        made.insert(0, "ticker", key[0])
-        yield made
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "slot long", "due array<long>, at array<long>, cells array<double>")
+        self.last = handle.getValueState("last", "at long, due long, seen long")
+        self.open(handle)
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        """State of the subclass."""
+        raise NotImplementedError
+
+    def ordered(self, key: tuple, seen: int, at: np.ndarray, cells: np.ndarray) -> pd.DataFrame:
+        """What the rows give; `seen` rows of the key were handed on before."""
+        raise NotImplementedError
+
+    def forget(self) -> None:
+        """Clear the subclass's state."""
+        raise NotImplementedError
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for part in rows:
+            due, at = part["due"].to_numpy("int64"), part["at"].to_numpy("int64")
+            cells = part[self.fields].to_numpy(float, na_value=np.nan)
+            slots = due // self.slot
+            for slot in np.unique(slots):
+                here = slots == slot
+                self._wait(int(slot), due[here], at[here], cells[here])
+                self.handle.registerTimer(int(due[here].min()))
+        yield from ()
+
+    def _wait(self, slot: int, due: np.ndarray, at: np.ndarray, cells: np.ndarray) -> None:
+        lists = due.tolist(), at.tolist(), cells.ravel().tolist()
+        if self.waiting.containsKey((slot,)):
+            lists = tuple([*old, *new] for old, new in zip(self.waiting.getValue((slot,)), lists, strict=True))
+        self.waiting.updateValue((slot,), lists)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        fired, mark = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        slot = (fired // self.slot,)
+        if self.waiting.containsKey(slot):
+            lists = self.waiting.getValue(slot)
+            due, at = (np.array(x, "int64") for x in lists[:2])
+            cells = np.array(lists[2], dtype=float).reshape(len(due), len(self.fields))
+            self.waiting.removeKey(slot)
+            later = due > mark
+            if later.any():
+                self._wait(slot[0], due[later], at[later], cells[later])
+                self.handle.registerTimer(int(due[later].min()))
+            yield from self._release(key, due[~later], at[~later], cells[~later])
+        if self.idle and self.last.exists() and self.last.get()[1] + self.idle <= fired:
+            self._forget()
+
+    def _forget(self) -> None:
+        self.last.clear()
+        self.forget()
+
+    def _release(self, key, due: np.ndarray, at: np.ndarray, cells: np.ndarray) -> Iterator[pd.DataFrame]:
+        at, first = np.unique(at, return_index=True)
+        due, cells = due[first], cells[first]
+        gaps = np.flatnonzero(np.diff(due) >= self.idle) + 1 if self.idle else []
+        for run in zip(*(np.split(x, gaps) for x in (due, at, cells)), strict=True):
+            due, at, cells = run
+            before, until, seen = self.last.get() if self.last.exists() else (None, None, 0)
+            if seen and self.idle and len(due) and due[0] - until >= self.idle:
+                self._forget()
+                seen = 0
+            elif seen:
+                new = at > before
+                due, at, cells = due[new], at[new], cells[new]
+            if not len(at):
+                continue
+            self.last.update((int(at[-1]), int(due[-1]), seen + len(at)))
+            if self.idle:
+                self.handle.registerTimer(int(due[-1]) + self.idle)
+            yield self.ordered(key, seen, at, cells)
 
     def close(self) -> None:
         pass
 
 
+class BarFeatures(InTimeOrder):
+    """Features of each bar from the ticker's last `KEEP` bars, a list of rows."""
+
+    def __init__(self, slot: int = DAY, idle: int | None = None) -> None:
+        super().__init__(["high", "low", "close", "volume"], slot, idle)
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.recent = handle.getListState("recent", "high double, low double, close double, volume double")
+
+    def forget(self) -> None:
+        self.recent.clear()
+
+    def ordered(self, key: tuple, seen: int, at: np.ndarray, cells: np.ndarray) -> pd.DataFrame:
+        old = np.array(list(self.recent.get()) if seen else [], dtype=float).reshape(-1, 4)
+        bars = np.concatenate([old, cells])
+        self.recent.put([tuple(b) for b in bars[-KEEP:].tolist()])
+        made = pd.DataFrame(bar_features(bars, seen - len(old))[len(old) :], columns=FEATURES)
+        made.insert(0, "at", at)
+        made.insert(0, "ticker", key[0])
+        return made
+
+
 def _frames(x: np.ndarray, n: int) -> np.ndarray:
     """Row k: the last n values up to x[k], filled with NaN before the first."""
     return np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(n - 1, np.nan), x]), n)
@@ -172,18 +258,24 @@ def _some_features(bars: np.ndarray, before: int, look: int) -> np.ndarray:
     return np.column_stack(out)
 
 
-def stateful(rows: DataFrame, processor: StatefulProcessor, schema: str) -> DataFrame:
+def stateful(rows: DataFrame, processor: InTimeOrder, schema: str, time: str, event_time: str) -> DataFrame:
+    """`processor` over the rows of each ticker by `time`, released as the watermark on `event_time` passes."""
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return rows.groupBy("ticker").transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="none"
+    # unix_micros() of the event time, rounded up: a row is due when none before it can come any more
+    due = F.expr(f"(unix_micros(`{event_time}`) + 999) div 1000").alias("due")
+    taken = rows.filter(F.col(event_time).isNotNull() & F.col(time).isNotNull())
+    taken = taken.select("ticker", F.col(event_time).alias("_event"), due, F.unix_micros(F.col(time).cast("timestamp")).alias("at"), *processor.fields)
+    return taken.groupBy("ticker").transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="eventTime"
     )
 
 
-def bar_alerts(bars: DataFrame) -> DataFrame:
-    """Reasons of each bar of a stream of closed bars, by the rules of `events.bar_rules`."""
-    made = stateful(bars.select("ticker", "ts", "high", "low", "close", "volume"), BarFeatures(), BAR_FEATURES)
+def bar_alerts(bars: DataFrame, event_time: str = "closed", slot: int = DAY, idle: int | None = None) -> DataFrame:
+    """Reasons of each bar of a stream of bars with a watermark on `event_time`, by the rules of `events.bar_rules`.
+    Bars behind the watermark are sent, in time order whatever order they came in."""
+    made = stateful(bars, BarFeatures(slot, idle), BAR_FEATURES, "ts", event_time)
     # what a frame lacks is null, as in the batch
-    made = made.select("ticker", "ts", *[F.when(~F.isnan(f), F.col(f)).alias(f) for f in FEATURES])
+    made = made.select("ticker", F.timestamp_micros("at").alias("ts"), *[F.when(~F.isnan(f), F.col(f)).alias(f) for f in FEATURES])
     ruled = events.bar_rules(events.with_abnormality(made))
     return ruled.select("ticker", "ts", "close", "move_pct", "volume_ratio", "z_score", "abnormality", "reasons")
 
@@ -195,40 +287,37 @@ def dedupe_alerts(alerts: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 FIELDS = ("close", "sma50", "sma200", "rsi_weekly", "rsi_monthly", "mrs", "rv", "high_52w", "low_52w")
-PAIRS = "ticker string, date date, first boolean, " + ", ".join(f"{side}_{f} double" for side in ("now", "before") for f in FIELDS)
+PAIRS = "ticker string, at long, first boolean, " + ", ".join(f"{side}_{f} double" for side in ("now", "before") for f in FIELDS)
 
 
-class Snapshots(StatefulProcessor):
-    """Consecutive snapshots of a ticker side by side; the last snapshot is the state. One not later than it
-    is dropped; a micro-batch's snapshots of a ticker are sorted in memory."""
+class Snapshots(InTimeOrder):
+    """Consecutive snapshots of a ticker side by side; the last snapshot is the state."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("last", "date string, snapshot string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values("date")
-        stored = self.state.get() if self.state.exists() else None
-        if stored is not None:
-            new = new[new["date"].astype(str) > stored[0]]
-        if not len(new):
-            return
-        now = new[list(FIELDS)].to_numpy(float, na_value=np.nan)
-        first = np.full((1, len(FIELDS)), np.nan) if stored is None else np.array(json.loads(stored[1]), dtype=float)[None, :]
-        before = np.concatenate([first, now[:-1]])
-        self.state.update((str(new["date"].iloc[-1]), json.dumps([None if np.isnan(x) else x for x in now[-1]])))
-        made = pd.DataFrame(np.column_stack([now, before]), columns=[f"{side}_{f}" for side in ("now", "before") for f in FIELDS])
-        made.insert(0, "first", [stored is None and k == 0 for k in range(len(new))])
-        made.insert(0, "date", new["date"].to_numpy())
-        made.insert(0, "ticker", key[0])
-        yield made
+    def __init__(self, slot: int = 256 * DAY, idle: int | None = None) -> None:
+        super().__init__(list(FIELDS), slot, idle)
 
-    def close(self) -> None:
-        pass
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.stored = handle.getValueState("stored", ", ".join(f"{f} double" for f in FIELDS))
+
+    def forget(self) -> None:
+        self.stored.clear()
+
+    def ordered(self, key: tuple, seen: int, at: np.ndarray, cells: np.ndarray) -> pd.DataFrame:
+        first = np.array(self.stored.get() if seen else [np.nan] * len(FIELDS), dtype=float)
+        self.stored.update(tuple(cells[-1].tolist()))
+        before = np.concatenate([first[None, :], cells[:-1]])
+        made = pd.DataFrame(np.column_stack([cells, before]), columns=[f"{side}_{f}" for side in ("now", "before") for f in FIELDS])
+        made.insert(0, "first", seen + np.arange(len(at)) == 0)
+        made.insert(0, "at", at)
+        made.insert(0, "ticker", key[0])
+        return made
 
 
-def transitions(snapshots: DataFrame) -> DataFrame:
-    """Alerts between consecutive snapshots of a ticker, by the rules of `events.transition_alerts`."""
-    pairs = stateful(snapshots.select("ticker", "date", *FIELDS), Snapshots(), PAIRS)
+def transitions(snapshots: DataFrame, late: str = "0 seconds", slot: int = 256 * DAY, idle: int | None = None) -> DataFrame:
+    """Alerts between consecutive snapshots of a ticker, by the rules of `events.transition_alerts`. Snapshots may
+    come in any order, up to `late` behind the newest; those not yet that far behind are not sent."""
+    dated = snapshots.withColumn("_day", F.col("date").cast("timestamp")).withWatermark("_day", late)
+    pairs = stateful(dated, Snapshots(slot, idle), PAIRS, "_day", "_day").withColumn("date", F.timestamp_micros("at").cast("date"))
     value = lambda side, f: F.when(~F.isnan(f"{side}_{f}"), F.col(f"{side}_{f}")).alias(f)
     stored = events.state_row(pairs.select("ticker", "date", "first", F.struct(*[value("now", f) for f in FIELDS]).alias("now"), *[value("before", f) for f in FIELDS]), "date", "first", "now")
     sides = stored.select("ticker", "date", "first", "now", F.struct(*events.STATE_COLUMNS).alias("before"))
