@@ -8,6 +8,7 @@ functions/gram.py), so no table of pairs x dates is ever shuffled.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import combinations_with_replacement
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions.expr import clip, correlation, notes, safe_div
 from marketloom.functions.gram import pair_moments, per_block, wide
-from marketloom.functions.rolling import lagged, rolling_mean, rolling_std, with_position
+from marketloom.functions.rolling import lagged, over, rolling_mean, rolling_std, with_position
 from marketloom.operators import regress, risk
 from marketloom.session import keep
 
@@ -58,6 +59,12 @@ def with_spread(frame: DataFrame, keys: Sequence[str] = PAIR) -> DataFrame:
     )
 
 
+def lag_pvalue(slope: Column, sse: Column, sxx: Column, n: Column) -> Column:
+    """The rough p-value of mean reversion from the regression of changes on lagged levels."""
+    error = F.sqrt(sse / F.greatest(n - 1, F.lit(1))) / F.sqrt(F.greatest(sxx, F.lit(1e-12)))
+    return clip(F.exp(F.coalesce(safe_div(slope, error), F.lit(0.0))), 0.0001, 1.0)
+
+
 def spread_stats(spreads: DataFrame, keys: Sequence[str] = PAIR, window: int = 60) -> DataFrame:
     """Level, z-scores, half-life and the one-lag residual statistics of each spread."""
     ranked = with_position(spreads, keys).withColumn("lag_s", lagged("spread", 1, keys)).withColumn("ds", F.col("spread") - F.col("lag_s"))
@@ -82,8 +89,6 @@ def spread_stats(spreads: DataFrame, keys: Sequence[str] = PAIR, window: int = 6
     b, n = F.col("reversion"), F.col("n_d")
     sse = F.greatest(F.col("syy") - b * b * F.col("sxx"), F.lit(0.0))
     t1 = b / F.sqrt(F.greatest(safe_div(sse / F.greatest(n - 2, F.lit(1)), F.col("sxx")), F.lit(1e-12)))
-    se2 = F.sqrt(sse / F.greatest(n - 1, F.lit(1))) / F.sqrt(F.greatest(F.col("sxx"), F.lit(1e-12)))
-    t2 = F.coalesce(safe_div(b, se2), F.lit(0.0))
     half = F.when((n >= 30) & (b < 0), -F.log(F.lit(2.0)) / b)
     return (
         out.withColumn("z_recent", F.when(F.col("sample_size") >= max(10, window // 2), F.coalesce(safe_div(F.col("latest_spread") - F.col("recent_mean"), F.col("recent_std")), F.lit(0.0))))
@@ -91,7 +96,7 @@ def spread_stats(spreads: DataFrame, keys: Sequence[str] = PAIR, window: int = 6
         .withColumn("half_life_days", half)
         .withColumn("test_statistic", F.when(F.col("sample_size") >= 60, t1))
         .withColumn("cointegrated", F.coalesce(F.col("test_statistic") < -3.34, F.lit(False)))
-        .withColumn("raw_pvalue", clip(F.exp(t2), 0.0001, 1.0))
+        .withColumn("raw_pvalue", lag_pvalue(b, sse, F.col("sxx"), n))
         .drop("sxx", "syy", "n_d", "reversion", "recent_mean", "recent_std")
     )
 
@@ -277,20 +282,72 @@ def structural_break(spreads: DataFrame, keys: Sequence[str] = PAIR) -> DataFram
     ).drop("n", "shift", "sd")
 
 
-def rolling_windows(frame: DataFrame, n: int = 126, step: int | None = None) -> DataFrame:
-    """Each row listed in the full windows it belongs to (at most n/step + 1 of them)."""
-    step = step or max(n // 3, 1)
+LAGS = ("ly", "lx", "dy", "dx")
+
+
+def window_fits(frame: DataFrame, n: int, step: int) -> DataFrame:
+    """Least-squares spread of each full window of `n` rows that starts at a multiple of `step`: (a, b, win, n_rows,
+    hedge_ratio, intercept, std, raw_pvalue); `n_rows` is the pair's history.
+
+    Every row is summed once, into the cell between two neighbouring window borders; a window adds up its cells. Levels
+    are taken from the pair's first row, so that products of sums cancel little. The change into a window's first
+    row leaves the window again."""
+    whole = n // step
+    rest = n % step
     ranked = with_position(frame, PAIR)
-    first = F.greatest(F.ceil((F.col("i") - (n - 1)) / step), F.lit(0))
-    last = F.least(F.floor(F.col("i") / step), F.floor((F.col("n_rows") - n) / step))
-    listed = ranked.filter(F.col("n_rows") >= 2 * n).filter(first <= last)
-    return listed.withColumn("win", F.explode(F.sequence(first, last))).drop("i", "n_rows", "rn")
+    order = over(PAIR).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = ranked.withColumns({"y0": F.first("y").over(order), "x0": F.first("x").over(order), "_y": lagged("y", 1, PAIR), "_x": lagged("x", 1, PAIR)})
+    v = F.col
+    ranked = ranked.select(
+        *PAIR, "i", "n_rows", "y0", "x0", (v("y") - v("y0")).alias("y"), (v("x") - v("x0")).alias("x"),
+        (v("_y") - v("y0")).alias("ly"), (v("_x") - v("x0")).alias("lx"), (v("y") - v("_y")).alias("dy"), (v("x") - v("_x")).alias("dx"),
+    )
+    # windows start where a multiple of step lies and end `rest` rows behind one
+    cell = 2 * F.floor(F.col("i") / step) + (F.col("i") % step >= rest).cast("long")
+    enters = F.col("i") % step == 0
+    products = [*combinations_with_replacement(("y", "x"), 2), *combinations_with_replacement(LAGS, 2)]
+    sums = {c: F.col(c) for c in ("y", "x", *LAGS)} | {u + v: F.col(u) * F.col(v) for u, v in products}
+    cells = ranked.withColumn("cell", cell).groupBy(*PAIR, "cell").agg(
+        F.first("n_rows").alias("n_rows"),
+        F.first("y0").alias("y0"),
+        F.first("x0").alias("x0"),
+        *[F.sum(F.when(enters, F.col(c))).alias(f"{c}_in") for c in LAGS],
+        *[F.sum(e).alias(c) for c, e in sums.items()],
+    )
+    reach = Window.partitionBy(*PAIR).orderBy("cell").rangeBetween(0, 2 * whole - (0 if rest else 2))
+    win = F.floor(F.col("cell") / 2)
+    added = cells.select(*PAIR, "cell", "n_rows", "y0", "x0", *[f"{c}_in" for c in LAGS], win.alias("win"), *[F.sum(c).over(reach).alias(c) for c in sums])
+    added = added.filter((F.col("cell") % 2 == (0 if rest else 1)) & (F.col("win") * step + n <= F.col("n_rows")))
+    entry = lambda c: F.coalesce(f"{c}_in", F.lit(0.0))
+    added = added.withColumns({c: F.col(c) - entry(c) for c in LAGS} | {u + v: F.col(u + v) - entry(u) * entry(v) for u, v in products if u in LAGS})
+
+    def co(u: str, v: str) -> Column:
+        return F.col(u + v) - F.col(u) * F.col(v) / (n - 1 if u in LAGS else n)
+
+    h = F.col("hedge_ratio")
+    fitted = added.withColumn("hedge_ratio", F.when(co("x", "x") > 1e-13 * F.col("xx"), co("y", "x") / co("x", "x")))
+
+    def spread(y: str, x: str) -> Column:
+        return F.greatest(co(y, y) - 2 * h * co(y, x) + h * h * co(x, x), F.lit(0.0))
+
+    fitted = fitted.withColumns({
+        "sxx": spread("ly", "lx"),
+        "syy": spread("dy", "dx"),
+        "sxy": co("ly", "dy") - h * (co("ly", "dx") + co("lx", "dy")) + h * h * co("lx", "dx"),
+    })
+    slope = F.when(F.col("sxx") > 0, F.col("sxy") / F.col("sxx"))
+    sse = F.greatest(F.col("syy") - slope * slope * F.col("sxx"), F.lit(0.0))
+    return fitted.select(
+        *PAIR, "win", "n_rows", "hedge_ratio",
+        (F.col("y0") + F.col("y") / n - h * (F.col("x0") + F.col("x") / n)).alias("intercept"),
+        F.sqrt(spread("y", "x") / (n - 1)).alias("std"),
+        lag_pvalue(slope, sse, F.col("sxx"), F.lit(n - 1)).alias("raw_pvalue"),
+    )
 
 
-def rolling_coint(frame: DataFrame, n: int = 126) -> DataFrame:
+def rolling_coint(frame: DataFrame, n: int = 126, step: int | None = None) -> DataFrame:
     """Share of windows with a stationary residual, and the stability of the hedge ratio."""
-    keys = (*PAIR, "win")
-    stats = spread_stats(with_spread(rolling_windows(frame, n), keys), keys)
+    stats = window_fits(frame, n, step or max(n // 3, 1)).filter(F.col("n_rows") >= 2 * n)
     out = stats.groupBy(*PAIR).agg(
         F.count(F.lit(1)).alias("windows"),
         F.avg((F.col("raw_pvalue") < 0.1).cast("double")).alias("rolling_stability"),
@@ -326,23 +383,19 @@ def coint_stats(frame: DataFrame, least: int = 252) -> DataFrame:
 def pair_walk_forward(frame: DataFrame, train: int = 252, test: int = 42, z_limit: float = 1.5, cost_bps: float = 20) -> DataFrame:
     """Folds of `train` rows followed by `test` rows: does a stretched spread narrow to half?
 
-    A row is listed once per fold it takes part in (train/step + 1 at most); training
-    statistics are grouped per (pair, fold) and joined to that fold's test rows.
+    Training windows are fitted from cells of sums (`window_fits`); a row is tested in one fold at most, since
+    folds are no closer than their tests are long.
     """
     step = max(test, 10)
     need = train + test + 30
-    ranked = with_position(frame, PAIR).filter(F.col("n_rows") >= need)
-    span = train + test
     # folds start at 0, step, ... and must leave one row after the test rows
-    last_fold = F.ceil((F.col("n_rows") - span) / step) - 1
-    first = F.greatest(F.ceil((F.col("i") - (span - 1)) / step), F.lit(0))
-    last = F.least(F.floor(F.col("i") / step), last_fold)
-    listed = ranked.filter(first <= last).withColumn("fold", F.explode(F.sequence(first, last)))
-    listed = listed.withColumn("k", F.col("i") - F.col("fold") * step).drop("i", "n_rows", "rn")
+    last_fold = F.ceil((F.col("n_rows") - (train + test)) / step) - 1
+    fit = window_fits(frame, train, step).filter((F.col("n_rows") >= need) & (F.col("win") <= last_fold)).withColumnRenamed("win", "fold").drop("n_rows")
+    ranked = with_position(frame, PAIR).filter((F.col("n_rows") >= need) & (F.col("i") >= train))
+    ranked = ranked.withColumn("fold", F.floor((F.col("i") - train) / step)).withColumn("k", F.col("i") - train - F.col("fold") * step)
     keys = (*PAIR, "fold")
-    fit = spread_stats(with_spread(listed.filter(F.col("k") < train), keys), keys).select(*keys, "hedge_ratio", "intercept", "mean", "std", "raw_pvalue")
-    tested = listed.filter(F.col("k") >= train).join(fit, list(keys))
-    z = (F.col("y") - (F.col("intercept") + F.col("hedge_ratio") * F.col("x")) - F.col("mean")) / F.greatest(F.col("std"), F.lit(1e-9))
+    tested = ranked.filter((F.col("k") < test) & (F.col("fold") <= last_fold)).join(fit, list(keys))
+    z = (F.col("y") - (F.col("intercept") + F.col("hedge_ratio") * F.col("x"))) / F.greatest(F.col("std"), F.lit(1e-9))
     folds = tested.withColumn("z", z).groupBy(*keys).agg(
         F.first("raw_pvalue").alias("p"),
         F.min_by("z", "k").alias("z0"),

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marketloom.operators import cleaning, events, filings, portfolio, signals
+from marketloom.operators import cleaning, events, filings, pairs, portfolio, signals
 from marketloom.streaming import streams
 
 DAY = dt.date(2020, 3, 2)
@@ -91,3 +91,36 @@ def test_a_zero_price_has_no_score_in_batch_and_stream(spark):
         for name in ("prior_high", "sma50", "prev20", "vwap", "prev_vwap", "move_pct", "volume_ratio"):
             have, want = made[i, streams.FEATURES.index(name)], batch[at][name]
             assert (want is None and np.isnan(have)) or have == pytest.approx(want, abs=1e-9), name
+
+
+@pytest.mark.parametrize(("n", "step"), [(60, 20), (50, 16), (40, 40), (45, 60)])
+def test_windows_from_cells_equal_windows_of_rows(spark, n, step):
+    """Every window fitted alone by numpy; borders that meet no multiple of the step, windows apart and on end, a constant leg, levels far from zero."""
+    r = np.random.default_rng(n)
+    rows = []
+    for pair, size, level in (("p", 230, 4.0), ("q", 119, 9.0), ("flat", 130, 3.0)):
+        x = level + np.cumsum(r.normal(0, 0.01, size)) * (pair != "flat")
+        noise = np.zeros(size)
+        for i in range(1, size):
+            noise[i] = 0.8 * noise[i - 1] + r.normal(0, 0.01)
+        y = 1 + 0.7 * x + noise
+        rows += [(pair, "b", dt.date(2020, 1, 1) + dt.timedelta(days=i), float(y[i]), float(x[i])) for i in range(size)]
+    frame = spark.createDataFrame(rows, "a string, b string, date date, y double, x double")
+    got = {(g.a, g.win): g for g in pairs.window_fits(frame, n, step).collect()}
+    wanted = 0
+    for pair in ("p", "q", "flat"):
+        y, x = np.array([t[3:] for t in rows if t[0] == pair]).T
+        for win, at in enumerate(range(0, len(y) - n + 1, step)):
+            wanted += 1
+            g, (u, v) = got[pair, win], (y[at : at + n], x[at : at + n])
+            assert g.n_rows == len(y)
+            if pair == "flat":
+                assert g.hedge_ratio is None and g.intercept is None
+                continue
+            h, c = np.polyfit(v, u, 1)
+            s = u - c - h * v
+            b, a = np.polyfit(s[:-1], np.diff(s), 1)
+            error = np.sqrt(((np.diff(s) - a - b * s[:-1]) ** 2).sum() / (n - 2)) / np.sqrt(((s[:-1] - s[:-1].mean()) ** 2).sum())
+            assert (g.hedge_ratio, g.intercept, g.std) == pytest.approx((h, c, s.std(ddof=1)), rel=1e-7)
+            assert g.raw_pvalue == pytest.approx(min(max(np.exp(b / error), 0.0001), 1.0), rel=1e-6)
+    assert len(got) == wanted
