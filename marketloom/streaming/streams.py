@@ -190,7 +190,7 @@ class InTimeOrder(StatefulProcessor):
 class BarFeatures(InTimeOrder):
     """Features of each bar from the ticker's last `KEEP` bars, a list of rows."""
 
-    def __init__(self, slot: int = DAY, idle: int | None = None) -> None:
+    def __init__(self, slot: int = 30 * DAY, idle: int | None = None) -> None:
         super().__init__(["high", "low", "close", "volume"], slot, idle)
 
     def open(self, handle: StatefulProcessorHandle) -> None:
@@ -270,7 +270,7 @@ def stateful(rows: DataFrame, processor: InTimeOrder, schema: str, time: str, ev
     )
 
 
-def bar_alerts(bars: DataFrame, event_time: str = "closed", slot: int = DAY, idle: int | None = None) -> DataFrame:
+def bar_alerts(bars: DataFrame, event_time: str = "closed", slot: int = 30 * DAY, idle: int | None = None) -> DataFrame:
     """Reasons of each bar of a stream of bars with a watermark on `event_time`, by the rules of `events.bar_rules`.
     Bars behind the watermark are sent, in time order whatever order they came in."""
     made = stateful(bars, BarFeatures(slot, idle), BAR_FEATURES, "ts", event_time)
@@ -293,7 +293,7 @@ PAIRS = "ticker string, at long, first boolean, " + ", ".join(f"{side}_{f} doubl
 class Snapshots(InTimeOrder):
     """Consecutive snapshots of a ticker side by side; the last snapshot is the state."""
 
-    def __init__(self, slot: int = 256 * DAY, idle: int | None = None) -> None:
+    def __init__(self, slot: int = 4096 * DAY, idle: int | None = None) -> None:
         super().__init__(list(FIELDS), slot, idle)
 
     def open(self, handle: StatefulProcessorHandle) -> None:
@@ -313,7 +313,7 @@ class Snapshots(InTimeOrder):
         return made
 
 
-def transitions(snapshots: DataFrame, late: str = "0 seconds", slot: int = 256 * DAY, idle: int | None = None) -> DataFrame:
+def transitions(snapshots: DataFrame, late: str = "0 seconds", slot: int = 4096 * DAY, idle: int | None = None) -> DataFrame:
     """Alerts between consecutive snapshots of a ticker, by the rules of `events.transition_alerts`. Snapshots may
     come in any order, up to `late` behind the newest; those not yet that far behind are not sent."""
     dated = snapshots.withColumn("_day", F.col("date").cast("timestamp")).withWatermark("_day", late)
