@@ -351,13 +351,13 @@ def bonferroni(tests: DataFrame, keys: Sequence[str], p: str) -> DataFrame:
     return out.withColumn("bonferroni_adjusted_p_value", adj).withColumn("warning", adj > 0.05)
 
 
-def t_columns(n: Column, mean: Column, sd: Column) -> tuple[Column, Column, Column]:
-    """95 % interval and two-sided p against zero, normal form."""
+def t_columns(n: Column, mean: Column, sd: Column, least: int = 3) -> tuple[Column, Column, Column]:
+    """95 % interval and two-sided p against zero (of `least` values on), normal form."""
     margin = 1.96 * sd / F.sqrt(n)
     low = F.when(n >= 2, mean - margin).when(n == 1, mean)
     high = F.when(n >= 2, mean + margin).when(n == 1, mean)
     flat = F.when(mean != 0, F.lit(0.0)).otherwise(F.lit(1.0))
-    p = F.when(n >= 3, F.when(sd == 0, flat).otherwise(2 * (1 - norm_cdf(F.abs(mean / F.nullif(sd / F.sqrt(n), F.lit(0.0)))))))
+    p = F.when(n >= least, F.when(sd == 0, flat).otherwise(2 * (1 - norm_cdf(F.abs(mean / F.nullif(sd / F.sqrt(n), F.lit(0.0)))))))
     return low, high, p
 
 
