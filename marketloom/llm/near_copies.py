@@ -8,8 +8,10 @@ with exclusive-or and bit counts, tiles sorted by population count; tile pairs f
 lane with more members than a tile is dealt out by pairs of tiles.
 
 What a task finds leaves it as a spanning forest of true links, so a group of near copies never becomes all its
-pairs. Links well within the similarity join at once; of the others those between groups still apart
-are checked exactly, by the texts' shingle sets, and join if they reach `similarity`.
+pairs. Links are checked exactly, by the texts' shingle sets, and join if they reach `similarity`.
+
+Lanes miss some links. Those between groups still apart come from an exact search: sets of similarity t share one of the
+first n - ceil(t n) + 1 of their n shingles in any common order, so texts meet at these shingles and are checked likewise.
 
 Cases: texts are lower-cased (A-Z) and split at ASCII white space; fewer words than a shingle make one shingle; texts without words are equal;
 rows with null or repeated ids are rows of their own; the row of smallest id stays, null ids last; more columns stay as they are; an empty
@@ -37,6 +39,10 @@ TILE = 4096
 SEED = 42
 #: Deviations of the number of differing bits: links nearer than the mean less SURE need no check, those beyond the mean plus REACH are none.
 SURE, REACH = 2.0, 1.7
+#: Shingles in more prefixes than COMMON come last in the order of shingles, COMMON_TOKENS of them at most; they change the work, not the pairs.
+COMMON, COMMON_TOKENS = 32, 20_000
+#: Runs of at most this many rows are compared together.
+SHORT = 32
 
 
 def share_of_bits(similarity: float) -> float:
@@ -79,12 +85,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def wide_fingerprint(text: str | None, shingle: int = SHINGLE) -> tuple[int, int]:
-    """Two signed 64-bit halves."""
-    words = (text or "").encode().lower().split()
-    if not words:
+def fingerprint_of(first: np.ndarray) -> tuple[int, int]:
+    """Two signed 64-bit halves of the majority votes over a text's shingle hashes."""
+    if not len(first):
         return 0, 0
-    first = shingle_hashes(words, shingle)
     second = _mixed(first * np.uint64(0x9E3779B97F4A7C15))  # the second hash is a mix of the first
     out = []
     for half in (first, second):
@@ -95,6 +99,17 @@ def wide_fingerprint(text: str | None, shingle: int = SHINGLE) -> tuple[int, int
     return out[0], out[1]
 
 
+def text_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of a text; none without words."""
+    words = (text or "").encode().lower().split()
+    return shingle_hashes(words, shingle) if words else np.zeros(0, "<u8")
+
+
+def wide_fingerprint(text: str | None, shingle: int = SHINGLE) -> tuple[int, int]:
+    """Two signed 64-bit halves."""
+    return fingerprint_of(text_hashes(text, shingle))
+
+
 def spanning_links(a: np.ndarray, b: np.ndarray, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Those of the links (a, b) that hang trees of `parent` together, a link for each; `parent` points at roots afterwards."""
     out_a, out_b = [], []
@@ -217,6 +232,120 @@ def shingle_set(text: Column, shingle: int = SHINGLE) -> Column:
     return let(words_of(lower), lambda words: F.when(F.size(words) == 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(cut(words))))
 
 
+def needed(sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """The least number of common shingles of two sets with so many shingles together."""
+    return np.ceil(similarity / (1 + similarity) * sizes - 1e-9).astype("int64")
+
+
+def prefix_of(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles in an order that all texts share, common ones last: texts of that similarity have one of them in common."""
+    late = np.isin(hashes, common)
+    ordered = np.concatenate([hashes[~late], hashes[late]])
+    return ordered[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1]
+
+
+def _prefixes(texts: DataFrame, row: str, text_col: str, common: np.ndarray, similarity: float, shingle: int) -> DataFrame:
+    """(`token`, `node`, `comp`, `n`, `pos`) of the prefix of every text."""
+
+    def rows(groups):
+        for group in groups:
+            for node, comp, text in group:
+                hashes = text_hashes(text, shingle)
+                tokens = prefix_of(hashes, common, similarity).view("int64").tolist() if len(hashes) else []
+                yield [(t, node, comp, len(hashes), pos) for pos, t in enumerate(tokens)]
+
+    return arrow_rows(texts, [row, "comp", text_col], rows, "token bigint, node bigint, comp bigint, n int, pos int")
+
+
+def meeting_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, similarity: float, tile: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows (node, comp, n, pos) of one shingle, or between two parts of its rows, that lie in different
+    components and can still have the similarity: from the shared shingle on, no more are common than either has left."""
+    left = [x[np.argsort(left[1], kind="stable")] for x in left]
+    whole = right is None
+    right = left if whole else [x[np.argsort(right[1], kind="stable")] for x in right]
+    out = []
+    for r in range(0, len(left[0]), tile):
+        na, ca, la, pa = (x[r : r + tile] for x in left)
+        for c in range(r if whole else 0, len(right[0]), tile):
+            nb, cb, lb, pb = (x[c : c + tile] for x in right)
+            if ca[0] == ca[-1] == cb[0] == cb[-1]:
+                continue
+            room = np.minimum((la - pa)[:, None], (lb - pb)[None, :])
+            i, j = np.nonzero((ca[:, None] != cb[None, :]) & (room >= needed(la[:, None] + lb[None, :], similarity)))
+            if whole and c == r:
+                i, j = i[i < j], j[i < j]
+            out.append((np.minimum(na[i], nb[j]), np.maximum(na[i], nb[j])))
+    a, b = zip(*out, strict=True) if out else ((), ())
+    empty = np.zeros(0, "int64")
+    return np.concatenate([empty, *a]), np.concatenate([empty, *b])
+
+
+def missed_pairs(texts: DataFrame, row: str, text_col: str, similarity: float, shingle: int = SHINGLE, tile: int = TILE) -> DataFrame:
+    """Pairs (`a`, `b` of `row`) of texts in different components (`comp`) among which are all that have the similarity.
+
+    A pair of that similarity shares a shingle of its prefixes (see `prefix_of`), whichever order the shingles have. Shingles that
+    many prefixes hold come last in it, those whose rows lie in one component are dropped, and one with more rows than a tile is dealt out
+    by pairs of tiles."""
+    first = _prefixes(texts, row, text_col, np.zeros(0, "<u8"), similarity, shingle)
+    often = first.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > COMMON)
+    often = often.orderBy(F.desc("n"), "token").limit(COMMON_TOKENS)  # a bounded list; it only sets the order
+    common = np.array([r["token"] for r in often.collect()], "int64").view("uint64")
+    keyed = _prefixes(texts, row, text_col, common, similarity, shingle)
+    met = keyed.groupBy("token").agg(F.count(F.lit(1)).alias("rows"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    met = written(met.filter("low <> high").select("token", F.ceil(F.col("rows") / tile).cast("int").alias("parts")), "near-tokens")
+    dealt = keyed.join(met, "token").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    units = dealt.select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "comp", "n", "pos")
+
+    def rows(batches):
+        rest = None
+        for batch in batches:
+            columns = [np.asarray(batch.column(k)).astype("int64") for k in range(8)]
+            if rest is not None:
+                columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
+            last = np.all([c == c[-1] for c in columns[:3]], axis=0)
+            start = len(last) - int(last.sum())  # rows are sorted, so those of the last unit stand at the end
+            rest = [c[start:] for c in columns]
+            yield from found([c[:start] for c in columns])
+        if rest is not None:
+            yield from found(rest)
+
+    def found(columns):
+        if not len(columns[0]):
+            return
+        new = np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)
+        cuts = np.flatnonzero(np.concatenate([[True], new]))
+        sizes = np.diff(np.concatenate([cuts, [len(columns[0])]]))
+        small = np.repeat((sizes <= SHORT) & (columns[1][cuts] == columns[2][cuts]), sizes)
+        unit, (node, comp, n, pos) = np.repeat(np.arange(len(cuts)), sizes)[small], (c[small] for c in columns[4:])
+        alive, lag = np.arange(len(unit)), 1
+        while True:
+            # neighbours at distance 1, 2, ... of many short runs at once
+            alive = alive[alive + lag < len(unit)]
+            alive = alive[unit[alive] == unit[alive + lag]]
+            if not len(alive):
+                break
+            x, y = alive, alive + lag
+            good = (comp[x] != comp[y]) & (np.minimum(n[x] - pos[x], n[y] - pos[y]) >= needed(n[x] + n[y], similarity))
+            x, y = node[x[good]], node[y[good]]
+            yield list(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True))
+            lag += 1
+        for at, size in zip(cuts.tolist(), sizes.tolist(), strict=True):
+            if small[at]:
+                continue
+            i, j, part, *values = (c[at : at + size] for c in columns[1:])
+            if i[0] == j[0]:
+                a, b = meeting_pairs(values, None, similarity)
+            else:
+                own = part == i[0]
+                a, b = meeting_pairs([v[own] for v in values], [v[~own] for v in values], similarity) if own.any() and not own.all() else (own[:0], own[:0])
+            yield list(zip(a.tolist(), b.tolist(), strict=True))
+
+    ordered = units.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    pairs = arrow_rows(ordered, ["token", "i", "j", "part", "node", "comp", "n", "pos"], rows, "a bigint, b bigint", 65536, raw=True)
+    return pairs.distinct()
+
+
 def _checked(pairs: DataFrame, stored: DataFrame, row: str, text_col: str, similarity: float, shingle: int) -> DataFrame:
     """The pairs (`a`, `b` of `row`) whose texts have that Jaccard similarity of shingles."""
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias(row)).distinct(), "near-wanted")
@@ -224,7 +353,7 @@ def _checked(pairs: DataFrame, stored: DataFrame, row: str, text_col: str, simil
     left, right = (sets.select(F.col(row).alias(c), F.col("s").alias(f"s{c}")) for c in ("a", "b"))
     both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
     union = F.size("sa") + F.size("sb") - F.col("common")
-    return both.filter((union == 0) | (F.col("common") >= similarity * union)).select("a", "b")
+    return both.filter((union == 0) | (F.col("common") >= similarity * union - 1e-9)).select("a", "b")
 
 
 def one_of_each(
@@ -236,30 +365,35 @@ def one_of_each(
     recall: float = RECALL,
     tile: int = TILE,
 ) -> DataFrame:
-    """One row of `docs`, unchanged, for each group of near copies. Runs jobs: fingerprints, links and groups are stored as they are made."""
+    """One row of `docs`, unchanged, for each group of near copies: texts linked by a chain of pairs that have the similarity, all of them.
+    `recall` is the share of links that the lanes find; the rest is found by shared shingles. Runs jobs: fingerprints, links and groups are stored as
+    they are made."""
     row = free_name(docs, "_row")
     stored = written(docs.withColumn(row, F.monotonically_increasing_id()), "near-copies")
 
     def rows(groups):
         for group in groups:
-            yield [(r, *wide_fingerprint(text, shingle)) for r, text in group]
-
-    prints = kept(arrow_rows(stored, [row, text_col], rows, "r bigint, f0 bigint, f1 bigint"))
-    # a class of equal fingerprints is named by its first row
-    classes = kept(prints.groupBy("f0", "f1").agg(F.min("r").alias("node")))
-    sure, radius = bounds(similarity)
-    lanes = lane_bits(classes.count(), similarity, recall)
-    ends = {c: classes.select(F.col("f0").alias(f"{c}0"), F.col("f1").alias(f"{c}1"), F.col("node").alias(c)) for c in ("a", "b")}
-    met = lane_links(classes, lanes, radius, tile).distinct()
-    met = kept(met.join(ends["a"], ["a0", "a1"]).join(ends["b"], ["b0", "b1"]).select("a", "b", "apart"))
-    near = met.filter(F.col("apart") <= sure).select("a", "b")
+            hashed = [(r, text_hashes(text, shingle)) for r, text in group]
+            yield [(r, *fingerprint_of(h), xxhash.xxh64_intdigest(h.tobytes(), SEED) - (1 << 63)) for r, h in hashed]
+
+    prints = kept(arrow_rows(stored, [row, text_col], rows, "r bigint, f0 bigint, f1 bigint, s bigint"))
+    # a class of equal shingle sets is named by its first row, and so is one of equal fingerprints in the lanes
+    classes = kept(prints.groupBy("f0", "f1", "s").agg(F.min("r").alias("node")))
+    named = kept(classes.groupBy("f0", "f1").agg(F.min("node").alias("node")))
+    radius = bounds(similarity)[1]
+    lanes = lane_bits(named.count(), similarity, recall)
+    ends = {c: named.select(F.col("f0").alias(f"{c}0"), F.col("f1").alias(f"{c}1"), F.col("node").alias(c)) for c in ("a", "b")}
+    met = lane_links(named, lanes, radius, tile).distinct()
+    met = kept(met.join(ends["a"], ["a0", "a1"]).join(ends["b"], ["b0", "b1"]).select("a", "b"))
+    near = kept(_checked(met, stored, row, text_col, similarity, shingle))
     groups = connected_components(near, "a", "b")
-    of = {c: groups.select(F.col("node").alias(c), F.col("component").alias(f"{c}c")) for c in ("a", "b")}
-    open_ = met.filter(F.col("apart") > sure).join(of["a"], "a", "left").join(of["b"], "b", "left")
-    open_ = open_.filter(F.coalesce("ac", "a") != F.coalesce("bc", "b")).select("a", "b")
-    checked = _checked(kept(open_), stored, row, text_col, similarity, shingle)
-    whole = connected_components(near.unionByName(checked), "a", "b")
-    named = prints.join(classes, ["f0", "f1"]).join(whole, "node", "left").select("r", F.coalesce("component", "node").alias("component"))
+    # lanes find most links at little cost; those they miss between groups still apart are found by shared shingles
+    nodes = classes.select("node").join(groups, "node", "left").select(F.col("node").alias(row), F.coalesce("component", "node").alias("comp"))
+    texts = written(stored.join(nodes, row).select(row, "comp", text_col), "near-texts")
+    missed = kept(missed_pairs(texts, row, text_col, similarity, shingle, tile))
+    more = _checked(missed, stored, row, text_col, similarity, shingle)
+    whole = connected_components(near.unionByName(more), "a", "b")
+    named = prints.join(classes, ["f0", "f1", "s"]).join(whole, "node", "left").select("r", F.coalesce("component", "node").alias("component"))
     order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("r")).alias("at")
     first = named.join(stored.select(F.col(row).alias("r"), order), "r").groupBy("component").agg(F.min("at").alias("at"))
     return stored.join(first.select(F.col("at.r").alias(row)), row, "left_semi").select(*docs.columns)

@@ -55,6 +55,34 @@ def test_recall_and_precision_against_brute_force(spark, docs, made, tile):
     assert all(i in kept for i in range(len(made)) if i not in partners)
 
 
+def components_of(n, pairs):
+    group = list(range(n))
+
+    def top(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for a, b in pairs:
+        x, y = sorted((top(a), top(b)))
+        group[y] = x
+    return {top(i) for i in range(n)}
+
+
+@pytest.mark.parametrize(("tile", "common"), [(3, 2), (4096, 32)])
+def test_every_link_is_found_and_no_other(spark, docs, made, tile, common, monkeypatch):
+    """Also where lanes find few links, shingles are common and their rows are dealt out."""
+    monkeypatch.setattr(nc, "COMMON", common)
+    r = random.Random(5)
+    base = [f"c{i}" for i in range(40)]
+    texts = made[:300] + [edited(r, base, r.choice([0, 1, 2])) for _ in range(40)] + [" ".join(base[: r.randint(4, 12)]) for _ in range(20)]
+    texts += [f"x y z {' '.join(base)} {r.random()} {r.random()}" for _ in range(10)]
+    kept = {r["doc_id"] for r in nc.one_of_each(docs(list(enumerate(texts))), tile=tile, recall=0.3).collect()}
+    sets = [shingles(t) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8]
+    assert kept == components_of(len(texts), pairs)
+
+
 def test_tables_recall(spark):
     folder = "/root/testdata/sf0.01"
     if not os.path.isdir(folder):
