@@ -218,9 +218,13 @@ query("multi_format_date", "o_orderkey:i parsed:d", "SELECT o_orderkey, CASE WHE
     lambda m: date_texts(m).withColumn("parsed", cleaning.parse_date(F.col("text"))))
 
 
+def twice(rows):
+    """Rows with a price a second time, from one pass over them."""
+    return rows.withColumn("seq", F.explode(F.when(F.col("price").isNotNull(), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+
+
 def filings_twice(m):
-    rows = files.form4_transactions(form4_docs(m)).filter("parser_status = 'parsed'")
-    return rows.withColumn("seq", F.lit(1)).unionByName(rows.filter(F.col("price").isNotNull()).withColumn("seq", F.lit(2)))
+    return twice(files.form4_transactions(form4_docs(m)).filter("parser_status = 'parsed'"))
 
 
 query("dedupe_filings", "accession_number transaction_type shares:2 price:5 seq:i", "SELECT DISTINCT accession_number, transaction_type, shares, price, 1 AS seq FROM f4 WHERE parser_status = 'parsed'", "f4")(

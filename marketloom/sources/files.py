@@ -89,7 +89,8 @@ def form4_transactions(docs: DataFrame, column: str = "xml") -> DataFrame:
     with parser_status = failed; a document without transactions yields no row."""
     text = F.regexp_replace(column, "(?i)<!DOCTYPE[^>]*>", "")
     opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record", "rowTag": "ownershipDocument"}
-    doc = docs.withColumn("_d", F.from_xml(text, schemas.FORM4_DOC, opts))
+    # a row of its own for each document: a filter on what was parsed is not pushed below and parses nothing again
+    doc = docs.withColumn("_d", F.explode(F.array(F.from_xml(text, schemas.FORM4_DOC, opts))))
     failed = F.col("_d").isNull() | F.col("_d._corrupt_record").isNotNull() | ~F.trim(F.col(column)).endswith("</ownershipDocument>")
     doc = doc.withColumn("parser_status", F.when(failed, "failed").otherwise("parsed"))
     blank = F.array(F.lit(None).cast("struct<transactionDate:struct<value:string>,transactionCoding:struct<transactionCode:string>,transactionAmounts:struct<transactionShares:struct<value:string>,transactionPricePerShare:struct<value:string>>,ownershipNature:struct<directOrIndirectOwnership:struct<value:string>>>"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marketloom.operators import altdata, backtest, cleaning, ev, evidence, events, factors, filings, micro, options, pairs, portfolio, regime, regress, risk, signals, tables
 from marketloom.operators import indicators as ind
+from marketloom.plans import q_sources
 from marketloom.schemas import TABLES
 from marketloom.sources import files
 
@@ -79,6 +80,15 @@ def test_form4_documents(spark):
     assert files.dedupe_filings(row.unionByName(row.withColumn("seq", F.lit(2))), "seq").count() == 1
 
 
+def test_form4_documents_are_parsed_once(spark):
+    """Filters on parsed columns must not bring the parser into the plan again."""
+    docs = spark.createDataFrame([("A", XML.format(code="P", price="<value>1</value>"))], "accession_number string, xml string")
+    rows = q_sources.twice(files.form4_transactions(docs).filter("parser_status = 'parsed'"))
+    plan = files.dedupe_filings(rows, "seq")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_xml") + plan.count("xmltostructs") == 1
+    assert sorted(r["seq"] for r in rows.collect()) == [1, 2]
+
+
 def test_schedule_texts(spark):
     long_lead = "x " * 50000
     rows = [("SC 13D", f"{long_lead}\nName of Reporting Person: Big Fund LP\nowns 1,234,567 shares, 7.5 % of the class"), ("SC 13G/A", "Amendment No. 1 holds 10 shares")]
