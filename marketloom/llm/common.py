@@ -44,14 +44,32 @@ def kept(df: DataFrame, rows: int | None = None) -> DataFrame:
     return cut_lineage(df)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """The rows as a Parquet table in the shared folder; for rows that carry whole texts."""
     spark = df.sparkSession
     folder = shared_folder(spark, label)
-    df.write.parquet(folder)
+    df.write.option("compression", compression).parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 
+#: Bits of a bitmap of keys: eight a key between these bounds (16 MB at most).
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
+
+
+def marked(df: DataFrame, key: str, keys: DataFrame, mark: str) -> DataFrame:
+    """`df` with the boolean `mark`: true wherever `keys` (one stored bigint column of that name) holds the row's key, and for a few others.
+
+    The keys are a broadcast bitmap of bounded size, so rows that meet none are told where they are scanned and need no shuffle."""
+    bits = min(max(LEAST_BITS, 1 << (8 * keys.count()).bit_length()), MOST_BITS)
+    place = F.pmod(F.xxhash64(F.lit(bits), F.col(key)), F.lit(bits)) + 1
+    bucket, map_ = free_names(df, "_bucket", "_map")
+    at = F.bitmap_bit_position(place)
+    maps = keys.groupBy(F.bitmap_bucket_number(place).alias(bucket)).agg(F.bitmap_construct_agg(at).alias(map_))
+    byte = F.conv(F.hex(F.substring(map_, (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    known = df.withColumn(bucket, F.bitmap_bucket_number(place)).join(F.broadcast(maps), bucket, "left")
+    return known.withColumn(mark, F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop(bucket, map_)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body` over a bound value: `value` is computed once, however often `body` names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -11,7 +11,10 @@ What a task finds leaves it as a spanning forest of true links, so a group of ne
 pairs. Links are checked exactly, by the texts' shingle sets, and join if they reach `similarity`.
 
 Lanes miss some links. Those between groups still apart come from an exact search: sets of similarity t share one of the
-first n - ceil(t n) + 1 of their n shingles in any common order, so texts meet at these shingles and are checked likewise.
+first n - ceil(t n) + 1 of their n shingles in any common order, so texts meet at these shingles and are checked likewise,
+unless parities of their shingles in buckets already differ in more bits than such texts have shingles apart.
+
+Texts are never shuffled whole but those of a link: rows are picked where they are scanned, by bitmaps of bounded size.
 
 Cases: texts are lower-cased (A-Z) and split at ASCII white space; fewer words than a shingle make one shingle; texts without words are equal;
 rows with null or repeated ids are rows of their own; the row of smallest id stays, null ids last; more columns stay as they are; an empty
@@ -28,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import arrow_rows, free_name, kept, let, words_of, written
+from marketloom.llm.common import arrow_rows, free_name, kept, let, marked, words_of, written
 from marketloom.llm.components import connected_components
 
 BITS = 128
@@ -39,8 +42,9 @@ TILE = 4096
 SEED = 42
 #: Deviations of the number of differing bits: links nearer than the mean less SURE need no check, those beyond the mean plus REACH are none.
 SURE, REACH = 2.0, 1.7
-#: Shingles in more prefixes than COMMON come last in the order of shingles, COMMON_TOKENS of them at most; they change the work, not the pairs.
-COMMON, COMMON_TOKENS = 32, 20_000
+#: Shingles that more than COMMON texts are known to hold come last in the order of shingles, COMMON_TOKENS of them at most; they change the work,
+#: not the pairs. A task lists the shingles that LISTED or more of the texts it holds at a time have, CHUNK shingles of texts at least.
+COMMON, COMMON_TOKENS, LISTED, CHUNK = 32, 20_000, 4, 1 << 20
 #: Runs of at most this many rows are compared together.
 SHORT = 32
 
@@ -237,24 +241,45 @@ def needed(sizes: np.ndarray, similarity: float) -> np.ndarray:
     return np.ceil(similarity / (1 + similarity) * sizes - 1e-9).astype("int64")
 
 
+def often(chunk: list[np.ndarray]) -> list[tuple]:
+    """(null, shingle, texts, null) of the shingles that several of these texts hold."""
+    tokens, n = np.unique(np.concatenate([*chunk, np.zeros(0, "<u8")]), return_counts=True)
+    many = n >= LISTED
+    return [(None, t, k, None) for t, k in zip(tokens[many].view("int64").tolist(), n[many].tolist(), strict=True)]
+
+
 def prefix_of(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
-    """The first shingles in an order that all texts share, common ones last: texts of that similarity have one of them in common."""
-    late = np.isin(hashes, common)
-    ordered = np.concatenate([hashes[~late], hashes[late]])
-    return ordered[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1]
+    """The first shingles in an order that all texts share, common ones (sorted) last: texts of that similarity have one of them in common."""
+    if len(common):
+        late = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
+        hashes = np.concatenate([hashes[~late], hashes[late]])
+    return hashes[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1]
+
 
+def sketch_of(hashes: np.ndarray) -> bytes:
+    """Parities of the numbers of shingles in buckets, two buckets a shingle at least and a power of two in all."""
+    bits = 1 << max(9, (2 * len(hashes) - 1).bit_length())
+    counts = np.bincount((hashes & np.uint64(bits - 1)).view("int64"), minlength=bits)
+    return np.packbits((counts & 1).astype("u1")).tobytes()
 
-def _prefixes(texts: DataFrame, row: str, text_col: str, common: np.ndarray, similarity: float, shingle: int) -> DataFrame:
-    """(`token`, `node`, `comp`, `n`, `pos`) of the prefix of every text."""
+
+def least_apart(a: bytes, b: bytes) -> int:
+    """A number of shingles that lie in one of two sets only, by their sketches: each such shingle turns one bit, so there are no fewer."""
+    x, y = sorted((np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum(dtype="int64"))
+
+
+def prefixes(texts: DataFrame, row: str, text_col: str, common: np.ndarray, similarity: float, shingle: int = SHINGLE) -> DataFrame:
+    """(`node`, `n`, `tokens`, `sketch`) of every text that has words: its number of shingles, its prefix and its parities."""
 
     def rows(groups):
         for group in groups:
-            for node, comp, text in group:
-                hashes = text_hashes(text, shingle)
-                tokens = prefix_of(hashes, common, similarity).view("int64").tolist() if len(hashes) else []
-                yield [(t, node, comp, len(hashes), pos) for pos, t in enumerate(tokens)]
+            hashed = [(r, text_hashes(text, shingle)) for r, text in group]
+            yield [(r, len(h), prefix_of(h, common, similarity).view("int64"), sketch_of(h)) for r, h in hashed if len(h)]
 
-    return arrow_rows(texts, [row, "comp", text_col], rows, "token bigint, node bigint, comp bigint, n int, pos int")
+    return arrow_rows(texts, [row, text_col], rows, "node bigint, n int, tokens array<bigint>, sketch binary")
 
 
 def meeting_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, similarity: float, tile: int = 1024) -> tuple[np.ndarray, np.ndarray]:
@@ -280,19 +305,15 @@ def meeting_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, simila
     return np.concatenate([empty, *a]), np.concatenate([empty, *b])
 
 
-def missed_pairs(texts: DataFrame, row: str, text_col: str, similarity: float, shingle: int = SHINGLE, tile: int = TILE) -> DataFrame:
-    """Pairs (`a`, `b` of `row`) of texts in different components (`comp`) among which are all that have the similarity.
+def missed_pairs(sets: DataFrame, similarity: float, tile: int = TILE) -> DataFrame:
+    """Pairs (`a`, `b` of `node`) of texts in different components (`comp`) among which are all that have the similarity.
 
-    A pair of that similarity shares a shingle of its prefixes (see `prefix_of`), whichever order the shingles have. Shingles that
-    many prefixes hold come last in it, those whose rows lie in one component are dropped, and one with more rows than a tile is dealt out
-    by pairs of tiles."""
-    first = _prefixes(texts, row, text_col, np.zeros(0, "<u8"), similarity, shingle)
-    often = first.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > COMMON)
-    often = often.orderBy(F.desc("n"), "token").limit(COMMON_TOKENS)  # a bounded list; it only sets the order
-    common = np.array([r["token"] for r in often.collect()], "int64").view("uint64")
-    keyed = _prefixes(texts, row, text_col, common, similarity, shingle)
+    A pair of that similarity shares a shingle of its prefixes (`tokens`, see `prefix_of`), whichever order the shingles have. Shingles whose rows
+    lie in one component are dropped where they are scanned; one with more rows than a tile is dealt out by pairs of tiles."""
+    keyed = sets.select("node", "comp", "n", F.posexplode("tokens").alias("pos", "token"))
     met = keyed.groupBy("token").agg(F.count(F.lit(1)).alias("rows"), F.min("comp").alias("low"), F.max("comp").alias("high"))
     met = written(met.filter("low <> high").select("token", F.ceil(F.col("rows") / tile).cast("int").alias("parts")), "near-tokens")
+    keyed = marked(keyed, "token", met.select("token"), "_met").filter("_met").drop("_met")
     dealt = keyed.join(met, "token").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     units = dealt.select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "comp", "n", "pos")
@@ -343,13 +364,27 @@ def missed_pairs(texts: DataFrame, row: str, text_col: str, similarity: float, s
 
     ordered = units.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
     pairs = arrow_rows(ordered, ["token", "i", "j", "part", "node", "comp", "n", "pos"], rows, "a bigint, b bigint", 65536, raw=True)
-    return pairs.distinct()
+    return possible(pairs.distinct(), sets, similarity)
+
+
+def possible(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs without those whose sketches say that too many shingles lie in one text only."""
+
+    def rows(groups):
+        for group in groups:
+            most = [na + nb - 2 * int(needed(np.array(na + nb), similarity)) for _, _, na, nb, _, _ in group]
+            yield [(a, b) for (a, b, _, _, x, y), m in zip(group, most, strict=True) if least_apart(x, y) <= m]
+
+    for c in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")), c)
+    return arrow_rows(pairs, ["a", "b", "na", "nb", "sa", "sb"], rows, "a bigint, b bigint")
 
 
 def _checked(pairs: DataFrame, stored: DataFrame, row: str, text_col: str, similarity: float, shingle: int) -> DataFrame:
     """The pairs (`a`, `b` of `row`) whose texts have that Jaccard similarity of shingles."""
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias(row)).distinct(), "near-wanted")
-    sets = written(stored.join(wanted, row, "left_semi").select(row, shingle_set(F.col(text_col), shingle).alias("s")), "near-sets")
+    texts = marked(stored.select(row, text_col), row, wanted, "_wanted").filter("_wanted").join(wanted, row, "left_semi")
+    sets = written(texts.select(row, shingle_set(F.col(text_col), shingle).alias("s")), "near-sets")
     left, right = (sets.select(F.col(row).alias(c), F.col("s").alias(f"s{c}")) for c in ("a", "b"))
     both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
     union = F.size("sa") + F.size("sb") - F.col("common")
@@ -369,14 +404,23 @@ def one_of_each(
     `recall` is the share of links that the lanes find; the rest is found by shared shingles. Runs jobs: fingerprints, links and groups are stored as
     they are made."""
     row = free_name(docs, "_row")
-    stored = written(docs.withColumn(row, F.monotonically_increasing_id()), "near-copies")
+    stored = written(docs.withColumn(row, F.monotonically_increasing_id()), "near-copies", "zstd")
 
     def rows(groups):
+        chunk, size = [], 0
         for group in groups:
             hashed = [(r, text_hashes(text, shingle)) for r, text in group]
             yield [(r, *fingerprint_of(h), xxhash.xxh64_intdigest(h.tobytes(), SEED) - (1 << 63)) for r, h in hashed]
-
-    prints = kept(arrow_rows(stored, [row, text_col], rows, "r bigint, f0 bigint, f1 bigint, s bigint"))
+            chunk += [h for _, h in hashed]
+            size += sum(len(h) for _, h in hashed)
+            if size >= CHUNK:
+                yield often(chunk)
+                chunk, size = [], 0
+        yield often(chunk)
+
+    # rows without `r` list shingles: f0 is the shingle, f1 the number of texts
+    made = kept(arrow_rows(stored, [row, text_col], rows, "r bigint, f0 bigint, f1 bigint, s bigint"))
+    prints = made.filter("r is not null")
     # a class of equal shingle sets is named by its first row, and so is one of equal fingerprints in the lanes
     classes = kept(prints.groupBy("f0", "f1", "s").agg(F.min("r").alias("node")))
     named = kept(classes.groupBy("f0", "f1").agg(F.min("node").alias("node")))
@@ -388,12 +432,21 @@ def one_of_each(
     near = kept(_checked(met, stored, row, text_col, similarity, shingle))
     groups = connected_components(near, "a", "b")
     # lanes find most links at little cost; those they miss between groups still apart are found by shared shingles
-    nodes = classes.select("node").join(groups, "node", "left").select(F.col("node").alias(row), F.coalesce("component", "node").alias("comp"))
-    texts = written(stored.join(nodes, row).select(row, "comp", text_col), "near-texts")
-    missed = kept(missed_pairs(texts, row, text_col, similarity, shingle, tile))
+    many = made.filter("r is null").groupBy("f0").agg(F.sum("f1").alias("n")).filter(F.col("n") > COMMON)
+    many = many.orderBy(F.desc("n"), "f0").limit(COMMON_TOKENS)  # a bounded list; it only sets the order
+    common = np.sort(np.array([r["f0"] for r in many.collect()], "int64").view("uint64"))
+    nodes = classes.select("node").join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("comp"))
+    sets = written(prefixes(stored, row, text_col, common, similarity, shingle).join(nodes, "node"), "near-prefixes")
+    missed = kept(missed_pairs(sets, similarity, tile))
     more = _checked(missed, stored, row, text_col, similarity, shingle)
     whole = connected_components(near.unionByName(more), "a", "b")
     named = prints.join(classes, ["f0", "f1", "s"]).join(whole, "node", "left").select("r", F.coalesce("component", "node").alias("component"))
+    named = kept(named)
     order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("r")).alias("at")
     first = named.join(stored.select(F.col(row).alias("r"), order), "r").groupBy("component").agg(F.min("at").alias("at"))
-    return stored.join(first.select(F.col("at.r").alias(row)), row, "left_semi").select(*docs.columns)
+    dropped = named.join(first, "component").filter("r <> at.r").select(F.col("r").alias(row))
+    dropped = written(dropped, "near-dropped")
+    gone = free_name(stored, "_gone")
+    known = marked(stored, row, dropped, gone)
+    perhaps = known.filter(gone).join(dropped, row, "left_anti")
+    return known.filter(~F.col(gone)).unionByName(perhaps).select(*docs.columns)

@@ -101,6 +101,49 @@ def test_tables_recall(spark):
     assert len(gone) <= 0.002 * len(alone)
 
 
+def shuffled(spark):
+    """Bytes that the session has written for shuffles."""
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    executors = spark._jsc.sc().statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def test_texts_are_not_shuffled(spark, docs):
+    """Few texts have links, so few are shuffled; shingles travel as prefixes only."""
+    r = random.Random(4)
+    texts = [" ".join(f"{r.getrandbits(256):x}" for _ in range(200)) for _ in range(600)]
+    texts += [t + " end" for t in texts[:5]]
+    table = docs(list(enumerate(texts)))
+    before = shuffled(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert {r["doc_id"] for r in nc.one_of_each(table).collect()} == set(range(600))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert shuffled(spark) - before < 0.7 * sum(map(len, texts))
+
+
+def test_sketches_never_exceed_the_difference():
+    r = np.random.default_rng(8)
+    for n, m, both in [(1, 1, 0), (5, 4, 4), (480, 480, 430), (480, 600, 300), (3000, 260, 250), (20_000, 16_001, 16_000)]:
+        h = r.integers(0, 2**63, n + m - both, dtype="u8")
+        a, b = np.sort(h[:n]), np.sort(h[n - both :])
+        assert nc.least_apart(nc.sketch_of(a), nc.sketch_of(b)) <= n + m - 2 * both
+    far = r.integers(0, 2**63, (2, 480), dtype="u8")
+    assert nc.least_apart(*map(nc.sketch_of, far)) > 960 - 2 * nc.needed(np.array(960), 0.8)
+
+
+def test_pairs_that_meet_but_are_far_apart_are_not_checked(spark, docs, monkeypatch):
+    """Texts of half the same words share shingles of their prefixes; their sets of shingles are not gathered."""
+    r = random.Random(6)
+    half = [f"h{i}" for i in range(200)]
+    texts = [" ".join([*half, *(f"o{r.random()}" for _ in range(150))]) for _ in range(40)]
+    seen, checked = [], nc._checked
+    monkeypatch.setattr(nc, "_checked", lambda pairs, *a: seen.append(pairs.count()) or checked(pairs, *a))
+    assert nc.one_of_each(docs(list(enumerate(texts)))).count() == 40
+    assert seen[1] == 0
+
+
 def test_odd_rows(spark, docs, odd_texts):
     long = " ".join(f"w{i}" for i in range(40_000))
     rows = [(None, long), (7, long + " end"), (7, "one two"), (7, "ONE two"), (3, None), (2, " "), (1, ""), (None, None), (9, "one two three")]
